@@ -17,6 +17,7 @@ import hashlib
 import struct
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -79,30 +80,23 @@ class Codec:
         self.tokens = [b""] * len(ranks)
         for token, rank in ranks.items():
             self.tokens[rank] = token
-        self.ranks, self.alphabet = ranks, {b: c for b, c in enumerate(byte_alphabet())}
-        self.translate = str.maketrans(self.alphabet)
+        self.translate = str.maketrans(dict(enumerate(byte_alphabet())))
         self.model = sentencepiece.SentencePieceProcessor(model_proto=sentencepiece_model(ranks))
         self.cut = regex.compile(pattern).findall
-        self.memo: dict[str, tuple[int, ...]] = {}
-
-    def _encode_new(self, words: list[str]) -> None:
-        """Encode pre-tokens that are not remembered yet."""
-        raw = [w.encode() for w in words]
         # A pre-token that is itself in the vocabulary is one token, whether or not merges lead to it.
-        rest = [i for i, r in enumerate(raw) if r not in self.ranks]
-        merged = self.model.encode([raw[i].decode("latin-1").translate(self.translate) for i in rest], num_threads=1) if rest else []
-        self.memo.update((w, (self.ranks[r],)) for w, r in zip(words, raw, strict=True) if r in self.ranks)
-        self.memo.update((words[i], tuple(ids)) for i, ids in zip(rest, merged, strict=True))
+        self.whole = {text: [rank] for token, rank in ranks.items() if (text := token.decode(errors="replace")).encode() == token}
+        self.memo = dict(self.whole)
 
     def encode(self, text: str) -> list[int]:
         words = self.cut(text)
         if len(self.memo) > MEMO:
-            self.memo.clear()
+            self.memo = dict(self.whole)
         memo = self.memo
-        new = [w for w in set(words) if w not in memo]
+        new = list(set(words).difference(memo))
         if new:
-            self._encode_new(new)
-        return [i for w in words for i in memo[w]]
+            mapped = [w.encode().decode("latin-1").translate(self.translate) for w in new]
+            memo.update(zip(new, self.model.encode(mapped, num_threads=1), strict=True))
+        return list(chain.from_iterable(map(memo.__getitem__, words)))
 
     def decode(self, ids: list[int]) -> bytes:
         return b"".join(map(self.tokens.__getitem__, ids))
