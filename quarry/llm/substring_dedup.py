@@ -13,9 +13,9 @@ repeated windows of a document merge into maximal removal intervals.
 3. The places of each block merge into intervals per document, which are
    joined to the texts.
 
-Window identity is the 64-bit hash within a bucket that a second, independent
-hash chose, so two different windows are taken for equal with a chance of
-about n / 2**64 / buckets for each of n windows.
+Window identity is HASH_BYTES bytes of one hash within the bucket that a
+second, independent hash chose, so one of n windows is taken for another with
+a chance of about n / 2**56 / buckets.
 
 Defined results: a null or empty text has no words; with fewer words than
 `width` nothing goes; rows with an equal doc_id are never "smaller" than one
@@ -37,10 +37,44 @@ from .wordhash import Words, blocks
 
 WIDTH = 13
 
-#: places: packed (word position, number of consecutive windows) of each document of a row.
-_COLUMNS = "bucket int, block long, settled boolean, docs binary, keys binary, counts binary, places binary, runs binary, hashes binary"
+#: Bytes of a window's hash that travel to its bucket.
+HASH_BYTES = 7
+
+#: Kinds of rows: windows to be judged, places settled within their block, the documents of a block.
+JUDGE, SETTLED, TABLE = 0, 1, 2
+_COLUMNS = "bucket int, block long, kind int, ids binary, sizes binary, places binary, hashes binary"
 _NAMES = [x.split()[0] for x in _COLUMNS.split(", ")]
-_TYPES = [pa.int32(), pa.int64(), pa.bool_(), *[pa.binary()] * 6]
+_TYPES = [pa.int32(), pa.int64(), pa.int32(), *[pa.binary()] * 4]
+
+
+def _narrow(values: np.ndarray) -> bytes:
+    """Non-negative numbers in the narrowest type that holds them, after a byte that names it."""
+    top = int(values.max()) if len(values) else 0
+    kind = next(k for k in (1, 2, 4, 8) if top < 1 << (8 * k) or k == 8)
+    return bytes([kind]) + values.astype(f"<u{kind}").tobytes()
+
+
+def _wide(cell: bytes) -> np.ndarray:
+    return np.frombuffer(cell, f"<u{cell[0]}", offset=1).astype(np.int64)
+
+
+def _gaps(ascending: np.ndarray) -> bytes:
+    return _narrow(np.diff(ascending, prepend=0))
+
+
+def _places(cell: bytes) -> np.ndarray:
+    return np.cumsum(_wide(cell))
+
+
+def _pack_ids(ids: np.ndarray) -> bytes:
+    """Any 64-bit numbers: zigzag of their differences, which is short where ids run on."""
+    d = np.diff(ids, prepend=0)
+    return _narrow(((d << 1) ^ (d >> 63)).view(np.uint64))
+
+
+def _unpack_ids(cell: bytes) -> np.ndarray:
+    z = np.frombuffer(cell, f"<u{cell[0]}", offset=1).astype(np.uint64)
+    return np.cumsum((z >> np.uint64(1)).view(np.int64) ^ -(z & np.uint64(1)).view(np.int64))
 
 
 def _groups(sorted_values: np.ndarray) -> np.ndarray:
@@ -54,38 +88,28 @@ def _runs(values: np.ndarray) -> Iterator[tuple[int, int]]:
     return zip(at.tolist(), [*at[1:].tolist(), len(values)][: len(at)], strict=True)
 
 
-def _pack(owner: np.ndarray, ids: np.ndarray, keys: np.ndarray) -> tuple[bytes, bytes, bytes]:
-    """owner: ascending document index of each place."""
-    at = _groups(owner)
-    docs = owner[at]
-    return ids[docs].tobytes(), keys[docs].tobytes(), np.diff(np.append(at, len(owner))).astype(np.int32).tobytes()
-
-
 def _by_bucket(words: Words, keys: np.ndarray, width: int, n_buckets: int, block: int) -> Iterator[tuple]:
-    hashes = words.hashes()
-    window, at = words.windows(width, hashes)
+    window, at = words.windows(width, words.hashes())
     if not len(at):
         return
-    # A second rolling hash picks the bucket; only its residue is kept.
+    # A second, independent rolling hash picks the bucket.
     bucket = (words.windows(width, words.hashes(salt=977), salt=977)[0] % np.uint64(n_buckets)).astype(np.int32)
-    owner = words.owner()[at]
-    place = (at - words.first[owner]).astype(np.int32)
-    ids = words.doc_ids
+    ids, owner = words.doc_ids, words.owner()[at]
     order = np.argsort(window, kind="stable")
     starts = _groups(window[order])
     smallest = np.empty(len(at), np.int64)
     smallest[order] = np.repeat(np.minimum.reduceat(ids[owner[order]], starts), np.diff(np.append(starts, len(at))))
     mine = ids[owner] == smallest
-    gone = np.flatnonzero(~mine)
-    if len(gone):
-        own, pos = owner[gone], place[gone]
-        run = np.flatnonzero(np.concatenate(([True], (own[1:] != own[:-1]) | (pos[1:] != pos[:-1] + 1))))
-        yield (block % n_buckets, block, True, *_pack(own[run], ids, keys), pos[run].tobytes(), np.diff(np.append(run, len(gone))).astype(np.int32).tobytes(), b"")
+    packed, sizes = _pack_ids(ids), _narrow(words.counts())
+    home = block % n_buckets
+    yield (home, block, TABLE, packed, sizes, _pack_ids(keys), b"")
+    if not mine.all():
+        yield (home, block, SETTLED, b"", b"", _gaps(at[~mine]), b"")
     kept = np.flatnonzero(mine)
     kept = kept[np.argsort(bucket[kept], kind="stable")]
+    low = np.ascontiguousarray(window[kept].astype("<u8").view(np.uint8).reshape(-1, 8)[:, :HASH_BYTES])
     for a, b in _runs(bucket[kept]):
-        part = kept[a:b]
-        yield (int(bucket[part[0]]), block, False, *_pack(owner[part], ids, keys), place[part].tobytes(), b"", window[part].tobytes())
+        yield (int(bucket[kept[a]]), block, JUDGE, packed, sizes, _gaps(at[kept[a:b]]), low[a:b].tobytes())
 
 
 def _scan(batches: Iterator[pa.RecordBatch], width: int, n_buckets: int) -> Iterator[pa.RecordBatch]:
@@ -99,59 +123,54 @@ def _scan(batches: Iterator[pa.RecordBatch], width: int, n_buckets: int) -> Iter
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), _TYPES, strict=True)], names=_NAMES)
 
 
-def _numbers(column: pa.ChunkedArray, kind: type) -> tuple[np.ndarray, np.ndarray]:
-    """All numbers of packed cells, and how many each cell holds."""
-    cells = column.to_pylist()
-    return np.frombuffer(b"".join(cells), kind), np.array([len(c) // np.dtype(kind).itemsize for c in cells], np.int64)
-
-
 def _judge(group: pa.Table) -> pa.Table:
     """Of one bucket: the places that an earlier document makes go, a row per block; settled rows pass through."""
-    settled = group.filter(group.column("settled"))
-    group = group.filter(pa.compute.invert(group.column("settled")))
-    rows = [tuple(settled.column(n)[i].as_py() for n in ("block", "docs", "keys", "counts", "places", "runs")) for i in range(settled.num_rows)]
-    if group.num_rows:
-        docs, per_block = _numbers(group.column("docs"), np.int64)
-        keys, _ = _numbers(group.column("keys"), np.int64)
-        counts, _ = _numbers(group.column("counts"), np.int32)
-        places, _ = _numbers(group.column("places"), np.int32)
-        hashes, _ = _numbers(group.column("hashes"), np.uint64)
-        owner = np.repeat(np.arange(len(docs)), counts)
+    rows, judged = [], []
+    for block, kind, ids, sizes, places, hashes in zip(*(group.column(n).to_pylist() for n in _NAMES[1:]), strict=True):
+        if kind == JUDGE:
+            places = _places(places)
+            owner = np.searchsorted(np.cumsum(_wide(sizes)), places, "right")
+            judged.append((block, places, _unpack_ids(ids)[owner], np.frombuffer(hashes, np.uint8).reshape(-1, HASH_BYTES)))
+        else:
+            rows.append((block, kind, ids, sizes, places))
+    if judged:
+        lengths = [len(x[1]) for x in judged]
+        hashes = np.zeros((sum(lengths), 8), np.uint8)
+        np.concatenate([x[3] for x in judged], out=hashes[:, :HASH_BYTES])
+        hashes, doc = hashes.view("<u8").ravel(), np.concatenate([x[2] for x in judged])
         order = np.argsort(hashes, kind="stable")
         starts = _groups(hashes[order])
-        doc = docs[owner[order]]
-        later = doc > np.repeat(np.minimum.reduceat(doc, starts), np.diff(np.append(starts, len(doc))))
-        gone = np.sort(order[later])
-        block_of_doc = np.repeat(np.array(group.column("block").to_pylist(), np.int64), per_block)
-        block = block_of_doc[owner[gone]]
-        for a, b in _runs(block):
-            part = gone[a:b]
-            rows.append((int(block[a]), *_pack(owner[part], docs, keys), places[part].tobytes(), b""))
-    names = ["block", "docs", "keys", "counts", "places", "runs"]
-    return pa.table([pa.array([r[i] for r in rows], pa.int64() if i == 0 else pa.binary()) for i in range(6)], names=names)
+        first = np.empty(len(doc), np.int64)
+        first[order] = np.repeat(np.minimum.reduceat(doc[order], starts), np.diff(np.append(starts, len(doc))))
+        later = np.split(doc > first, np.cumsum(lengths)[:-1])
+        rows += [(block, SETTLED, b"", b"", _gaps(places[gone])) for (block, places, _, _), gone in zip(judged, later, strict=True) if gone.any()]
+    return pa.table([pa.array([r[i] for r in rows], t) for i, t in enumerate(_TYPES[1:6])], names=_NAMES[1:6])
 
 
 def _merge(group: pa.Table, width: int) -> pa.Table:
     """Of one block: the places of each document, merged into maximal intervals of words."""
-    docs, _ = _numbers(group.column("docs"), np.int64)
-    keys, _ = _numbers(group.column("keys"), np.int64)
-    counts, _ = _numbers(group.column("counts"), np.int32)
-    places, per_row = _numbers(group.column("places"), np.int32)
-    runs = np.concatenate([np.frombuffer(r, np.int32) if r else np.ones(n, np.int32) for r, n in zip(group.column("runs").to_pylist(), per_row, strict=True)])
-    doc, key = np.repeat(docs, counts), np.repeat(keys, counts)
-    order = np.lexsort((places, key, doc))
-    doc, key, begin = doc[order], key[order], places[order].astype(np.int64)
-    end = begin + runs[order] + width - 1
-    change = np.concatenate(([True], (doc[1:] != doc[:-1]) | (key[1:] != key[:-1])))
-    # Later intervals of a document must not see the ends of an earlier one, so each document gets its own range.
-    shift = np.cumsum(change) * np.int64(1 << 40)
-    reach = np.maximum.accumulate(end + shift)
-    first = np.flatnonzero(np.concatenate(([True], begin[1:] + shift[1:] > reach[:-1])))
-    last = np.append(first[1:], len(begin)) - 1
-    begin, end = begin[first].astype(np.int32), (reach[last] - shift[last]).astype(np.int32)
-    of = np.flatnonzero(change[first])
-    offsets = np.append(of, len(first)).astype(np.int32)
-    return pa.table([pa.array(doc[first[of]]), pa.array(key[first[of]]), pa.ListArray.from_arrays(pa.array(offsets), pa.array(begin)), pa.ListArray.from_arrays(pa.array(offsets), pa.array(end))], names=["doc_id", "text_key", "removed_from", "removed_to"])
+    found, table = [], None
+    for kind, ids, sizes, places in zip(*(group.column(n).to_pylist() for n in _NAMES[2:6]), strict=True):
+        if kind == TABLE:
+            table = _unpack_ids(ids), _wide(sizes), _unpack_ids(places)
+        else:
+            found.append(_places(places))
+    ids, sizes, keys = table
+    at = np.sort(np.concatenate(found)) if found else np.zeros(0, np.int64)
+    ends = np.cumsum(sizes)
+    owner = np.searchsorted(ends, at, "right")
+    # A window ends inside its document, so an interval never reaches the next one; adjacent intervals of two documents stay apart.
+    fresh = np.ones(len(at), bool)
+    fresh[1:] = (at[1:] > at[:-1] + width) | (owner[1:] != owner[:-1])
+    first = np.flatnonzero(fresh)
+    last = np.append(first[1:], len(at))[: len(first)] - 1
+    own = owner[first]
+    begin = at[first] - (ends - sizes)[own]
+    end = at[last] + width - (ends - sizes)[own]
+    of = _groups(own)
+    offsets = pa.array(np.append(of, len(first)).astype(np.int32))
+    lists = [pa.ListArray.from_arrays(offsets, pa.array(x.astype(np.int32))) for x in (begin, end)]
+    return pa.table([pa.array(ids[own[of]]), pa.array(keys[own[of]]), *lists], names=["doc_id", "text_key", "removed_from", "removed_to"])
 
 
 def _keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -180,7 +199,7 @@ def substring_dedup(docs: DataFrame, width: int = WIDTH, buckets: int | None = N
     n = buckets or 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("text_key", F.xxhash64("text"))
     packed = docs.where("doc_id is not null").mapInArrow(lambda it: _scan(it, width, n), _COLUMNS)
-    answers = packed.groupBy("bucket").applyInArrow(_judge, "block long, docs binary, keys binary, counts binary, places binary, runs binary")
+    answers = packed.groupBy("bucket").applyInArrow(_judge, "block long, kind int, ids binary, sizes binary, places binary")
     spans = answers.groupBy("block").applyInArrow(lambda t: _merge(t, width), "doc_id long, text_key long, removed_from array<int>, removed_to array<int>")
     spans = spans.groupBy("doc_id", "text_key").agg(F.any_value("removed_from").alias("removed_from"), F.any_value("removed_to").alias("removed_to"))
     joined = docs.join(spans, ["doc_id", "text_key"], "left").select("doc_id", "text", "removed_from", "removed_to")
