@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_topk, media_columns, source_mix, substring_dedup, url_filters
+from . import exact_topk, line_dedup, media_columns, source_mix, substring_dedup, url_filters
 from .byte_bpe import byte_bpe
 from .shared import table
 
@@ -21,6 +21,11 @@ def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = line_dedup.line_dedup(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+
+
 def op6_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filters.url_filter(table(spark, sf_dir, "pages"))
 
@@ -42,7 +47,7 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_source_mix, op4_substring_dedup, op6_url_filters, op7_media_columns, op9_exact_topk, op10_byte_bpe)}
+    return {f.__name__: f for f in (op3_source_mix, op4_substring_dedup, op5_line_dedup, op6_url_filters, op7_media_columns, op9_exact_topk, op10_byte_bpe)}
 
 
 def oracle_sql() -> dict[str, str]:
