@@ -7,11 +7,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_topk, line_dedup, media_columns, source_mix, substring_dedup, url_filters
+from . import exact_topk, line_dedup, media_columns, ngram_jaccard, source_mix, substring_dedup, url_filters
 from .byte_bpe import byte_bpe
 from .shared import table
 
 
+def op1_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_jaccard.ngram_jaccard(table(spark, sf_dir, "documents"))
+
+
 def op3_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return source_mix.mix_sources(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -47,7 +51,7 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_source_mix, op4_substring_dedup, op5_line_dedup, op6_url_filters, op7_media_columns, op9_exact_topk, op10_byte_bpe)}
+    return {f.__name__: f for f in (op1_ngram_jaccard, op3_source_mix, op4_substring_dedup, op5_line_dedup, op6_url_filters, op7_media_columns, op9_exact_topk, op10_byte_bpe)}
 
 
 def oracle_sql() -> dict[str, str]:
