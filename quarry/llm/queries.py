@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_topk, line_dedup, media_columns, ngram_jaccard, source_mix, substring_dedup, url_filters
+from . import exact_topk, line_dedup, media_columns, ngram_jaccard, quality, source_mix, substring_dedup, toxicity, url_filters
 from .byte_bpe import byte_bpe
 from .shared import table
 
@@ -16,6 +16,12 @@ def op1_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_jaccard.ngram_jaccard(table(spark, sf_dir, "documents"))
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    machine = toxicity.train(docs, table(spark, sf_dir, "labels"))
+    return toxicity.toxicity_scores(docs, machine).select("doc_id", "held_out", "score", "predicted")
+
+
 def op3_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return source_mix.mix_sources(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -39,6 +45,12 @@ def op7_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.drop("media", "fingerprint_time", "fingerprint_code")
 
 
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    vectors, network = quality.train(docs, table(spark, sf_dir, "labels"))
+    return quality.quality_scores(docs, vectors, network).select("doc_id", "held_out", "score", "predicted")
+
+
 def op9_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_topk.exact_topk(table(spark, sf_dir, "embeddings"))
 
@@ -51,7 +63,7 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_ngram_jaccard, op3_source_mix, op4_substring_dedup, op5_line_dedup, op6_url_filters, op7_media_columns, op9_exact_topk, op10_byte_bpe)}
+    return {f.__name__: f for f in (op1_ngram_jaccard, op2_toxicity, op3_source_mix, op4_substring_dedup, op5_line_dedup, op6_url_filters, op7_media_columns, op8_quality, op9_exact_topk, op10_byte_bpe)}
 
 
 def oracle_sql() -> dict[str, str]:

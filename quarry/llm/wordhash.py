@@ -124,6 +124,24 @@ def split(data: np.ndarray, offsets: np.ndarray, doc_ids: np.ndarray) -> Words:
     return Words(data, doc_ids, starts, ends, np.searchsorted(starts, offsets))
 
 
+_CLASS = np.full(256, 2, np.uint8)
+_CLASS[_SEPARATOR] = 0
+_CLASS[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = 1
+
+
+def split_classes(data: np.ndarray, offsets: np.ndarray, doc_ids: np.ndarray) -> Words:
+    """Like split, with runs of letters and digits and runs of punctuation as words of their own."""
+    kind = _CLASS[data]
+    start = np.ones(len(data), bool)
+    start[1:] = kind[1:] != kind[:-1]
+    start[offsets[:-1][offsets[:-1] < len(data)]] = True
+    ends = np.append(np.flatnonzero(start)[1:], len(data))
+    starts = np.flatnonzero(start)
+    full = kind[starts] > 0 if len(data) else np.zeros(0, bool)
+    starts, ends = starts[full], ends[: len(full)][full]
+    return Words(data, doc_ids, starts, ends, np.searchsorted(starts, offsets))
+
+
 def text_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Bytes and offsets of a string column, null as empty, without copying where possible."""
     column = column.fill_null("") if column.null_count else column
@@ -133,7 +151,7 @@ def text_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(data, np.uint8) if data is not None and len(data) else np.zeros(0, np.uint8), at.astype(np.int64)
 
 
-def blocks(batch: pa.RecordBatch, text: str = "text", id_column: str = "doc_id") -> Iterator[tuple[int, int, Words]]:
+def blocks(batch: pa.RecordBatch, text: str = "text", id_column: str = "doc_id", cut=split) -> Iterator[tuple[int, int, Words]]:
     """(first row, end row, words) for runs of rows of about BLOCK_BYTES of text; a document is never split."""
     data, offsets = text_buffers(batch.column(batch.schema.get_field_index(text)))
     ids = batch.column(batch.schema.get_field_index(id_column)).fill_null(-(2**63)).to_numpy(zero_copy_only=False)
@@ -142,5 +160,5 @@ def blocks(batch: pa.RecordBatch, text: str = "text", id_column: str = "doc_id")
         end = max(row + 1, int(np.searchsorted(offsets, offsets[row] + BLOCK_BYTES, "right")) - 1)
         end = min(end, n)
         at = offsets[row : end + 1]
-        yield row, end, split(data[at[0] : at[-1]], at - at[0], ids[row:end])
+        yield row, end, cut(data[at[0] : at[-1]], at - at[0], ids[row:end])
         row = end
