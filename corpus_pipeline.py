@@ -1,4 +1,92 @@
-STAGES = []
+"""The corpus pipeline: five stages from raw documents to token ids.
+
+1. toxicity: documents that the factorization machine rejects go.
+2. lines: repeated and nearly repeated lines go, one of each component stays.
+3. near_duplicates: of each group of similar documents the smallest id stays.
+4. mix: sources are mixed to their target weights; what a document is taken
+   for more than once repeats it, what is taken in part cuts it.
+5. tokens: every remaining text is encoded and decoded.
+
+Each stage reads all that its predecessor kept.  A model keeps to its own
+stage: the machine is fitted on the labelled rows of the `labels` table.
+Rows without doc_id pass the near-duplicate stage as they are.
+"""
+
+from __future__ import annotations
+
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from quarry.llm import line_dedup, ngram_jaccard, source_mix, toxicity
+from quarry.llm.byte_bpe import byte_bpe
+from quarry.llm.shared import cut, table, words_column
+
+RANKS = "byte_bpe_multi_50k.tiktoken"
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that score below the threshold."""
+    machine = toxicity.train(docs, table(spark, sf_dir, "labels"))
+    return toxicity.toxicity_scores(docs, machine).where("predicted = 0").select(*docs.columns)
+
+
+def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, without their repeated lines."""
+    kept = line_dedup.line_dedup(docs).select(*docs.columns)
+    return kept.withColumn("n_chars", F.length("text").cast("long"))
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document of each component that has the smallest id."""
+    found = ngram_jaccard.ngram_jaccard(docs)
+    spare = found.where("doc_id != component_id").select("doc_id").distinct()
+    return docs.join(spare, "doc_id", "left_anti").select(*docs.columns)
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as often as the mix takes it: whole copies, then the words of a last part."""
+    plan = source_mix.mix_sources(docs).where("taken > 0")
+    # Rows that share doc_id, source and size are the same to the schedule; their numbers of words are dealt in order.
+    keys = ["doc_id", "source", "size"]
+    plan = plan.groupBy(*keys).agg(F.array_sort(F.collect_list("taken")).alias("takes"))
+    keyed = docs.withColumn("_size", source_mix.word_count("text"))
+    plan = plan.select(*[F.col(k).alias(f"_p{k}") for k in keys], "takes")
+    same = F.col("doc_id").eqNullSafe(F.col("_pdoc_id")) & F.col("source").eqNullSafe(F.col("_psource")) & (F.col("_size") == F.col("_psize"))
+    joined = keyed.join(plan, same)
+    # Only rows that repeat an id need a number among their equals.
+    alone = joined.where("size(takes) = 1").withColumn("_taken", F.element_at("takes", 1))
+    number = F.row_number().over(source_mix.Window.partitionBy("doc_id", "source", "_size").orderBy("text"))
+    repeated = joined.where("size(takes) > 1").withColumn("_taken", F.get("takes", number - 1)).where("_taken is not null")
+    taken = alone.unionByName(repeated)
+    copies = F.expr("array_repeat(-1L, cast(_taken div _size as int))")
+    part = F.when(F.col("_taken") % F.col("_size") > 0, F.array(F.col("_taken") % F.col("_size"))).otherwise(F.array().cast("array<long>"))
+    rows = taken.withColumn("_words", F.explode(F.concat(copies, part)))
+    text = F.when(F.col("_words") < 0, F.col("text")).otherwise(F.array_join(F.slice(words_column("text"), F.lit(1), F.greatest(F.col("_words"), F.lit(0)).cast("int")), " "))
+    rows = rows.withColumn("text", text).withColumn("n_chars", F.length("text").cast("long"))
+    return rows.select(*docs.columns)
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, n_tokens, ids, and digests of the ids and of the decoded bytes."""
+    return byte_bpe(docs, public_tokenizers.path(RANKS), public_tokenizers.PATTERN)
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("lines", drop_repeated_lines),
+    ("near_duplicates", drop_near_duplicates),
+    ("mix", mix),
+    ("tokens", encode),
+]
+
+#: A learned score and banded similarity have no SQL form; tests hold the stages against brute force.
 ORACLE_SQL = None
-def run(spark, sf_dir):
-    raise NotImplementedError
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over the documents, each one's result written before the next reads it."""
+    docs = table(spark, sf_dir, "documents")
+    for _, stage in STAGES[:-1]:
+        docs = cut(stage(spark, docs, sf_dir))
+    return STAGES[-1][1](spark, docs, sf_dir)
