@@ -40,12 +40,14 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import components
-from .shared import cut
+from .shared import cut, possible
 from .wordhash import Words, blocks, mix
 
 WIDTH, PERCENT = 5, 75
 #: A shingle that names more tile members than this is ordered last.
 CROWD = 400
+#: A tile of uncrowded shingles may grow to this size before their order is settled anew.
+TILE = 4000
 #: A shingle in this many documents of one block (about BLOCK_BYTES of text) is counted across blocks.
 LOCAL_CROWD = 4
 #: Bits of the map of crowded shingles: fixed, so what is sent to every task is 4 MB at any size.  A false hit only changes the order, alike for all sets.
@@ -259,12 +261,14 @@ def _compare(batches: Iterator[pa.RecordBatch], width: int, percent: int) -> Ite
 
 def verified(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
     """The pairs a, b of doc_ids that link; texts: doc_id, text."""
+    # Only texts that some pair names are shuffled.
+    texts = possible(texts, pairs.select(F.explode(F.array("a", "b")).alias("doc_id")), "doc_id")
     a, b = (texts.select(F.col("doc_id").alias(x), F.col("text").alias(f"text_{x}")) for x in "ab")
     both = pairs.join(a, "a").join(b, "b").select("a", "b", "text_a", "text_b")
     return both.mapInArrow(lambda it: _compare(it, width, percent), "a long, b long")
 
 
-def ngram_jaccard(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, crowd: int = CROWD) -> DataFrame:
+def ngram_jaccard(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, crowd: int = CROWD, tile_size: int = TILE) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id (smallest doc_id reached), n_links.
 
     n_links counts the links that were verified for the document's set; a
@@ -281,11 +285,11 @@ def ngram_jaccard(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, c
         sets = base.where("n > 0").groupBy("s1", "s2").agg(F.min("doc_id").alias("rep"))
         spare = base.join(sets, ["s1", "s2"]).where("doc_id != rep").select("doc_id", "s1", "s2")
         nodes = base.where("n > 0").join(spare, ["doc_id", "s1", "s2"], "left_anti")
-        members = nodes.select("doc_id", F.explode("tokens").alias("token")).distinct()
+        members = nodes.select("doc_id", F.explode("tokens").alias("token"))
         tile = Window.partitionBy("token")
         members = members.select("token", "doc_id", F.count("*").over(tile).alias("c"), F.min("doc_id").over(tile).alias("pivot")).where("c > 1")
-        members = cut(members)
-        more = _as_map(members.where(F.col("c") > crowd).select("token").distinct()) | bits
+        members = cut(members.distinct())  # repeated rows; partitioned by token already
+        more = _as_map(members.where(F.col("c") > tile_size).select("token").distinct()) | bits
         if (more == bits).all():
             break
         bits = more
