@@ -48,8 +48,8 @@ WIDTH, PERCENT = 5, 75
 CROWD = 400
 #: A tile of uncrowded shingles may grow to this size before their order is settled anew.
 TILE = 4000
-#: A shingle in this many documents of one block (about BLOCK_BYTES of text) is counted across blocks.
-LOCAL_CROWD = 4
+#: A shingle in this many documents of one block is counted across blocks; bytes of text of such a block, and of those of other steps.
+LOCAL_CROWD, COUNT_BYTES, BLOCK_BYTES = 3, 2 << 20, 1 << 20
 #: Bits of the map of crowded shingles: fixed, so what is sent to every task is 4 MB at any size.  A false hit only changes the order, alike for all sets.
 MAP_BITS = 1 << 25
 _CELL = 32_768
@@ -105,7 +105,7 @@ def _crowded(hashes: np.ndarray, bits: np.ndarray | None) -> np.ndarray:
 
 def _profile(batches: Iterator[pa.RecordBatch], width: int, percent: int, bits: np.ndarray | None) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for _, _, words in blocks(batch):
+        for _, _, words in blocks(batch, size=BLOCK_BYTES):
             sets, at = shingle_sets(words, width)
             crowded = _crowded(sets, bits)
             first, second = mix(sets ^ _U(0xA5A5A5A5)), mix(sets + _U(0x5DEECE66D))
@@ -129,7 +129,7 @@ def _profile(batches: Iterator[pa.RecordBatch], width: int, percent: int, bits:
 
 def _local_crowds(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for _, _, words in blocks(batch):
+        for _, _, words in blocks(batch, size=COUNT_BYTES):
             found, count = np.unique(shingle_sets(words, width)[0], return_counts=True)
             many = count >= LOCAL_CROWD
             yield pa.RecordBatch.from_arrays([pa.array(found[many].view(np.int64)), pa.array(count[many].astype(np.int64))], names=["token", "c"])
@@ -248,7 +248,7 @@ def _compare(batches: Iterator[pa.RecordBatch], width: int, percent: int) -> Ite
             sides = []
             for text in ("text_a", "text_b"):
                 sets = []
-                for _, _, words in blocks(part, text, "a"):
+                for _, _, words in blocks(part, text, "a", size=BLOCK_BYTES):
                     flat, cuts = shingle_sets(words, width)
                     sets += [flat[x:y] for x, y in zip(cuts[:-1], cuts[1:], strict=True)]
                 sides.append(sets)

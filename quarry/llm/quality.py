@@ -25,9 +25,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .toxicity import FIT_ROWS, THRESHOLD, fold, labelled_sample
+from .toxicity import THRESHOLD, fold, labelled_sample
 from .wordhash import Words, blocks, mix, split_classes
 
+#: Labelled rows that the network is fitted on at most, taken in the order of a hash of their ids.
+FIT_ROWS = 20_000
 VOCABULARY, DIMENSIONS, NONZERO, REACH = 1 << 13, 24, 3, 2
 HIDDEN, EPOCHS = 24, 300
 _U = np.uint64

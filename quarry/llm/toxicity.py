@@ -26,7 +26,9 @@ from pyspark.sql import types as T
 from .wordhash import Words, _rolled, _byte_values, blocks, mix, split_classes
 
 #: Labelled rows that the machine is fitted on at most, taken in the order of a hash of their ids.
-FIT_ROWS = 20_000
+FIT_ROWS = 6_000
+#: Bytes of text whose terms are hashed at a time.
+BLOCK_BYTES = 1 << 20
 FEATURES, FACTORS, EPOCHS = 4096, 8, 60
 THRESHOLD = 0.3
 #: Least log-likelihood ratio of a term: what chance gives one term in tens of thousands.
@@ -142,7 +144,7 @@ def train(docs: DataFrame, labels: DataFrame, folds: int = 4, held_out: int = 2,
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             label = batch.column(2).to_numpy(zero_copy_only=False)
-            for a, b, words in blocks(batch, cut=split_classes):
+            for a, b, words in blocks(batch, cut=split_classes, size=BLOCK_BYTES):
                 term, at = document_terms(words)
                 terms = pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(term.view(np.int64)))
                 yield pa.RecordBatch.from_arrays([pa.array(words.doc_ids), terms, pa.array(label[a:b])], names=["doc_id", "terms", "label"])
@@ -164,7 +166,7 @@ def toxicity_scores(docs: DataFrame, machine: FactorizationMachine, folds: int =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
         for batch in batches:
-            scores = [1 / (1 + np.exp(-np.clip(model.logits(*document_terms(words)), -30, 30))) for _, _, words in blocks(batch, cut=split_classes)]
+            scores = [1 / (1 + np.exp(-np.clip(model.logits(*document_terms(words)), -30, 30))) for _, _, words in blocks(batch, cut=split_classes, size=BLOCK_BYTES)]
             scores = np.concatenate(scores) if scores else np.zeros(0)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores)], names=[*batch.schema.names, "score"])
 

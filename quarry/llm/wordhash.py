@@ -151,13 +151,13 @@ def text_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(data, np.uint8) if data is not None and len(data) else np.zeros(0, np.uint8), at.astype(np.int64)
 
 
-def blocks(batch: pa.RecordBatch, text: str = "text", id_column: str = "doc_id", cut=split) -> Iterator[tuple[int, int, Words]]:
-    """(first row, end row, words) for runs of rows of about BLOCK_BYTES of text; a document is never split."""
+def blocks(batch: pa.RecordBatch, text: str = "text", id_column: str = "doc_id", cut=split, size: int = BLOCK_BYTES) -> Iterator[tuple[int, int, Words]]:
+    """(first row, end row, words) for runs of rows of about `size` bytes of text; a document is never split."""
     data, offsets = text_buffers(batch.column(batch.schema.get_field_index(text)))
     ids = batch.column(batch.schema.get_field_index(id_column)).fill_null(-(2**63)).to_numpy(zero_copy_only=False)
     row, n = 0, batch.num_rows
     while row < n:
-        end = max(row + 1, int(np.searchsorted(offsets, offsets[row] + BLOCK_BYTES, "right")) - 1)
+        end = max(row + 1, int(np.searchsorted(offsets, offsets[row] + size, "right")) - 1)
         end = min(end, n)
         at = offsets[row : end + 1]
         yield row, end, cut(data[at[0] : at[-1]], at - at[0], ids[row:end])
