@@ -32,7 +32,7 @@ def without_blanks(tags: Column | str) -> Column:
 
 def listed(text: Column | str) -> Column:
     """Comma-separated text as sorted distinct tags."""
-    return F.array_sort(F.array_distinct(F.filter(F.transform(F.split(text, ","), F.trim), lambda t: t != "")))
+    return F.array_sort(F.array_distinct(F.filter(F.transform(F.split(text, ","), lambda t: F.trim(t)), lambda t: t != "")))
 
 
 def facets(df: DataFrame, tags: str = "tags") -> DataFrame:
