@@ -4,7 +4,7 @@ The UTF-8 bytes of a text, padded with spaces to a positive multiple of
 `PAD` bytes, become unsigned 8-bit mono samples of a WAV file.  The file is
 read back by the wave module, and the samples that come out are what all
 columns but n_bytes describe.  A short-time Fourier transform finds the
-strongest bins of each frame; pairs of peaks of nearby frames give
+strongest bins of each frame; pairs of peaks of the same or nearby frames give
 fingerprints (bin, bin, distance) with the frame as their time code.
 
 Defined results: a null text is an empty one; equal texts give equal values;
@@ -75,8 +75,8 @@ def spectral_peaks(samples: np.ndarray) -> np.ndarray:
 
 
 def fingerprints(peaks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(time code, fingerprint) of each pair of peaks 1 to FAN_OUT frames apart: bin << 12 | bin << 4 | distance."""
-    times, codes = [], []
+    """(time code, fingerprint) of each pair of peaks of one frame or of frames up to FAN_OUT apart: bin << 12 | bin << 4 | distance."""
+    times, codes = [np.arange(len(peaks), dtype=np.int32)] * (PEAKS - 1), [(peaks[:, i] << 12) | (peaks[:, i + 1] << 4) for i in range(PEAKS - 1)]
     for d in range(1, FAN_OUT + 1):
         a, b = peaks[:-d], peaks[d:]
         for i in range(PEAKS):
