@@ -25,9 +25,8 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-#: Bits of the map in `possible`: a fixed 8 MB, whatever the corpus.
-MAP_BITS = 1 << 26
-_CELL = 32_768  # bits that bitmap_construct_agg puts into one row
+#: Bits of the map in `possible`, in words of 64: at most 262,144 rows of two numbers, whatever the corpus.
+MAP_BITS = 1 << 24
 
 
 def possible(df: DataFrame, keys: DataFrame, key: str) -> DataFrame:
@@ -36,15 +35,12 @@ def possible(df: DataFrame, keys: DataFrame, key: str) -> DataFrame:
     A bit per hashed key says so; false hits must fall out of a join that
     follows.  With so many keys that the map fills up, all rows pass.
     """
-    bit = F.pmod(F.xxhash64(key), F.lit(MAP_BITS))
-    cells = keys.select(F.floor(bit / _CELL).cast("int").alias("_cell"), (bit % _CELL).alias("_bit"))
-    cells = cells.groupBy("_cell").agg(F.expr("bitmap_construct_agg(_bit)").alias("_map"))
-    marked = df.withColumn("_at", bit).withColumn("_cell", F.floor(F.col("_at") / _CELL).cast("int"))
-    # MAP_BITS / 8 bytes at most, whatever the number of keys.
-    found = marked.join(F.broadcast(cells), "_cell")
-    byte = F.conv(F.hex(F.substring(F.col("_map"), F.floor((F.col("_at") % _CELL) / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
-    hit = F.expr("shiftright(_byte, cast(_at % 8 as int)) & 1") == 1
-    return found.withColumn("_byte", byte).where(hit).select(*df.columns)
+    place = F.pmod(F.xxhash64(key), F.lit(MAP_BITS)).cast("int")
+    words = keys.select(place.alias("_at")).select(F.shiftright("_at", 6).alias("_word"), F.expr("shiftleft(1L, _at & 63)").alias("_bit"))
+    words = words.groupBy("_word").agg(F.bit_or("_bit").alias("_bits"))
+    # MAP_BITS / 64 rows at most, whatever the number of keys.
+    marked = df.withColumn("_at", place).withColumn("_word", F.shiftright("_at", 6)).join(F.broadcast(words), "_word")
+    return marked.where(F.expr("(shiftrightunsigned(_bits, _at & 63) & 1L) = 1L")).select(*df.columns)
 
 
 def words_column(text: str = "text"):
