@@ -15,11 +15,12 @@ from pyspark.sql import functions as F
 from ..functions import html as H
 from ..functions.text import lexemes, words
 from ..functions.urls import bookmark_id, canonical_url, domain
-from ..operators import chunking, fts, fusion, history, limiter, mutations, paging, predicates, queues, tags, vector
+from ..operators import chunking, enrich, fts, fusion, history, limiter, mutations, paging, predicates, queues, tags, vector, versions
 from ..operators.predicates import TagFilter
 from ..operators.search import SearchRequest, hits, search
 from ..sources import adapt, readers
 from ..sources.adapt import with_views
+from ..streaming import queue_stream
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -599,3 +600,84 @@ def english_lexemes(spark, d):
     return adapt.bookmarks(spark, d).select("bookmark_id", F.array_join(F.filter(lexemes("title"), lambda x: x != ""), " ").alias("lexemes"))
 
 
+
+
+# Enrichment with a stand-in model, versions of the model
+
+
+def _embed(texts: list[str]) -> list[list[float]]:
+    """Stand-in embedder: letter counts."""
+    return [[float(t.count(c)) for c in "aeiou"] for t in texts]
+
+
+@query(f"{_WINDOWS} SELECT bookmark_id, chunk_index, CAST(length(chunk_text) - length(replace(chunk_text, 'e', '')) AS DOUBLE) AS e FROM c WHERE chunk_index < 2")
+def chunk_embeddings(spark, d):
+    chunks = chunking.windows(adapt.bookmarks(spark, d).select("user_id", "bookmark_id", "text_content"), _CONFIG).where("chunk_index < 2")
+    return enrich.embedded(chunks, _embed).select("bookmark_id", "chunk_index", F.element_at("embedding", 2).cast("double").alias("e"))
+
+
+@query(f"""{_WINDOWS}, a AS (SELECT user_id, bookmark_id, chunk_index, CASE WHEN CAST(bookmark_id AS BIGINT) % 2 = 0 THEN 'stored' ELSE string_split(chunk_text, ' ')[1] END AS summary, string_split(chunk_text, ' ')[1] AS tag FROM c WHERE chunk_index < 3)
+SELECT bookmark_id, string_agg(summary, chr(10) ORDER BY chunk_index) AS summaries FROM a GROUP BY bookmark_id""")
+def chunk_analysis_with_memo(spark, d):
+    fresh = enrich.chunk_rows(adapt.bookmarks(spark, d), _CONFIG).where("chunk_index < 3")
+    even = F.col("bookmark_id").cast("long") % 2 == 0
+    stored = fresh.select("user_id", "bookmark_id", "chunk_index", "chunk_hash", F.when(even, 1).otherwise(0).alias("pipeline_version"), F.lit("stored").alias("summary"), F.array(F.lit("s")).alias("tags"))
+    done = enrich.analyzed(fresh, stored, lambda text: (text.split(" ")[0], [text[:1]]), 1)
+    return enrich.consolidated(done).select("bookmark_id", "summaries")
+
+
+@query(f"{with_views('bookmarks')} SELECT bookmark_id, array_to_string(list_sort(list_distinct(list_transform(tags, lambda t: lower(t)))), '|') AS tags FROM bookmarks WHERE len(tags) > 0")
+def migrated_tags(spark, d):
+    b = adapt.bookmarks(spark, d).withColumn("tags", F.transform("tags", lambda t: F.concat(F.lit(" "), F.upper(t))))
+    return versions.lower_case_tags(b).where("tags is not null").select("bookmark_id", _joined("tags").alias("tags"))
+
+
+@query(f"{with_views('bookmarks')} SELECT bookmark_id, CASE WHEN length(text_content) >= 200 THEN 'pending' ELSE 'done' END AS embedding_status, 'pending' AS text_ai_status, true AS cleared FROM bookmarks")
+def migration_reset(spark, d):
+    tables = versions.reset_derived({"bookmark": _with_state(spark, d), "bookmark_chunk": adapt.chunks(spark, d)}, NOW)
+    return tables["bookmark"].select("bookmark_id", "embedding_status", "text_ai_status", (F.col("tags").isNull() & F.col("summary").isNull()).alias("cleared"))
+
+
+@query("SELECT 9 AS version")
+def schema_version(spark, d):
+    found = spark.createDataFrame([(v,) for v in (1, 9, 3)], "version int")
+    return spark.range(1).select(F.lit(versions.current(found)).alias("version"))
+
+
+@query("SELECT c_custkey FROM customer WHERE lower(c_name) = (SELECT lower(min(c_name)) FROM customer)")
+def user_by_name(spark, d):
+    c = spark.read.parquet(f"{d}/customer.parquet")
+    name = c.agg(F.min("c_name")).first()[0]
+    return versions.user_named(c.withColumnRenamed("c_name", "username"), f"  {name.upper()} ").select("c_custkey")
+
+
+@query(f"{with_views('sessions')} SELECT session_id, question, answer FROM sessions WHERE user_id = '3' AND session_id = (SELECT min(session_id) FROM sessions WHERE user_id = '3')")
+def rag_session_by_id(spark, d):
+    s = adapt.sessions(spark, d).where("user_id = '3'")
+    first = s.agg(F.min("session_id")).first()[0]
+    return s.where(F.col("session_id") == first).select("session_id", "question", "answer")
+
+
+@query(f"{with_views('chunks')} SELECT bookmark_id, chunk_index, CASE WHEN vec_id % 2 = 0 THEN 'new' ELSE 'old' END AS summary FROM chunks")
+def upsert_ai_chunks(spark, d):
+    old = adapt.chunks(spark, d).select("user_id", "bookmark_id", "chunk_index", F.lit("old").alias("summary"), "vec_id")
+    new = old.where("vec_id % 2 = 0").withColumn("summary", F.lit("new"))
+    return mutations.upsert(old, new, ["user_id", "bookmark_id", "chunk_index"]).select("bookmark_id", "chunk_index", "summary")
+
+
+@query(f"{with_views('bookmarks')} SELECT bookmark_id, CASE WHEN doc_id % 2 = 0 THEN CASE WHEN doc_id % 4 = 0 THEN NULL ELSE 'made' END ELSE summary END AS summary, array_to_string(CASE WHEN doc_id % 5 = 0 THEN ['a'] ELSE tags END, '|') AS tags FROM bookmarks")
+def ai_output_merge(spark, d):
+    b = adapt.bookmarks(spark, d).withColumns({"new_summary": F.when(F.col("doc_id") % 4 == 0, F.lit(" ")).otherwise(F.lit("made")), "new_tags": F.array(F.lit(" A"), F.lit("a")), "needs_summary": F.col("doc_id") % 2 == 0, "needs_tags": F.col("doc_id") % 5 == 0, "has_chunks": F.lit(True)})
+    return mutations.ai_output(b).select("bookmark_id", "summary", _joined("tags").alias("tags"))
+
+
+@query(f"{with_views('bookmarks')} SELECT count(DISTINCT bookmark_id) AS n, 10 AS drawn FROM bookmarks WHERE length(text_content) >= 200")
+def random_bookmarks(spark, d):
+    long = adapt.bookmarks(spark, d).where(predicates.long_enough())
+    drawn = long.select("bookmark_id", F.rand(7).alias("r")).orderBy("r", "bookmark_id").limit(10)
+    return long.agg(F.count_distinct("bookmark_id").alias("n")).crossJoin(drawn.agg(F.count("*").cast("int").alias("drawn")))
+
+
+@query(f"{with_views('tasks')} SELECT {_AT.format("date_trunc('hour', created_at)")} AS start, status, count(*) AS n FROM tasks GROUP BY 1, 2")
+def task_facets_by_hour(spark, d):
+    return queue_stream.facets_by_time(adapt.tasks(spark, d)).select(_at("start").alias("start"), "status", "n")
