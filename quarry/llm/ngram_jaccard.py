@@ -322,3 +322,16 @@ def ngram_jaccard(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, c
     null = F.lit(None).cast("long")
     orphans = docs.where("doc_id is null").select(F.lit(0).cast("long").alias("doc_id"), "text").mapInArrow(lambda it: _profile(it, width, percent, None), _PROFILE)
     return linked.unionByName(orphans.select(null.alias("doc_id"), F.col("n").cast("long").alias("n_shingles"), null.alias("component_id"), F.lit(0).cast("long").alias("n_links")))
+
+
+ORACLE = r"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+sh AS (
+  SELECT DISTINCT doc_id, list_aggregate(ws[i : i + 4], 'string_agg', ' ') AS s FROM (SELECT doc_id, ws, unnest(generate_series(1, len(ws) - 4)) AS i FROM w WHERE len(ws) >= 5)
+  UNION ALL SELECT doc_id, list_aggregate(ws, 'string_agg', ' ') FROM w WHERE len(ws) BETWEEN 1 AND 4),
+n AS (SELECT doc_id, count(*) AS n FROM sh GROUP BY doc_id),
+common AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM sh a JOIN sh b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY ALL),
+link AS (SELECT x, y FROM common JOIN n a ON a.doc_id = x JOIN n b ON b.doc_id = y WHERE 100 * c >= 75 * (a.n + b.n - c)),
+reach(id, root) AS (SELECT doc_id, doc_id FROM documents UNION SELECT y, root FROM reach JOIN link ON x = id)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, (SELECT min(root) FROM reach WHERE id = d.doc_id) AS component_id FROM documents d LEFT JOIN n USING (doc_id)
+"""

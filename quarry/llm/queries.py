@@ -13,7 +13,7 @@ from .shared import table
 
 
 def op1_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ngram_jaccard.ngram_jaccard(table(spark, sf_dir, "documents"))
+    return ngram_jaccard.ngram_jaccard(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
 
 
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -67,4 +67,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_substring_dedup": substring_dedup.ORACLE, "op6_url_filters": url_filters.ORACLE, "op9_exact_topk": exact_topk.ORACLE}
+    return {"op1_ngram_jaccard": ngram_jaccard.ORACLE, "op3_source_mix": source_mix.ORACLE, "op4_substring_dedup": substring_dedup.ORACLE, "op6_url_filters": url_filters.ORACLE, "op9_exact_topk": exact_topk.ORACLE}

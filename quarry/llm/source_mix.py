@@ -80,12 +80,13 @@ def mix_sources(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, limit: int
     facts = per_source.agg(F.count("*").alias("sources"), F.max("total").alias("words")).first()
     n_sources, n_words, n_docs = facts["sources"], facts["words"] or 0, sized.count()
     block = max(1, min(block_words, n_words // (BLOCKS_PER_SOURCE * max(1, n_sources))))
-    ranges = 1 << max(0, (n_docs // RANGE_ROWS).bit_length())
+    bits = min(31, (n_docs // RANGE_ROWS).bit_length())  # of the number of ranges
 
     # Offset of each document in the shuffled stream of its source.
     rows = sized.join(per_source.select(F.col("source").alias("s"), "sid", "source_size", "target"), F.col("source").eqNullSafe(F.col("s")), "left").drop("s")
-    h = F.xxhash64("doc_id", "size", F.lit(11))
-    rows = rows.withColumn("h", h).withColumn("range", F.pmod(F.shiftrightunsigned("h", 20), F.lit(ranges)).cast("int"))
+    # The first hexadecimal digits of the shuffle key name its range, so ranges follow the order of the keys.
+    h = F.md5(F.concat_ws("|", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.col("size").cast("string")))
+    rows = rows.withColumn("h", h).withColumn("range", F.shiftright(F.conv(F.substring("h", 1, 8), 16, 10).cast("long"), 32 - bits).cast("int"))
     per_range = rows.groupBy("sid", "range").agg(F.sum("size").alias("w"))
     per_range = per_range.select("sid", "range", F.coalesce(F.sum("w").over(Window.partitionBy("sid").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("base"))
     rows = rows.withColumn("local", _running(rows, ["sid"], "range", "size", ["h", "doc_id"])).join(per_range, ["sid", "range"])
@@ -109,3 +110,24 @@ def mix_sources(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, limit: int
     out = out.withColumn("copies", F.when(F.col("size") > 0, 1).otherwise(F.col("pieces").cast("int")))
     out = out.withColumn("_", F.explode(F.sequence(F.lit(1), F.col("copies"))))
     return out.select("doc_id", "source", "size", "source_size", "target", "taken")
+
+
+ORACLE = r"""
+WITH sized AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size FROM documents),
+named AS (SELECT source, CAST(sum(size) AS BIGINT) AS ss, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS sid FROM sized GROUP BY source),
+caps AS (SELECT *, CAST(1 + sid % 3 AS DOUBLE) AS w, 3.0::DOUBLE * ss AS cap, CAST(sum(ss) OVER () AS BIGINT) AS total, count(*) OVER () AS m FROM named),
+filled AS (SELECT *, (total - coalesce(sum(cap) OVER (ORDER BY cap / w, sid ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) / sum(w) OVER (ORDER BY cap / w, sid ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM caps),
+targets AS (SELECT *, least(cap, w * coalesce((SELECT arg_min(level, cap / w) FROM filled WHERE level <= cap / w), 0)) AS target FROM filled),
+shares AS (SELECT *, sum(target) OVER (ORDER BY sid) / sum(target) OVER () AS high, greatest(1, least(64, total // (256 * m))) AS b, CAST(round(target) AS BIGINT) AS goal FROM targets),
+spans AS (SELECT *, coalesce(lag(high) OVER (ORDER BY sid), 0) AS low FROM shares),
+n AS (SELECT any_value(CASE WHEN total = 0 THEN 1 ELSE ((total + b - 1) // b) * 51 // 50 + 32 * m END) AS n FROM spans),
+slots AS (SELECT id, (id + 1) * 0.6180339887498949::DOUBLE - floor((id + 1) * 0.6180339887498949::DOUBLE) AS u FROM (SELECT unnest(generate_series(0, n - 1)) AS id FROM n)),
+ranked AS (SELECT s.sid, s.ss, s.b, s.goal, (s.ss + s.b - 1) // s.b AS nb, row_number() OVER (PARTITION BY s.sid ORDER BY id) - 1 AS r FROM slots JOIN spans s ON u >= s.low AND u < s.high AND s.ss > 0),
+takes AS (SELECT sid, r % nb AS block, least(b, ss - (r % nb) * b, goal - ((r // nb) * ss + (r % nb) * b)) AS words FROM ranked WHERE (r // nb) * ss + (r % nb) * b < goal),
+placed AS (SELECT d.doc_id, d.size, s.ss, s.sid, s.b, s.target, row_number() OVER () AS row,
+    coalesce(sum(size) OVER (PARTITION BY s.sid ORDER BY md5(concat_ws('|', coalesce(CAST(doc_id AS VARCHAR), ''), CAST(size AS VARCHAR))), doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS at0
+  FROM sized d JOIN spans s ON d.source IS NOT DISTINCT FROM s.source),
+got AS (SELECT p.row, sum(greatest(0, least(t.words, p.at0 + p.size - t.block * p.b) - greatest(0, p.at0 - t.block * p.b))) AS taken
+  FROM placed p JOIN takes t ON t.sid = p.sid AND t.block BETWEEN p.at0 // p.b AND (p.at0 + p.size - 1) // p.b WHERE p.size > 0 GROUP BY p.row)
+SELECT doc_id, size, ss AS source_size, target, CAST(coalesce(taken, 0) AS BIGINT) AS taken FROM placed LEFT JOIN got USING (row)
+"""
