@@ -23,6 +23,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from .shared import small_batches
+
 #: Distinct pre-tokens that a worker remembers; beyond it the memory starts anew.
 MEMO = 400_000
 
@@ -90,7 +92,7 @@ class Codec:
     def encode(self, text: str) -> list[int]:
         words = self.cut(text)
         if len(self.memo) > MEMO:
-            self.memo = dict(self.whole)
+            self.forget()
         memo = self.memo
         new = list(set(words).difference(memo))
         if new:
@@ -98,6 +100,9 @@ class Codec:
             memo.update(zip(new, self.model.encode(mapped, num_threads=1), strict=True))
         return list(chain.from_iterable(map(memo.__getitem__, words)))
 
+    def forget(self) -> None:
+        self.memo = dict(self.whole)
+
     def decode(self, ids: list[int]) -> bytes:
         return b"".join(map(self.tokens.__getitem__, ids))
 
@@ -128,5 +133,6 @@ def byte_bpe(docs: DataFrame, rank_file: str, pattern: str, with_ids: bool = Tru
                     text_hash.append(hashlib.sha256(codec.decode(ids)).hexdigest())
                     kept.append(np.array(ids, np.int32) if with_ids else None)
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n, pa.int64()), pa.array(kept, pa.list_(pa.int32())), pa.array(ids_hash), pa.array(text_hash)], names=["doc_id", "n_tokens", "ids", "ids_sha256", "decoded_sha256"])
+        codec.forget()  # the worker lives on
 
-    return docs.select(docs.doc_id.cast("long").alias("doc_id"), docs.text).mapInArrow(run, "doc_id long, n_tokens long, ids array<int>, ids_sha256 string, decoded_sha256 string")
+    return small_batches(docs).select(docs.doc_id.cast("long").alias("doc_id"), docs.text).mapInArrow(run, "doc_id long, n_tokens long, ids array<int>, ids_sha256 string, decoded_sha256 string")

@@ -40,7 +40,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import components
-from .shared import cut, possible
+from .shared import cut, possible, small_batches
 from .wordhash import Words, blocks, mix
 
 WIDTH, PERCENT = 5, 75
@@ -274,7 +274,7 @@ def ngram_jaccard(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, c
     n_links counts the links that were verified for the document's set; a
     component is settled without trying all its pairs.
     """
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null")
+    texts = small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null")
 
     # Shingles that crowd tiles: by what blocks count, then by the tiles themselves, until no uncrowded one is left.
     local = texts.mapInArrow(lambda it: _local_crowds(it, width), "token long, c long")
@@ -301,17 +301,21 @@ def ngram_jaccard(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, c
     tried = cut(pairs)
     links = cut(verified(tried, texts, width, percent))
     # Then what may still join two components: a forest first, then all that is left.
+    roots = components(links)
     for forest in (True, False):
-        roots = components(links)
         labelled = members.select("token", "doc_id").join(roots.withColumnRenamed("id", "doc_id"), "doc_id", "left").withColumn("label", F.coalesce("component", "doc_id"))
         split = labelled.select("token", "doc_id", "label", F.min("label").over(tile).alias("lo"), F.max("label").over(tile).alias("hi")).where("lo != hi")
         split = split.select("token", "doc_id", "label").join(nodes.select("doc_id", "n", "bits"), "doc_id").select("token", "doc_id", "n", "label", "bits")
         split = split.repartition("token").sortWithinPartitions("token")
-        found = split.mapInArrow(lambda it, forest=forest: _tiles(it, percent, forest), "a long, b long").distinct()
-        found = cut(found.join(tried, ["a", "b"], "left_anti"))
-        links = cut(links.unionByName(verified(found, texts, width, percent)))
+        found = cut(split.mapInArrow(lambda it, forest=forest: _tiles(it, percent, forest), "a long, b long").distinct())
+        if found.isEmpty():
+            break
+        found = found.join(tried, ["a", "b"], "left_anti")
+        new = cut(verified(found, texts, width, percent))
         tried = tried.unionByName(found)
-    roots = components(links)
+        if not new.isEmpty():
+            links = links.unionByName(new)
+            roots = components(links)
     degree = links.select(F.explode(F.array("a", "b")).alias("rep")).groupBy("rep").agg(F.count("*").alias("n_links"))
     named = sets.join(roots.withColumnRenamed("id", "rep"), "rep", "left").join(degree, "rep", "left").select("s1", "s2", F.coalesce("component", "rep").alias("component_id"), "n_links")
     rows = base.select("doc_id", "n", "s1", "s2").join(named, ["s1", "s2"], "left")

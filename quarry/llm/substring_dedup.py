@@ -33,6 +33,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .shared import small_batches
 from .wordhash import Words, blocks
 
 WIDTH = 13
@@ -197,7 +198,7 @@ def substring_dedup(docs: DataFrame, width: int = WIDTH, buckets: int | None = N
     """
     spark = docs.sparkSession
     n = buckets or 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("text_key", F.xxhash64("text"))
+    docs = small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("text_key", F.xxhash64("text"))
     packed = docs.where("doc_id is not null").mapInArrow(lambda it: _scan(it, width, n), _COLUMNS)
     answers = packed.groupBy("bucket").applyInArrow(_judge, "block long, kind int, ids binary, sizes binary, places binary")
     spans = answers.groupBy("block").applyInArrow(lambda t: _merge(t, width), "doc_id long, text_key long, removed_from array<int>, removed_to array<int>")

@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .shared import small_batches
 from .wordhash import Words, _rolled, _byte_values, blocks, mix, split_classes
 
 #: Labelled rows that the machine is fitted on at most, taken in the order of a hash of their ids.
@@ -151,7 +152,7 @@ def train(docs: DataFrame, labels: DataFrame, folds: int = 4, held_out: int = 2,
 
     # `rows` ids at most, so small enough to send to every task.
     sample = F.broadcast(labelled_sample(labels, "toxic", folds, held_out, rows))
-    found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(sample, "doc_id").mapInArrow(run, "doc_id long, terms array<long>, label double").toArrow().sort_by("doc_id")
+    found = small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(sample, "doc_id").mapInArrow(run, "doc_id long, terms array<long>, label double").toArrow().sort_by("doc_id")
     terms = found.column("terms").combine_chunks()
     terms = terms if isinstance(terms, pa.ListArray) else pa.concat_arrays(terms.chunks) if terms.num_chunks else pa.array([], pa.list_(pa.int64()))
     at = terms.offsets.to_numpy().astype(np.int64)
@@ -170,6 +171,6 @@ def toxicity_scores(docs: DataFrame, machine: FactorizationMachine, folds: int =
             scores = np.concatenate(scores) if scores else np.zeros(0)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores)], names=[*batch.schema.names, "score"])
 
-    docs = docs.select(*columns)
+    docs = small_batches(docs).select(*columns)
     scored = docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("score", T.DoubleType())]))
     return scored.withColumns({"held_out": F.coalesce(fold(folds) == held_out, F.lit(False)), "predicted": (F.col("score") >= threshold).cast("int")})
