@@ -39,8 +39,8 @@ class Clause:
     phrase: tuple[str, ...]
     negated: bool = False
 
-    def column(self, language: str) -> Column:
-        found = F.col("search_text").contains(self._lexemes(language))
+    def column(self, text: Column, language: str) -> Column:
+        found = text.contains(self._lexemes(language))
         return ~found if self.negated else found
 
     def _lexemes(self, language: str) -> Column:
@@ -61,7 +61,12 @@ class WebQuery:
         """Nothing left to look for matches nothing."""
         if not self.groups:
             return F.lit(False)
-        return reduce(or_, [reduce(and_, [c.column(self.language) for c in g]) for g in self.groups])
+
+        def any_group(text: Column) -> Column:
+            return reduce(or_, [reduce(and_, [c.column(text, self.language) for c in g]) for g in self.groups])
+
+        # Bound as a variable, the text is made once per row, not once per clause.
+        return F.exists(F.array("search_text"), any_group)
 
     def terms(self) -> list[str]:
         """Different wanted words, stop words left out."""
