@@ -17,12 +17,16 @@ def ranked(df: DataFrame, name: str, *order: Column | str, keys: tuple[str, ...]
 def hybrid(vector_matches: DataFrame, text_hits: DataFrame, limit: int) -> DataFrame:
     """vector_matches: bookmark_id, chunk_id, similarity, at most `limit`; text_hits: bookmark_id, rank of a full-text search.
 
-    Adds vector_rank, fts_score and fts_rank.  A chunk without a hit gets score
+    text_hits holds a bookmark once.  Adds vector_rank, fts_score and fts_rank.  A chunk without a hit gets score
     0 and rank limit + 1, which is better than the rank of a late hit.
     """
-    best = ranked(vector_matches, "vector_rank", F.desc("similarity"), "chunk_id")  # `limit` rows
-    # Only hits of matched bookmarks are wanted, but their ranks count all hits.
-    order = ranked(text_hits.select("bookmark_id", F.col("rank").alias("fts_score")), "fts_rank", F.desc("fts_score"), "bookmark_id")
+    best = ranked(vector_matches.orderBy(F.desc("similarity"), "chunk_id").limit(limit), "vector_rank", F.desc("similarity"), "chunk_id")
+    hits = text_hits.select("bookmark_id", F.col("rank").alias("fts_score"))
+    # The rank of a hit counts all hits before it, so all are read once, but only the matched ones are ranked.
+    matched = hits.join(F.broadcast(best.select("bookmark_id").distinct()), "bookmark_id", "left_semi")  # `limit` rows at most
+    probe = F.broadcast(matched.select(F.col("bookmark_id").alias("b"), F.col("fts_score").alias("s")))  # likewise
+    before = (F.col("fts_score") > F.col("s")) | ((F.col("fts_score") == F.col("s")) & (F.col("bookmark_id") < F.col("b")))
+    order = hits.crossJoin(probe).groupBy(F.col("b").alias("bookmark_id"), F.col("s").alias("fts_score")).agg((F.count_if(before) + 1).cast("int").alias("fts_rank"))
     joined = best.join(order, "bookmark_id", "left")
     return joined.withColumns({"fts_score": F.coalesce("fts_score", F.lit(0.0)), "fts_rank": F.coalesce("fts_rank", F.lit(limit + 1))})
 
