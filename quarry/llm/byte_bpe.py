@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from .shared import small_batches
 
 #: Distinct pre-tokens that a worker remembers; beyond it the memory starts anew.
-MEMO = 400_000
+MEMO = 250_000
 
 
 def byte_alphabet() -> list[str]:
@@ -86,7 +86,8 @@ class Codec:
         self.model = sentencepiece.SentencePieceProcessor(model_proto=sentencepiece_model(ranks))
         self.cut = regex.compile(pattern).findall
         # A pre-token that is itself in the vocabulary is one token, whether or not merges lead to it.
-        self.whole = {text: [rank] for token, rank in ranks.items() if (text := token.decode(errors="replace")).encode() == token}
+        self.ids = list(range(len(ranks) + 1))  # one object per id, which all remembered pre-tokens share
+        self.whole = {text: (self.ids[rank],) for token, rank in ranks.items() if (text := token.decode(errors="replace")).encode() == token}
         self.memo = dict(self.whole)
 
     def encode(self, text: str) -> list[int]:
@@ -97,7 +98,8 @@ class Codec:
         new = list(set(words).difference(memo))
         if new:
             mapped = [w.encode().decode("latin-1").translate(self.translate) for w in new]
-            memo.update(zip(new, self.model.encode(mapped, num_threads=1), strict=True))
+            found = self.model.encode(mapped, num_threads=1)
+            memo.update((w, tuple(map(self.ids.__getitem__, ids))) for w, ids in zip(new, found, strict=True))
         return list(chain.from_iterable(map(memo.__getitem__, words)))
 
     def forget(self) -> None:
@@ -133,6 +135,5 @@ def byte_bpe(docs: DataFrame, rank_file: str, pattern: str, with_ids: bool = Tru
                     text_hash.append(hashlib.sha256(codec.decode(ids)).hexdigest())
                     kept.append(np.array(ids, np.int32) if with_ids else None)
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n, pa.int64()), pa.array(kept, pa.list_(pa.int32())), pa.array(ids_hash), pa.array(text_hash)], names=["doc_id", "n_tokens", "ids", "ids_sha256", "decoded_sha256"])
-        codec.forget()  # the worker lives on
 
     return small_batches(docs).select(docs.doc_id.cast("long").alias("doc_id"), docs.text).mapInArrow(run, "doc_id long, n_tokens long, ids array<int>, ids_sha256 string, decoded_sha256 string")
