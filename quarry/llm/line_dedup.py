@@ -5,13 +5,16 @@
    lines.  The shingles of a line come from its UTF-16 bytes at fixed offsets.
    The order of a signature puts a fixed quarter of all shingles first, so
    long lines need only that quarter.
-2. Bands of the signature find candidates.  A bucket pairs each line with its
-   first line or, where a sketch of two bits per MinHash rules that out, with
-   the one before it; so pairs grow with the lines, not with the square of a
-   bucket.
-3. Candidates are verified by the exact Jaccard similarity of their shingles,
-   and components of similar lines keep one line, the first by (doc_id,
-   position); all other occurrences go.
+2. Bands of the signature find candidates.  First a bucket pairs each line with
+   its first line or, where a sketch of two bits per MinHash rules that out, with
+   the one before it.
+3. Candidates are verified by the exact Jaccard similarity of their shingles.
+   Buckets that then hold lines of several components go on: neighbours in the
+   order of the further bands are tried, and last all pairs of different
+   components that the sketch and a parity bitmap allow, so a line meets every
+   bucket mate it may resemble.
+4. Components of similar lines keep one line, the first by (doc_id, position);
+   all other occurrences go.
 
 With 7 bands of 4 rows a pair of similarity 0.8 / 0.85 / 0.9 meets in some
 band with a chance of 0.975 / 0.994 / 0.999.
@@ -42,6 +45,8 @@ BANDS, ROWS = 7, 4
 LONG_LINE = 64
 #: Two-bit fields of the sketches of a pair that may differ; similar lines differ in more with a chance below 0.001.
 SKETCH_MISSES = 11
+#: Words of 64 bits of a line's parity bitmap; lines of a bucket in one block, whose pairs with another block one task compares.
+PARITY_WORDS, BLOCK = 8, 2048
 
 LAST = 2**63 - 1
 
@@ -86,20 +91,71 @@ def signatures(lines: DataFrame, shingle: int = SHINGLE, bands: int = BANDS, row
     return signed.select("k", "first_doc", "n_lines", hashes.alias("bands"), sketch.alias("sketch"))
 
 
+def _close(one: str, other: str) -> Column:
+    """Whether two sketches differ in few fields."""
+    apart = F.col(one).bitwiseXOR(F.col(other))
+    fields = apart.bitwiseOR(F.shiftrightunsigned(apart, 1)).bitwiseAND(F.lit(0x5555555555555555))
+    return F.bit_count(fields) <= SKETCH_MISSES
+
+
 def candidates(signed: DataFrame) -> DataFrame:
-    """Pairs a, b of line keys that share a band."""
+    """band, k, n (lines of the bucket), other (a line to be tried, or null) of the lines that share a band."""
     banded = signed.select("k", "sketch", F.explode("bands").alias("band"))
     bucket = Window.partitionBy("band").orderBy("k")
-    columns = {"first": F.first("k").over(bucket), "first_sketch": F.first("sketch").over(bucket), "before": F.lag("k").over(bucket), "before_sketch": F.lag("sketch").over(bucket)}
-    near = banded.withColumns(columns).where("before is not null")
+    columns = {"first": F.first("k").over(bucket), "first_sketch": F.first("sketch").over(bucket), "before": F.lag("k").over(bucket), "before_sketch": F.lag("sketch").over(bucket), "n": F.count("*").over(Window.partitionBy("band"))}
+    near = banded.withColumns(columns).where("n > 1")
+    other = F.when(_close("sketch", "first_sketch"), F.col("first")).when(_close("sketch", "before_sketch"), F.col("before"))
+    return near.select("band", "k", "n", F.when(F.col("before").isNotNull(), other).alias("other")).where("n > 2 or other is not null")
+
+
+def _pairs(rows: DataFrame, a: str, b: str) -> DataFrame:
+    return rows.select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).distinct()
+
+
+def _still_split(crowds: DataFrame, roots: DataFrame) -> DataFrame:
+    """band, k, label of the buckets that hold several components."""
+    bucket = Window.partitionBy("band")
+    labelled = crowds.join(roots.withColumnRenamed("id", "k"), "k", "left").select("band", "k", F.coalesce("component", "k").alias("label"))
+    return labelled.withColumns({"lo": F.min("label").over(bucket), "hi": F.max("label").over(bucket)}).where("lo != hi").select("band", "k", "label")
+
 
-    def close(other: str) -> Column:
-        apart = F.col("sketch").bitwiseXOR(F.col(other))
-        fields = apart.bitwiseOR(F.shiftrightunsigned(apart, 1)).bitwiseAND(F.lit(0x5555555555555555))
-        return F.bit_count(fields) <= SKETCH_MISSES
+def neighbours(split: DataFrame, signed: DataFrame, bands: int = BANDS) -> DataFrame:
+    """Pairs a, b: lines of a bucket with the one before them in the order of each further band."""
+    rows = split.join(signed.select("k", "bands", "sketch"), "k").withColumn("turn", F.explode(F.array(*[F.lit(i) for i in range(bands)])))
+    # Copies share most bands, so from whichever band on, they lie side by side.
+    order = F.concat(F.slice("bands", F.col("turn") + 1, F.lit(bands)), F.slice("bands", F.lit(1), F.col("turn")))
+    line = Window.partitionBy("band", "turn").orderBy("order", "k")
+    before = {f"{c}_before": F.lag(c).over(line) for c in ("k", "label", "sketch")}
+    rows = rows.select("band", "turn", "k", "label", "sketch", order.alias("order")).withColumns(before)
+    return _pairs(rows.where((F.col("label") != F.col("label_before")) & _close("sketch", "sketch_before")), "k", "k_before")
 
-    pairs = near.select("k", F.when(close("first_sketch"), F.col("first")).when(close("before_sketch"), F.col("before")).alias("other")).where("other is not null")
-    return pairs.select(F.least("k", "other").alias("a"), F.greatest("k", "other").alias("b")).distinct()
+
+def parities(lines: DataFrame, keys: DataFrame, shingle: int = SHINGLE) -> DataFrame:
+    """k, size (different shingles), p0, p1, ...: bits that say whether the number of shingles that fall on them is odd."""
+    keys = keys.select("k").distinct()
+    texts = possible(lines.select("k", "line"), keys, "k").groupBy("k").agg(F.any_value("line").alias("line")).join(keys, "k", "left_semi")
+    each = texts.select("k", F.inline(F.array(F.struct(F.encode("line", "UTF-16BE").alias("w"))))).select("k", F.explode(_shingles("w", shingle)).alias("h"))
+    bit, word = F.expr("shiftleft(1L, cast(h & 63 as int))"), F.pmod(F.shiftrightunsigned("h", 6), F.lit(PARITY_WORDS))
+    words = [F.bit_xor(F.when(word == i, bit).otherwise(F.lit(0).cast("long"))).alias(f"p{i}") for i in range(PARITY_WORDS)]
+    return each.groupBy("k").agg(F.count("*").alias("size"), *words)
+
+
+def all_allowed(split: DataFrame, signed: DataFrame, parity: DataFrame, threshold: float = THRESHOLD, block: int = BLOCK) -> DataFrame:
+    """Pairs a, b of a bucket's lines that differ in their component and that neither sketch nor parity rules out.
+
+    A bucket is dealt out in pairs of blocks, so a large one is spread over tasks.
+    """
+    words = [f"p{i}" for i in range(PARITY_WORDS)]
+    rows = split.withColumn("blocks", F.ceil(F.count("*").over(Window.partitionBy("band")) / block).cast("int"))
+    rows = rows.join(signed.select("k", "sketch"), "k").join(parity, "k")
+    rows = rows.withColumn("own", F.pmod(F.xxhash64("k", F.lit(5)), "blocks").cast("int"))
+    one = rows.select("band", F.col("own").alias("x"), F.explode(F.sequence("own", F.col("blocks") - 1)).alias("y"), *[F.col(c).alias(f"{c}_a") for c in ("k", "label", "sketch", "size", *words)])
+    two = rows.select("band", F.explode(F.sequence(F.lit(0), "own")).alias("x"), F.col("own").alias("y"), *[F.col(c).alias(f"{c}_b") for c in ("k", "label", "sketch", "size", *words)])
+    # Every bit that differs is a shingle that one of them lacks; alike lines lack (1 - t) / (1 + t) of both sizes at most.
+    apart = sum((F.bit_count(F.col(f"{w}_a").bitwiseXOR(F.col(f"{w}_b"))) for w in words), F.lit(0))
+    allowed = (F.lit(1 + threshold) * apart <= F.lit(1 - threshold) * (F.col("size_a") + F.col("size_b")) + 1e-6) & _close("sketch_a", "sketch_b")
+    met = one.join(two, (one["band"] == two["band"]) & (one["x"] == two["x"]) & (one["y"] == two["y"]) & (F.col("label_a") != F.col("label_b")) & ((one["x"] != two["y"]) | (F.col("k_a") < F.col("k_b"))) & allowed)
+    return _pairs(met, "k_a", "k_b")
 
 
 def _shingles(utf16: str, shingle: int) -> Column:
@@ -124,12 +180,30 @@ def similar_lines(lines: DataFrame, pairs: DataFrame, shingle: int = SHINGLE, th
     return scored.where(F.col("common") >= F.lit(threshold) * (F.col("total") - F.col("common"))).select("a", "b")
 
 
+def similar_components(lines: DataFrame, signed: DataFrame, shingle: int = SHINGLE, threshold: float = THRESHOLD) -> DataFrame:
+    """id, component of the lines that resemble another."""
+    met = cut(candidates(signed))
+    tried = cut(_pairs(met.where("other is not null"), "k", "other"))
+    roots = components(similar_lines(lines, tried, shingle, threshold))
+    crowds = met.where("n > 2").select("band", "k")
+    for last in (False, True):
+        split = cut(_still_split(crowds, roots))
+        if split.isEmpty():
+            break
+        found = all_allowed(split, signed, cut(parities(lines, split, shingle)), threshold) if last else neighbours(split, signed)
+        found = cut(found.join(tried, ["a", "b"], "left_anti"))
+        links = cut(similar_lines(lines, found, shingle, threshold))
+        tried = tried.unionByName(found)
+        if not links.isEmpty():
+            roots = components(roots.select(F.col("id").alias("a"), F.col("component").alias("b")).unionByName(links))
+    return roots
+
+
 def line_dedup(docs: DataFrame, shingle: int = SHINGLE, threshold: float = THRESHOLD) -> DataFrame:
     """The documents with their columns, text without the lines that go, and n_lines, n_removed."""
     lines = _lines(docs)
     signed = cut(signatures(lines, shingle))
-    pairs = cut(candidates(signed))
-    roots = components(similar_lines(lines, pairs, shingle, threshold))
+    roots = similar_components(lines, signed, shingle, threshold)
     known = signed.select("k", "first_doc", "n_lines").join(roots.withColumnRenamed("id", "k"), "k", "left").select("k", "first_doc", "n_lines", "component")
     # Lines that occur once and resemble no other need no further look.
     shared = known.where("component is not null or n_lines > 1").withColumn("component", F.coalesce("component", "k"))

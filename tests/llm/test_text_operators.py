@@ -152,6 +152,40 @@ def test_lines(docs):
     assert {r.doc_id: r.text for r in found} == want
 
 
+def templated(rng, groups=150):
+    """Groups of two lines that closely resemble each other, all groups sharing a template of three quarters of their text."""
+    word = lambda n: "".join(rng.choice("abcdefghijklmnop") for _ in range(n))
+    template, out = word(90), []
+    for _ in range(groups):
+        own = word(30)
+        out += [template + own, template + own[:-2] + word(2)]
+    return out
+
+
+def test_templated_lines_meet_all_their_mates(docs):
+    lines = templated(random.Random(11))
+    root = roots_of([(a, b) for a in range(len(lines)) for b in range(a + 1, len(lines)) if similar(lines[a], lines[b])], range(len(lines)))
+    assert len(set(root.values())) == len(lines) // 2
+    found = {r.doc_id: r.n_removed for r in line_dedup.line_dedup(docs(list(enumerate(lines)))).collect()}
+    # A pair may miss each other in all bands, but hardly any does.
+    assert all(found[i] == 0 for i in root.values())
+    assert sum(found.values()) >= 0.98 * (len(lines) // 2)
+
+
+def test_last_round_tries_all_mates(spark, docs):
+    """With one bucket for all lines, what is found is what brute force finds, also in blocks of a few lines."""
+    from pyspark.sql import functions as F
+
+    lines = templated(random.Random(12), 40)
+    frame = line_dedup._lines(docs(list(enumerate(lines))))
+    key = {r.line: r.k for r in frame.collect()}
+    signed = line_dedup.signatures(frame).withColumn("sketch", F.lit(0).cast("long"))
+    split = signed.select(F.lit(1).alias("band"), "k", F.col("k").alias("label"))
+    pairs = {(r.a, r.b) for r in line_dedup.all_allowed(split, signed, line_dedup.parities(frame, split), block=7).collect()}
+    want = {tuple(sorted((key[x], key[y]))) for x in lines for y in lines if x < y and similar(x, y)}
+    assert want and want <= pairs
+
+
 def test_lines_odd_rows(docs):
     rows = [(3, "a line\n\n a line \nother"), (1, "a line"), (1, "a line"), (2, None), (4, ""), (None, "a line"), (5, "é" * 400 + "\nx"), (6, "😀" * 300 + "\nx")]
     found = [(r.doc_id, r.text, r.n_removed) for r in line_dedup.line_dedup(docs(rows)).collect()]
