@@ -8,9 +8,10 @@
    is cut into blocks of equal length.  Offsets come from sums per hash range
    and running sums inside a range, so no source is sorted in one task.
 3. Slot i of the schedule is the point frac(i * golden ratio); the cumulative
-   targets map it to a source.  Slots are ranked within their source, again by
-   sums per chunk and ranks inside a chunk, and rank r takes block r modulo
-   the number of blocks.  The slot that reaches the target is cut there.
+   numbers of slots that the sources need, and some more for each, map it to a
+   source.  Slots are ranked within their source, again by sums per chunk and
+   ranks inside a chunk, and rank r takes block r modulo the number of blocks.
+   The slot that reaches the target is cut there.
 
 Defined results: a null or empty text has size 0 and takes nothing; null is a
 source of its own, the last one; rows that repeat a doc_id are mixed each for
@@ -30,11 +31,14 @@ WEIGHTS, LIMIT = (1, 2, 3), 3
 BLOCK_WORDS, BLOCKS_PER_SOURCE = 64, 256
 #: Rows of one running window: documents of a hash range, slots of a chunk.
 RANGE_ROWS, CHUNK = 20_000, 1 << 16
-GOLDEN = 0.6180339887498949
+#: The golden ratio, and the fraction of CHUNK times it.
+GOLDEN, CHUNK_STEP = 0.6180339887498949, 0.4754867131087195
+#: Slots of a source beyond those it needs: more than the golden-ratio points of an interval ever fall short of its share.
+SPARE = 32
 
 
 def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, limit: int = LIMIT) -> DataFrame:
-    """sizes: source, source_size.  Adds sid (from 0), target and the interval [low, high) of the schedule; all small, a row per source."""
+    """sizes: source, source_size.  Adds sid (from 0), target and total; all small, a row per source."""
     everything = Window.partitionBy()
     by_name = Window.orderBy(F.asc_nulls_last("source"))
     s = sizes.withColumn("sid", (F.row_number().over(by_name) - 1).cast("int"))
@@ -46,10 +50,19 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, limit:
     # The level is that of the first source, in this order, which it does not overfill.
     level = F.min_by(F.when(F.col("level") <= F.col("cap") / F.col("weight"), F.col("level")), F.when(F.col("level") <= F.col("cap") / F.col("weight"), F.col("cap") / F.col("weight"))).over(everything)
     s = s.withColumn("target", F.least("cap", F.col("weight") * F.coalesce(level, F.lit(0.0))))
+    return s.select("source", "sid", "source_size", "target", "total")
+
+
+def slots_needed(targets: DataFrame, block: int) -> DataFrame:
+    """Adds goal (words), n_blocks, slots and the interval [low, high) of the schedule, wide enough for all slots of the source."""
+    s = targets.withColumns({"goal": F.round("target").cast("long"), "n_blocks": F.expr(f"(source_size + {block - 1}) div {block}")})
+    # Whole passes over the blocks, the last of which may be short, and the blocks that the rest begins.
+    passes = F.expr(f"(goal div source_size) * n_blocks + (goal % source_size + {block - 1}) div {block}")
+    s = s.withColumn("slots", F.when((F.col("source_size") > 0) & (F.col("goal") > 0), passes + SPARE).otherwise(F.lit(0).cast("long")))
     up_to = Window.orderBy("sid").rowsBetween(Window.unboundedPreceding, 0)
-    share = F.when(F.sum("target").over(everything) > 0, F.sum("target").over(up_to) / F.sum("target").over(everything)).otherwise(F.lit(0.0))
-    s = s.withColumn("high", share)
-    return s.withColumn("low", F.coalesce(F.lag("high").over(Window.orderBy("sid")), F.lit(0.0))).select("source", "sid", "source_size", "target", "low", "high", "total")
+    all_slots = F.sum("slots").over(Window.partitionBy())
+    s = s.withColumn("high", F.when(all_slots > 0, F.sum("slots").over(up_to) / all_slots).otherwise(F.lit(0.0)))
+    return s.withColumn("low", F.coalesce(F.lag("high").over(Window.orderBy("sid")), F.lit(0.0)))
 
 
 def _running(df: DataFrame, keys: list[str], within: str, value: Column | str, order: list[Column | str]) -> Column:
@@ -62,7 +75,8 @@ def schedule(targets: DataFrame, n_slots: int, n_sources: int) -> DataFrame:
     """sid and rank of each slot within its source."""
     spark = targets.sparkSession
     cells = max(1024, n_sources)
-    point = F.expr(f"(id + 1) * {GOLDEN}D")
+    # A chunk's first point is made apart, so that points stay exact enough for narrow intervals however many slots there are.
+    point = F.expr(f"(id div {CHUNK}) * {CHUNK_STEP}D + (id % {CHUNK} + 1) * {GOLDEN}D")
     slots = spark.range(0, n_slots, 1, max(1, min(10_000, n_slots // (1 << 20)))).withColumn("u", point - F.floor(point))
     slots = slots.withColumn("cell", F.floor(F.col("u") * cells))
     spans = targets.where("high > low").select("sid", "low", "high", F.explode(F.sequence(F.floor(F.col("low") * cells), F.floor(F.col("high") * cells))).alias("cell"))
@@ -93,10 +107,10 @@ def mix_sources(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, limit: int
     rows = rows.withColumn("at", F.col("base") + F.col("local"))
 
     # Slots: what each takes of its block, until the target is reached.
-    slots = schedule(per_source, 1 if n_words == 0 else -(-n_words // block) * 51 // 50 + 32 * n_sources, n_sources)
-    slots = slots.join(per_source.where("source_size > 0").select("sid", "source_size", F.round("target").cast("long").alias("goal")), "sid")
-    n_blocks = F.expr(f"(source_size + {block - 1}) div {block}")
-    slots = slots.withColumns({"block": F.col("rank") % n_blocks, "start": F.expr(f"(rank div ((source_size + {block - 1}) div {block})) * source_size") + (F.col("rank") % n_blocks) * block})
+    needs = cut(slots_needed(per_source, block))
+    slots = schedule(needs, max(1, needs.agg(F.sum("slots")).first()[0] or 0), n_sources)
+    slots = slots.join(needs.where("source_size > 0").select("sid", "source_size", "n_blocks", "goal"), "sid")
+    slots = slots.withColumns({"block": F.col("rank") % F.col("n_blocks"), "start": F.expr(f"(rank div n_blocks) * source_size + (rank % n_blocks) * {block}")})
     slots = slots.where("start < goal").select("sid", "block", F.least(F.lit(block), F.col("source_size") - F.col("block") * block, F.col("goal") - F.col("start")).alias("words"))
     takes = slots.groupBy("sid", "block").agg(F.collect_list("words").alias("takes"))  # at most `limit` of them
 

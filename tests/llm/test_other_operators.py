@@ -141,6 +141,18 @@ def test_mix(docs, seed):
     assert sorted(map(repr, found)) == sorted(map(repr, again))
 
 
+def test_mix_of_small_sources_in_a_large_table(docs):
+    """Blocks are of full length here, and the last one of a source is partial."""
+    few = {"a5": 5, "b20": 20, "k65": 65, "m100": 100, None: 5, "z300": 300}
+    rows = [(i, "w " * 2000, f"h{i % 3}") for i in range(300)] + [(1000 + i, "w " * n, s) for i, (s, n) in enumerate(few.items())]
+    taken = Counter()
+    for r in source_mix.mix_sources(docs(rows)).collect():
+        taken[r.source] += r.taken
+    want = targets(Counter(few) + Counter({f"h{i}": 200_000 for i in range(3)}))
+    assert all(want[s] == 3 * n for s, n in few.items())
+    assert {s: round(t) for s, t in want.items()} == dict(taken)
+
+
 def test_mix_of_nothing(docs):
     assert source_mix.mix_sources(docs([])).count() == 0
     assert [(r["size"], r.taken, r.target) for r in source_mix.mix_sources(docs([(1, ""), (1, "")])).collect()] == [(0, 0, 0.0)] * 2
