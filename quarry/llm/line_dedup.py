@@ -3,8 +3,7 @@
 1. Every line becomes its character shingles, and its MinHash signature is an
    aggregation over them with map-side combine, which also collapses equal
    lines.  The shingles of a line come from its UTF-16 bytes at fixed offsets.
-   The order of a signature puts a fixed quarter of all shingles first, so
-   long lines need only that quarter.
+   Every line is signed by all its shingles.
 2. Bands of the signature find candidates.  First a bucket pairs each line with
    its first line or, where a sketch of two bits per MinHash rules that out, with
    the one before it.
@@ -40,9 +39,6 @@ from .shared import cut, possible
 
 SHINGLE, THRESHOLD = 6, 0.8
 BANDS, ROWS = 7, 4
-#: Lines with about this many shingles or more are signed by the sampled quarter of their shingles, which comes first in
-#: the order anyway: they hold none of it with a chance of 0.75**64.
-LONG_LINE = 64
 #: Two-bit fields of the sketches of a pair that may differ; similar lines differ in more with a chance below 0.001.
 SKETCH_MISSES = 11
 #: Words of 64 bits of a line's parity bitmap; lines of a bucket in one block, whose pairs with another block one task compares.
@@ -73,16 +69,13 @@ def _shingle(utf16: Column, place: Column, shingle: int) -> Column:
 def signatures(lines: DataFrame, shingle: int = SHINGLE, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """k, first_doc, n_lines, bands (hashes), sketch: one row per different line."""
     chars = lines.select("k", "doc", "pos", F.encode("line", "UTF-16BE").alias("utf16"))
-    each = chars.select("k", "doc", (F.octet_length("utf16") < 2 * (LONG_LINE + shingle)).alias("short"), "utf16", F.explode(_places(F.col("utf16"), shingle)).alias("i"))
-    each = each.select("k", "doc", "short", "i", _shingle(F.col("utf16"), F.col("i"), shingle).alias("h"))
-    # A line is counted at its first shingle, which therefore always stays.
-    sampled = F.col("h").bitwiseAND(3) == 0
-    each = each.where(F.col("short") | sampled | (F.col("i") == 1))
-    # 31 bits decide, below a sign that puts the sampled quarter first; xor with a constant permutes them.
-    bits = F.shiftrightunsigned("h", 33).cast("int")
-    each = each.select("k", "doc", F.when(F.col("i") == 1, 1).otherwise(0).alias("one"), F.when(sampled, bits.bitwiseOR(F.lit(-(2**31)))).otherwise(bits).alias("y"))
+    each = chars.select("k", "doc", "utf16", F.explode(_places(F.col("utf16"), shingle)).alias("i"))
+    # A line is counted at its first shingle.  31 bits decide; an odd factor and a summand permute 32 bits, below the range of a long.
+    bits = F.shiftrightunsigned(_shingle(F.col("utf16"), F.col("i"), shingle), 33)
+    each = each.select("k", "doc", F.when(F.col("i") == 1, 1).otherwise(0).alias("one"), bits.alias("y"))
     rng = random.Random(20)
-    mins = [F.min(F.col("y").bitwiseXOR(F.lit(rng.getrandbits(31)))).alias(f"m{j}") for j in range(bands * rows)]
+    orders = [(rng.getrandbits(31) | 1, rng.getrandbits(31)) for _ in range(bands * rows)]
+    mins = [F.min((F.col("y") * F.lit(a).cast("long") + F.lit(b).cast("long")).bitwiseAND(F.lit(2**32 - 1))).alias(f"m{j}") for j, (a, b) in enumerate(orders)]
     signed = each.groupBy("k").agg(F.min("doc").alias("first_doc"), F.sum("one").alias("n_lines"), *mins)
     hashes = F.array(*[F.xxhash64(F.lit(b), *[f"m{b * rows + r}" for r in range(rows)]) for b in range(bands)])
     sketch = F.lit(0).cast("long")

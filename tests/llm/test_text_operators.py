@@ -186,6 +186,21 @@ def test_last_round_tries_all_mates(spark, docs):
     assert want and want <= pairs
 
 
+@pytest.mark.parametrize(("chars", "edge"), [(27, 1), (75, 4)])
+def test_recall_of_signatures(docs, chars, edge):
+    """Similar lines share a band about as often as independent MinHashes say."""
+    rng = random.Random(13)
+    word = lambda n: "".join(chr(rng.randint(0x4E00, 0x9F00)) for _ in range(n))
+    lines = [(x, word(edge) + x[edge:-edge] + word(edge)) for x in (word(chars) for _ in range(600))]
+    frame = line_dedup._lines(docs([(0, "\n".join(x for pair in lines for x in pair))]))
+    key = {r.line: r.k for r in frame.collect()}
+    bands = {r.k: r.bands for r in line_dedup.signatures(frame).collect()}
+    both, one = chars - 5 - 2 * edge, 2 * edge
+    expected = 1 - (1 - (both / (both + 2 * one)) ** line_dedup.ROWS) ** line_dedup.BANDS
+    met = sum(any(p == q for p, q in zip(bands[key[x]], bands[key[y]], strict=True)) for x, y in lines) / len(lines)
+    assert expected > 0.96 and met > expected - 0.02
+
+
 def test_lines_odd_rows(docs):
     rows = [(3, "a line\n\n a line \nother"), (1, "a line"), (1, "a line"), (2, None), (4, ""), (None, "a line"), (5, "é" * 400 + "\nx"), (6, "😀" * 300 + "\nx")]
     found = [(r.doc_id, r.text, r.n_removed) for r in line_dedup.line_dedup(docs(rows)).collect()]
