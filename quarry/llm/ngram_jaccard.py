@@ -6,27 +6,33 @@ sets reaches `percent`.
 
 * Tiles.  Each set is ordered by hash, shingles that very many documents hold
   last, and its first shingles name the tiles it belongs to; all members of a
-  tile hold its shingle, and inside a tile sizes are compared in bands, as
-  sizes of linked sets differ by a third at most.  The prefix of
-  `n - ceil(0.75 n) + 1` shingles loses no link; a shorter one is taken only
-  where the chance that a linked pair shares none of it is below 1e-18, less
-  than that of a hash collision.
+  tile hold its shingle.  The prefix of `n - ceil(0.75 n) + 1` shingles loses
+  no link; a shorter one is taken only where the chance that a linked pair
+  shares none of it is below 1e-18, less than that of a hash collision.  A
+  tile of more than `block` members is cut into size bands, as sizes of linked
+  sets differ by a third at most, and these into blocks, every pair of which
+  is a tile of its own, so that one shingle's members spread over many tasks.
 * Bit counts.  Each set carries a hashed parity bitmap of two bits or more per
   shingle.  Each differing bit proves a shingle that one set lacks, so the
   overlap is at most (n_a + n_b - differing bits) / 2.
 * Exact verification.  What passes is decided by intersecting the sorted
-  arrays of both texts.
+  arrays of both texts.  Texts travel for that, not arrays, as they are
+  smaller; a text that many pairs name travels once for every GROUP of them.
 
-No tile emits all its pairs.  First each set is verified against the one tile
-partner that most of its tiles name; then only tiles that still hold several
-components go on, with a spanning forest of the pairs that the bit counts
-allow, and last with the pairs between components that are still untried.
+A large group of similar documents need not emit all its pairs.  First every
+member of a tile is tried with the smallest document that its bits allow.
+Only tiles that then hold several components go on, with the pairs between
+components.  A tile with more than `per_member` of them per member hands out a slice
+of these at a time, and links found in one slice spare those of the next;
+when the last slice has been tried, every allowed pair is either tried or
+inside one component.
 
 Defined results: null, empty or blank texts have an empty set and link with
 nothing; with fewer words than `width` the whole sequence is the one shingle;
 repeated rows come back each, rows that share a doc_id count as one document;
 a row without doc_id links with nothing and has no component; other columns
-are ignored.
+are ignored.  A very long text is hashed in steps; the task that does so needs
+some ten bytes for each of its own.
 """
 
 from __future__ import annotations
@@ -36,7 +42,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
@@ -46,8 +52,10 @@ from .wordhash import Words, blocks, mix
 WIDTH, PERCENT = 5, 75
 #: A shingle that names more tile members than this is ordered last.
 CROWD = 400
-#: A tile of uncrowded shingles may grow to this size before their order is settled anew.
-TILE = 4000
+#: A tile of uncrowded shingles may grow to this size before their order is settled anew, which is done REORDERS times at most.
+TILE, REORDERS = 4000, 2
+#: Members of one block of a large tile; pairs per member that a tile hands out at a time; pairs for which one text travels once.
+BLOCK, PAIRS, GROUP = 2048, 32, 64
 #: A shingle in this many documents of one block is counted across blocks; bytes of text of such a block, and of those of other steps.
 LOCAL_CROWD, COUNT_BYTES, BLOCK_BYTES = 3, 2 << 20, 1 << 20
 #: Bits of the map of crowded shingles: fixed, so what is sent to every task is 4 MB at any size.  A false hit only changes the order, alike for all sets.
@@ -145,130 +153,200 @@ def _as_map(tokens: DataFrame) -> np.ndarray:
     return out
 
 
-class _Tile:
-    """Members of one tile, in order of size."""
-
-    def __init__(self, docs: np.ndarray, sizes: np.ndarray, labels: np.ndarray, bits: list[bytes]) -> None:
-        order = np.lexsort((docs, sizes))
-        self.docs, self.sizes, self.labels = docs[order], sizes[order].astype(np.int64), labels[order]
-        bits = [bits[i] for i in order]
-        self.widths = np.array([len(b) for b in bits])
-        self.rows = {w: np.flatnonzero(self.widths == w) for w in np.unique(self.widths)}
-        self.bits = {w: np.frombuffer(b"".join(bits[i] for i in at), np.uint64).reshape(len(at), -1) for w, at in self.rows.items()}
-        self.place = np.empty(len(docs), np.int64)
-        for at in self.rows.values():
+class _Tiles:
+    """Whole tiles, one after the other, each in order of doc_id."""
+
+    def __init__(self, rows: pa.Table, percent: int) -> None:
+        self.token, cell, self.doc, n, self.label, side = (rows.column(c).to_numpy() for c in ("token", "cell", "doc_id", "n", "label", "side"))
+        self.n, self.side, self.percent = n.astype(np.int64), side, percent
+        fresh = np.ones(len(cell), bool)
+        fresh[1:] = (cell[1:] != cell[:-1]) | (self.token[1:] != self.token[:-1])
+        self.tile = np.cumsum(fresh) - 1
+        self.start = np.flatnonzero(fresh)
+        self.end = np.append(self.start[1:], len(cell))[self.tile]
+        bits = rows.column("bits").to_pylist()
+        self.width = np.array([len(b) // 8 for b in bits])
+        self.place = np.empty(len(bits), np.int64)
+        self.maps = {}
+        for w in np.unique(self.width).tolist():
+            at = np.flatnonzero(self.width == w)
             self.place[at] = np.arange(len(at))
-
-    def _folded(self, width: int, to: int) -> np.ndarray:
-        b = self.bits[width]
-        while width > to:
-            # The parity of two bits that a narrower map holds as one is their exclusive or.
-            half = b.shape[1] // 2
-            b, width = b[:, :half] ^ b[:, half:], width // 2
-        return b
-
-    def allowed(self, i: int, percent: int) -> np.ndarray:
-        """Members that the sizes and bit counts do not rule out as partners of i."""
-        n, w = int(self.sizes[i]), int(self.widths[i])
-        lo = np.searchsorted(self.sizes, -(-percent * n // 100), "left")
-        hi = np.searchsorted(self.sizes, 100 * n // percent, "right")
-        found = []
-        for width, at in self.rows.items():
-            a, b = np.searchsorted(at, lo), np.searchsorted(at, hi)
-            if a == b:
-                continue
-            to = min(w, width)
-            mine = self._folded(w, to)[self.place[i]] if w > to else self.bits[w][self.place[i]]
-            theirs = self._folded(width, to)[a:b] if width > to else self.bits[width][a:b]
-            apart = np.bitwise_count(theirs ^ mine).sum(axis=1, dtype=np.int64)
-            both = n + self.sizes[at[a:b]]
-            # Overlap at most (both - apart) / 2; 100 overlap >= percent * (both - overlap).
-            found.append(at[a:b][(100 + percent) * (both - apart) >= 2 * percent * both])
-        return np.concatenate(found) if found else np.zeros(0, np.int64)
-
-    def pairs(self, percent: int, forest: bool) -> Iterator[tuple[int, int]]:
-        """Allowed pairs of different labels: all of them, or just enough to join what they could join."""
-        names, label = np.unique(self.labels, return_inverse=True)
-        parent = np.arange(len(names))
-
-        def find(x: int) -> int:
-            while parent[x] != x:
-                parent[x] = x = parent[parent[x]]
-            return x
-
-        # Each pair has a member outside the most frequent label, so only those are compared with all.
-        main = np.bincount(label).argmax()
-        for i in np.flatnonzero(label != main):
-            for j in self.allowed(int(i), percent):
-                if label[j] == label[i] or (label[j] != main and j < i):
-                    continue
-                if forest:
-                    a, b = find(label[i]), find(label[j])
-                    if a == b:
-                        continue
-                    parent[a] = b
-                yield (int(min(self.docs[i], self.docs[j])), int(max(self.docs[i], self.docs[j])))
-
-
-def _tiles(batches: Iterator[pa.RecordBatch], percent: int, forest: bool) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by token, in; candidate pairs out.  Only the members of one tile are held at a time."""
+            self.maps[w] = np.frombuffer(b"".join(bits[i] for i in at), np.uint64).reshape(len(at), w)
+
+    def allowed(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        """Whether sizes and bit counts leave it open that the rows i and j link."""
+        out = 100 * np.minimum(self.n[i], self.n[j]) >= self.percent * np.maximum(self.n[i], self.n[j])
+        at = np.flatnonzero(out)
+        i, j = i[at], j[at]
+        wide, narrow = np.where(self.width[i] >= self.width[j], i, j), np.where(self.width[i] >= self.width[j], j, i)
+        names = self.width[wide] * (1 << 32) + self.width[narrow]
+        for name in np.unique(names).tolist():
+            w, v = name >> 32, name & 0xFFFFFFFF
+            own = np.flatnonzero(names == name)
+            for k in range(0, len(own), max(1, (1 << 19) // w)):
+                part = own[k : k + max(1, (1 << 19) // w)]
+                a = self.maps[w][self.place[wide[part]]]
+                while a.shape[1] > v:
+                    # The parity of two bits that a narrower map holds as one is their exclusive or.
+                    a = a[:, : a.shape[1] // 2] ^ a[:, a.shape[1] // 2 :]
+                apart = np.bitwise_count(a ^ self.maps[v][self.place[narrow[part]]]).sum(axis=1, dtype=np.int64)
+                both = self.n[wide[part]] + self.n[narrow[part]]
+                # Overlap at most (both - apart) / 2; 100 overlap >= percent * (both - overlap).
+                out[at[part]] = (100 + self.percent) * (both - apart) >= 2 * self.percent * both
+        return out
+
+    def stars(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Each row with the first of its tile that allows it, unless that one has such a row itself."""
+        left = np.arange(len(self.doc))
+        while len(left):
+            first = np.ones(len(left), bool)
+            first[1:] = self.tile[left[1:]] != self.tile[left[:-1]]
+            heads = np.flatnonzero(first)
+            head = left[np.repeat(heads, np.diff(np.append(heads, len(left))))]
+            rest = np.flatnonzero(~first)
+            i, j = head[rest], left[rest]
+            ok = self.allowed(i, j)
+            yield i[ok], j[ok]
+            left = j[~ok]
+
+    def between(self, slice_: int, slices: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """All allowed pairs of different labels, or those of one slice."""
+        i = np.arange(len(self.doc))
+        t = 0
+        while len(i):
+            t += 1
+            i = i[i + t < self.end[i]]
+            j = i + t
+            ok = (self.label[i] != self.label[j]) & ((self.side[i] == 0) | (self.side[i] != self.side[j]))
+            if slices > 1:
+                ok &= self.slice_of(i, j) % _U(slices) == _U(slice_)
+            a, b = i[ok], j[ok]
+            ok = self.allowed(a, b)
+            yield a[ok], b[ok]
+
+    def slice_of(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        low, high = np.minimum(self.doc[i], self.doc[j]), np.maximum(self.doc[i], self.doc[j])
+        return mix(mix(low.view(np.uint64)) + high.view(np.uint64))
+
+
+def _whole_tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Rows sorted by (token, cell), cut between tiles."""
     kept: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        token, cell = (batch.column(batch.schema.get_field_index(c)).to_numpy() for c in ("token", "cell"))
+        if kept and (token[0], cell[0]) != seen:  # noqa: F821
+            yield pa.Table.from_batches(kept)
+            kept = []
+        cuts = np.flatnonzero((token[1:] != token[:-1]) | (cell[1:] != cell[:-1])) + 1
+        if len(cuts):
+            yield pa.Table.from_batches([*kept, batch.slice(0, int(cuts[-1]))])
+            kept = []
+        kept.append(batch.slice(int(cuts[-1]) if len(cuts) else 0))
+        seen = (token[-1], cell[-1])  # noqa: F841
+    if kept:
+        yield pa.Table.from_batches(kept)
 
-    def close(parts: list[pa.RecordBatch]) -> list[tuple[int, int]]:
-        t = pa.Table.from_batches(parts)
-        if t.num_rows < 2:
-            return []
-        tile = _Tile(t.column("doc_id").to_numpy(), t.column("n").to_numpy(), t.column("label").to_numpy(), t.column("bits").to_pylist())
-        return list(tile.pairs(percent, forest))
 
-    def out(pairs: list[tuple[int, int]]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array([p[i] for p in pairs], pa.int64()) for i in (0, 1)], names=["a", "b"])
+_PAIRS = "a long, b long, slices int"
+
+
+def _compared(batches: Iterator[pa.RecordBatch], percent: int, per_member: int, mode: str, slice_: int = 0, slices: int = 1) -> Iterator[pa.RecordBatch]:
+    """Pairs a < b to be verified (slices 0); of a tile with too many of them a slice, and a row (token, null, slices)."""
+
+    def rows(a: np.ndarray, b: np.ndarray | None, n: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(a), pa.nulls(len(a), pa.int64()) if b is None else pa.array(b), pa.array(n.astype(np.int32))], names=["a", "b", "slices"])
+
+    for table in _whole_tiles(batches):
+        tiles = _Tiles(table, percent)
+        found = list(tiles.stars() if mode == "stars" else tiles.between(slice_, slices))
+        i, j = (np.concatenate([f[k] for f in found]) if found else np.zeros(0, np.int64) for k in (0, 1))
+        if mode == "first":
+            per_tile = np.bincount(tiles.tile[i], minlength=len(tiles.start))
+            members = np.bincount(tiles.tile, minlength=len(tiles.start))
+            parts = -(-per_tile // (per_member * members))
+            ok = (parts[tiles.tile[i]] <= 1) | (tiles.slice_of(i, j) % np.maximum(1, parts[tiles.tile[i]]).astype(np.uint64) == 0)
+            i, j, many = i[ok], j[ok], np.flatnonzero(parts > 1)
+            yield rows(tiles.token[tiles.start[many]], None, parts[many])
+        a, b = np.minimum(tiles.doc[i], tiles.doc[j]), np.maximum(tiles.doc[i], tiles.doc[j])
+        yield rows(a[a != b], b[a != b], np.zeros(int((a != b).sum())))
+
+
+def _spread(members: DataFrame, cells: Column) -> DataFrame:
+    return members.withColumn("_at", F.explode(cells)).select("token", "doc_id", "n", "label", "bits", F.col("_at.cell").alias("cell"), F.col("_at.side").alias("side"))
+
+
+def _star_cells(block: int) -> Column:
+    """One cell for each block of a tile; its smallest document is in all of them."""
+    blocks = F.ceil(F.col("c") / block).cast("int")
+    own = F.pmod(F.xxhash64("doc_id"), blocks).cast("int")
+    of = F.when(F.col("c") <= block, F.array(F.lit(0))).when(F.col("doc_id") == F.col("pivot"), F.sequence(F.lit(0), blocks - 1)).otherwise(F.array(own))
+    return F.transform(of, lambda x: F.struct(x.cast("long").alias("cell"), F.lit(0).alias("side")))
 
-    seen = None
-    for batch in batches:
-        token = batch.column(0).to_numpy(zero_copy_only=False)
-        cuts = np.concatenate(([0], np.flatnonzero(token[1:] != token[:-1]) + 1, [len(token)])) if len(token) else [0]
-        found: list[tuple[int, int]] = []
-        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-            if kept and token[a] != seen:
-                found += close(kept)
-                kept = []
-            kept.append(batch.slice(int(a), int(b - a)))
-            seen = token[a]
-        yield out(found)
-    if kept:
-        yield out(close(kept))
 
+def _pair_cells(block: int, percent: int) -> Column:
+    """The cells in which a row meets those of its tile that may link with it: all of a small tile, pairs of blocks of one or two neighbouring size bands of a large one.
 
-def _compare(batches: Iterator[pa.RecordBatch], width: int, percent: int) -> Iterator[pa.RecordBatch]:
-    """a, b, text_a, text_b: the pairs that link."""
+    side is 0 where all rows of the cell meet, else 1 or 2, which meet each other.
+    """
+    blocks = F.ceil(F.col("c") / block).cast("long")
+    own = F.pmod(F.xxhash64("doc_id"), blocks)
+    # Sizes of linked sets are in one band or in neighbouring ones; the small summand keeps a rounded logarithm from skipping a band.
+    band = F.floor(F.log(F.col("n")) / (math.log(100 / percent) + 1e-9))
+
+    def cell(g: Column, next_band: int, x: Column, y: Column, side: Column) -> Column:
+        return F.struct((((g * 2 + next_band) * (1 << 20) + x) * (1 << 20) + y).alias("cell"), side.cast("int").alias("side"))
+
+    all_blocks = F.sequence(F.lit(0).cast("long"), blocks - 1)
+    same = F.transform(all_blocks, lambda o: cell(band, 0, F.least(own, o), F.greatest(own, o), F.when(own == o, 0).when(own < o, 1).otherwise(2)))
+    up = F.transform(all_blocks, lambda o: cell(band, 1, own, o, F.lit(1)))
+    down = F.transform(all_blocks, lambda o: cell(band - 1, 1, o, own, F.lit(2)))
+    return F.when(F.col("c") <= block, F.array(F.struct(F.lit(0).cast("long").alias("cell"), F.lit(0).alias("side")))).otherwise(F.concat(same, up, down))
+
+
+def _links(batches: Iterator[pa.RecordBatch], width: int, percent: int) -> Iterator[pa.RecordBatch]:
+    """a, chunk, doc_id, text sorted so that a's own text comes first in its chunk; a, b of the pairs that link, out."""
+    group, leaders = None, []
     for batch in batches:
-        for at in range(0, batch.num_rows, 512):
-            part = batch.slice(at, 512)
-            sides = []
-            for text in ("text_a", "text_b"):
-                sets = []
-                for _, _, words in blocks(part, text, "a", size=BLOCK_BYTES):
-                    flat, cuts = shingle_sets(words, width)
-                    sets += [flat[x:y] for x, y in zip(cuts[:-1], cuts[1:], strict=True)]
-                sides.append(sets)
-            links = []
-            for x, y in zip(*sides, strict=True):
-                common = len(np.intersect1d(x, y, assume_unique=True))
-                links.append(common > 0 and 100 * common >= percent * (len(x) + len(y) - common))
-            yield pa.RecordBatch.from_arrays([part.column(i).filter(pa.array(links, pa.bool_())) for i in (0, 1)], names=["a", "b"])
+        sets, chunk = [], batch.column(1).to_pylist()
+        for _, _, words in blocks(batch, size=BLOCK_BYTES):
+            flat, cuts = shingle_sets(words, width)
+            sets += [flat[x:y] for x, y in zip(cuts[:-1], cuts[1:], strict=True)]
+        found = []
+        for a, c, b, own in zip(batch.column(0).to_pylist(), chunk, batch.column(2).to_pylist(), sets, strict=True):
+            if (a, c) != group:
+                group, leaders = (a, c), []
+            if a == b:
+                leaders.append(own)
+            elif any(_linked(x, own, percent) for x in leaders):
+                found.append((a, b))
+        yield pa.RecordBatch.from_arrays([pa.array([f[i] for f in found], pa.int64()) for i in (0, 1)], names=["a", "b"])
+
+
+def _linked(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    """x, y: sorted arrays."""
+    if not len(x) or not len(y):
+        return False
+    place = np.searchsorted(x, y)
+    place[place == len(x)] = 0
+    common = int(np.count_nonzero(x[place] == y))
+    return 100 * common >= percent * (len(x) + len(y) - common)
 
 
 def verified(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
     """The pairs a, b of doc_ids that link; texts: doc_id, text."""
+    counts = pairs.groupBy("a").agg(F.count("*").alias("c"))
+    chunk = F.pmod(F.xxhash64("b"), F.ceil(F.col("c") / GROUP)).alias("chunk")
+    groups = pairs.join(counts, "a").select("a", "b", chunk).groupBy("a", "chunk").agg(F.collect_list("b").alias("bs"))
+    asked = groups.select("a", "chunk", F.explode(F.concat(F.array("a"), "bs")).alias("doc_id"))
     # Only texts that some pair names are shuffled.
-    texts = possible(texts, pairs.select(F.explode(F.array("a", "b")).alias("doc_id")), "doc_id")
-    a, b = (texts.select(F.col("doc_id").alias(x), F.col("text").alias(f"text_{x}")) for x in "ab")
-    both = pairs.join(a, "a").join(b, "b").select("a", "b", "text_a", "text_b")
-    return both.mapInArrow(lambda it: _compare(it, width, percent), "a long, b long")
+    named = possible(texts, pairs.select(F.explode(F.array("a", "b")).alias("doc_id")), "doc_id")
+    both = asked.join(named, "doc_id").select("a", "chunk", "doc_id", "text").repartition("a", "chunk").sortWithinPartitions("a", "chunk", F.col("doc_id") != F.col("a"))
+    return both.mapInArrow(lambda it: _links(it, width, percent), "a long, b long").distinct()
 
 
-def ngram_jaccard(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, crowd: int = CROWD, tile_size: int = TILE) -> DataFrame:
+def ngram_jaccard(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, crowd: int = CROWD, tile_size: int = TILE, block: int = BLOCK, per_member: int = PAIRS) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id (smallest doc_id reached), n_links.
 
     n_links counts the links that were verified for the document's set; a
@@ -276,46 +354,57 @@ def ngram_jaccard(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, c
     """
     texts = small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null")
 
-    # Shingles that crowd tiles: by what blocks count, then by the tiles themselves, until no uncrowded one is left.
+    # Shingles that crowd tiles: by what blocks count, then by the tiles themselves.
     local = texts.mapInArrow(lambda it: _local_crowds(it, width), "token long, c long")
     bits = _as_map(local.groupBy("token").agg(F.sum("c").alias("c")).where(F.col("c") > crowd))
-    for _ in range(3):
+    for turn in range(REORDERS + 1):
         shared_bits = docs.sparkSession.sparkContext.broadcast(bits)
         base = cut(texts.mapInArrow(lambda it, sent=shared_bits: _profile(it, width, percent, sent.value), _PROFILE))
-        sets = base.where("n > 0").groupBy("s1", "s2").agg(F.min("doc_id").alias("rep"))
-        spare = base.join(sets, ["s1", "s2"]).where("doc_id != rep").select("doc_id", "s1", "s2")
-        nodes = base.where("n > 0").join(spare, ["doc_id", "s1", "s2"], "left_anti")
-        members = nodes.select("doc_id", F.explode("tokens").alias("token"))
-        tile = Window.partitionBy("token")
-        members = members.select("token", "doc_id", F.count("*").over(tile).alias("c"), F.min("doc_id").over(tile).alias("pivot")).where("c > 1")
-        members = cut(members.distinct())  # repeated rows; partitioned by token already
-        more = _as_map(members.where(F.col("c") > tile_size).select("token").distinct()) | bits
+        sets = cut(base.where("n > 0").groupBy("s1", "s2").agg(F.min("doc_id").alias("rep")))
+        own = base.where("n > 0").join(sets.withColumnRenamed("rep", "doc_id"), ["doc_id", "s1", "s2"], "left_semi")
+        own = own.select("doc_id", F.explode("tokens").alias("token"))
+        tiles = cut(own.groupBy("token").agg(F.count("*").alias("c"), F.min("doc_id").alias("pivot")).where("c > 1"))
+        more = _as_map(tiles.where(F.col("c") > tile_size).select("token")) | bits if turn < REORDERS else bits
         if (more == bits).all():
             break
         bits = more
+    members = cut(own.join(tiles, "token").select("token", "doc_id", "c", "pivot"))
+    maps = base.where("n > 0").select("doc_id", "n", "bits")
 
-    # Each set against the partner that most of its tiles name.
-    mates = members.where("doc_id != pivot").groupBy("doc_id", "pivot").count()
-    mates = mates.groupBy("doc_id").agg(F.max(F.struct("count", (-F.col("pivot")).alias("p"))).alias("best"))
-    pairs = mates.select((-F.col("best.p")).alias("a"), F.col("doc_id").alias("b"))
-    tried = cut(pairs)
+    def compared(rows: DataFrame, *mode) -> DataFrame:
+        rows = rows.repartition("token", "cell").sortWithinPartitions("token", "cell", "doc_id")
+        return rows.mapInArrow(lambda it: _compared(it, percent, per_member, *mode), _PAIRS).distinct()
+
+    stars = _spread(members.join(maps, "doc_id").withColumn("label", F.col("doc_id")), _star_cells(block))
+    tried = cut(compared(stars, "stars").select("a", "b"))
     links = cut(verified(tried, texts, width, percent))
-    # Then what may still join two components: a forest first, then all that is left.
     roots = components(links)
-    for forest in (True, False):
-        labelled = members.select("token", "doc_id").join(roots.withColumnRenamed("id", "doc_id"), "doc_id", "left").withColumn("label", F.coalesce("component", "doc_id"))
-        split = labelled.select("token", "doc_id", "label", F.min("label").over(tile).alias("lo"), F.max("label").over(tile).alias("hi")).where("lo != hi")
-        split = split.select("token", "doc_id", "label").join(nodes.select("doc_id", "n", "bits"), "doc_id").select("token", "doc_id", "n", "label", "bits")
-        split = split.repartition("token").sortWithinPartitions("token")
-        found = cut(split.mapInArrow(lambda it, forest=forest: _tiles(it, percent, forest), "a long, b long").distinct())
+
+    def open_tiles(only: DataFrame | None) -> DataFrame:
+        """Rows of the tiles, or of some of them, that hold several components."""
+        some = members if only is None else members.join(only, "token", "left_semi")
+        labelled = some.join(roots.withColumnRenamed("id", "doc_id"), "doc_id", "left").select("token", "doc_id", "c", F.coalesce("component", "doc_id").alias("label"))
+        split = labelled.groupBy("token").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo != hi").select("token")
+        return _spread(labelled.join(split, "token", "left_semi").join(maps, "doc_id"), _pair_cells(block, percent))
+
+    def settle(found: DataFrame) -> None:
+        nonlocal tried, links, roots
+        found = cut(found.join(tried, ["a", "b"], "left_anti"))
         if found.isEmpty():
-            break
-        found = found.join(tried, ["a", "b"], "left_anti")
+            return
         new = cut(verified(found, texts, width, percent))
         tried = tried.unionByName(found)
         if not new.isEmpty():
             links = links.unionByName(new)
             roots = components(links)
+
+    found = cut(compared(open_tiles(None), "first"))
+    settle(found.where("slices = 0").select("a", "b"))
+    crowds = found.where("slices > 0").groupBy(F.col("a").alias("token")).agg(F.max("slices").alias("slices"))
+    slices = crowds.agg(F.max("slices")).first()[0] or 0
+    for k in range(slices):
+        settle(compared(open_tiles(crowds.select("token")), "slice", k, slices).select("a", "b"))
+
     degree = links.select(F.explode(F.array("a", "b")).alias("rep")).groupBy("rep").agg(F.count("*").alias("n_links"))
     named = sets.join(roots.withColumnRenamed("id", "rep"), "rep", "left").join(degree, "rep", "left").select("s1", "s2", F.coalesce("component", "rep").alias("component_id"), "n_links")
     rows = base.select("doc_id", "n", "s1", "s2").join(named, ["s1", "s2"], "left")

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .shared import small_batches
-from .wordhash import Words, _rolled, _byte_values, blocks, mix, split_classes
+from .wordhash import Words, blocks, mix, split_classes
 
 #: Labelled rows that the machine is fitted on at most, taken in the order of a hash of their ids.
 FIT_ROWS = 6_000
@@ -43,11 +43,10 @@ def document_terms(words: Words) -> tuple[np.ndarray, np.ndarray]:
     letters = np.flatnonzero((words.data[words.starts] != 0) & (words.ends - words.starts > 1)) if len(words.starts) else np.zeros(0, np.int64)
     owner, whole = words.owner()[letters], words.hashes(fold_case=True)[letters]
     terms, owners = [whole], [owner]
-    values = _byte_values(True, 31)[words.data]
     starts, ends = words.starts[letters], words.ends[letters]
     for n in PREFIXES:
         long = ends - starts > n
-        terms.append(mix(_rolled(values, starts[long], starts[long] + n, 0) + _U(n)))
+        terms.append(words.parts(starts[long], starts[long] + n, fold_case=True, salt=31))
         owners.append(owner[long])
     term, owner = np.concatenate(terms), np.concatenate(owners)
     order = np.lexsort((term, owner))

@@ -16,8 +16,10 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 
-#: Text bytes hashed at a time; bounds the working memory of a task at about 60 bytes per text byte.
+#: Text bytes of a block of documents; a longer text is a block of its own.
 BLOCK_BYTES = 4 << 20
+#: Bytes or words that one step of hashing takes at a time.  A step needs about 60 bytes for each; what remains is 24 bytes a word.
+STEP = 1 << 20
 
 _BASE = (0x9E3779B97F4A7C15, 0xD1342543DE82EF95)
 _U = np.uint64
@@ -40,36 +42,49 @@ def _byte_values(fold_case: bool, salt: int) -> np.ndarray:
     return values
 
 
-class _Powers:
-    """Powers of an odd base and of its inverse, grown as longer blocks come."""
-
-    def __init__(self, base: int) -> None:
-        self.base, self.inverse = base, pow(base, -1, 1 << 64)
-        self.up = self.down = np.ones(1, np.uint64)
-
-    def get(self, n: int) -> tuple[np.ndarray, np.ndarray]:
-        if len(self.up) < n:
-            size = max(n, 2 * len(self.up))
-            for name, b in (("up", self.base), ("down", self.inverse)):
-                p = np.full(size, b, np.uint64)
-                p[0] = 1
-                setattr(self, name, np.cumprod(p))
-        return self.up[:n], self.down[:n]
-
-
-_POWERS = tuple(_Powers(b) for b in _BASE)
-
-
-def _rolled(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, which: int) -> np.ndarray:
-    """Polynomial hash of values[start:end] for each pair, free of the position."""
-    up, down = _POWERS[which].get(len(values) + 1)
-    sums = np.zeros(len(values) + 1, np.uint64)
-    np.cumsum(values * up[:-1], out=sums[1:])
-    return (sums[ends] - sums[starts]) * down[starts]
+@lru_cache(maxsize=None)
+def _powers(which: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of an odd base and of its inverse, as many as a step needs."""
+    found = []
+    for base in (_BASE[which], pow(_BASE[which], -1, 1 << 64)):
+        p = np.full(STEP + 1, base, np.uint64)
+        p[0] = 1
+        found.append(np.cumprod(p))
+    return found[0], found[1]
+
+
+def _rolled(values, starts: np.ndarray, ends: np.ndarray, which: int) -> np.ndarray:
+    """Polynomial hash of values(a, b)[start - a:end - a] for each pair, free of the position; starts and ends ascend.
+
+    `values` gives the numbers of a range of places.  Pairs are taken in steps
+    of STEP places, and a longer pair is put together from several steps.
+    """
+    up, down = _powers(which)
+    out = np.zeros(len(starts), np.uint64)
+    i = 0
+    while i < len(starts):
+        a = int(starts[i])
+        j = max(i + 1, int(np.searchsorted(ends, a + STEP, "right")))
+        b = int(ends[j - 1])
+        if b - a <= STEP:
+            sums = np.zeros(b - a + 1, np.uint64)
+            np.cumsum(values(a, b) * up[: b - a], out=sums[1:])
+            out[i:j] = (sums[ends[i:j] - a] - sums[starts[i:j] - a]) * down[starts[i:j] - a]
+        else:
+            factor, step = 1, pow(_BASE[which], STEP, 1 << 64)
+            total = 0
+            for at in range(a, b, STEP):
+                part = values(at, min(b, at + STEP))
+                total = (total + int((part * up[: len(part)]).sum(dtype=np.uint64)) * factor) % (1 << 64)
+                factor = factor * step % (1 << 64)
+            out[i] = total
+        i = j
+    return out
 
 
 _SEPARATOR = np.zeros(256, bool)
 _SEPARATOR[[9, 10, 11, 12, 13, 32]] = True
+_INSIDE = (~_SEPARATOR).astype(np.uint8)
 
 
 @dataclass
@@ -90,37 +105,54 @@ class Words:
         return np.repeat(np.arange(len(self.doc_ids)), self.counts())
 
     def hashes(self, fold_case: bool = False, salt: int = 0) -> np.ndarray:
-        values = _byte_values(fold_case, salt)[self.data]
-        return mix(_rolled(values, self.starts, self.ends, 0) + (self.ends - self.starts).astype(np.uint64))
+        return self.parts(self.starts, self.ends, fold_case, salt)
+
+    def parts(self, starts: np.ndarray, ends: np.ndarray, fold_case: bool = False, salt: int = 0) -> np.ndarray:
+        """Hash of the bytes of each pair of places; both ascend."""
+        values = _byte_values(fold_case, salt)
+        return mix(_rolled(lambda a, b: values[self.data[a:b]], starts, ends, 0) + (ends - starts).astype(np.uint64))
 
     def windows(self, width: int, hashes: np.ndarray, salt: int = 0) -> tuple[np.ndarray, np.ndarray]:
         """Hash of every window of `width` words inside one document, and the word it starts at."""
         n = len(hashes)
         if n < width:
             return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-        owner = self.owner()
-        at = np.flatnonzero(owner[: n - width + 1] == owner[width - 1 :])
-        rolled = _rolled(hashes, at, at + width, 1)
+        # Windows that start in the last width - 1 words of a document would reach into the next one.
+        inside = np.ones(n, bool)
+        for back in range(1, width):
+            ends = self.first[1:] - back
+            inside[ends[ends >= self.first[:-1]]] = False
+        at = np.flatnonzero(inside)
+        rolled = _rolled(lambda a, b: hashes[a:b], at, at + width, 1)
         return mix(rolled ^ _U(salt * 2 + 1)), at
 
     def whole(self, hashes: np.ndarray) -> np.ndarray:
         """Hash of each document's whole word sequence."""
-        return mix(_rolled(hashes, self.first[:-1], self.first[1:], 1) + _U(7) * self.counts().astype(np.uint64))
+        return mix(_rolled(lambda a, b: hashes[a:b], self.first[:-1], self.first[1:], 1) + _U(7) * self.counts().astype(np.uint64))
+
+
+def _cut(data: np.ndarray, offsets: np.ndarray, kinds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of the runs of bytes of one kind, kind 0 being no word; offsets are cuts as well."""
+    starts, ends = [], []
+    for at in range(0, len(data), STEP):
+        top = min(len(data), at + STEP)
+        # One more byte on each side says whether a run goes on.
+        kind = kinds[data[max(0, at - 1) : min(len(data), top + 1)]]
+        begins = np.ones(len(kind) + 1, bool)
+        begins[1:-1] = kind[1:] != kind[:-1]
+        low = max(0, at - 1)
+        cuts = offsets[(offsets >= low) & (offsets <= low + len(kind))] - low
+        begins[cuts] = True
+        word = kind > 0
+        own = slice(at - low, top - low)
+        starts.append(np.flatnonzero(begins[:-1][own] & word[own]) + at)
+        ends.append(np.flatnonzero(begins[1:][own] & word[own]) + at + 1)
+    return (np.concatenate(starts), np.concatenate(ends)) if starts else (np.zeros(0, np.int64), np.zeros(0, np.int64))
 
 
 def split(data: np.ndarray, offsets: np.ndarray, doc_ids: np.ndarray) -> Words:
     """offsets: where each document starts in data, and the end."""
-    inside = ~_SEPARATOR[data]
-    before = np.zeros(len(data), bool)
-    before[1:] = inside[:-1]
-    after = np.zeros(len(data), bool)
-    after[:-1] = inside[1:]
-    begin, end = offsets[:-1], offsets[1:]
-    full = begin < end
-    before[begin[full]] = False
-    after[end[full] - 1] = False
-    starts = np.flatnonzero(inside & ~before)
-    ends = np.flatnonzero(inside & ~after) + 1
+    starts, ends = _cut(data, offsets, _INSIDE)
     return Words(data, doc_ids, starts, ends, np.searchsorted(starts, offsets))
 
 
@@ -131,14 +163,7 @@ _CLASS[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = 1
 
 def split_classes(data: np.ndarray, offsets: np.ndarray, doc_ids: np.ndarray) -> Words:
     """Like split, with runs of letters and digits and runs of punctuation as words of their own."""
-    kind = _CLASS[data]
-    start = np.ones(len(data), bool)
-    start[1:] = kind[1:] != kind[:-1]
-    start[offsets[:-1][offsets[:-1] < len(data)]] = True
-    ends = np.append(np.flatnonzero(start)[1:], len(data))
-    starts = np.flatnonzero(start)
-    full = kind[starts] > 0 if len(data) else np.zeros(0, bool)
-    starts, ends = starts[full], ends[: len(full)][full]
+    starts, ends = _cut(data, offsets, _CLASS)
     return Words(data, doc_ids, starts, ends, np.searchsorted(starts, offsets))
 
 
@@ -152,7 +177,7 @@ def text_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def blocks(batch: pa.RecordBatch, text: str = "text", id_column: str = "doc_id", cut=split, size: int = BLOCK_BYTES) -> Iterator[tuple[int, int, Words]]:
-    """(first row, end row, words) for runs of rows of about `size` bytes of text; a document is never split."""
+    """(first row, end row, words) for runs of rows of about `size` bytes of text; a document is never split, but hashed in steps."""
     data, offsets = text_buffers(batch.column(batch.schema.get_field_index(text)))
     ids = batch.column(batch.schema.get_field_index(id_column)).fill_null(-(2**63)).to_numpy(zero_copy_only=False)
     row, n = 0, batch.num_rows

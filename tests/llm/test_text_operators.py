@@ -67,6 +67,28 @@ def test_jaccard_components(docs, seed, crowd):
     assert pairs
 
 
+def test_jaccard_hot_tiles_of_near_misses(docs):
+    """Crowded tiles in small blocks and slices of few pairs: boilerplate, near misses and chains without a hub."""
+    rng = random.Random(11)
+    word = lambda: f"w{rng.randrange(10**6)}"
+    boiler, rows = [word() for _ in range(60)], []
+    for group in range(6):
+        own = [word() for _ in range(20 + 8 * group)]
+        for k in range(14):
+            # The tail moves on along the group, so neighbours link and ends do not; between groups all share the boilerplate.
+            tail = [f"g{group}t{i}" for i in range(3 * k, 3 * k + 24)]
+            rows.append((len(rows) * 37 % 997, " ".join(boiler + own + tail)))
+    rows += [(2000 + i, " ".join(boiler + [word() for _ in range(22 + i % 9)])) for i in range(40)]
+    sets = {i: shingles(t) for i, t in rows}
+    near = [(a, b) for a in sets for b in sets if a < b and 60 * len(sets[a] | sets[b]) <= 100 * len(sets[a] & sets[b]) < 75 * len(sets[a] | sets[b])]
+    pairs = [(a, b) for a in sets for b in sets if a < b and 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b])]
+    assert len(near) > 200 and len(pairs) > 100
+    want = roots_of(pairs, sets)
+    for block, per_member in ((8, 2), (2048, 1)):
+        found = ngram_jaccard.ngram_jaccard(docs(rows), crowd=3, tile_size=3, block=block, per_member=per_member).collect()
+        assert {r.doc_id: r.component_id for r in found} == want
+
+
 def test_jaccard_odd_rows(docs):
     found = sorted(((r.doc_id, r.n_shingles, r.component_id) for r in ngram_jaccard.ngram_jaccard(docs(ODD)).collect()), key=repr)
     want = [(1, 0, 1), (2, 0, 2), (3, 0, 3), (4, 1, 4), (5, 1, 4), (5, 1, 4), (None, 1, None), (6, 1, 4), (7, 1, 7), (8, 1, 8)]
