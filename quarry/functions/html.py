@@ -1,55 +1,21 @@
-"""Pages to text and images, as column expressions over the markup."""
+"""Titles and images of pages, as column expressions over the markup; `markup` has what needs a parser."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Elements that hold no article text.
-_DROPPED = "script|style|nav|header|footer|aside|noscript|template|form|iframe"
-#: Elements that sanitized markup may keep, and their attributes.
-_ALLOWED = "a|b|blockquote|br|code|div|em|figcaption|figure|h1|h2|h3|h4|h5|h6|hr|i|img|li|ol|p|pre|span|strong|table|tbody|td|th|thead|tr|ul"
-
-
 def title(html: Column | str) -> Column:
     found = F.trim(F.regexp_extract(html, r"(?is)<title[^>]*>(.*?)</title>", 1))
     return F.when(found != "", unescaped(found))
 
 
-def without_boilerplate(html: Column | str) -> Column:
-    clean = F.regexp_replace(html, r"(?s)<!--.*?-->", " ")
-    for name in _DROPPED.split("|"):
-        clean = F.regexp_replace(clean, rf"(?is)<{name}\b[^>]*>.*?</{name}\s*>", " ")
-    return clean
-
-
-def article_html(html: Column | str) -> Column:
-    """Content of the first article or main element, else of the body, else all."""
-    clean = without_boilerplate(html)
-    article = F.regexp_extract(clean, r"(?is)<(?:article|main)\b[^>]*>(.*?)</(?:article|main)\s*>", 1)
-    body = F.regexp_extract(clean, r"(?is)<body\b[^>]*>(.*?)</body\s*>", 1)
-    return F.when(F.trim(article) != "", article).when(F.trim(body) != "", body).otherwise(clean)
-
-
 def unescaped(text: Column | str) -> Column:
     for entity, char in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&")):
         text = F.replace(text if isinstance(text, Column) else F.col(text), F.lit(entity), F.lit(char))
     return text
 
 
-def article_text(html: Column | str) -> Column:
-    """Text of the article, a blank for each tag, white space folded."""
-    text = F.regexp_replace(article_html(html), r"(?s)<[^>]*>", " ")
-    return F.trim(F.regexp_replace(unescaped(text), r"\s+", " "))
-
-
-def sanitized(html: Column | str) -> Column:
-    """Markup without disallowed tags, event handlers, styles and script links; the text stays."""
-    clean = F.regexp_replace(without_boilerplate(html), rf"(?is)</?(?!(?:{_ALLOWED})\b)[a-z][^>]*>", "")
-    clean = F.regexp_replace(clean, r"(?is)\s(?:on\w+|style|class|id)\s*=\s*(?:\"[^\"]*\"|'[^']*'|[^\s>]+)", "")
-    return F.regexp_replace(clean, r"(?is)(href|src)\s*=\s*([\"']?)\s*(?:javascript|data|vbscript):[^\"'\s>]*", "$1=$2")
-
-
 def image_sources(html: Column | str) -> Column:
     """Values of src of all images, in order."""
     return F.regexp_extract_all(html, F.lit(r"(?is)<img\b[^>]*?\ssrc\s*=\s*[\"']([^\"']*)[\"']"), F.lit(1))

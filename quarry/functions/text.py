@@ -1,10 +1,15 @@
-"""Words and lexemes of a text, as column expressions."""
+"""Words and lexemes of a text, as columns; stemming runs on Arrow batches, all else as expressions."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .stem import stem
+
 #: The common English stop words of the public Snowball list.
 STOPWORDS = (
     "i me my myself we our ours ourselves you your yours yourself yourselves he him his himself she her hers herself it its itself they them their theirs themselves "
@@ -19,18 +24,22 @@ def words(text: Column | str) -> Column:
     return F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+"), lambda w: w != "")
 
 
-def stemmed(word: Column) -> Column:
-    """Light English stem: plurals, -ing, -ed, -ly, a final e and doubled consonants, without exceptions.
+_STOP = frozenset(STOPWORDS)
 
-    The same rules meet queries and texts, so a match needs no more; stems are
-    not those of a full Snowball stemmer.
-    """
-    w = F.regexp_replace(word, "(ss|i)es$", "$1")
-    w = F.regexp_replace(w, "([^siu])s$", "$1")
-    w = F.regexp_replace(w, "^(.*[aeiouy].*)(ing|ed)$", "$1")
-    w = F.when(w.rlike("(bb|dd|ff|gg|mm|nn|pp|rr|tt)$"), F.substring(w, F.lit(1), F.length(w) - 1)).otherwise(w)
-    w = F.regexp_replace(w, "^(...+)ly$", "$1")
-    return F.regexp_replace(w, "^(..+)[ey]$", "$1")
+
+def _stem_each(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    for batch in texts:
+        yield batch.map(lambda found: [" ".join(map(stem, x.split(" "))) for x in found], na_action="ignore")
+
+
+def _lexeme_each(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    for batch in texts:
+        yield batch.map(lambda found: ["" if w in _STOP else stem(w) for w in found], na_action="ignore")
+
+
+def stems(phrases: Column) -> Column:
+    """Each element of an array of words, or of words joined by blanks, with its words stemmed."""
+    return F.pandas_udf(_stem_each, "array<string>")(phrases)
 
 
 def lexemes(text: Column | str, language: str = "english") -> Column:
@@ -38,10 +47,7 @@ def lexemes(text: Column | str, language: str = "english") -> Column:
 
     `simple` keeps every word as it is.
     """
-    if language == "simple":
-        return words(text)
-    stop = F.array(*[F.lit(w) for w in STOPWORDS])
-    return F.transform(words(text), lambda w: F.when(F.array_contains(stop, w), F.lit("")).otherwise(stemmed(w)))
+    return words(text) if language == "simple" else F.pandas_udf(_lexeme_each, "array<string>")(words(text))
 
 
 def joined(lexeme_array: Column) -> Column:

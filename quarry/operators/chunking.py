@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 @dataclass(frozen=True)
@@ -43,6 +46,32 @@ def windows(df: DataFrame, config: ChunkConfig, text: str = "text_content", keep
     return rows.withColumn("chunk_text", F.array_join(F.slice("_t", F.col("_at") + 1, F.lit(config.size)), " ")).drop("_t", "_at")
 
 
+def token_windows(df: DataFrame, config: ChunkConfig, encode: Callable[[str], Sequence[int]], decode: Callable[[list[int]], str], text: str = "text_content") -> DataFrame:
+    """Like windows, over the ids of a codec: a text is encoded, its ids are cut, every window is decoded.
+
+    The codec travels with the tasks; they hold the windows of one text at a time.
+    """
+    step, kept = config.size - config.overlap, [c for c in df.columns if c != text]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for at, value in enumerate(batch[text]):
+                ids = list(encode(value)) if value else []
+                starts = range(0, len(ids), step)
+                if len(starts):
+                    rows = batch[kept].iloc[[at] * len(starts)].reset_index(drop=True)
+                    yield rows.assign(chunk_index=range(len(starts)), chunk_text=[decode(ids[s : s + config.size]) for s in starts])
+
+    fields = [df.schema[c] for c in kept]
+    schema = T.StructType([*fields, T.StructField("chunk_index", T.IntegerType()), T.StructField("chunk_text", T.StringType())])
+    return df.select(*kept, text).mapInPandas(run, schema)
+
+
+def chunks_of(chunks: DataFrame, user_id: str, bookmark_id: str) -> DataFrame:
+    """The chunks of one bookmark of a tenant, in order."""
+    return chunks.where((F.col("user_id") == user_id) & (F.col("bookmark_id") == bookmark_id)).orderBy("chunk_index")
+
+
 def with_hash(chunks: DataFrame) -> DataFrame:
     return chunks.withColumn("chunk_hash", F.sha2("chunk_text", 256))
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+import re
 import time
 from collections.abc import Callable, Iterator, Sequence
 
@@ -23,18 +24,20 @@ DIMENSIONS = {
     ("ollama", "all-minilm"): 384,
     ("ollama", "nomic-embed-text"): 768,
 }
+#: Messages of errors that pass: too many requests, time-outs, broken connections, servers out of order.
+PASSING = re.compile(r"(?i)\b(?:429|50[0234])\b|too many requests|rate.?limit|time(?:d )?.?out|temporarily unavailable|server error|connection (?:reset|refused|closed|aborted|error)")
 RETRIES, BASE_MS, MOST_MS = 2, 1000, 30_000
 KEYS = ["user_id", "bookmark_id"]
 
 
 def dimensions(provider: str, model: str, embed: Callable[[str], Sequence[float]], configured: int | None = None) -> int:
     """The configured number, else that of a known model, else that of a probe."""
-    return configured or DIMENSIONS.get((provider, model)) or len(embed("dimension probe"))
+    return configured or DIMENSIONS.get((provider, model)) or len(embed("a text of no matter"))
 
 
 def retriable(error: Exception) -> bool:
-    text = str(error).lower()
-    return isinstance(error, (TimeoutError, ConnectionError)) or any(x in text for x in ("429", "timeout", "timed out", "connection", " 500", " 502", " 503", " 504"))
+    """Whether the same call may succeed later: by its kind, or by what its message says."""
+    return isinstance(error, (TimeoutError, ConnectionError)) or PASSING.search(str(error)) is not None
 
 
 def wait_ms(attempt: int, rng: random.Random, base: int = BASE_MS, most: int = MOST_MS) -> float:

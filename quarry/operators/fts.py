@@ -14,11 +14,13 @@ from operator import and_, or_
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import STOPWORDS, joined, lexemes, stemmed, words
+from ..functions.stem import stem
+from ..functions.text import STOPWORDS, joined, lexemes, stems, words
 
 #: Weight of a hit in the title, the body and the tags.
 WEIGHTS = {"title_lexemes": 1.0, "text_lexemes": 0.4, "tag_lexemes": 0.2}
-HEADLINE_WORDS, BEFORE = 35, 10
+#: Words of a highlight.
+MOST_WORDS, LEAST_WORDS = 35, 15
 
 
 def search_columns(df: DataFrame, language: str = "english") -> DataFrame:
@@ -44,10 +46,8 @@ class Clause:
         return ~found if self.negated else found
 
     def _lexemes(self, language: str) -> Column:
-        if language == "simple":
-            return F.lit(f" {' '.join(self.phrase)} ")
-        parts = [F.lit("") if w in STOPWORDS else stemmed(F.lit(w)) for w in self.phrase]
-        return F.concat(F.lit(" "), F.concat_ws(" ", *parts), F.lit(" "))
+        parts = self.phrase if language == "simple" else ["" if w in STOPWORDS else stem(w) for w in self.phrase]
+        return F.lit(f" {' '.join(parts)} ")
 
 
 @dataclass(frozen=True)
@@ -69,15 +69,15 @@ class WebQuery:
         return F.exists(F.array("search_text"), any_group)
 
     def terms(self) -> list[str]:
-        """Different wanted words, stop words left out."""
+        """Different wanted lexemes, stop words left out."""
         found = [w for g in self.groups for c in g if not c.negated for w in c.phrase]
-        return list(dict.fromkeys(w for w in found if self.language == "simple" or w not in STOPWORDS))
+        return list(dict.fromkeys(w if self.language == "simple" else stem(w) for w in found if self.language == "simple" or w not in STOPWORDS))
 
     def rank(self) -> Column:
         """Sum over terms and parts of weight * ln(1 + hits): more hits and heavier parts rank higher."""
         score = F.lit(0.0)
         for term in self.terms():
-            lexeme = F.lit(term) if self.language == "simple" else stemmed(F.lit(term))
+            lexeme = F.lit(term)
             for part, weight in WEIGHTS.items():
                 score = score + weight * F.log1p(F.size(F.filter(part, _equals(lexeme))).cast("double"))
         return score
@@ -104,23 +104,32 @@ def search(df: DataFrame, query: WebQuery) -> DataFrame:
     return df.where(query.matches()).withColumn("rank", query.rank())
 
 
-def headline(text: Column | str, query: WebQuery) -> Column:
-    """Part of the text around the first hit, hits marked; without a hit the beginning.
+def headline(text: Column | str, query: WebQuery, most: int = MOST_WORDS, least: int = LEAST_WORDS) -> Column:
+    """The run of at most `most` words that holds the most different terms, hits marked; of equal ones the first.
 
-    Meant for the rows of a page, after the top-k.
+    It begins with a hit, or earlier where fewer than `least` words follow;
+    without a hit it is the first `least` words.  Meant for the rows of a page,
+    after the top-k.
     """
     raw = F.filter(F.split(text, r"\s+"), lambda w: w != "")
-    terms = F.array(*[F.lit(t) if query.language == "simple" else stemmed(F.lit(t)) for t in query.terms()]).cast("array<string>")
-
-    def hit(word: Column) -> Column:
-        parts = words(word)
-        return F.arrays_overlap(parts if query.language == "simple" else F.transform(parts, stemmed), terms)
-
-    marks = F.transform(raw, lambda w: F.coalesce(hit(w), F.lit(False)))
-    first = F.array_position(marks, True)
-    start = F.greatest(F.lit(1), first - BEFORE).cast("int")
-    shown = F.slice(F.arrays_zip(raw.alias("w"), marks.alias("m")), start, F.lit(HEADLINE_WORDS))
-    return F.array_join(F.transform(shown, lambda x: F.when(x["m"], F.concat(F.lit("<mark>"), x["w"], F.lit("</mark>"))).otherwise(x["w"])), " ")
+    terms = F.array(*map(F.lit, query.terms())).cast("array<string>")
+    plain = F.transform(raw, lambda w: F.array_join(words(w), " "))
+    plain = plain if query.language == "simple" else stems(plain)
+    hits = F.transform(plain, lambda p: F.array_intersect(F.split(p, " "), terms))
+    n = F.size(raw)
+    # Bound as variables, the arrays are made once per row.
+    row = F.struct(raw.alias("raw"), hits.alias("hits"), n.alias("n"))
+
+    def shown(r: Column) -> Column:
+        places = F.filter(F.when(r["n"] > 0, F.sequence(F.lit(1), r["n"])).otherwise(F.array().cast("array<int>")), lambda i: F.size(F.get(r["hits"], i - 1)) > 0)
+        runs = F.transform(places, lambda i: F.struct(F.size(F.array_distinct(F.flatten(F.slice(r["hits"], i, F.lit(most))))).alias("terms"), (-i).alias("at")))
+        best = -F.array_max(runs)["at"]
+        start = F.greatest(F.lit(1), F.least(best, r["n"] - least + 1))
+        length = F.when(best.isNull(), F.lit(least)).otherwise(F.lit(most))
+        part = F.slice(F.arrays_zip(r["raw"].alias("w"), r["hits"].alias("h")), F.coalesce(start, F.lit(1)).cast("int"), length)
+        return F.array_join(F.transform(part, lambda x: F.when(F.size(x["h"]) > 0, F.concat(F.lit("<mark>"), x["w"], F.lit("</mark>"))).otherwise(x["w"])), " ")
+
+    return F.get(F.transform(F.array(row), shown), F.lit(0))
 
 
 def postings(df: DataFrame, language: str = "english") -> DataFrame:
@@ -131,11 +140,8 @@ def postings(df: DataFrame, language: str = "english") -> DataFrame:
     """
     parts = []
     for part, weight in (("title", "A"), ("text_content", "B"), (F.array_join("tags", " "), "C")):
-        found = df.select("user_id", "bookmark_id", F.posexplode(words(part)).alias("pos", "word"))
-        if language != "simple":
-            found = found.where(~F.col("word").isin(STOPWORDS))
-        lexeme = F.col("word") if language == "simple" else stemmed(F.col("word"))
-        parts.append(found.select("user_id", "bookmark_id", lexeme.alias("lexeme"), F.lit(weight).alias("weight"), "pos"))
+        found = df.select("user_id", "bookmark_id", F.posexplode(lexemes(part, language)).alias("pos", "lexeme")).where("lexeme != ''")
+        parts.append(found.select("user_id", "bookmark_id", "lexeme", F.lit(weight).alias("weight"), "pos"))
     return reduce(DataFrame.unionByName, parts).groupBy("lexeme", "weight", "user_id", "bookmark_id").agg(F.array_sort(F.collect_list("pos")).alias("positions"))
 
 

@@ -21,8 +21,9 @@ def hybrid(vector_matches: DataFrame, text_hits: DataFrame, limit: int) -> DataF
     0 and rank limit + 1, which is better than the rank of a late hit.
     """
     best = ranked(vector_matches.orderBy(F.desc("similarity"), "chunk_id").limit(limit), "vector_rank", F.desc("similarity"), "chunk_id")
-    hits = text_hits.select("bookmark_id", F.col("rank").alias("fts_score"))
-    # The rank of a hit counts all hits before it, so all are read once, but only the matched ones are ranked.
+    # Both uses below read one and the same exchange, so the search runs once.
+    hits = text_hits.select("bookmark_id", F.col("rank").alias("fts_score")).repartition("bookmark_id")
+    # The rank of a hit counts all hits before it, but only the matched ones are ranked.
     matched = hits.join(F.broadcast(best.select("bookmark_id").distinct()), "bookmark_id", "left_semi")  # `limit` rows at most
     probe = F.broadcast(matched.select(F.col("bookmark_id").alias("b"), F.col("fts_score").alias("s")))  # likewise
     before = (F.col("fts_score") > F.col("s")) | ((F.col("fts_score") == F.col("s")) & (F.col("bookmark_id") < F.col("b")))

@@ -33,6 +33,13 @@ def backoff_minutes(attempts: Column | str) -> Column:
     return F.element_at(F.array(*map(F.lit, BACKOFF_MINUTES)), F.greatest(F.lit(1), F.least(attempts, F.lit(len(BACKOFF_MINUTES)))))
 
 
+def new_tasks(requests: DataFrame) -> DataFrame:
+    """requests: user_id, url, tags, created_at.  Pending tasks that are due at once; the id depends on the request alone, so one that is sent again is known."""
+    key = F.md5(F.concat_ws("|", "user_id", "url", F.unix_micros("created_at").cast("string")))
+    values = {"task_id": key, "status": F.lit(PENDING), "updated_at": F.col("created_at"), "next_delivery": F.col("created_at"), "retries": F.lit(None).cast("int"), "fail_reason": F.lit(None).cast("string")}
+    return requests.select("user_id", "url", "tags", "created_at").withColumns(values)
+
+
 def due_tasks(tasks: DataFrame, now: datetime) -> DataFrame:
     return tasks.where((F.col("status") == PENDING) & (F.col("next_delivery") <= F.lit(now)))
 

@@ -14,6 +14,7 @@ from datetime import datetime
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import fts, fusion, vector
 
@@ -95,8 +96,8 @@ class RagEngine:
                         verdicts.append((True, UNASSESSED))  # a chunk that could not be judged stays
                 yield batch.assign(keep=[bool(v[0]) for v in verdicts], why=[v[1] for v in verdicts])
 
-        columns = "chunk_id string, chunk_text string, similarity double, rank int, keep boolean, why string"
-        return merged.select("chunk_id", "chunk_text", "similarity", "rank").mapInPandas(run, columns).where("keep").drop("keep")
+        schema = T.StructType([*merged.schema.fields, T.StructField("keep", T.BooleanType()), T.StructField("why", T.StringType())])
+        return merged.mapInPandas(run, schema).where("keep").drop("keep")
 
     def ask(self, bookmarks: DataFrame, chunks: DataFrame, user_id: str, question: str, now: datetime) -> dict:
         """The session row: question, answer and cited chunk ids; at most max_chunks rows come to the driver."""

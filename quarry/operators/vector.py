@@ -1,13 +1,17 @@
-"""Exact cosine retrieval."""
+"""Cosine retrieval, exact and by an approximate index."""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
+from functools import reduce
 
+from pyspark.ml.clustering import KMeans
+from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Queries of one batch; above it, block the batch.  They are sent to every task, so the bound is checked.
+#: Queries that meet the chunks in one pass; a larger batch takes several.  They are sent to every task.
 MOST_QUERIES = 4096
 
 
@@ -33,22 +37,64 @@ def nearest(chunks: DataFrame, query: Sequence[float], k: int, threshold: float
     return scored.orderBy(F.desc("similarity"), key).limit(k)
 
 
-def nearest_batch(chunks: DataFrame, queries: DataFrame, k: int, threshold: float | None = None, key: str = "chunk_id") -> DataFrame:
+def nearest_batch(chunks: DataFrame, queries: DataFrame, k: int, threshold: float | None = None, key: str = "chunk_id", most: int = MOST_QUERIES) -> DataFrame:
     """queries: query_id, query.  Up to k chunks of each, with similarity and rank.
 
-    The queries meet every chunk in one pass; the rank filter lets only k rows
-    per query leave a task.  At most MOST_QUERIES queries are taken.
+    Blocks of at most about `most` queries meet every chunk in one pass each.
+    Only keys, vectors and scores take part, and the rank filter lets only k
+    rows per query leave a task; the other columns join those at the end.
     """
-    n = queries.limit(MOST_QUERIES + 1).count()
-    if n > MOST_QUERIES:
-        raise ValueError(f"more than {MOST_QUERIES} queries; pass them in blocks")
-    gathered = queries.select(F.struct("query_id", "query").alias("q")).agg(F.collect_list("q").alias("queries"))
-    scored = chunks.crossJoin(F.broadcast(gathered)).withColumn("q", F.explode("queries"))  # one row of at most MOST_QUERIES vectors
-    scored = scored.select(*chunks.columns, "q.query_id", cosine("embedding", "q.query").alias("similarity")).where("similarity is not null")
-    if threshold is not None:
-        scored = scored.where(F.col("similarity") >= threshold)
+    n_blocks = -(-queries.count() // most)
+    blocks = queries.withColumn("_block", F.pmod(F.xxhash64("query_id"), F.lit(max(1, n_blocks))))
+    vectors = chunks.select(key, "embedding")
+    parts = []
+    for i in range(max(1, n_blocks)):
+        gathered = blocks.where(F.col("_block") == i).select(F.struct("query_id", "query").alias("q")).agg(F.collect_list("q").alias("queries"))
+        scored = vectors.crossJoin(F.broadcast(gathered)).withColumn("q", F.explode("queries"))  # one row of a block's vectors
+        scored = scored.select(key, "q.query_id", cosine("embedding", "q.query").alias("similarity")).where("similarity is not null")
+        parts.append(scored if threshold is None else scored.where(F.col("similarity") >= threshold))
     best = Window.partitionBy("query_id").orderBy(F.desc("similarity"), key)
-    return scored.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+    ranked = [part.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k) for part in parts]
+    return chunks.join(reduce(DataFrame.unionByName, ranked), key)
+
+
+@dataclass(frozen=True)
+class InvertedLists:
+    """Approximate index: cells around centroids, of which a query reads the nearest few.
+
+    The centroids come from a bounded sample; every vector is then put into the
+    cell of its nearest centroid.  Written partitioned by cell, the table lets a
+    query prune all other cells.
+    """
+
+    centroids: tuple[tuple[float, ...], ...]
+
+    @classmethod
+    def fit(cls, chunks: DataFrame, cells: int, sample: int = 50_000, seed: int = 1) -> InvertedLists:
+        """k-means over unit vectors of at most `sample` rows, taken in the order of a hash of the vectors."""
+        usable = chunks.where("embedding is not null").select(_unit("embedding").alias("u")).where("u is not null")
+        drawn = usable.orderBy(F.xxhash64("u")).limit(sample).select(array_to_vector("u").alias("features"))
+        model = KMeans(k=cells, seed=seed, maxIter=10).fit(drawn)
+        return cls(tuple(tuple(float(x) for x in c) for c in model.clusterCenters()))
+
+    def _by_similarity(self, vector: Column) -> Column:
+        """Cells, the most similar centroid first; for as many cells as a plan holds as literals."""
+        table = F.array(*[F.array(*map(F.lit, c)) for c in self.centroids])
+        scored = F.transform(table, lambda c, i: F.struct((-F.coalesce(cosine(vector, c), F.lit(-2.0))).alias("d"), i.alias("cell")))
+        return F.transform(F.array_sort(scored), lambda x: x["cell"])
+
+    def assigned(self, chunks: DataFrame) -> DataFrame:
+        """The chunks with their cell; rows without a vector have none and drop out of searches."""
+        return chunks.withColumn("cell", F.when(F.col("embedding").isNotNull(), F.get(self._by_similarity(F.col("embedding")), F.lit(0))))
+
+    def nearest(self, index: DataFrame, query: Sequence[float], k: int, probes: int, threshold: float | None = None, key: str = "chunk_id") -> DataFrame:
+        """Like `nearest`, among the `probes` cells nearest to the query."""
+        ranked = index.sparkSession.range(1).select(self._by_similarity(F.array(*[F.lit(float(x)) for x in query])).alias("cells")).first()["cells"]
+        return nearest(index.where(F.col("cell").isin(ranked[:probes])), query, k, threshold, key)
+
+
+def _unit(vector: str) -> Column:
+    return F.when(norm(vector) > 0, F.transform(vector, lambda x: x.cast("double") / norm(vector)))
 
 
 def check_dimensions(chunks: DataFrame, n_texts: int | None = None) -> int:

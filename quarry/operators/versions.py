@@ -52,18 +52,19 @@ def reset_derived(tables: Tables, now: datetime) -> Tables:
     return tables | emptied | {"bookmark": b.withColumns(values)}
 
 
-def sign_up_errors(username: str, password: str, confirmation: str) -> list[tuple[str, str]]:
-    """What is wrong with a new account, by field; the rules are fixed values."""
-    errors = []
-    if not username.strip():
-        errors.append(("username", "username must not be empty"))
-    if not password.strip():
-        errors.append(("password", "password must not be empty"))
-    elif len(password) < 8:
-        errors.append(("password", "password must be at least 8 characters"))
-    if password != confirmation:
-        errors.append(("password", "password confirmation should match"))
-    return errors
+#: Field, message and the rule that a new account breaks.
+SIGN_UP_RULES = (
+    ("username", "username must not be empty", "username rlike '^\\\\s*$'"),
+    ("password", "password must not be empty", "password rlike '^\\\\s*$'"),
+    ("password", "password must be at least 8 characters", "password rlike '\\\\S' and length(password) < 8"),
+    ("password", "password confirmation should match", "not password <=> confirmation"),
+)
+
+
+def sign_up_errors(accounts: DataFrame) -> DataFrame:
+    """accounts: username, password, confirmation.  Adds errors: the field and message of every rule that the account breaks."""
+    broken = [F.when(F.expr(rule), F.struct(F.lit(field).alias("field"), F.lit(message).alias("message"))) for field, message, rule in SIGN_UP_RULES]
+    return accounts.withColumn("errors", F.filter(F.array(*broken), lambda e: e.isNotNull()))
 
 
 def user_named(users: DataFrame, name: str) -> DataFrame:

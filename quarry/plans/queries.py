@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import html as H
+from ..functions import markup as M
 from ..functions.text import lexemes, words
 from ..functions.urls import bookmark_id, canonical_url, domain
 from ..operators import chunking, enrich, fts, fusion, history, limiter, mutations, paging, predicates, queues, tags, vector, versions
@@ -211,6 +212,18 @@ def fts_ranked_page(spark, d):
     return paging.page(found.select("bookmark_id", F.round("rank", 6).alias("rank")), F.desc("rank"), "bookmark_id")
 
 
+_MARK = "list_transform(raw, lambda w: list_filter(['the', 'of'], lambda t: list_contains(string_split_regex(lower(w), '[^\\p{L}\\p{N}]+'), t)))"
+
+
+@query(f"""{_VECTOR}, h AS (SELECT bookmark_id, raw, {_MARK} AS hits FROM (SELECT bookmark_id, list_filter(string_split_regex(text_content, '[ \\t\\n\\x0B\\f\\r]+'), lambda w: w <> '') AS raw FROM s WHERE user_id = '3')),
+b AS (SELECT *, -list_max(list_transform(list_filter(range(1, len(raw) + 1), lambda i: len(hits[i]) > 0), lambda i: {{'terms': len(list_distinct(flatten(hits[i : i + 34]))), 'at': -i}})).at AS best FROM h),
+c AS (SELECT *, greatest(1, least(coalesce(best, 1), len(raw) - 14)) AS a, CASE WHEN best IS NULL THEN 15 ELSE 35 END AS n FROM b)
+SELECT bookmark_id, coalesce(list_aggregate(list_transform(range(a, least(len(raw), a + n - 1) + 1), lambda i: CASE WHEN len(hits[i]) > 0 THEN '<mark>' || raw[i] || '</mark>' ELSE raw[i] END), 'string_agg', ' '), '') AS search_match FROM c""")
+def fts_headline_simple(spark, d):
+    b = adapt.bookmarks(spark, d).where("user_id = '3'")
+    return b.select("bookmark_id", fts.headline("text_content", fts.web_query("the of", "simple")).alias("search_match"))
+
+
 @query()
 def fts_headline(spark, d):
     return search(adapt.bookmarks(spark, d), "3", SearchRequest(query="things or eronly or thand", limit=10)).items.select("bookmark_id", "search_match")
@@ -226,10 +239,10 @@ def fts_empty_query(spark, d):
     return hits(adapt.bookmarks(spark, d), "3", SearchRequest(query='"" the', language="english")).select("bookmark_id", F.lit(0).alias("n"))
 
 
-@query(f"{_VECTOR}, p AS (SELECT user_id, bookmark_id, 'A' AS weight, unnest(tl) AS lexeme FROM s UNION ALL SELECT user_id, bookmark_id, 'B', unnest(xl) FROM s UNION ALL SELECT user_id, bookmark_id, 'C', unnest(gl) FROM s) SELECT lexeme, weight, count(DISTINCT bookmark_id) AS docs, count(*) AS hits FROM p GROUP BY lexeme, weight HAVING count(*) >= 20")
+@query(f"{_VECTOR}, p AS (SELECT user_id, bookmark_id, 'A' AS weight, unnest(tl) AS lexeme FROM s UNION ALL SELECT user_id, bookmark_id, 'B', unnest(xl) FROM s UNION ALL SELECT user_id, bookmark_id, 'C', unnest(gl) FROM s) SELECT lexeme, weight, count(DISTINCT bookmark_id) AS docs, count(*) AS hits FROM p GROUP BY lexeme, weight")
 def fts_postings_stats(spark, d):
     p = fts.postings(adapt.bookmarks(spark, d), "simple")
-    return p.groupBy("lexeme", "weight").agg(F.count("*").alias("docs"), F.sum(F.size("positions")).alias("hits")).where("hits >= 20")
+    return p.groupBy("lexeme", "weight").agg(F.count("*").alias("docs"), F.sum(F.size("positions")).alias("hits"))
 
 
 @query(f"{_VECTOR} SELECT bookmark_id, CAST(len(list_filter(al, lambda x: x IN ('the', 'of'))) AS BIGINT) AS hits FROM s WHERE user_id = '3' AND list_has_all(al, ['the', 'of'])")
@@ -259,6 +272,13 @@ def knn_batch_topk(spark, d):
     return vector.nearest_batch(c, queries, 5).select("query_id", "chunk_id", F.round("similarity", 6).alias("similarity"), "rank")
 
 
+@query()
+def knn_ivf_topk(spark, d):
+    c = adapt.chunks(spark, d)
+    index = vector.InvertedLists.fit(c, 16)
+    return index.nearest(index.assigned(c), _probe(spark, d), 12, probes=8).select("chunk_id", F.round("similarity", 6).alias("similarity"))
+
+
 @query(f"{with_views('chunks')} SELECT count(*) AS n, min(len(embedding)) AS lo, max(len(embedding)) AS hi FROM chunks")
 def embedding_dimensions(spark, d):
     c = adapt.chunks(spark, d)
@@ -418,7 +438,17 @@ def backoff_schedule(spark, d):
     return e.select("event_id", queues.backoff_minutes((F.col("event_id") % 8).cast("int")).alias("minutes"))
 
 
-@query()
+@query("""WITH RECURSIVE e AS (SELECT CAST(user_id % 20 AS VARCHAR) AS key, event_id AS seq, epoch_us(ts) / 1e6 AS t, event_type = 'signup' AS ok, row_number() OVER (PARTITION BY user_id % 20 ORDER BY ts, event_id) AS i FROM events WHERE event_type IN ('error', 'signup')),
+w(key, i, seq, start, n, allowed, retry_after) AS (
+  SELECT key, i, seq, CASE WHEN NOT ok THEN t END, CASE WHEN ok THEN 0 ELSE 1 END, true, CAST(0 AS BIGINT) FROM e WHERE i = 1
+  UNION ALL
+  SELECT e.key, e.i, e.seq,
+    CASE WHEN w.start IS NULL OR t - w.start >= 86400 THEN CASE WHEN NOT ok THEN t END WHEN n >= 5 THEN w.start WHEN NOT ok THEN w.start END,
+    CASE WHEN w.start IS NULL OR t - w.start >= 86400 THEN CASE WHEN ok THEN 0 ELSE 1 END WHEN n >= 5 THEN n WHEN ok THEN 0 ELSE n + 1 END,
+    w.start IS NULL OR t - w.start >= 86400 OR n < 5,
+    CASE WHEN w.start IS NULL OR t - w.start >= 86400 OR n < 5 THEN 0 ELSE greatest(1, CAST(trunc(w.start + 86400 - t) AS BIGINT)) END
+  FROM w JOIN e ON e.key = w.key AND e.i = w.i + 1)
+SELECT key, seq, allowed, retry_after FROM w""")
 def rate_limit_decisions(spark, d):
     e = spark.read.parquet(f"{d}/events.parquet").where("event_type IN ('error', 'signup')")
     at = F.unix_micros(F.col("ts").cast("timestamp")) / 1e6
@@ -452,6 +482,27 @@ def url_domain(spark, d):
     return adapt.pages(spark, d).select("page_id", domain("url").alias("domain"))
 
 
+@query(f"{with_views('bookmarks')} SELECT user_id, url, 'pending' AS status, array_to_string(tags, '|') AS tags, {_CREATED}, {_AT.format('created_at')} AS due FROM bookmarks")
+def task_enqueue(spark, d):
+    t = queues.new_tasks(adapt.bookmarks(spark, d).select("user_id", "url", "tags", "created_at"))
+    return t.select("user_id", "url", "status", _joined("tags").alias("tags"), _at("created_at").alias("created_at"), _at("next_delivery").alias("due"))
+
+
+@query(f"{with_views('chunks')} SELECT chunk_index, chunk_text AS summary FROM chunks WHERE user_id = '7' AND bookmark_id = '17' ORDER BY chunk_index")
+def ai_chunks_of_bookmark(spark, d):
+    c = adapt.chunks(spark, d).withColumn("summary", F.col("chunk_text"))
+    return chunking.chunks_of(c, "7", "17").select("chunk_index", "summary")
+
+
+@query(f"{with_views('sessions')} SELECT session_id, question, CASE WHEN session_id LIKE '%1-%' AND user_id <> '3' THEN 'late' END AS answer, CASE WHEN session_id LIKE '%1-%' AND user_id <> '3' THEN 'c1' ELSE '' END AS chunks FROM sessions")
+def rag_session_lifecycle(spark, d):
+    """Questions come first; answers come later and only reach a session of their own tenant."""
+    s = adapt.sessions(spark, d)
+    asked = history.opened(s.select("session_id", "user_id", "question"), NOW)
+    answers = s.where("session_id LIKE '%1-%'").select("session_id", F.when(F.col("user_id") == "3", "other").otherwise(F.col("user_id")).alias("user_id"), F.lit("late").alias("answer"), F.array(F.lit("c1")).alias("relevant_chunks"))
+    return history.answered(asked, answers, NOW).select("session_id", "question", "answer", _joined("relevant_chunks").alias("chunks"))
+
+
 @query()
 def bookmark_id_murmur(spark, d):
     return adapt.pages(spark, d).select("page_id", bookmark_id(canonical_url("url")).alias("bookmark_id"))
@@ -459,7 +510,7 @@ def bookmark_id_murmur(spark, d):
 
 @query()
 def html_article_text(spark, d):
-    return adapt.pages(spark, d).select("page_id", H.title("html").alias("title"), H.article_text("html").alias("text"), F.length(H.sanitized("html")).alias("sanitized_chars"))
+    return adapt.pages(spark, d).select("page_id", H.title("html").alias("title"), M.article_text("html").alias("text"), M.article_html("html").alias("article"), M.sanitized("html").alias("sanitized"))
 
 
 def _with_images(spark, d):
@@ -504,6 +555,22 @@ def chunk_windows(spark, d):
     return chunking.windows(adapt.bookmarks(spark, d).select("user_id", "bookmark_id", "text_content"), _CONFIG).select("bookmark_id", "chunk_index", "chunk_text")
 
 
+def _characters(text: str) -> list[int]:
+    return list(map(ord, text))
+
+
+def _from_characters(ids: list[int]) -> str:
+    return "".join(map(chr, ids))
+
+
+@query(f"""{with_views("bookmarks")}, w AS (SELECT bookmark_id, text_content, unnest(generate_series(0, length(text_content) - 1, 250)) AS p0 FROM bookmarks WHERE length(text_content) > 0)
+SELECT bookmark_id, CAST(p0 // 250 AS INTEGER) AS chunk_index, substr(text_content, p0 + 1, 300) AS chunk_text FROM w""")
+def chunk_token_windows(spark, d):
+    """Windows over the ids of a codec: encoded, cut, decoded; here an id per character."""
+    b = adapt.bookmarks(spark, d).select("user_id", "bookmark_id", "text_content")
+    return chunking.token_windows(b, chunking.ChunkConfig(300, 50), _characters, _from_characters).select("bookmark_id", "chunk_index", "chunk_text")
+
+
 @query(f"{_WINDOWS} SELECT bookmark_id, chunk_index, sha256(chunk_text) AS chunk_hash FROM c")
 def chunk_hash(spark, d):
     return chunking.with_hash(chunking.windows(adapt.bookmarks(spark, d).select("user_id", "bookmark_id", "text_content"), _CONFIG)).select("bookmark_id", "chunk_index", "chunk_hash")
@@ -532,13 +599,14 @@ def canonical_collisions(spark, d):
     return mutations.collisions(b).select("user_id", domain("canonical_url").alias("domain"), "n")
 
 
-@query(f"""{with_views("bookmarks")}, r AS (SELECT *, row_number() OVER (PARTITION BY user_id, domain ORDER BY created_at, url) AS n FROM bookmarks WHERE doc_id >= 100)
-SELECT user_id, domain, bookmark_id AS old_id FROM r WHERE n = 1 AND (user_id, domain) NOT IN (SELECT (user_id, domain) FROM bookmarks WHERE doc_id < 100)""")
+@query(f"""{with_views("bookmarks")}, u AS (SELECT *, 'https://' || domain || '/' || (doc_id % 300) AS address FROM bookmarks),
+r AS (SELECT *, row_number() OVER (PARTITION BY user_id, address ORDER BY created_at) AS n FROM u WHERE doc_id >= 100)
+SELECT user_id, address, bookmark_id AS old_id FROM r WHERE n = 1 AND (user_id, address) NOT IN (SELECT (user_id, address) FROM u WHERE doc_id < 100)""")
 def save_dedup_first_wins(spark, d):
     b = adapt.bookmarks(spark, d)
-    b = b.withColumns({"old_id": F.col("bookmark_id"), "url": F.concat(F.lit("https://"), "domain", F.lit("/"))})
-    accepted, _ = mutations.new_bookmarks(b.where("doc_id < 100"), b.where("doc_id >= 100").drop("bookmark_id").withColumn("url", F.col("url")).orderBy("doc_id"))
-    return accepted.select("user_id", "domain", "old_id")
+    b = b.withColumns({"old_id": F.col("bookmark_id"), "url": F.concat(F.lit("HTTPS://"), F.upper("domain"), F.lit(":443/"), (F.col("doc_id") % 300).cast("string"))})
+    accepted, _ = mutations.new_bookmarks(b.where("doc_id < 100"), b.where("doc_id >= 100").drop("bookmark_id"))
+    return accepted.select("user_id", F.col("canonical_url").alias("address"), "old_id")
 
 
 @query(f"{with_views('bookmarks', 'chunks')} SELECT bookmark_id FROM bookmarks WHERE length(text_content) >= 200 AND bookmark_id NOT IN (SELECT bookmark_id FROM chunks)")
@@ -546,11 +614,11 @@ def bookmarks_without_chunks(spark, d):
     return adapt.bookmarks(spark, d).where(predicates.long_enough()).join(adapt.chunks(spark, d), ["user_id", "bookmark_id"], "left_anti").select("bookmark_id")
 
 
-@query(f"{with_views('bookmarks', 'chunks')} SELECT 'bookmarks' AS name, count(*) AS n FROM bookmarks WHERE doc_id % 3 <> 0 UNION ALL SELECT 'chunks', count(*) FROM chunks WHERE CAST(bookmark_id AS BIGINT) % 3 <> 0")
+@query(f"{with_views('bookmarks', 'chunks')} SELECT 'bookmarks' AS name, user_id, bookmark_id FROM bookmarks WHERE doc_id % 3 <> 0 UNION ALL SELECT 'chunks', user_id, bookmark_id FROM chunks WHERE CAST(bookmark_id AS BIGINT) % 3 <> 0")
 def delete_cascade(spark, d):
     b, c = adapt.bookmarks(spark, d), adapt.chunks(spark, d)
     left = mutations.delete_cascade({"bookmarks": b, "chunks": c}, b.where("doc_id % 3 = 0"), ["user_id", "bookmark_id"])
-    parts = [df.agg(F.lit(name).alias("name"), F.count("*").alias("n")) for name, df in left.items()]
+    parts = [df.select(F.lit(name).alias("name"), "user_id", "bookmark_id") for name, df in left.items()]
     return parts[0].unionByName(parts[1])
 
 
@@ -575,10 +643,10 @@ def replace_chunks(spark, d):
     return mutations.replace_chunks(c, new).select("bookmark_id", "chunk_index", "chunk_text")
 
 
-@query("SELECT c_custkey, lower(trim(c_name)) AS name FROM (SELECT *, row_number() OVER (PARTITION BY lower(c_name) ORDER BY c_custkey) AS n FROM customer WHERE c_custkey % 2 = 1) WHERE n = 1 AND lower(c_name) NOT IN (SELECT lower(c_name) FROM customer WHERE c_custkey % 10 = 3)")
+@query("SELECT c_custkey, lower(trim(c_name)) AS name FROM (SELECT *, row_number() OVER (PARTITION BY lower(c_name) ORDER BY c_custkey) AS n FROM customer) WHERE n = 1 AND lower(c_name) NOT IN (SELECT lower(c_name) FROM customer WHERE c_custkey % 10 = 3)")
 def users_unique_names(spark, d):
     c = spark.read.parquet(f"{d}/customer.parquet").select("c_custkey", F.concat(F.lit(" "), F.upper("c_name")).alias("username"), F.col("c_custkey").alias("user_id"), F.lit(0).alias("created_at"))
-    return mutations.new_users(c.where("c_custkey % 10 = 3"), c.where("c_custkey % 2 = 1")).select("c_custkey", F.lower(F.trim("username")).alias("name"))
+    return mutations.new_users(c.where("c_custkey % 10 = 3"), c).select("c_custkey", F.lower(F.trim("username")).alias("name"))
 
 
 # Windows of text-free tables: the general helpers on other tables
@@ -610,16 +678,16 @@ def _embed(texts: list[str]) -> list[list[float]]:
     return [[float(t.count(c)) for c in "aeiou"] for t in texts]
 
 
-@query(f"{_WINDOWS} SELECT bookmark_id, chunk_index, CAST(length(chunk_text) - length(replace(chunk_text, 'e', '')) AS DOUBLE) AS e FROM c WHERE chunk_index < 2")
+@query(f"{_WINDOWS} SELECT bookmark_id, chunk_index, CAST(length(chunk_text) - length(replace(chunk_text, 'e', '')) AS DOUBLE) AS e FROM c")
 def chunk_embeddings(spark, d):
-    chunks = chunking.windows(adapt.bookmarks(spark, d).select("user_id", "bookmark_id", "text_content"), _CONFIG).where("chunk_index < 2")
+    chunks = chunking.windows(adapt.bookmarks(spark, d).select("user_id", "bookmark_id", "text_content"), _CONFIG)
     return enrich.embedded(chunks, _embed).select("bookmark_id", "chunk_index", F.element_at("embedding", 2).cast("double").alias("e"))
 
 
-@query(f"""{_WINDOWS}, a AS (SELECT user_id, bookmark_id, chunk_index, CASE WHEN CAST(bookmark_id AS BIGINT) % 2 = 0 THEN 'stored' ELSE string_split(chunk_text, ' ')[1] END AS summary, string_split(chunk_text, ' ')[1] AS tag FROM c WHERE chunk_index < 3)
+@query(f"""{_WINDOWS}, a AS (SELECT user_id, bookmark_id, chunk_index, CASE WHEN CAST(bookmark_id AS BIGINT) % 2 = 0 THEN 'stored' ELSE string_split(chunk_text, ' ')[1] END AS summary, string_split(chunk_text, ' ')[1] AS tag FROM c)
 SELECT bookmark_id, string_agg(summary, chr(10) ORDER BY chunk_index) AS summaries FROM a GROUP BY bookmark_id""")
 def chunk_analysis_with_memo(spark, d):
-    fresh = enrich.chunk_rows(adapt.bookmarks(spark, d), _CONFIG).where("chunk_index < 3")
+    fresh = enrich.chunk_rows(adapt.bookmarks(spark, d), _CONFIG)
     even = F.col("bookmark_id").cast("long") % 2 == 0
     stored = fresh.select("user_id", "bookmark_id", "chunk_index", "chunk_hash", F.when(even, 1).otherwise(0).alias("pipeline_version"), F.lit("stored").alias("summary"), F.array(F.lit("s")).alias("tags"))
     done = enrich.analyzed(fresh, stored, lambda text: (text.split(" ")[0], [text[:1]]), 1)
@@ -671,11 +739,14 @@ def ai_output_merge(spark, d):
     return mutations.ai_output(b).select("bookmark_id", "summary", _joined("tags").alias("tags"))
 
 
-@query(f"{with_views('bookmarks')} SELECT count(DISTINCT bookmark_id) AS n, 10 AS drawn FROM bookmarks WHERE length(text_content) >= 200")
+@query(f"{with_views('bookmarks')} SELECT count(DISTINCT bookmark_id) AS n, 10 AS drawn, 10 AS of_them FROM bookmarks WHERE length(text_content) >= 200")
 def random_bookmarks(spark, d):
-    long = adapt.bookmarks(spark, d).where(predicates.long_enough())
-    drawn = long.select("bookmark_id", F.rand(7).alias("r")).orderBy("r", "bookmark_id").limit(10)
-    return long.agg(F.count_distinct("bookmark_id").alias("n")).crossJoin(drawn.agg(F.count("*").cast("int").alias("drawn")))
+    """A draw has no fixed rows; what holds for any: ten different bookmarks, all of them long enough."""
+    b = adapt.bookmarks(spark, d)
+    long = b.where(predicates.long_enough())
+    drawn = long.select("bookmark_id", F.rand().alias("r")).orderBy("r", "bookmark_id").limit(10)
+    facts = drawn.join(b, "bookmark_id").agg(F.count_distinct("bookmark_id").cast("int").alias("drawn"), F.count_if(predicates.long_enough()).cast("int").alias("of_them"))
+    return long.agg(F.count_distinct("bookmark_id").alias("n")).crossJoin(facts)
 
 
 @query(f"{with_views('tasks')} SELECT {_AT.format("date_trunc('hour', created_at)")} AS start, status, count(*) AS n FROM tasks GROUP BY 1, 2")

@@ -1,14 +1,26 @@
-"""Sinks: pages as compressed text, images as rows of bytes, index tables."""
+"""Sinks: pages, images as rows of bytes, index tables."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def write_pages(pages: DataFrame, path: str) -> None:
-    """One compressed text record per page, in a folder per page, so that one page is read without the others."""
-    pages.select("user_id", "bookmark_id", F.regexp_replace("html", r"[\r\n]+", " ").alias("value")).write.mode("append").partitionBy("user_id", "bookmark_id").option("compression", "gzip").text(path)
+def _bucket(buckets: int) -> Column:
+    return F.pmod(F.xxhash64("bookmark_id"), F.lit(buckets)).cast("int")
+
+
+def write_pages(pages: DataFrame, path: str, buckets: int = 64) -> None:
+    """user_id, bookmark_id and the html as it is, compressed, in a folder per tenant and hash bucket: few files, and one page is read from one of them."""
+    rows = pages.select("user_id", "bookmark_id", "html", _bucket(buckets).alias("bucket")).repartition("user_id", "bucket")
+    rows.sortWithinPartitions("user_id", "bucket", "bookmark_id").write.mode("append").partitionBy("user_id", "bucket").option("compression", "zstd").parquet(path)
+
+
+def stored_page(spark: SparkSession, path: str, user_id: str, bookmark_id: str, buckets: int = 64) -> DataFrame:
+    """The stored html of one bookmark; the filters reach folders and row groups."""
+    bucket = spark.range(1).select(F.pmod(F.xxhash64(F.lit(bookmark_id)), F.lit(buckets)).cast("int").alias("b")).first()["b"]
+    found = spark.read.schema("bookmark_id string, html string, user_id string, bucket int").parquet(path)
+    return found.where((F.col("user_id") == user_id) & (F.col("bucket") == bucket) & (F.col("bookmark_id") == bookmark_id)).select("user_id", "bookmark_id", "html")
 
 
 def write_images(images: DataFrame, path: str, present: DataFrame | None = None) -> None:

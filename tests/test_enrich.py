@@ -32,6 +32,9 @@ def test_retries():
     rng = random.Random(1)
     assert all(1000 <= enrich.wait_ms(n, rng) <= min(30_000, 1000 * 2**n) for n in range(1, 9))
     assert enrich.retriable(RuntimeError("HTTP 429")) and not enrich.retriable(RuntimeError("HTTP 400"))
+    passing = ("Too Many Requests", "service temporarily unavailable", "internal server error", "connection reset by peer", "request timed out", "rate limit", "status 503")
+    assert all(enrich.retriable(RuntimeError(m)) for m in passing)
+    assert not any(enrich.retriable(RuntimeError(m)) for m in ("invalid connection string", "model 5000 not found", "unauthorized"))
 
 
 def test_embeddings(spark):
@@ -70,7 +73,10 @@ def test_reset(spark):
     assert out["bookmark_chunk"].count() == 0 and out["bookmark"].where("summary is null and tags is null").count() == 2
 
 
-def test_sign_up_rules():
-    assert versions.sign_up_errors("a", "long enough", "long enough") == []
-    assert [f for f, _ in versions.sign_up_errors(" ", "short", "other")] == ["username", "password", "password"]
-    assert versions.sign_up_errors("a", "        ", "        ") == [("password", "password must not be empty")]
+def test_sign_up_rules(spark):
+    rows = [("a", "long enough", "long enough"), (" ", "short", "other"), ("a", "        ", "        ")]
+    found = versions.sign_up_errors(spark.createDataFrame(rows, "username string, password string, confirmation string")).collect()
+    errors = {r.username + r.password: [tuple(e) for e in r.errors] for r in found}
+    assert errors["along enough"] == []
+    assert [f for f, _ in errors[" short"]] == ["username", "password", "password"]
+    assert errors["a        "] == [("password", "password must not be empty")]

@@ -6,6 +6,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from quarry.functions import html as H
+from quarry.functions import markup as M
+from quarry.functions.stem import stem
 from quarry.functions.urls import bookmark_id, canonical_url, domain, murmur3_128
 from quarry.operators import chunking, fusion, history, limiter, mutations, predicates, queues, tags, vector
 from quarry.operators.rag import NO_ANSWER, UNASSESSED, Hybrid, RagEngine
@@ -249,6 +251,7 @@ def test_answers(spark):
 
     kept = RagEngine(embed=lambda q: [1.0, 0.0], relevant=judge).retrieve(b, chunks, "u", "what?").collect()
     assert [(r.chunk_id, r.why) for r in kept] == [("c1", UNASSESSED)]
+    assert {"bookmark_id", "chunk_index"} <= set(kept[0].asDict())
     hybrid = RagEngine(embed=lambda q: [1.0, 0.0], hybrid=Hybrid(True)).ask(b, chunks, "u", "first", NOW)
     assert hybrid["relevant_chunks"] == ["c1", "c2"]
 
@@ -256,9 +259,71 @@ def test_answers(spark):
 def test_html(spark):
     page = "<html><head><title>A &amp; B</title><script>var x='<p>'</script></head><body><nav>menu</nav><article><h1>Head</h1><p onclick='x()'>Text&nbsp;here <img src='/i.png'></p><blink>old</blink></article></body></html>"
     assert one(spark, H.title("h"), h=("string", page)) == "A & B"
-    assert one(spark, H.article_text("h"), h=("string", page)) == "Head Text here old"
-    clean = one(spark, H.sanitized("h"), h=("string", page))
+    assert one(spark, M.article_text("h"), h=("string", page)) == "Head Text here old"
+    clean = one(spark, M.sanitized("h"), h=("string", page))
     assert "onclick" not in clean and "<blink>" not in clean and "script" not in clean and "<p>" in clean
     assert one(spark, H.image_sources("h"), h=("string", page)) == ["/i.png"]
     for src, url in (("/i.png", "https://a.b/i.png"), ("i.png", "https://a.b/c/i.png"), ("//x.y/i", "https://x.y/i"), ("http://q/i", "http://q/i"), ("data:abc", None), ("", None)):
         assert one(spark, H.absolute(F.col("s"), F.col("u")), s=("string", src), u=("string", "https://a.b/c/d?e")) == url
+
+
+def test_nested_and_broken_markup(spark):
+    menu = "<div class='m'>" + "".join(f"<a href='/{i}'>Link number {i}</a> " for i in range(40)) + "</div>"
+    inner = "<div><p>First <b>paragraph, of some length.</b></p><div><article><p>Nested article part.</p></article></div><p>Second paragraph &lt;kept&gt;, after the nested one."
+    page = f"<body>{menu}<div id='x'>{inner}</div><div>short</div></body>"
+    text = one(spark, M.article_text("h"), h=("string", page))
+    assert text == "First paragraph, of some length. Nested article part. Second paragraph <kept>, after the nested one."
+    assert one(spark, M.article_text("h"), h=("string", None)) is None
+    assert one(spark, M.article_text("h"), h=("string", "")) == ""
+    assert one(spark, M.article_text("h"), h=("string", "<div>" * 2000 + "deep")) == "deep"
+
+
+@pytest.mark.parametrize(
+    ("markup", "clean"),
+    [
+        ("<p onclick=x>a</p>", "<p>a</p>"),
+        ("<a href='javascript:x()'>a</a>", "<a>a</a>"),
+        ("<a href=' java\tscript:x()'>a</a>", "<a>a</a>"),
+        ("<a href='/x?a=1&amp;b=2' target=_top>a</a>", '<a href="/x?a=1&amp;b=2">a</a>'),
+        ("<img src=x onerror=y alt='a>b'>", '<img src="x" alt="a&gt;b">'),
+        ("<scr<script>ipt>alert(1)</script>x", "ipt&gt;alert(1)x"),
+        ("<script>alert('<p>')</script><p>x", "<p>x</p>"),
+        ("<blink><b>x</blink>y", "<b>x</b>y"),
+        ("a < b & c", "a &lt; b &amp; c"),
+        ("<svg><p>x</p></svg>y", "y"),
+        ("<ul><li>a<li>b</ul>", "<ul><li>a</li><li>b</li></ul>"),
+    ],
+)
+def test_sanitized(spark, markup, clean):
+    assert one(spark, M.sanitized("h"), h=("string", markup)) == clean
+
+
+@pytest.mark.parametrize("line", "consistency>consist knavish>knavish generically>generic hopping>hop hoping>hope relational>relat sensibilities>sensibl ties>tie cries>cri gas>gas kiwis>kiwi enjoying>enjoy skies>sky news>news agreed>agre replacement>replac controlling>control by>by electrical>electr universities>univers".split())
+def test_stems(line):
+    word, want = line.split(">")
+    assert stem(word) == want
+
+
+def test_inverted_lists_recall(spark):
+    import random
+
+    rng = random.Random(5)
+    centers = [[rng.gauss(0, 1) for _ in range(8)] for _ in range(12)]
+    rows = [(str(i), [c + rng.gauss(0, 0.4) for c in centers[i % 12]]) for i in range(1500)] + [("none", None), ("zero", [0.0] * 8)]
+    chunks = spark.createDataFrame(rows, "chunk_id string, embedding array<float>")
+    index = vector.InvertedLists.fit(chunks, 12)
+    table = index.assigned(chunks).cache()
+    assert table.where("cell is null").count() == 1 and table.count() == len(rows)
+    found = wanted = 0
+    for i in range(0, 1500, 300):
+        exact = {r.chunk_id for r in vector.nearest(chunks, rows[i][1], 10).collect()}
+        near = {r.chunk_id for r in index.nearest(table, rows[i][1], 10, probes=3).collect()}
+        found, wanted = found + len(exact & near), wanted + len(exact)
+    assert found >= 0.9 * wanted == 45
+
+
+def test_batches_of_queries_in_blocks(spark):
+    chunks = spark.createDataFrame([(str(i), [float(i % 7), 1.0], f"t{i}") for i in range(60)], "chunk_id string, embedding array<float>, chunk_text string")
+    queries = spark.createDataFrame([(i, [float(i), 1.0]) for i in range(9)], "query_id int, query array<float>")
+    rows = lambda most: sorted((r.query_id, r.rank, r.chunk_id, r.chunk_text) for r in vector.nearest_batch(chunks, queries, 3, most=most).collect())
+    assert rows(2) == rows(100) and len(rows(2)) == 27

@@ -53,10 +53,13 @@ def test_images_are_fetched_or_left_out(spark):
 
 
 def test_sinks(spark, tmp_path):
-    pages = spark.createDataFrame([("u", "b", "<p>\nx</p>")], "user_id string, bookmark_id string, html string")
-    sinks.write_pages(pages, str(tmp_path / "pages"))
-    assert spark.read.text(str(tmp_path / "pages")).first().value == "<p> x</p>"
-    assert list((tmp_path / "pages").rglob("*.gz"))
+    html = "<pre>\n a\r\n\tb </pre>"
+    pages = spark.createDataFrame([("u", str(i), f"{html}{i}") for i in range(300)] + [("v", "7", "other"), ("v", "8", None)], "user_id string, bookmark_id string, html string")
+    sinks.write_pages(pages, str(tmp_path / "pages"), 4)
+    assert len(list((tmp_path / "pages").rglob("*.parquet"))) <= 8
+    assert [r.html for r in sinks.stored_page(spark, str(tmp_path / "pages"), "u", "7", 4).collect()] == [html + "7"]
+    assert [r.html for r in sinks.stored_page(spark, str(tmp_path / "pages"), "v", "8", 4).collect()] == [None]
+    assert not sinks.stored_page(spark, str(tmp_path / "pages"), "v", "9", 4).collect()
     images = spark.createDataFrame([("i", b"1"), ("i", b"1"), ("j", b"2")], "image_id string, content binary")
     sinks.write_images(images, str(tmp_path / "images"))
     sinks.write_images(images, str(tmp_path / "images"), spark.read.parquet(str(tmp_path / "images")))
