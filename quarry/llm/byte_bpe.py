@@ -7,7 +7,8 @@ of a task is encoded once, and ids decode through the inverse mapping.
 
 Defined results: a null text is an empty one and gives no ids; special tokens
 do not exist, so their strings are ordinary text; rows are handled one by
-one, so repeated ids, other columns and empty tables need no special case.
+one, so repeated ids, other columns and empty tables need no special case.  A
+very long text is cut and encoded piece by piece, each of whole pre-tokens.
 """
 
 from __future__ import annotations
@@ -17,16 +18,18 @@ import hashlib
 import struct
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import chain
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .shared import small_batches
+from .shared import frugal, small_batches
 
-#: Distinct pre-tokens that a worker remembers; beyond it the memory starts anew.
-MEMO = 250_000
+#: Bytes that a worker's remembered pre-tokens may take, about; beyond it the memory starts anew.
+MEMO_BYTES = 40 << 20
+#: Pre-tokens of a text encoded at a time, and the characters of a text that is not cut into such pieces.
+PIECE, SHORT_TEXT = 1 << 16, 1 << 18
 
 
 def byte_alphabet() -> list[str]:
@@ -84,26 +87,38 @@ class Codec:
             self.tokens[rank] = token
         self.translate = str.maketrans(dict(enumerate(byte_alphabet())))
         self.model = sentencepiece.SentencePieceProcessor(model_proto=sentencepiece_model(ranks))
-        self.cut = regex.compile(pattern).findall
+        self.pattern = regex.compile(pattern)
         # A pre-token that is itself in the vocabulary is one token, whether or not merges lead to it.
         self.ids = list(range(len(ranks) + 1))  # one object per id, which all remembered pre-tokens share
         self.whole = {text: (self.ids[rank],) for token, rank in ranks.items() if (text := token.decode(errors="replace")).encode() == token}
-        self.memo = dict(self.whole)
-
-    def encode(self, text: str) -> list[int]:
-        words = self.cut(text)
-        if len(self.memo) > MEMO:
-            self.forget()
-        memo = self.memo
-        new = list(set(words).difference(memo))
-        if new:
-            mapped = [w.encode().decode("latin-1").translate(self.translate) for w in new]
-            found = self.model.encode(mapped, num_threads=1)
-            memo.update((w, tuple(map(self.ids.__getitem__, ids))) for w, ids in zip(new, found, strict=True))
-        return list(chain.from_iterable(map(memo.__getitem__, words)))
+        self.forget()
+
+    def cut(self, text: str) -> Iterator[list[str]]:
+        """The pre-tokens of a text, in pieces."""
+        if len(text) <= SHORT_TEXT:
+            yield self.pattern.findall(text)
+            return
+        found = (m.group() for m in self.pattern.finditer(text))
+        while piece := list(islice(found, PIECE)):
+            yield piece
+
+    def encode(self, text: str) -> Iterator[list[int]]:
+        """The ids of a text, in pieces."""
+        for words in self.cut(text):
+            if self.size > MEMO_BYTES:
+                self.forget()
+            memo = self.memo
+            new = list(set(words).difference(memo))
+            if new:
+                mapped = [w.encode().decode("latin-1").translate(self.translate) for w in new]
+                found = self.model.encode(mapped, num_threads=1)
+                memo.update((w, tuple(map(self.ids.__getitem__, ids))) for w, ids in zip(new, found, strict=True))
+                # A string, a tuple and an entry of the table, and what they hold.
+                self.size += 200 * len(new) + 2 * sum(map(len, new)) + 8 * sum(map(len, found))
+            yield list(chain.from_iterable(map(memo.__getitem__, words)))
 
     def forget(self) -> None:
-        self.memo = dict(self.whole)
+        self.memo, self.size = dict(self.whole), 0
 
     def decode(self, ids: list[int]) -> bytes:
         return b"".join(map(self.tokens.__getitem__, ids))
@@ -129,11 +144,15 @@ def byte_bpe(docs: DataFrame, rank_file: str, pattern: str, with_ids: bool = Tru
                 part = batch.slice(at, 256)
                 n, ids_hash, text_hash, kept = [], [], [], []
                 for text in part.column(1).to_pylist():
-                    ids = codec.encode(text or "")
-                    n.append(len(ids))
-                    ids_hash.append(hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest())
-                    text_hash.append(hashlib.sha256(codec.decode(ids)).hexdigest())
-                    kept.append(np.array(ids, np.int32) if with_ids else None)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n, pa.int64()), pa.array(kept, pa.list_(pa.int32())), pa.array(ids_hash), pa.array(text_hash)], names=["doc_id", "n_tokens", "ids", "ids_sha256", "decoded_sha256"])
-
-    return small_batches(docs).select(docs.doc_id.cast("long").alias("doc_id"), docs.text).mapInArrow(run, "doc_id long, n_tokens long, ids array<int>, ids_sha256 string, decoded_sha256 string")
+                    of_ids, of_text, pieces = hashlib.sha256(), hashlib.sha256(), [np.zeros(0, np.int32)]
+                    for ids in codec.encode(text or ""):
+                        of_ids.update(("," * (len(pieces) > 1) + ",".join(map(str, ids))).encode())
+                        of_text.update(codec.decode(ids))
+                        pieces.append(np.array(ids, np.int32))
+                    kept.append(np.concatenate(pieces))
+                    n.append(len(kept[-1]))
+                    ids_hash.append(of_ids.hexdigest())
+                    text_hash.append(of_text.hexdigest())
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n, pa.int64()), pa.array(kept if with_ids else [None] * len(n), pa.list_(pa.int32())), pa.array(ids_hash), pa.array(text_hash)], names=["doc_id", "n_tokens", "ids", "ids_sha256", "decoded_sha256"])
+
+    return small_batches(docs).select(docs.doc_id.cast("long").alias("doc_id"), docs.text).mapInArrow(frugal(run), "doc_id long, n_tokens long, ids array<int>, ids_sha256 string, decoded_sha256 string")

@@ -24,7 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .shared import small_batches
+from .shared import frugal, small_batches
 
 PAD, RATE = 192, 8000
 FRAME, HOP, FAN_OUT, PEAKS = 256, 192, 3, 2
@@ -112,4 +112,4 @@ def media_columns(docs: DataFrame, with_media: bool = True) -> DataFrame:
                 types = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.binary(), pa.list_(pa.int32()), pa.list_(pa.int32())]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=[x.split()[0] for x in SCHEMA.split(", ")])
 
-    return small_batches(docs).select(docs.doc_id.cast("long").alias("doc_id"), docs.text).mapInArrow(run, SCHEMA)
+    return small_batches(docs).select(docs.doc_id.cast("long").alias("doc_id"), docs.text).mapInArrow(frugal(run), SCHEMA)

@@ -46,7 +46,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .shared import cut, possible, small_batches
+from .shared import cut, frugal, possible, small_batches
 from .wordhash import Words, blocks, mix
 
 WIDTH, PERCENT = 5, 75
@@ -343,7 +343,7 @@ def verified(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> Da
     # Only texts that some pair names are shuffled.
     named = possible(texts, pairs.select(F.explode(F.array("a", "b")).alias("doc_id")), "doc_id")
     both = asked.join(named, "doc_id").select("a", "chunk", "doc_id", "text").repartition("a", "chunk").sortWithinPartitions("a", "chunk", F.col("doc_id") != F.col("a"))
-    return both.mapInArrow(lambda it: _links(it, width, percent), "a long, b long").distinct()
+    return both.mapInArrow(frugal(lambda it: _links(it, width, percent)), "a long, b long").distinct()
 
 
 def ngram_jaccard(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, crowd: int = CROWD, tile_size: int = TILE, block: int = BLOCK, per_member: int = PAIRS) -> DataFrame:
@@ -355,11 +355,11 @@ def ngram_jaccard(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, c
     texts = small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null")
 
     # Shingles that crowd tiles: by what blocks count, then by the tiles themselves.
-    local = texts.mapInArrow(lambda it: _local_crowds(it, width), "token long, c long")
+    local = texts.mapInArrow(frugal(lambda it: _local_crowds(it, width)), "token long, c long")
     bits = _as_map(local.groupBy("token").agg(F.sum("c").alias("c")).where(F.col("c") > crowd))
     for turn in range(REORDERS + 1):
         shared_bits = docs.sparkSession.sparkContext.broadcast(bits)
-        base = cut(texts.mapInArrow(lambda it, sent=shared_bits: _profile(it, width, percent, sent.value), _PROFILE))
+        base = cut(texts.mapInArrow(frugal(lambda it, sent=shared_bits: _profile(it, width, percent, sent.value)), _PROFILE))
         sets = cut(base.where("n > 0").groupBy("s1", "s2").agg(F.min("doc_id").alias("rep")))
         own = base.where("n > 0").join(sets.withColumnRenamed("rep", "doc_id"), ["doc_id", "s1", "s2"], "left_semi")
         own = own.select("doc_id", F.explode("tokens").alias("token"))
@@ -373,7 +373,7 @@ def ngram_jaccard(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, c
 
     def compared(rows: DataFrame, *mode) -> DataFrame:
         rows = rows.repartition("token", "cell").sortWithinPartitions("token", "cell", "doc_id")
-        return rows.mapInArrow(lambda it: _compared(it, percent, per_member, *mode), _PAIRS).distinct()
+        return rows.mapInArrow(frugal(lambda it: _compared(it, percent, per_member, *mode)), _PAIRS).distinct()
 
     stars = _spread(members.join(maps, "doc_id").withColumn("label", F.col("doc_id")), _star_cells(block))
     tried = cut(compared(stars, "stars").select("a", "b"))
@@ -413,7 +413,7 @@ def ngram_jaccard(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, c
     if docs.where("doc_id is null").isEmpty():
         return linked
     null = F.lit(None).cast("long")
-    orphans = docs.where("doc_id is null").select(F.lit(0).cast("long").alias("doc_id"), "text").mapInArrow(lambda it: _profile(it, width, percent, None), _PROFILE)
+    orphans = docs.where("doc_id is null").select(F.lit(0).cast("long").alias("doc_id"), "text").mapInArrow(frugal(lambda it: _profile(it, width, percent, None)), _PROFILE)
     return linked.unionByName(orphans.select(null.alias("doc_id"), F.col("n").cast("long").alias("n_shingles"), null.alias("component_id"), F.lit(0).cast("long").alias("n_links")))
 
 

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import small_batches
+from .shared import frugal, small_batches
 from .toxicity import THRESHOLD, fold, labelled_sample
 from .wordhash import Words, blocks, mix, split_classes
 
@@ -82,7 +82,7 @@ def context_sums(docs: DataFrame) -> np.ndarray:
         seen = np.flatnonzero(table[:, -1])
         yield pa.RecordBatch.from_arrays([pa.array(seen.astype(np.int32)), *(pa.array(table[seen, i]) for i in range(DIMENSIONS + 1))], names=["entry", *names])
 
-    parts = small_batches(docs).select("doc_id", "text").mapInArrow(run, ", ".join(["entry int", *(f"{n} long" for n in names)]))
+    parts = small_batches(docs).select("doc_id", "text").mapInArrow(frugal(run), ", ".join(["entry int", *(f"{n} long" for n in names)]))
     summed = parts.groupBy("entry").agg(*[F.sum(n).alias(n) for n in names]).toArrow()
     out = np.zeros((VOCABULARY, DIMENSIONS + 1))
     out[summed.column("entry").to_numpy()] = np.stack([summed.column(n).to_numpy() for n in names], axis=1) if summed.num_rows else 0
@@ -176,7 +176,7 @@ def train(docs: DataFrame, labels: DataFrame, folds: int = 5, held_out: int = 0,
 
     # `rows` ids at most, so small enough to send to every task.
     sample = F.broadcast(labelled_sample(labels, "quality", folds, held_out, rows))
-    found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(sample, "doc_id").mapInArrow(run, "doc_id long, x array<double>, label double").toArrow().sort_by("doc_id")
+    found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(sample, "doc_id").mapInArrow(frugal(run), "doc_id long, x array<double>, label double").toArrow().sort_by("doc_id")
     x = np.array(found.column("x").to_pylist(), float).reshape(-1, width)
     return vectors, fit(x, found.column("label").to_numpy())
 
@@ -193,5 +193,5 @@ def quality_scores(docs: DataFrame, vectors: WordVectors, network: Network, fold
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.concatenate(scores) if scores else np.zeros(0))], names=[*batch.schema.names, "score"])
 
     docs = small_batches(docs).select(*columns)
-    scored = docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("score", T.DoubleType())]))
+    scored = docs.mapInArrow(frugal(run), T.StructType([*docs.schema.fields, T.StructField("score", T.DoubleType())]))
     return scored.withColumns({"held_out": F.coalesce(fold(folds) == held_out, F.lit(False)), "predicted": (F.col("score") >= threshold).cast("int")})

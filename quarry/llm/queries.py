@@ -41,7 +41,7 @@ def op6_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = media_columns.media_columns(table(spark, sf_dir, "documents"), with_media=False)
+    out = media_columns.media_columns(table(spark, sf_dir, "documents"))
     return out.drop("media", "fingerprint_time", "fingerprint_code")
 
 
@@ -58,7 +58,7 @@ def op9_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    out = byte_bpe(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN, with_ids=False)
+    out = byte_bpe(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
     return out.drop("ids")
 
 
