@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import small_batches
+from .shared import cut, frugal, small_batches
 from .wordhash import Words, blocks, mix, split_classes
 
 #: Labelled rows that the machine is fitted on at most, taken in the order of a hash of their ids.
@@ -82,32 +82,19 @@ def _fm(row: np.ndarray, feature: np.ndarray, n: int, bias: float, w: np.ndarray
     return bias + linear + 0.5 * (sums**2 - squares).sum(axis=1), sums
 
 
-def fit(term: np.ndarray, at: np.ndarray, label: np.ndarray, seed: int = 1) -> FactorizationMachine:
-    """Logistic loss with L2, by full-batch Adam; deterministic."""
+def fit(names: np.ndarray, f: np.ndarray, at: np.ndarray, label: np.ndarray, seed: int = 1) -> FactorizationMachine:
+    """Logistic loss with L2, by full-batch Adam; deterministic.
+
+    names: sorted hashes of the features; f: features of all rows, at: where each row's start.
+    """
     n = len(label)
     mean = float(label.mean()) if n else 0.0
     none = FactorizationMachine(np.zeros(0, np.uint64), float(np.log((mean + 1e-9) / (1 - mean + 1e-9))), np.zeros(1), np.zeros((1, FACTORS)))
-    if n == 0 or mean in (0.0, 1.0):
+    if n == 0 or mean in (0.0, 1.0) or not len(names):
         return none
     row = np.repeat(np.arange(n), np.diff(at))
-    names, ids = np.unique(term, return_inverse=True)
-    df = np.bincount(ids, minlength=len(names))
-    hits = np.bincount(ids, label[row], len(names))
-    # G statistic of each term against the label, signed towards the rarer class counts alike.
-    expected = df * mean
-    with np.errstate(divide="ignore", invalid="ignore"):
-        g = np.where(hits > 0, hits * np.log(hits / expected), 0) + np.where(df > hits, (df - hits) * np.log((df - hits) / (df - expected)), 0)
-    g[df < 2] = 0
-    top = np.sort(np.argsort(-g, kind="stable")[:FEATURES])
-    top = top[g[top] > EVIDENCE]
-    if not len(top):
-        return none
-    place = np.full(len(names), -1)
-    place[top] = np.arange(len(top))
-    f = place[ids]
-    row, f = row[f >= 0], f[f >= 0]
     rng = np.random.default_rng(seed)
-    bias, w, v = none.bias, np.zeros(len(top)), rng.normal(0, 0.01, (len(top), FACTORS))
+    bias, w, v = none.bias, np.zeros(len(names)), rng.normal(0, 0.01, (len(names), FACTORS))
     m = [0.0, np.zeros_like(w), np.zeros_like(v)]
     s = [0.0, np.zeros_like(w), np.zeros_like(v)]
     for step in range(1, EPOCHS + 1):
@@ -125,7 +112,7 @@ def fit(term: np.ndarray, at: np.ndarray, label: np.ndarray, seed: int = 1) -> F
             s[i] = 0.99 * s[i] + 0.01 * grads[i] ** 2
             params[i] = params[i] - rate * (m[i] / (1 - 0.9**step)) / (np.sqrt(s[i] / (1 - 0.99**step)) + 1e-8)
         bias, w, v = float(params[0]), params[1], params[2]
-    return FactorizationMachine(names[top], bias, w, v)
+    return FactorizationMachine(names, bias, w, v)
 
 
 def labelled_sample(labels: DataFrame, column: str, folds: int, held_out: int, rows: int = FIT_ROWS) -> DataFrame:
@@ -138,8 +125,26 @@ def fold(folds: int, doc_id: str = "doc_id"):
     return F.pmod(F.crc32(F.col(doc_id).cast("string")), F.lit(folds))
 
 
+def telling_terms(found: DataFrame) -> np.ndarray:
+    """found: terms, label.  Sorted hashes of at most FEATURES terms of two rows or more that tell the labels apart best; counted by Spark."""
+    n, ones = found.agg(F.count("*"), F.sum("label")).first()
+    if not n or not 0 < ones < n:
+        return np.zeros(0, np.uint64)
+    counted = found.select(F.explode("terms").alias("term"), "label").groupBy("term").agg(F.count("*").alias("df"), F.sum("label").alias("hits")).where("df >= 2")
+    # G statistic of each term against the label, from either side.
+    expected, hits, rest = F.col("df") * (ones / n), F.col("hits"), F.col("df") - F.col("hits")
+    part = lambda x, e: F.when(x > 0, x * F.log(x / e)).otherwise(F.lit(0.0))
+    g = part(hits, expected) + part(rest, F.col("df") - expected)
+    top = counted.select("term", g.alias("g")).where(F.col("g") > EVIDENCE).orderBy(F.desc("g"), "term").limit(FEATURES).toArrow()
+    return np.sort(top.column("term").to_numpy().view(np.uint64))
+
+
 def train(docs: DataFrame, labels: DataFrame, folds: int = 4, held_out: int = 2, rows: int = FIT_ROWS) -> FactorizationMachine:
-    """Fit on the terms of at most `rows` labelled documents; the terms come from the tasks, the fit runs on the driver."""
+    """Fit on the terms of at most `rows` labelled documents.
+
+    Terms are made and counted by Spark; the driver gets the numbers of the
+    features that each of these documents has.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -151,11 +156,26 @@ def train(docs: DataFrame, labels: DataFrame, folds: int = 4, held_out: int = 2,
 
     # `rows` ids at most, so small enough to send to every task.
     sample = F.broadcast(labelled_sample(labels, "toxic", folds, held_out, rows))
-    found = small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(sample, "doc_id").mapInArrow(run, "doc_id long, terms array<long>, label double").toArrow().sort_by("doc_id")
-    terms = found.column("terms").combine_chunks()
-    terms = terms if isinstance(terms, pa.ListArray) else pa.concat_arrays(terms.chunks) if terms.num_chunks else pa.array([], pa.list_(pa.int64()))
-    at = terms.offsets.to_numpy().astype(np.int64)
-    return fit(terms.values.to_numpy().view(np.uint64), at, found.column("label").to_numpy())
+    texts = small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    found = cut(texts.join(sample, "doc_id").mapInArrow(frugal(run), "doc_id long, terms array<long>, label double"))
+    names = telling_terms(found)
+    shared = docs.sparkSession.sparkContext.broadcast(names)
+
+    def known(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = shared.value
+        for batch in batches:
+            features = []
+            for terms in batch.column(1):
+                term = terms.values.to_numpy().view(np.uint64)
+                place = np.searchsorted(names, term)
+                place[place == len(names)] = 0
+                features.append(place[names[place] == term].astype(np.int32) if len(names) else np.zeros(0, np.int32))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(features, pa.list_(pa.int32())), batch.column(2)], names=["doc_id", "features", "label"])
+
+    kept = found.mapInArrow(frugal(known), "doc_id long, features array<int>, label double").toArrow().sort_by("doc_id")
+    features = kept.column("features").to_pylist()
+    at = np.concatenate(([0], np.cumsum([len(x) for x in features]))).astype(np.int64)
+    return fit(names, np.array([x for f in features for x in f], np.int64), at, kept.column("label").to_numpy())
 
 
 def toxicity_scores(docs: DataFrame, machine: FactorizationMachine, folds: int = 4, held_out: int = 2, threshold: float = THRESHOLD) -> DataFrame:
@@ -171,5 +191,5 @@ def toxicity_scores(docs: DataFrame, machine: FactorizationMachine, folds: int =
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores)], names=[*batch.schema.names, "score"])
 
     docs = small_batches(docs).select(*columns)
-    scored = docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("score", T.DoubleType())]))
+    scored = docs.mapInArrow(frugal(run), T.StructType([*docs.schema.fields, T.StructField("score", T.DoubleType())]))
     return scored.withColumns({"held_out": F.coalesce(fold(folds) == held_out, F.lit(False)), "predicted": (F.col("score") >= threshold).cast("int")})
