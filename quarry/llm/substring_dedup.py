@@ -13,14 +13,18 @@ repeated windows of a document merge into maximal removal intervals.
 3. The places of each block merge into intervals per document, which are
    joined to the texts.
 
-Window identity is HASH_BYTES bytes of one hash within the bucket that a
-second, independent hash chose, so one of n windows is taken for another with
-a chance of about n / 2**56 / buckets.
+Windows are told apart by 64 bits of one hash within the bucket that a second
+hash chose.  Buckets are as many as BUCKET_BYTES of text need, so whatever the
+size of the corpus a bucket holds a few million windows, fits a task, and takes
+a given window for another one with a chance below 1e-12.  Only a window that
+many documents share brings more: 9 bytes for each 4 MB of text that have it.
 
 Defined results: a null or empty text has no words; with fewer words than
 `width` nothing goes; rows with an equal doc_id are never "smaller" than one
 another, so repeated rows keep each other's text; a row without doc_id
-neither loses words nor makes others lose any; other columns are ignored.
+neither loses words nor makes others lose any; other columns are ignored.  A
+very long text is a block of its own, hashed in steps; its task needs some
+twenty bytes for each of the text.
 """
 
 from __future__ import annotations
@@ -33,13 +37,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import small_batches
+from .shared import frugal, small_batches
 from .wordhash import Words, blocks
 
 WIDTH = 13
 
-#: Bytes of a window's hash that travel to its bucket.
-HASH_BYTES = 7
+#: Text whose windows one bucket gets.
+BUCKET_BYTES = 8 << 20
 
 #: Kinds of rows: windows to be judged, places settled within their block, the documents of a block.
 JUDGE, SETTLED, TABLE = 0, 1, 2
@@ -108,9 +112,11 @@ def _by_bucket(words: Words, keys: np.ndarray, width: int, n_buckets: int, block
         yield (home, block, SETTLED, b"", b"", _gaps(at[~mine]), b"")
     kept = np.flatnonzero(mine)
     kept = kept[np.argsort(bucket[kept], kind="stable")]
-    low = np.ascontiguousarray(window[kept].astype("<u8").view(np.uint8).reshape(-1, 8)[:, :HASH_BYTES])
     for a, b in _runs(bucket[kept]):
-        yield (int(bucket[kept[a]]), block, JUDGE, packed, sizes, _gaps(at[kept[a:b]]), low[a:b].tobytes())
+        part = kept[a:b]
+        # Only the documents that the row names, and how many of its windows each has.
+        named = _groups(owner[part])
+        yield (int(bucket[part[0]]), block, JUDGE, _pack_ids(ids[owner[part[named]]]), _narrow(np.diff(np.append(named, b - a))), _gaps(at[part]), window[part].astype("<u8").tobytes())
 
 
 def _scan(batches: Iterator[pa.RecordBatch], width: int, n_buckets: int) -> Iterator[pa.RecordBatch]:
@@ -129,16 +135,12 @@ def _judge(group: pa.Table) -> pa.Table:
     rows, judged = [], []
     for block, kind, ids, sizes, places, hashes in zip(*(group.column(n).to_pylist() for n in _NAMES[1:]), strict=True):
         if kind == JUDGE:
-            places = _places(places)
-            owner = np.searchsorted(np.cumsum(_wide(sizes)), places, "right")
-            judged.append((block, places, _unpack_ids(ids)[owner], np.frombuffer(hashes, np.uint8).reshape(-1, HASH_BYTES)))
+            judged.append((block, _places(places), np.repeat(_unpack_ids(ids), _wide(sizes)), np.frombuffer(hashes, "<u8")))
         else:
             rows.append((block, kind, ids, sizes, places))
     if judged:
         lengths = [len(x[1]) for x in judged]
-        hashes = np.zeros((sum(lengths), 8), np.uint8)
-        np.concatenate([x[3] for x in judged], out=hashes[:, :HASH_BYTES])
-        hashes, doc = hashes.view("<u8").ravel(), np.concatenate([x[2] for x in judged])
+        hashes, doc = np.concatenate([x[3] for x in judged]), np.concatenate([x[2] for x in judged])
         order = np.argsort(hashes, kind="stable")
         starts = _groups(hashes[order])
         first = np.empty(len(doc), np.int64)
@@ -194,17 +196,16 @@ def _keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def substring_dedup(docs: DataFrame, width: int = WIDTH, buckets: int | None = None) -> DataFrame:
     """One row per document: doc_id, n_words, n_removed, removed_from, removed_to (word positions, end excluded), kept (text).
 
-    `buckets` defaults to four per shuffle partition, so that what a bucket holds stays as large as a partition is meant to be.
+    `buckets` defaults to what the size of the texts needs.
     """
-    spark = docs.sparkSession
-    n = buckets or 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    n = buckets or 1 + (docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // BUCKET_BYTES
     docs = small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("text_key", F.xxhash64("text"))
-    packed = docs.where("doc_id is not null").mapInArrow(lambda it: _scan(it, width, n), _COLUMNS)
+    packed = docs.where("doc_id is not null").mapInArrow(frugal(lambda it: _scan(it, width, n)), _COLUMNS)
     answers = packed.groupBy("bucket").applyInArrow(_judge, "block long, kind int, ids binary, sizes binary, places binary")
     spans = answers.groupBy("block").applyInArrow(lambda t: _merge(t, width), "doc_id long, text_key long, removed_from array<int>, removed_to array<int>")
     spans = spans.groupBy("doc_id", "text_key").agg(F.any_value("removed_from").alias("removed_from"), F.any_value("removed_to").alias("removed_to"))
     joined = docs.join(spans, ["doc_id", "text_key"], "left").select("doc_id", "text", "removed_from", "removed_to")
-    return joined.mapInArrow(_keep, "doc_id long, n_words long, n_removed long, removed_from array<int>, removed_to array<int>, kept string")
+    return joined.mapInArrow(frugal(_keep), "doc_id long, n_words long, n_removed long, removed_from array<int>, removed_to array<int>, kept string")
 
 
 ORACLE = r"""
