@@ -9,8 +9,9 @@ once the threshold (the best score that an unseen vector could reach) is below
 the query's kth score so far.  The best k of all blocks merge in a window.
 
 Defined results: ties go to the smaller vec_id; a query is never its own
-candidate (rows that repeat its vec_id are not candidates of it either, and a
-repeated query row counts once); vectors that are null, of another length than
+candidate (rows that repeat its vec_id are not candidates of it either); a
+candidate row that repeats another counts again, a query whose vec_id repeats
+once, with the smallest of its vectors; vectors that are null, of another length than
 most, or that hold null or non-finite components take no part; with fewer than
 k candidates all are returned; other columns are ignored.
 """
@@ -23,8 +24,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 K, QUERY_EVERY, SCALE = 10, 100, 1024
-#: Vectors of a candidate block and of a query block.
-BLOCK, QUERY_BLOCK = 4096, 1024
+#: Vectors whose components are sorted together; of the candidates and of the queries that meet in one task.
+BLOCK, TASK_BLOCK, QUERY_BLOCK = 4096, 16_384, 16_384
 
 
 class SortedLists:
@@ -90,7 +91,8 @@ def _search(key: tuple, candidates: pa.Table, queries: pa.Table, k: int) -> pa.T
 def exact_topk(vectors: DataFrame, k: int = K, query_every: int = QUERY_EVERY, scale: int = SCALE) -> DataFrame:
     """query_id, rank (from 1), vec_id, score: the k best candidates of each vector whose id is divisible by query_every.
 
-    Block counts follow from a count of the table; a block never holds more than a few thousand vectors, at any size.
+    Block counts follow from a count of the table; a task never holds more than some 16,000 candidates and as many queries, at any size.
+    A candidate is sent once for every 16,000 queries.
     """
     usable = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").alias("e")).where("vec_id is not null and e is not null and size(e) > 0")
     usable = usable.where(F.forall("e", lambda x: x.isNotNull() & ~F.isnan(x.cast("double")) & (F.abs(x.cast("double")) < float("inf"))))
@@ -99,12 +101,12 @@ def exact_topk(vectors: DataFrame, k: int = K, query_every: int = QUERY_EVERY, s
     if sizes is None:
         return usable.select(F.col("vec_id").alias("query_id"), F.lit(0).alias("rank"), "vec_id", F.lit(0).cast("long").alias("score")).limit(0)
     usable = usable.where(F.size("v") == sizes["d"])
-    n_cand = max(1, -(-sizes["count"] // (4 * BLOCK)))
+    n_cand = max(1, -(-sizes["count"] // TASK_BLOCK))
     n_query = max(1, -(-sizes["count"] // query_every // QUERY_BLOCK))
     hashed = F.xxhash64("vec_id", F.lit(7))
-    cand = usable.dropDuplicates(["vec_id", "v"]).withColumn("c", F.pmod(hashed, F.lit(n_cand)).cast("int"))
+    cand = usable.withColumn("c", F.pmod(hashed, F.lit(n_cand)).cast("int"))
     cand = cand.withColumn("q", F.explode(F.sequence(F.lit(0), F.lit(n_query - 1))))
-    query = usable.where(F.pmod("vec_id", F.lit(query_every)) == 0).dropDuplicates(["vec_id"]).withColumn("q", F.pmod(hashed, F.lit(n_query)).cast("int"))
+    query = usable.where(F.pmod("vec_id", F.lit(query_every)) == 0).groupBy("vec_id").agg(F.min("v").alias("v")).withColumn("q", F.pmod(hashed, F.lit(n_query)).cast("int"))
     query = query.withColumn("c", F.explode(F.sequence(F.lit(0), F.lit(n_cand - 1))))
     pairs = cand.groupBy("c", "q").cogroup(query.groupBy("c", "q")).applyInArrow(lambda key, a, b: _search(key, a, b, k), "query_id long, vec_id long, score long")
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
@@ -117,7 +119,7 @@ WITH u AS (
   WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
 s AS (
   SELECT q.vec_id AS query_id, c.vec_id, CAST(list_dot_product(q.v, c.v) AS BIGINT) AS score
-  FROM u q JOIN u c ON q.vec_id % 100 = 0 AND c.vec_id <> q.vec_id),
+  FROM (SELECT vec_id, min(v) AS v FROM u WHERE vec_id % 100 = 0 GROUP BY vec_id) q JOIN u c ON c.vec_id <> q.vec_id),
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
 SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank <= 10
 """
