@@ -1,8 +1,9 @@
 """URL filters by hashed host-suffix and path-prefix expressions (native).
 
 Every distinct URL is expanded into the expressions `host suffix + path prefix`
-that a rule could name: all suffixes of the host at label boundaries, times
-the prefixes of the path that have the length of some rule's path.  An
+that a rule could name: the suffixes of the host that have as many labels as
+some rule's host, times the prefixes of the path that have the length of some
+rule's path, so an URL of whatever length has few.  An
 expression meets the rules in an equi-join on the first bytes of its SHA-256
 digest; the full digest then confirms the hit, and the longest rule wins.
 
@@ -50,15 +51,19 @@ def url_filter(pages: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES,
     table = table.withColumn("digest", F.sha2("rule", 256)).withColumn("short", F.substring("digest", 1, PREFIX_DIGITS))
     lengths = sorted({len(p) for _, _, p in rules}) or [0]
 
-    labels = F.split("host", r"\.")
+    depths = sorted({h.count(".") + 1 for _, h, _ in rules}) or [1]
+    dots = F.length("host") - F.length(F.replace(F.col("host"), F.lit("."), F.lit("")))
     urls = pages.where(F.col("host") != "").select("host", "path").distinct()
-    suffixes = urls.select("host", "path", F.explode(F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))).alias("suffix"))
+    deep = urls.select("host", "path", F.explode(F.array(*map(F.lit, depths))).alias("depth")).where(dots >= F.col("depth") - 1)
+    suffixes = deep.select("host", "path", F.expr("substring_index(host, '.', -depth)").alias("suffix"))
     expressions = suffixes.select("host", "path", "suffix", F.explode(F.array(*map(F.lit, lengths))).alias("n"))
     expressions = expressions.where(F.length("path") >= F.col("n")).withColumn("digest", F.sha2(F.expr("concat(suffix, substring(path, 1, n))"), 256))
     expressions = expressions.select("host", "path", F.col("digest").alias("own_digest"), F.substring("digest", 1, PREFIX_DIGITS).alias("short"))
     hits = expressions.join(table, "short").where(F.col("own_digest") == F.col("digest"))
     best = hits.groupBy("host", "path").agg(F.max(F.struct("weight", F.col("rule_verdict").alias("v"), "rule")).alias("best"))
-    found = pages.join(best, ["host", "path"], "left")
+    # Pages without a host meet no rule; a salt keeps them from meeting in one task.
+    salt = F.when(F.col("host") == "", F.xxhash64(id_column)).otherwise(F.lit(0).cast("long"))
+    found = pages.withColumn("_salt", salt).join(best.withColumn("_salt", F.lit(0).cast("long")), ["host", "path", "_salt"], "left")
     return found.select(id_column, "host", "path", F.col("best.rule").alias("rule"), F.coalesce("best.v", F.lit(default)).alias("verdict"))
 
 
