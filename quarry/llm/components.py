@@ -13,16 +13,18 @@ from pyspark.sql import functions as F
 from .shared import cut
 
 
-def _fingerprint(edges: DataFrame) -> tuple:
-    return tuple(edges.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first())
+def _settled(edges: DataFrame) -> bool:
+    """Whether every id is either a root or hangs on one root only, so that the edges are the components."""
+    ends = edges.select(F.inline(F.array(F.struct(F.col("u").alias("id"), F.lit(1).alias("up")), F.struct(F.col("v").alias("id"), F.lit(0).alias("up")))))
+    each = ends.groupBy("id").agg(F.sum("up").alias("ups"), F.min("up").alias("low"))
+    return each.agg(F.count_if((F.col("ups") > 1) | ((F.col("ups") == 1) & (F.col("low") == 0)))).first()[0] == 0
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """id, component (smallest id reached) for every id of an edge between two different ids; ids are longs."""
     edges = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u > v").distinct()
-    edges, before = cut(edges), None
-    while (now := _fingerprint(edges)) != before and now[0]:
-        before = now
+    edges = cut(edges)
+    while not _settled(edges):
         # Large star: the larger neighbours of u go to the smallest of u's neighbours and u.
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))

@@ -1,34 +1,39 @@
 """Line dedup across the corpus: exact and fuzzy lines by MinHash (native).
 
-1. Every line becomes its character shingles, and its MinHash signature is an
-   aggregation over them with map-side combine, which also collapses equal
-   lines.  The shingles of a line come from its UTF-16 bytes at fixed offsets.
-   Every line is signed by all its shingles.
-2. Bands of the signature find candidates.  First a bucket pairs each line with
-   its first line or, where a sketch of two bits per MinHash rules that out, with
-   the one before it.
-3. Candidates are verified by the exact Jaccard similarity of their shingles.
-   Buckets that then hold lines of several components go on: neighbours in the
-   order of the further bands are tried, and last all pairs of different
-   components that the sketch and a parity bitmap allow, so a line meets every
-   bucket mate it may resemble.
+1. Every line becomes its character shingles, which come from its UTF-16 bytes
+   at fixed offsets, and its MinHash signature is an aggregation over all of
+   them, several to a row, with map-side combine; equal lines collapse in it.
+2. MinHashes form GROUPS groups of EACH, and every two groups are a band: from
+   12 MinHashes come 15 bands of 4, which find as much as 7 bands of 28.
+   Bands find candidates.  First a bucket pairs each line with its first line
+   or, where sketches of the MinHashes speak against that, with the one before
+   it.
+3. A parity bitmap of every line that has a bucket mate bounds similarities
+   from above.  Pairs that it leaves open are verified by the exact Jaccard
+   similarity of their shingles.  Buckets that then hold lines of several
+   components go on with the pairs of different components that the bitmaps
+   leave open: first a sample of these, whose links spare most of the others,
+   then all that remain, so a line meets every bucket mate it may resemble.
 4. Components of similar lines keep one line, the first by (doc_id, position);
    all other occurrences go.
 
-With 7 bands of 4 rows a pair of similarity 0.8 / 0.85 / 0.9 meets in some
-band with a chance of 0.975 / 0.994 / 0.999.
+A pair of similarity 0.8 / 0.85 / 0.9 meets in some band with a chance of
+0.975 / 0.992 / 0.999.
 
 Defined results: lines are split at ``\\n`` and compared without white space
 around them; blank lines stay; a document all of whose lines go keeps an empty
 text; a null text stays null; rows that repeat a doc_id keep each other's
 lines, as they are the same document; a row without doc_id comes last; a
-line shorter than a shingle is one shingle; other columns pass through.
+line shorter than a shingle is one shingle; other columns pass through.  Signing
+streams the shingles of a long line; only one that has a bucket mate is held
+with all of them, 8 bytes each.
 """
 
 from __future__ import annotations
 
 import random
 from functools import reduce
+from itertools import combinations
 from operator import or_
 
 from pyspark.sql import Column, DataFrame, Window
@@ -38,11 +43,17 @@ from .components import components
 from .shared import cut, possible
 
 SHINGLE, THRESHOLD = 6, 0.8
-BANDS, ROWS = 7, 4
-#: Two-bit fields of the sketches of a pair that may differ; similar lines differ in more with a chance below 0.001.
-SKETCH_MISSES = 11
+#: Groups of MinHashes, and MinHashes of each; shingles of one row.
+GROUPS, EACH, BATCH = 6, 2, 8
+BANDS = GROUPS * (GROUPS - 1) // 2
+#: Of a sketch: bits of a MinHash, and how many MinHashes may differ; similar lines hardly ever differ in more.  That only decides what is tried first.
+FIELD, SKETCH_MISSES = 5, 5
 #: Words of 64 bits of a line's parity bitmap; lines of a bucket in one block, whose pairs with another block one task compares.
-PARITY_WORDS, BLOCK = 8, 2048
+PARITY_WORDS, BLOCK = 16, 2048
+#: Of so many open pairs one is in the sample.
+SAMPLE = 16
+#: Lines whose sets of shingles one task makes; shingles of one row then.
+LINES_OF_TASK, SET_BATCH = 4000, 16
 
 LAST = 2**63 - 1
 
@@ -57,48 +68,67 @@ def _lines(docs: DataFrame, *more: str) -> DataFrame:
     return split.withColumn("line", line).where("line != ''").select("doc", "text_key", "pos", "line", F.xxhash64("line").alias("k"))
 
 
-def _places(utf16: Column, shingle: int) -> Column:
-    """First bytes, from 1, of the shingles of a line given as UTF-16: one even for a short line."""
-    return F.sequence(F.lit(1), F.greatest(F.octet_length(utf16) - 2 * shingle + 1, F.lit(1)), F.lit(2))
+def _last(utf16: Column, shingle: int) -> Column:
+    """First byte, from 1, of a line's last shingle."""
+    return F.greatest(F.octet_length(utf16) - 2 * shingle + 1, F.lit(1))
+
+
+def _shingles(utf16: str, i: str, shingle: int, batch: int = SET_BATCH) -> Column:
+    """The shingles of the i-th row of a line, from 0; the last row repeats the last one."""
+    last = _last(F.col(utf16), shingle)
+    return F.array(*[_shingle(F.col(utf16), F.least(F.col(i) * (2 * batch) + 2 * t + 1, last), shingle) for t in range(batch)])
 
 
 def _shingle(utf16: Column, place: Column, shingle: int) -> Column:
     return F.xxhash64(F.substring(utf16, place, F.lit(2 * shingle)))
 
 
-def signatures(lines: DataFrame, shingle: int = SHINGLE, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """k, first_doc, n_lines, bands (hashes), sketch: one row per different line."""
-    chars = lines.select("k", "doc", "pos", F.encode("line", "UTF-16BE").alias("utf16"))
-    each = chars.select("k", "doc", "utf16", F.explode(_places(F.col("utf16"), shingle)).alias("i"))
-    # A line is counted at its first shingle.  31 bits decide; an odd factor and a summand permute 32 bits, below the range of a long.
-    bits = F.shiftrightunsigned(_shingle(F.col("utf16"), F.col("i"), shingle), 33)
-    each = each.select("k", "doc", F.when(F.col("i") == 1, 1).otherwise(0).alias("one"), bits.alias("y"))
+def signatures(lines: DataFrame, shingle: int = SHINGLE, groups: int = GROUPS, each: int = EACH, batch: int = BATCH) -> DataFrame:
+    """k, first_doc, n_lines, g0, g1, ... (a hash of each group of MinHashes), sketch: one row per different line."""
+    chars = lines.select("k", "doc", F.encode("line", "UTF-16BE").alias("utf16"))
+    last = _last(F.col("utf16"), shingle)
+    rows = chars.select("k", "doc", "utf16", last.alias("last"), F.explode(F.sequence(F.lit(1), last, F.lit(2 * batch))).alias("i"))
+    # A line is counted at its first row.  The last row repeats the last shingle, which changes no minimum.  31 bits decide.
+    hashes = [F.shiftrightunsigned(_shingle(F.col("utf16"), F.least(F.col("i") + 2 * t, F.col("last")), shingle), 33).alias(f"y{t}") for t in range(batch)]
+    rows = rows.select("k", "doc", F.when(F.col("i") == 1, 1).otherwise(0).alias("one"), *hashes)
     rng = random.Random(20)
-    orders = [(rng.getrandbits(31) | 1, rng.getrandbits(31)) for _ in range(bands * rows)]
-    mins = [F.min((F.col("y") * F.lit(a).cast("long") + F.lit(b).cast("long")).bitwiseAND(F.lit(2**32 - 1))).alias(f"m{j}") for j, (a, b) in enumerate(orders)]
-    signed = each.groupBy("k").agg(F.min("doc").alias("first_doc"), F.sum("one").alias("n_lines"), *mins)
-    hashes = F.array(*[F.xxhash64(F.lit(b), *[f"m{b * rows + r}" for r in range(rows)]) for b in range(bands)])
-    sketch = F.lit(0).cast("long")
-    for j in range(min(32, bands * rows)):
-        sketch = sketch.bitwiseOR(F.shiftleft(F.xxhash64(f"m{j}").bitwiseAND(F.lit(3)), 2 * j))
-    return signed.select("k", "first_doc", "n_lines", hashes.alias("bands"), sketch.alias("sketch"))
+    orders = [(rng.getrandbits(31) | 1, rng.getrandbits(31)) for _ in range(groups * each)]
+
+    def place(t: int, factor: int, summand: int) -> Column:
+        # An odd factor and a summand permute 32 bits, below the range of a long.
+        return (F.col(f"y{t}") * F.lit(factor).cast("long") + F.lit(summand).cast("long")).bitwiseAND(F.lit(2**32 - 1))
+
+    mins = [F.min(F.least(*[place(t, *order) for t in range(batch)])).alias(f"m{j}") for j, order in enumerate(orders)]
+    signed = rows.groupBy("k").agg(F.min("doc").alias("first_doc"), F.sum("one").alias("n_lines"), *mins)
+    fields = [F.shiftleft(F.xxhash64(f"m{j}").bitwiseAND(F.lit(2**FIELD - 1)), FIELD * j) for j in range(min(groups * each, 60 // FIELD))]
+    return signed.select("k", "first_doc", "n_lines", *[F.xxhash64(*[f"m{g * each + e}" for e in range(each)]).alias(f"g{g}") for g in range(groups)], reduce(Column.bitwiseOR, fields).alias("sketch"))
+
+
+def band_hashes(groups: int = GROUPS) -> Column:
+    """Array of the bands of a signed line: one for every two groups, named in the hash, so equal MinHashes of different groups do not meet."""
+    return F.array(*[F.xxhash64(F.lit(i), f"g{x}", f"g{y}") for i, (x, y) in enumerate(combinations(range(groups), 2))])
 
 
 def _close(one: str, other: str) -> Column:
     """Whether two sketches differ in few fields."""
     apart = F.col(one).bitwiseXOR(F.col(other))
-    fields = apart.bitwiseOR(F.shiftrightunsigned(apart, 1)).bitwiseAND(F.lit(0x5555555555555555))
-    return F.bit_count(fields) <= SKETCH_MISSES
+    any_bit = reduce(Column.bitwiseOR, [F.shiftrightunsigned(apart, b) for b in range(FIELD)])
+    return F.bit_count(any_bit.bitwiseAND(F.lit(sum(1 << (FIELD * j) for j in range(60 // FIELD))))) <= SKETCH_MISSES
+
+
+def met(signed: DataFrame) -> DataFrame:
+    """band, k, n (lines of the bucket) of the lines that share a band."""
+    banded = signed.select("k", F.explode(band_hashes()).alias("band"))
+    return banded.withColumn("n", F.count("*").over(Window.partitionBy("band"))).where("n > 1").select("band", "k", "n")
 
 
-def candidates(signed: DataFrame) -> DataFrame:
-    """band, k, n (lines of the bucket), other (a line to be tried, or null) of the lines that share a band."""
-    banded = signed.select("k", "sketch", F.explode("bands").alias("band"))
+def candidates(shared: DataFrame, signed: DataFrame) -> DataFrame:
+    """Pairs a, b to be tried first: lines of a bucket with its first or with the one before; the two of a bucket of two in any case."""
+    rows = shared.join(signed.select("k", "sketch"), "k")
     bucket = Window.partitionBy("band").orderBy("k")
-    columns = {"first": F.first("k").over(bucket), "first_sketch": F.first("sketch").over(bucket), "before": F.lag("k").over(bucket), "before_sketch": F.lag("sketch").over(bucket), "n": F.count("*").over(Window.partitionBy("band"))}
-    near = banded.withColumns(columns).where("n > 1")
-    other = F.when(_close("sketch", "first_sketch"), F.col("first")).when(_close("sketch", "before_sketch"), F.col("before"))
-    return near.select("band", "k", "n", F.when(F.col("before").isNotNull(), other).alias("other")).where("n > 2 or other is not null")
+    columns = {"first": F.first("k").over(bucket), "first_sketch": F.first("sketch").over(bucket), "before": F.lag("k").over(bucket), "before_sketch": F.lag("sketch").over(bucket)}
+    other = F.when((F.col("n") == 2) | _close("sketch", "first_sketch"), F.col("first")).when(_close("sketch", "before_sketch"), F.col("before"))
+    return _pairs(rows.withColumns(columns).where("before is not null").withColumn("other", other).where("other is not null"), "k", "other")
 
 
 def _pairs(rows: DataFrame, a: str, b: str) -> DataFrame:
@@ -112,80 +142,94 @@ def _still_split(crowds: DataFrame, roots: DataFrame) -> DataFrame:
     return labelled.withColumns({"lo": F.min("label").over(bucket), "hi": F.max("label").over(bucket)}).where("lo != hi").select("band", "k", "label")
 
 
-def neighbours(split: DataFrame, signed: DataFrame, bands: int = BANDS) -> DataFrame:
-    """Pairs a, b: lines of a bucket with the one before them in the order of each further band."""
-    rows = split.join(signed.select("k", "bands", "sketch"), "k").withColumn("turn", F.explode(F.array(*[F.lit(i) for i in range(bands)])))
-    # Copies share most bands, so from whichever band on, they lie side by side.
-    order = F.concat(F.slice("bands", F.col("turn") + 1, F.lit(bands)), F.slice("bands", F.lit(1), F.col("turn")))
-    line = Window.partitionBy("band", "turn").orderBy("order", "k")
-    before = {f"{c}_before": F.lag(c).over(line) for c in ("k", "label", "sketch")}
-    rows = rows.select("band", "turn", "k", "label", "sketch", order.alias("order")).withColumns(before)
-    return _pairs(rows.where((F.col("label") != F.col("label_before")) & _close("sketch", "sketch_before")), "k", "k_before")
+def _batches(utf16: Column, shingle: int, batch: int) -> Column:
+    """Rows that the shingles of a line take, `batch` in each."""
+    return F.floor((_last(utf16, shingle) + 2 * batch - 1) / (2 * batch)).cast("int")
 
 
-def parities(lines: DataFrame, keys: DataFrame, shingle: int = SHINGLE) -> DataFrame:
+def parities(texts: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     """k, size (different shingles), p0, p1, ...: bits that say whether the number of shingles that fall on them is odd."""
-    keys = keys.select("k").distinct()
-    texts = possible(lines.select("k", "line"), keys, "k").groupBy("k").agg(F.any_value("line").alias("line")).join(keys, "k", "left_semi")
-    each = texts.select("k", F.inline(F.array(F.struct(F.encode("line", "UTF-16BE").alias("w"))))).select("k", F.explode(_shingles("w", shingle)).alias("h"))
-    bit, word = F.expr("shiftleft(1L, cast(h & 63 as int))"), F.pmod(F.shiftrightunsigned("h", 6), F.lit(PARITY_WORDS))
+    tasks = 1 + texts.count() // LINES_OF_TASK
+    # Dealt out by k once, which both aggregations can use.
+    lines = texts.repartition(tasks, "k").select("k", F.encode("line", "UTF-16BE").alias("w"))
+    rows = lines.select("k", "w", F.explode(F.sequence(F.lit(0), _batches(F.col("w"), shingle, SET_BATCH) - 1)).alias("i"))
+    sets = rows.select("k", _shingles("w", "i", shingle).alias("h")).groupBy("k").agg(F.array_distinct(F.flatten(F.collect_list("h"))).alias("set"))
+    each = sets.select("k", F.explode("set").alias("h"))
+    bit, word = F.expr("shiftleft(1L, cast(h & 63 as int))"), F.shiftrightunsigned("h", 6).bitwiseAND(F.lit(PARITY_WORDS - 1))
     words = [F.bit_xor(F.when(word == i, bit).otherwise(F.lit(0).cast("long"))).alias(f"p{i}") for i in range(PARITY_WORDS)]
     return each.groupBy("k").agg(F.count("*").alias("size"), *words)
 
 
-def all_allowed(split: DataFrame, signed: DataFrame, parity: DataFrame, threshold: float = THRESHOLD, block: int = BLOCK) -> DataFrame:
-    """Pairs a, b of a bucket's lines that differ in their component and that neither sketch nor parity rules out.
+_WORDS = [f"p{i}" for i in range(PARITY_WORDS)]
 
-    A bucket is dealt out in pairs of blocks, so a large one is spread over tasks.
+
+def _open(threshold: float) -> Column:
+    """Whether the parities of lines a and b leave it open that they resemble each other.
+
+    Every bit that differs is a shingle that one of them lacks; alike lines lack (1 - t) / (1 + t) of both sizes at most.
     """
-    words = [f"p{i}" for i in range(PARITY_WORDS)]
-    rows = split.withColumn("blocks", F.ceil(F.count("*").over(Window.partitionBy("band")) / block).cast("int"))
-    rows = rows.join(signed.select("k", "sketch"), "k").join(parity, "k")
-    rows = rows.withColumn("own", F.pmod(F.xxhash64("k", F.lit(5)), "blocks").cast("int"))
-    one = rows.select("band", F.col("own").alias("x"), F.explode(F.sequence("own", F.col("blocks") - 1)).alias("y"), *[F.col(c).alias(f"{c}_a") for c in ("k", "label", "sketch", "size", *words)])
-    two = rows.select("band", F.explode(F.sequence(F.lit(0), "own")).alias("x"), F.col("own").alias("y"), *[F.col(c).alias(f"{c}_b") for c in ("k", "label", "sketch", "size", *words)])
-    # Every bit that differs is a shingle that one of them lacks; alike lines lack (1 - t) / (1 + t) of both sizes at most.
-    apart = sum((F.bit_count(F.col(f"{w}_a").bitwiseXOR(F.col(f"{w}_b"))) for w in words), F.lit(0))
-    allowed = (F.lit(1 + threshold) * apart <= F.lit(1 - threshold) * (F.col("size_a") + F.col("size_b")) + 1e-6) & _close("sketch_a", "sketch_b")
-    met = one.join(two, (one["band"] == two["band"]) & (one["x"] == two["x"]) & (one["y"] == two["y"]) & (F.col("label_a") != F.col("label_b")) & ((one["x"] != two["y"]) | (F.col("k_a") < F.col("k_b"))) & allowed)
-    return _pairs(met, "k_a", "k_b")
+    apart = reduce(Column.__add__, [F.bit_count(F.col(f"{w}_a").bitwiseXOR(F.col(f"{w}_b"))) for w in _WORDS])
+    return F.lit(1 + threshold) * apart <= F.lit(1 - threshold) * (F.col("size_a") + F.col("size_b")) + 1e-6
 
 
-def _shingles(utf16: str, shingle: int) -> Column:
-    """Different shingle hashes of a line given as UTF-16 bytes.
+def left_open(pairs: DataFrame, parity: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """The pairs a, b that parities leave open."""
+    a, b = (parity.select(*[F.col(c).alias(x if c == "k" else f"{c}_{x}") for c in ("k", "size", *_WORDS)]) for x in "ab")
+    return pairs.join(a, "a").join(b, "b").where(_open(threshold)).select("a", "b")
 
-    As a lambda's variable the bytes are one object; read from the row they
-    would be copied for every shingle.
-    """
-    return F.get(F.transform(F.array(utf16), lambda w: F.array_distinct(F.transform(_places(w, shingle), lambda i: _shingle(w, i, shingle)))), F.lit(0))
 
+def all_allowed(split: DataFrame, parity: DataFrame, threshold: float = THRESHOLD, block: int = BLOCK, sample: bool = False) -> DataFrame:
+    """Pairs a, b of a bucket's lines that differ in their component and that parity does not rule out; or one in SAMPLE of them, by a hash.
 
-def similar_lines(lines: DataFrame, pairs: DataFrame, shingle: int = SHINGLE, threshold: float = THRESHOLD) -> DataFrame:
-    """The pairs a, b whose lines have a Jaccard similarity of `threshold` or more."""
-    keys = pairs.select(F.explode(F.array("a", "b")).alias("k")).distinct()
-    texts = possible(lines.select("k", "line"), keys, "k").groupBy("k").agg(F.any_value("line").alias("line"))
-    texts = cut(texts.join(keys, "k", "left_semi"))
-    both = pairs.join(texts.select(F.col("k").alias("a"), F.col("line").alias("la")), "a").join(texts.select(F.col("k").alias("b"), F.col("line").alias("lb")), "b")
-    # inline() keeps what it makes out of the expressions above it, which would else compute it again for each shingle.
-    wide = both.select("a", "b", F.inline(F.array(F.struct(F.encode("la", "UTF-16BE").alias("wa"), F.encode("lb", "UTF-16BE").alias("wb")))))
-    sets = wide.select("a", "b", F.inline(F.array(F.struct(_shingles("wa", shingle).alias("sa"), _shingles("wb", shingle).alias("sb")))))
-    scored = sets.select("a", "b", F.inline(F.array(F.struct((F.size("sa") + F.size("sb")).alias("total"), F.size(F.array_intersect("sa", "sb")).alias("common")))))
-    return scored.where(F.col("common") >= F.lit(threshold) * (F.col("total") - F.col("common"))).select("a", "b")
+    A bucket is dealt out in pairs of blocks, so a large one is spread over tasks.
+    """
+    rows = split.withColumn("blocks", F.ceil(F.count("*").over(Window.partitionBy("band")) / block).cast("int")).join(parity, "k")
+    rows = rows.withColumn("own", F.pmod(F.xxhash64("k", F.lit(5)), "blocks").cast("int"))
+    columns = ("k", "label", "size", *_WORDS)
+    one = rows.select("band", F.col("own").alias("x"), F.explode(F.sequence("own", F.col("blocks") - 1)).alias("y"), *[F.col(c).alias(f"{c}_a") for c in columns])
+    two = rows.select("band", F.explode(F.sequence(F.lit(0), "own")).alias("x"), F.col("own").alias("y"), *[F.col(c).alias(f"{c}_b") for c in columns])
+    drawn = F.pmod(F.xxhash64(F.least("k_a", "k_b"), F.greatest("k_a", "k_b")), F.lit(SAMPLE)) == 0 if sample else F.lit(True)
+    found = one.join(two, (one["band"] == two["band"]) & (one["x"] == two["x"]) & (one["y"] == two["y"]) & (F.col("label_a") != F.col("label_b")) & ((one["x"] != two["y"]) | (F.col("k_a") < F.col("k_b"))) & drawn & _open(threshold))
+    return _pairs(found, "k_a", "k_b")
+
+
+def similar_lines(texts: DataFrame, pairs: DataFrame, shingle: int = SHINGLE, threshold: float = THRESHOLD) -> DataFrame:
+    """The pairs a, b whose lines have a Jaccard similarity of `threshold` or more; texts: k, line."""
+    tasks = 1 + 2 * pairs.count() // LINES_OF_TASK
+    # Only lines that some pair names are shuffled.
+    named = possible(texts, pairs.select(F.explode(F.array("a", "b")).alias("k")), "k")
+    sides = [named.select(F.col("k").alias(x), F.encode("line", "UTF-16BE").alias(f"w{x}")) for x in "ab"]
+    # Dealt out by b, as no line is b of many pairs; all that follows stays there.
+    both = pairs.join(sides[0], "a").repartition(tasks, "b").join(sides[1], "b").withColumn("n", _batches(F.col("wa"), shingle, SET_BATCH))
+    rows = both.select("a", "b", "wa", "wb", "n", F.explode(F.sequence(F.lit(0), F.col("n") + _batches(F.col("wb"), shingle, SET_BATCH) - 1)).alias("i"))
+    # Rows up to n are of a, those behind of b.
+    of_a = F.col("i") < F.col("n")
+    rows = rows.select("a", "b", of_a.alias("of_a"), F.when(of_a, F.col("wa")).otherwise(F.col("wb")).alias("w"), F.when(of_a, F.col("i")).otherwise(F.col("i") - F.col("n")).alias("i"))
+    rows = rows.select("a", "b", "of_a", _shingles("w", "i", shingle).alias("h"))
+    found = rows.groupBy("a", "b").agg(*[F.flatten(F.collect_list(F.when(of, F.col("h")))).alias(x) for x, of in (("sa", F.col("of_a")), ("sb", ~F.col("of_a")))])
+    common, every = F.size(F.array_intersect("sa", "sb")), F.size(F.array_union("sa", "sb"))
+    return found.where(common >= F.lit(threshold) * every - 1e-9).select("a", "b")
 
 
 def similar_components(lines: DataFrame, signed: DataFrame, shingle: int = SHINGLE, threshold: float = THRESHOLD) -> DataFrame:
     """id, component of the lines that resemble another."""
-    met = cut(candidates(signed))
-    tried = cut(_pairs(met.where("other is not null"), "k", "other"))
-    roots = components(similar_lines(lines, tried, shingle, threshold))
-    crowds = met.where("n > 2").select("band", "k")
+    shared = cut(met(signed))
+    # The lines that share a bucket with another: all that is compared below.
+    keys = shared.select("k").distinct()
+    texts = possible(lines.select("k", "line"), keys, "k").groupBy("k").agg(F.any_value("line").alias("line"))
+    texts = cut(texts.join(keys, "k", "left_semi"))
+    parity = cut(parities(texts, shingle))
+    tried = candidates(shared, signed)
+    tried = cut(left_open(tried, parity, threshold))
+    roots = components(similar_lines(texts, tried, shingle, threshold))
+    crowds = shared.where("n > 2").select("band", "k")
     for last in (False, True):
         split = cut(_still_split(crowds, roots))
         if split.isEmpty():
             break
-        found = all_allowed(split, signed, cut(parities(lines, split, shingle)), threshold) if last else neighbours(split, signed)
+        found = all_allowed(split, parity, threshold, sample=not last)
         found = cut(found.join(tried, ["a", "b"], "left_anti"))
-        links = cut(similar_lines(lines, found, shingle, threshold))
+        links = cut(similar_lines(texts, found, shingle, threshold))
         tried = tried.unionByName(found)
         if not links.isEmpty():
             roots = components(roots.select(F.col("id").alias("a"), F.col("component").alias("b")).unionByName(links))

@@ -60,6 +60,35 @@ def test_media(docs):
     assert len({f for s in by_text.values() for f in s}) > 2
 
 
+def plain_fingerprints(samples):
+    """A plain discrete Fourier transform of every frame, its strongest bins, and all pairs of bins of near frames."""
+    n, hop = media_columns.FRAME, media_columns.HOP
+    frames = max(1, math.ceil((len(samples) - n + hop) / hop))
+    data = list(samples) + [128] * ((frames - 1) * hop + n - len(samples))
+    window = np.hanning(n).astype(np.float32)
+    k = np.arange(1, n // 2 + 1)[:, None] * np.arange(n)[None, :]
+    turns = np.exp(-2j * np.pi * k / n)
+    peaks = []
+    for f in range(frames):
+        frame = (np.array(data[f * hop : f * hop + n], np.float32) - 128) * window
+        power = np.round(np.abs(turns @ frame), 2).tolist()
+        peaks.append(sorted(range(1, n // 2 + 1), key=lambda b: (-power[b - 1], b))[: media_columns.PEAKS])
+    found = []
+    for f, own in enumerate(peaks):
+        found += [(f, own[i] << 12 | own[i + 1] << 4) for i in range(media_columns.PEAKS - 1)]
+        for d in range(1, media_columns.FAN_OUT + 1):
+            found += [(f, a << 12 | b << 4 | d) for a in own for b in (peaks[f + d] if f + d < frames else ())]
+    return sorted(found)
+
+
+def test_fingerprints_against_a_plain_transform():
+    rng = np.random.default_rng(8)
+    for n in (192, 384, 1920):
+        samples = rng.integers(32, 123, n).astype(np.uint8)
+        time, code = media_columns.fingerprints(media_columns.spectral_peaks(samples))
+        assert list(zip(time.tolist(), code.tolist(), strict=True)) == plain_fingerprints(samples.tolist())
+
+
 def test_spectral_peaks_find_a_tone():
     t = np.arange(4000)
     tone = (128 + 100 * np.sin(2 * np.pi * t * 20 / media_columns.FRAME)).astype(np.uint8)
@@ -75,12 +104,16 @@ def test_topk(spark):
     ints = {i: [math.floor(1024 * float(x)) for x in v] for i, v in vectors.items()}
     want = set()
     for q in range(0, 700, 100):
-        scores = sorted(((-sum(a * b for a, b in zip(ints[q], ints[c], strict=True)), c) for c in ints if c != q))[:10]
+        # A row that repeats another is a candidate of its own.
+        scores = sorted(((-sum(a * b for a, b in zip(ints[q], ints[c], strict=True)), c) for c in [*ints, 5] if c != q))[:10]
         want |= {(q, n, c, -s) for n, (s, c) in enumerate(scores, 1)}
     assert {tuple(r) for r in exact_topk.exact_topk(df).collect()} == want
     few = spark.createDataFrame([(0, [1.0], 1), (7, [1.0], 1), (8, [1.0], 1)], "vec_id long, embedding array<float>, label int")
     assert sorted(map(tuple, exact_topk.exact_topk(few).collect())) == [(0, 1, 7, 1024 * 1024), (0, 2, 8, 1024 * 1024)]
     assert exact_topk.exact_topk(few.limit(0)).count() == 0
+    twice = spark.createDataFrame([(0, [1.0]), (0, [-1.0]), (7, [1.0]), (7, [1.0]), (8, [2.0])], "vec_id long, embedding array<float>")
+    # The query is the smallest of its vectors; no row of its id is a candidate.
+    assert sorted(map(tuple, exact_topk.exact_topk(twice).collect())) == [(0, 1, 7, -1024 * 1024), (0, 2, 7, -1024 * 1024), (0, 3, 8, -2 * 1024 * 1024)]
 
 
 def test_threshold_stops_early():
@@ -102,6 +135,8 @@ def test_url_filters(spark):
     ]
     assert found == dict(enumerate(want))
     assert url_filters.url_filter(df.limit(0)).count() == 0
+    long = spark.createDataFrame([(1, "http://" + "a." * 200_000 + "org/es/" + "x/" * 200_000), (2, "http://" + "." * 100_000 + "org/")], "page_id long, url string")
+    assert [(r.rule, r.verdict) for r in url_filters.url_filter(long).orderBy("page_id").collect()] == [("org/", "allow")] * 2
 
 
 def targets(sizes):
@@ -183,7 +218,8 @@ def test_pairs_of_terms_weigh_more_than_their_sum():
     docs = [np.sort(rng.choice([10, 20, 30, 40, 50], rng.integers(1, 5), replace=False)).astype(np.uint64) for _ in range(600)]
     label = np.array([float(10 in d and 20 in d) for d in docs])
     at = np.concatenate(([0], np.cumsum([len(d) for d in docs])))
-    machine = toxicity.fit(np.concatenate(docs), at, label)
+    names, features = np.unique(np.concatenate(docs), return_inverse=True)
+    machine = toxicity.fit(names, features, at, label)
     a, b = (int(np.searchsorted(machine.terms, x)) for x in (10, 20))
     assert ((machine.logits(np.concatenate(docs), at) > 0) == (label == 1)).mean() > 0.97
     assert machine.factors[a] @ machine.factors[b] > 0.1

@@ -6,7 +6,7 @@ import pytest
 
 import corpus_pipeline
 from quarry.llm import ngram_jaccard, source_mix, toxicity
-from quarry.llm.shared import possible, table
+from quarry.llm.shared import cut, possible, table
 
 from .conftest import words
 from .test_text_operators import corpus, roots_of, shingles
@@ -87,6 +87,35 @@ def test_run_of_all_stages(spark, folder):
     assert Counter((r.doc_id, r.ids_sha256) for r in docs.collect()) == Counter((r.doc_id, r.ids_sha256) for r in rows)
 
 
+@pytest.mark.parametrize("stage", [n for n, _ in corpus_pipeline.STAGES])
+def test_stages_on_empty_and_null_tables(spark, folder, stage):
+    run = dict(corpus_pipeline.STAGES)[stage]
+    docs = table(spark, folder, "documents")
+    assert run(spark, docs.limit(0), folder).count() == 0
+    nulls = spark.createDataFrame([(None, None, None, None, None), (1, None, None, None, None), (None, "a b", None, None, None), (2, "", None, None, 0)], docs.schema)
+    # Only the mix leaves out rows without words.
+    assert run(spark, nulls, folder).count() == (1 if stage == "mix" else 4)
+
+
+def test_long_texts_pass_all_stages(spark, folder):
+    """A text of a megabyte in one line and one in many lines, beside short ones."""
+    docs = table(spark, folder, "documents")
+    one, many = " ".join(f"w{i % 5000}x{i}" for i in range(90_000)), "\n".join(f"line {i} of the long text" for i in range(40_000))
+    long = spark.createDataFrame([(5000, one, "en", "src0", len(one)), (5001, many, "en", "src1", len(many)), (5002, one + " end", "en", "src1", 0)], docs.schema)
+    found = long
+    for name, stage in corpus_pipeline.STAGES:
+        found = stage(spark, found, folder)
+        if name != "tokens":
+            found = cut(found)
+        if name == "lines":
+            kept = {r.doc_id: r.text for r in found.collect()}
+            # Either long line may give way to the other; numbered lines resemble one another.
+            assert one in (kept[5000], kept[5000] + kept[5002][: len(one)]) and kept[5001].startswith("line 0 of")
+        if name == "near_duplicates":
+            assert {5000, 5001} <= {r.doc_id for r in found.collect()}
+    assert all(r.n_tokens > 0 for r in found.collect())
+
+
 def test_the_map_of_keys_loses_none(spark):
     df = spark.range(20_000).selectExpr("id * 7919 - 5000 AS k", "id AS x")
     keys = df.where("x % 10 = 3").select("k")
