@@ -5,12 +5,11 @@ from __future__ import annotations
 import base64
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-_MASK = (1 << 64) - 1
-
 
 def _parts(url: Column | str) -> tuple[Column, Column, Column, Column]:
     """scheme, host with port, path, query with its question mark; empty where the URL has none."""
@@ -42,43 +41,64 @@ def domain(url: Column | str) -> Column:
     return F.when(name != "", name)
 
 
-def _rotl(x: int, r: int) -> int:
-    return ((x << r) | (x >> (64 - r))) & _MASK
+#: Fixed values of the public MurmurHash3 x64 128-bit function.
+_C1, _C2 = np.uint64(0x87C37B91114253D5), np.uint64(0x4CF5AD432745937F)
+_ADD1, _ADD2 = np.uint64(0x52DCE729), np.uint64(0x38495AB5)
+_MIX = ((33, np.uint64(0xFF51AFD7ED558CCD)), (33, np.uint64(0xC4CEB9FE1A85EC53)))
 
 
-def _avalanche(k: int) -> int:
-    for shift, factor in ((33, 0xFF51AFD7ED558CCD), (33, 0xC4CEB9FE1A85EC53)):
-        k = ((k ^ (k >> shift)) * factor) & _MASK
-    return k ^ (k >> 33)
+def _rotl(x: np.ndarray, r: int) -> np.ndarray:
+    return (x << np.uint64(r)) | (x >> np.uint64(64 - r))
 
 
-def murmur3_128(data: bytes) -> bytes:
-    """The public MurmurHash3 x64 128-bit function, seed 0, as 16 big-endian bytes of h2 << 64 | h1."""
-    c1, c2 = 0x87C37B91114253D5, 0x4CF5AD432745937F
-    h1 = h2 = 0
-    full = len(data) // 16 * 16
-    for at in range(0, len(data), 16):
-        block = data[at : at + 16].ljust(16, b"\0")
-        k1, k2 = int.from_bytes(block[:8], "little"), int.from_bytes(block[8:], "little")
-        k1 = (_rotl((k1 * c1) & _MASK, 31) * c2) & _MASK
-        k2 = (_rotl((k2 * c2) & _MASK, 33) * c1) & _MASK
-        if at < full:
-            h1 = (((_rotl(h1 ^ k1, 27) + h2) & _MASK) * 5 + 0x52DCE729) & _MASK
-            h2 = (((_rotl(h2 ^ k2, 31) + h1) & _MASK) * 5 + 0x38495AB5) & _MASK
-        else:
-            h1, h2 = h1 ^ k1, h2 ^ k2
-    h1, h2 = h1 ^ len(data), h2 ^ len(data)
-    h1 = (h1 + h2) & _MASK
-    h2 = (h2 + h1) & _MASK
+def _avalanche(k: np.ndarray) -> np.ndarray:
+    for shift, factor in _MIX:
+        k = (k ^ (k >> np.uint64(shift))) * factor
+    return k ^ (k >> np.uint64(33))
+
+
+def _hashed(data: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Both halves of the hash, seed 0, of byte strings of similar length, all of them a block of 16 bytes at a time."""
+    length = np.array([len(x) for x in data], np.uint64)
+    width = int(length.max()) // 16 + 1
+    words = np.frombuffer(b"".join(x.ljust(16 * width, b"\0") for x in data), "<u8").reshape(len(data), 2 * width)
+    h1, h2 = np.zeros(len(data), np.uint64), np.zeros(len(data), np.uint64)
+    full = (length // np.uint64(16)).astype(np.int64)
+    for i in range(width):
+        k1 = _rotl(words[:, 2 * i] * _C1, 31) * _C2
+        k2 = _rotl(words[:, 2 * i + 1] * _C2, 33) * _C1
+        a = (_rotl(h1 ^ k1, 27) + h2) * np.uint64(5) + _ADD1
+        b = (_rotl(h2 ^ k2, 31) + a) * np.uint64(5) + _ADD2
+        # What is left after the full blocks is only mixed in.
+        h1, h2 = np.where(i < full, a, np.where(i == full, h1 ^ k1, h1)), np.where(i < full, b, np.where(i == full, h2 ^ k2, h2))
+    h1, h2 = h1 ^ length, h2 ^ length
+    h1 = h1 + h2
+    h2 = h2 + h1
     h1, h2 = _avalanche(h1), _avalanche(h2)
-    h1 = (h1 + h2) & _MASK
-    h2 = (h2 + h1) & _MASK
-    return (h2 << 64 | h1).to_bytes(16, "big")
+    h1 = h1 + h2
+    return h1, h2 + h1
+
+
+def murmur3_128(data: bytes) -> bytes:
+    """16 big-endian bytes of h2 << 64 | h1."""
+    h1, h2 = _hashed([data])
+    return h2.astype(">u8").tobytes() + h1.astype(">u8").tobytes()
 
 
 def _short_ids(urls: Iterator[pd.Series]) -> Iterator[pd.Series]:
     for batch in urls:
-        yield batch.map(lambda u: base64.urlsafe_b64encode(murmur3_128(u.encode())).decode().rstrip("="), na_action="ignore")
+        out = pd.Series([None] * len(batch), dtype=object)
+        data = {i: u.encode() for i, u in enumerate(batch) if isinstance(u, str)}
+        # Strings of one class of length, so that padding at most doubles them.
+        classes: dict[int, list[int]] = {}
+        for i, x in data.items():
+            classes.setdefault((len(x) >> 4).bit_length(), []).append(i)
+        for rows in classes.values():
+            h1, h2 = _hashed([data[i] for i in rows])
+            joined = np.stack([h2, h1], axis=1).astype(">u8").tobytes()
+            for n, i in enumerate(rows):
+                out[i] = base64.urlsafe_b64encode(joined[16 * n : 16 * n + 16]).decode().rstrip("=")
+        yield out
 
 
 def bookmark_id(url: Column | str) -> Column:

@@ -124,9 +124,9 @@ def headline(text: Column | str, query: WebQuery, most: int = MOST_WORDS, least:
         places = F.filter(F.when(r["n"] > 0, F.sequence(F.lit(1), r["n"])).otherwise(F.array().cast("array<int>")), lambda i: F.size(F.get(r["hits"], i - 1)) > 0)
         runs = F.transform(places, lambda i: F.struct(F.size(F.array_distinct(F.flatten(F.slice(r["hits"], i, F.lit(most))))).alias("terms"), (-i).alias("at")))
         best = -F.array_max(runs)["at"]
-        start = F.greatest(F.lit(1), F.least(best, r["n"] - least + 1))
+        start = F.greatest(F.lit(1), F.least(F.coalesce(best, F.lit(1)), r["n"] - least + 1))
         length = F.when(best.isNull(), F.lit(least)).otherwise(F.lit(most))
-        part = F.slice(F.arrays_zip(r["raw"].alias("w"), r["hits"].alias("h")), F.coalesce(start, F.lit(1)).cast("int"), length)
+        part = F.slice(F.arrays_zip(r["raw"].alias("w"), r["hits"].alias("h")), start.cast("int"), length)
         return F.array_join(F.transform(part, lambda x: F.when(F.size(x["h"]) > 0, F.concat(F.lit("<mark>"), x["w"], F.lit("</mark>"))).otherwise(x["w"])), " ")
 
     return F.get(F.transform(F.array(row), shown), F.lit(0))
