@@ -2,7 +2,9 @@
 
 Neither a tumbling nor a session window fits, as each window is anchored where
 the last one ended; so attempts are folded in time order per key, streaming
-through a sorted partition with one key's state in memory.
+through a sorted partition with one key's state in memory.  A decision depends
+on all earlier ones of its key, so a key is one task's work, however often it
+tries; that task streams and needs no more memory for it.
 """
 
 from __future__ import annotations

@@ -1,4 +1,8 @@
-"""Structured Streaming forms of the queues: latest task state, drained queues, limited attempts, facets by time."""
+"""Structured Streaming forms of the queues: latest task state, drained queues, limited attempts, facets by time.
+
+Stateful forms sort the events that one key has in one micro-batch, which bounds
+what a task holds; the source's rate limit sets the size of a batch.
+"""
 
 from __future__ import annotations
 
