@@ -55,7 +55,10 @@ def cut(df: DataFrame) -> DataFrame:
         if folder is None and context.master.partition("[")[0] != "local":
             raise ValueError("spark.checkpoint.dir is not set; it must name a folder that driver and executors share")
         context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="checkpoint-"))
-    return df.checkpoint(eager=True)
+    out = df.checkpoint(eager=True)
+    # Spark removes the shuffle files behind a cut when the driver's JVM collects its garbage, which a large heap seldom asks for.
+    context._jvm.System.gc()
+    return out
 
 
 #: Bits of the map in `possible`, in words of 64: at most 262,144 rows of two numbers, whatever the corpus.
