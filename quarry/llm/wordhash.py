@@ -167,6 +167,16 @@ def split_classes(data: np.ndarray, offsets: np.ndarray, doc_ids: np.ndarray) ->
     return Words(data, doc_ids, starts, ends, np.searchsorted(starts, offsets))
 
 
+_TERM = np.zeros(256, np.uint8)
+_TERM[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = 1
+
+
+def split_terms(data: np.ndarray, offsets: np.ndarray, doc_ids: np.ndarray) -> Words:
+    """Like split, but words are runs of digits, Latin letters and bytes beyond ASCII alone."""
+    starts, ends = _cut(data, offsets, _TERM)
+    return Words(data, doc_ids, starts, ends, np.searchsorted(starts, offsets))
+
+
 def text_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Bytes and offsets of a string column, null as empty, without copying where possible."""
     column = column.fill_null("") if column.null_count else column
