@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_topk, hard_negatives, lexical_search, line_dedup, media_columns, ngram_jaccard, quality, source_mix, substring_dedup, toxicity, url_filters
+from . import exact_topk, hard_negatives, lexical_search, line_dedup, media_columns, ngram_jaccard, quality, source_mix, substring_dedup, suffix_dedup, toxicity, url_filters
 from .byte_bpe import byte_bpe
 from .shared import table
 
@@ -62,6 +62,12 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.drop("ids")
 
 
+def op11_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = suffix_dedup.suffix_dedup(table(spark, sf_dir, "documents"))
+    removed = F.aggregate(F.zip_with("removed_to", "removed_from", lambda b, a: b - a), F.lit(0).cast("long"), lambda s, x: s + x)
+    return out.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("removed_from").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexical_search.lexical_search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -72,8 +78,8 @@ def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_ngram_jaccard, op2_toxicity, op3_source_mix, op4_substring_dedup, op5_line_dedup, op6_url_filters, op7_media_columns, op8_quality, op9_exact_topk, op10_byte_bpe, op12_lexical_search, op13_hard_negatives)}
+    return {f.__name__: f for f in (op1_ngram_jaccard, op2_toxicity, op3_source_mix, op4_substring_dedup, op5_line_dedup, op6_url_filters, op7_media_columns, op8_quality, op9_exact_topk, op10_byte_bpe, op11_suffix_dedup, op12_lexical_search, op13_hard_negatives)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_ngram_jaccard": ngram_jaccard.ORACLE, "op3_source_mix": source_mix.ORACLE, "op4_substring_dedup": substring_dedup.ORACLE, "op6_url_filters": url_filters.ORACLE, "op9_exact_topk": exact_topk.ORACLE, "op12_lexical_search": lexical_search.ORACLE, "op13_hard_negatives": hard_negatives.ORACLE}
+    return {"op1_ngram_jaccard": ngram_jaccard.ORACLE, "op3_source_mix": source_mix.ORACLE, "op4_substring_dedup": substring_dedup.ORACLE, "op6_url_filters": url_filters.ORACLE, "op9_exact_topk": exact_topk.ORACLE, "op11_suffix_dedup": suffix_dedup.ORACLE, "op12_lexical_search": lexical_search.ORACLE, "op13_hard_negatives": hard_negatives.ORACLE}

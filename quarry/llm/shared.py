@@ -79,6 +79,20 @@ def possible(df: DataFrame, keys: DataFrame, key: str) -> DataFrame:
     return marked.where(F.expr("(shiftrightunsigned(_bits, _at & 63) & 1L) = 1L")).select(*df.columns)
 
 
+def marked(df: DataFrame, keys: DataFrame, key: str, flag: str) -> DataFrame:
+    """The rows with a boolean `flag`, without a shuffle: false where their key, a long, is not among `keys` for sure.
+
+    A bit per hashed key says so; false hits must fall out of a join that
+    follows.  With so many keys that the map fills up, all rows are marked.
+    """
+    place = F.pmod(F.xxhash64(key), F.lit(MAP_BITS)).cast("int")
+    words = keys.select(F.pmod(F.xxhash64(F.col(key)), F.lit(MAP_BITS)).cast("int").alias("_at")).select(F.shiftright("_at", 6).alias("_word"), F.expr("shiftleft(1L, _at & 63)").alias("_bit"))
+    words = words.groupBy("_word").agg(F.bit_or("_bit").alias("_bits"))
+    # MAP_BITS / 64 rows at most, whatever the number of keys.
+    found = df.withColumn("_at", place).withColumn("_word", F.shiftright("_at", 6)).join(F.broadcast(words), "_word", "left")
+    return found.withColumn(flag, F.expr("coalesce((shiftrightunsigned(_bits, _at & 63) & 1L) = 1L, false)")).drop("_at", "_word", "_bits")
+
+
 def words_column(text: str = "text"):
     """Array of the words of a text; null has none."""
     return F.expr(f"regexp_extract_all(coalesce({text}, ''), '[^\\\\x20\\\\x09-\\\\x0D]+', 0)")
