@@ -33,7 +33,7 @@ stay; matches never cross documents, overlapping ones count; rows that repeat
 a doc_id, or a whole row, are documents of their own and cut each other; a row
 without doc_id takes part like any other; an empty table gives an empty
 result; other columns are ignored.  A very long text is a block of its own,
-which takes about a hundred bytes for each of it at most.  Hashes of 40 bits
+which takes about a hundred bytes for each of it at most.  Hashes of 32 bits
 beside the bucket only choose what is compared.
 """
 
@@ -57,7 +57,7 @@ BLOCK_BYTES, SAMPLE_BUCKET, SUFFIX_BUCKET = 4 << 20, 8 << 20, 4 << 20
 #: Different text that one task sorts; suffixes that it sorts at a time; bytes of the strings whose least hash names a bucket; suffixes of one string at most.
 HOT, SORTED, GRAM, LONGEST = 96 << 20, 1 << 20, 16, 1 << 16
 #: Bits of a sample beside its bucket, and bits of a bucket that are reached in one step.
-BITS, STEP_BITS = 40, 12
+BITS, STEP_BITS = 32, 12
 #: Samples that are sorted into their buckets at a time.
 REGROUPED = 4 << 20
 
@@ -456,18 +456,17 @@ def repeated_spans(texts: DataFrame, n_bytes: int, width: int = WIDTH, block_byt
     tied = found.groupBy("bucket").applyInArrow(lambda t: _tied(t, short), "block long, hashes binary")
     strings = cut(placed.groupBy("block").cogroup(tied.groupBy("block")).applyInArrow(lambda a, b: _stretches(a, b, width, suffix_bits, short), _STRINGS))
 
-    named = strings.where("sid >= 0").withColumn("id", F.md5("text"))
-    different = cut(named.groupBy("bucket", "id", "text").agg(F.sum("n").alias("n")))
-    large = different.groupBy("bucket").agg(F.sum(F.octet_length("text")).alias("size")).where(F.col("size") > hot).select("bucket")
-    spans = "id string, begin array<long>, end array<long>"
-    if large.isEmpty():
-        judged = different.groupBy("bucket").applyInArrow(lambda t: _judge(t, width), spans)
-    else:
-        judged = different.join(large, "bucket", "left_anti").groupBy("bucket").applyInArrow(lambda t: _judge(t, width), spans)
-        rows = different.join(large, "bucket", "left_semi").select("id", "text", "n").mapInArrow(frugal(lambda it: _fingerprints(it, width)), "id string, at long, f1 long, f2 long, n long")
-        twice = rows.groupBy("f1", "f2").agg(F.sum("n").alias("times")).where("times > 1").select("f1", "f2")
-        rows = rows.join(twice, ["f1", "f2"], "left_semi")
-        judged = judged.unionByName(rows.groupBy("id").applyInArrow(lambda t: _spans_of_rows(t, width), spans))
+    named = strings.where("sid >= 0")
+    different = named.groupBy("bucket", "text").agg(F.sum("n").alias("n"))
+    size = different.groupBy("bucket").agg(F.sum(F.octet_length("text")).alias("size"))
+    key = F.unhex(F.md5("text"))
+    sized = different.join(size, "bucket").withColumn("id", key)
+    spans = "id binary, begin array<long>, end array<long>"
+    judged = sized.where(F.col("size") <= hot).groupBy("bucket").applyInArrow(lambda t: _judge(t, width), spans)
+    rows = sized.where(F.col("size") > hot).select("id", "text", "n").mapInArrow(frugal(lambda it: _fingerprints(it, width)), "id binary, at long, f1 long, f2 long, n long")
+    twice = rows.groupBy("f1", "f2").agg(F.sum("n").alias("times")).where("times > 1").select("f1", "f2")
+    judged = judged.unionByName(rows.join(twice, ["f1", "f2"], "left_semi").groupBy("id").applyInArrow(lambda t: _spans_of_rows(t, width), spans))
+    named = named.withColumn("id", key)
     said = named.select("block", "sid", "id").join(judged, "id").select("block", "sid", "begin", "end")
     answers = said.unionByName(strings.where("sid < 0").select("block", "sid", "doc_ids", "keys", "ends", "starts", "sids"), allowMissingColumns=True)
     return answers.groupBy("block").applyInArrow(_merge, "_doc long, _key long, removed_from array<long>, removed_to array<long>")
