@@ -15,10 +15,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.stem import stem
-from ..functions.text import STOPWORDS, joined, lexemes, stems, words
+from ..functions.text import STOPWORDS, joined, lexemes
+from . import rank as R
 
-#: Weight of a hit in the title, the body and the tags.
-WEIGHTS = {"title_lexemes": 1.0, "text_lexemes": 0.4, "tag_lexemes": 0.2}
 #: Words of a highlight.
 MOST_WORDS, LEAST_WORDS = 35, 15
 
@@ -34,6 +33,11 @@ def _equals(lexeme: Column):
     return lambda x: x == lexeme
 
 
+def _placed(term: str, before: Column, weight: float):
+    """Place, behind `before` others, and weight of a lexeme that is the term; null of any other."""
+    return lambda x, i: F.when(x == F.lit(term), F.struct((i + before).alias("place"), F.lit(weight).alias("weight")))
+
+
 @dataclass(frozen=True)
 class Clause:
     """A word or phrase, wanted or unwanted."""
@@ -42,12 +46,16 @@ class Clause:
     negated: bool = False
 
     def column(self, text: Column, language: str) -> Column:
-        found = text.contains(self._lexemes(language))
+        parts = self.lexemes(language)
+        # A stop word inside a phrase stands for any word.
+        found = text.contains(f" {' '.join(parts)} ") if all(parts) else text.rlike(f" {' '.join(p or '[^ ]*' for p in parts)} ")
         return ~found if self.negated else found
 
-    def _lexemes(self, language: str) -> Column:
-        parts = self.phrase if language == "simple" else ["" if w in STOPWORDS else stem(w) for w in self.phrase]
-        return F.lit(f" {' '.join(parts)} ")
+    def lexemes(self, language: str) -> list[str]:
+        """The words' lexemes; a stop word inside leaves an empty place, one at an end none."""
+        parts = list(self.phrase) if language == "simple" else ["" if w in STOPWORDS else stem(w) for w in self.phrase]
+        kept = [i for i, x in enumerate(parts) if x]
+        return parts[kept[0] : kept[-1] + 1] if kept else []
 
 
 @dataclass(frozen=True)
@@ -68,19 +76,36 @@ class WebQuery:
         # Bound as a variable, the text is made once per row, not once per clause.
         return F.exists(F.array("search_text"), any_group)
 
-    def terms(self) -> list[str]:
-        """Different wanted lexemes, stop words left out."""
-        found = [w for g in self.groups for c in g if not c.negated for w in c.phrase]
-        return list(dict.fromkeys(w if self.language == "simple" else stem(w) for w in found if self.language == "simple" or w not in STOPWORDS))
+    def operands(self) -> list[str]:
+        """Different lexemes of all clauses, excluded ones too: what a rank is made of."""
+        return sorted({x for g in self.groups for c in g for x in c.lexemes(self.language) if x})
+
+    def by_proximity(self) -> bool:
+        """Whether this is one conjunction or one phrase, of several lexemes."""
+        if len(self.groups) != 1 or len(self.operands()) < 2:
+            return False
+        first = self.groups[0][0]
+        return len(self.groups[0]) > 1 or not first.negated
 
     def rank(self) -> Column:
-        """Sum over terms and parts of weight * ln(1 + hits): more hits and heavier parts rank higher."""
-        score = F.lit(0.0)
-        for term in self.terms():
-            lexeme = F.lit(term)
-            for part, weight in WEIGHTS.items():
-                score = score + weight * F.log1p(F.size(F.filter(part, _equals(lexeme))).cast("double"))
-        return score
+        """Rank of a row with the search columns, from the places of the operands in title, body and tags."""
+        if not self.groups:
+            return F.lit(0.0)
+        parts = ((F.col("title_lexemes"), "A"), (F.col("text_lexemes"), "B"), (F.col("tag_lexemes"), "C"))
+
+        def hits(term: str) -> Column:
+            """place and weight of each hit."""
+            found, before = [], F.lit(0)
+            for lexemes_of_part, part in parts:
+                at = F.transform(lexemes_of_part, _placed(term, before, R.PART_WEIGHTS[part]))
+                found.append(F.filter(at, lambda x: x.isNotNull()))
+                before = before + F.size(lexemes_of_part)
+            return F.concat(*found)
+
+        found = [hits(t) for t in self.operands()]
+        if self.by_proximity():
+            return R.proximity(F.array(*[F.struct(h["place"].alias("places"), h["weight"].alias("weights")) for h in found]))
+        return sum((R.occurrence(h["weight"]) for h in found), F.lit(0.0)) / len(found)
 
 
 def web_query(text: str, language: str = "english") -> WebQuery:
@@ -104,34 +129,6 @@ def search(df: DataFrame, query: WebQuery) -> DataFrame:
     return df.where(query.matches()).withColumn("rank", query.rank())
 
 
-def headline(text: Column | str, query: WebQuery, most: int = MOST_WORDS, least: int = LEAST_WORDS) -> Column:
-    """The run of at most `most` words that holds the most different terms, hits marked; of equal ones the first.
-
-    It begins with a hit, or earlier where fewer than `least` words follow;
-    without a hit it is the first `least` words.  Meant for the rows of a page,
-    after the top-k.
-    """
-    raw = F.filter(F.split(text, r"\s+"), lambda w: w != "")
-    terms = F.array(*map(F.lit, query.terms())).cast("array<string>")
-    plain = F.transform(raw, lambda w: F.array_join(words(w), " "))
-    plain = plain if query.language == "simple" else stems(plain)
-    hits = F.transform(plain, lambda p: F.array_intersect(F.split(p, " "), terms))
-    n = F.size(raw)
-    # Bound as variables, the arrays are made once per row.
-    row = F.struct(raw.alias("raw"), hits.alias("hits"), n.alias("n"))
-
-    def shown(r: Column) -> Column:
-        places = F.filter(F.when(r["n"] > 0, F.sequence(F.lit(1), r["n"])).otherwise(F.array().cast("array<int>")), lambda i: F.size(F.get(r["hits"], i - 1)) > 0)
-        runs = F.transform(places, lambda i: F.struct(F.size(F.array_distinct(F.flatten(F.slice(r["hits"], i, F.lit(most))))).alias("terms"), (-i).alias("at")))
-        best = -F.array_max(runs)["at"]
-        start = F.greatest(F.lit(1), F.least(F.coalesce(best, F.lit(1)), r["n"] - least + 1))
-        length = F.when(best.isNull(), F.lit(least)).otherwise(F.lit(most))
-        part = F.slice(F.arrays_zip(r["raw"].alias("w"), r["hits"].alias("h")), start.cast("int"), length)
-        return F.array_join(F.transform(part, lambda x: F.when(F.size(x["h"]) > 0, F.concat(F.lit("<mark>"), x["w"], F.lit("</mark>"))).otherwise(x["w"])), " ")
-
-    return F.get(F.transform(F.array(row), shown), F.lit(0))
-
-
 def postings(df: DataFrame, language: str = "english") -> DataFrame:
     """lexeme, weight, bookmark_id, user_id, positions: what an index table holds.
 

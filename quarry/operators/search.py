@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..schema import BOOKMARK_COLUMNS
 from . import fts
+from .headline import headline
 from .paging import page
 from .predicates import TagFilter
 from .tags import facets
@@ -45,5 +46,5 @@ def search(bookmarks: DataFrame, user_id: str, request: SearchRequest) -> Search
         items = items.withColumn("search_match", F.lit(None).cast("string"))
     else:
         top = page(found.select(*BOOKMARK_COLUMNS, "text_content", "rank"), F.desc("rank"), "bookmark_id", limit=request.limit, offset=request.offset)
-        items = top.withColumn("search_match", fts.headline("text_content", fts.web_query(request.query, request.language))).drop("text_content")
+        items = top.withColumn("search_match", headline("text_content", fts.web_query(request.query, request.language))).drop("text_content")
     return SearchResult(items, facets(found.select("tags")), found.agg(F.count("*").alias("total")))

@@ -6,6 +6,7 @@ text and times as text, so that two engines give equal values.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from datetime import datetime
 
@@ -16,7 +17,8 @@ from ..functions import html as H
 from ..functions import markup as M
 from ..functions.text import lexemes, words
 from ..functions.urls import bookmark_id, canonical_url, domain
-from ..operators import chunking, enrich, fts, fusion, history, limiter, mutations, paging, predicates, queues, tags, vector, versions
+from ..operators import chunking, enrich, fts, fusion, history, index, limiter, mutations, paging, predicates, queues, rank, tags, vector, versions
+from ..operators.headline import headline
 from ..operators.predicates import TagFilter
 from ..operators.search import SearchRequest, hits, search
 from ..sources import adapt, readers
@@ -203,25 +205,108 @@ def fts_phrase(spark, d):
     return fts.search(_simple(spark, d), fts.web_query('"of the" -"in the"', "simple")).select("bookmark_id")
 
 
-_RANK = " + ".join(f"{w} * ln(1 + len(list_filter({part}, lambda x: x = '{t}')))" for t in ("the", "src0") for part, w in (("tl", 1.0), ("xl", 0.4), ("gl", 0.2)))
+# Rank of one term from the weights of its places, which fall from title to tags; rank of a conjunction from all pairs of places.
+_OF = "len(list_filter({part}, lambda x: x = '{t}'))"
+_OCCURRENCE = "coalesce(list_sum(list_transform(range(1, {a} + {b} + {c} + 1), lambda j: CASE WHEN j <= {a} THEN 1.0 WHEN j <= {a} + {b} THEN 0.4 ELSE 0.2 END::DOUBLE / (j * j))), 0) / 1.64493406685::DOUBLE"
 
 
-@query(f"{_VECTOR} SELECT bookmark_id, round({_RANK}, 6) AS rank FROM s WHERE list_contains(al, 'the') AND list_contains(al, 'src0') ORDER BY round({_RANK}, 6) DESC, bookmark_id LIMIT 20")
+def _occurrence(term: str) -> str:
+    return _OCCURRENCE.format(**{k: _OF.format(part=p, t=term) for k, p in (("a", "tl"), ("b", "xl"), ("c", "gl"))})
+
+
+def _proximity_sql(*terms: str) -> str:
+    """CTEs that end in `prox`: bookmark_id, rank."""
+    return f"""hit AS (SELECT bookmark_id, x, i, CASE WHEN i <= a THEN 1.0 WHEN i <= a + b THEN 0.4 ELSE 0.2 END::DOUBLE AS w FROM (SELECT bookmark_id, len(tl) AS a, len(xl) AS b, unnest(al) AS x, generate_subscripts(al, 1) AS i FROM s) WHERE x IN ({", ".join(f"'{t}'" for t in terms)})),
+prox AS (SELECT p.bookmark_id, 1 - exp(sum(CASE WHEN p.i = q.i THEN 0 ELSE ln(1 - sqrt(p.w * q.w * CASE WHEN abs(p.i - q.i) > 100 THEN 1e-30 ELSE 1 / (1.005 + 0.05 * exp(abs(p.i - q.i) / 1.5 - 2)) END)) END)) AS rank FROM hit p JOIN hit q ON p.bookmark_id = q.bookmark_id AND p.x < q.x GROUP BY p.bookmark_id)"""
+
+
+_RANKED_PAGE = f"{_VECTOR}, {_proximity_sql('the', 'src0')} SELECT bookmark_id, round(rank, 6) AS rank FROM s JOIN prox USING (bookmark_id) WHERE list_contains(al, 'the') AND list_contains(al, 'src0') ORDER BY round(rank, 6) DESC, bookmark_id LIMIT 20"
+
+
+@query(_RANKED_PAGE)
 def fts_ranked_page(spark, d):
     found = fts.search(_simple(spark, d), fts.web_query("the src0", "simple"))
     return paging.page(found.select("bookmark_id", F.round("rank", 6).alias("rank")), F.desc("rank"), "bookmark_id")
 
 
-_MARK = "list_transform(raw, lambda w: list_filter(['the', 'of'], lambda t: list_contains(string_split_regex(lower(w), '[^\\p{L}\\p{N}]+'), t)))"
+_PHRASE_RANK = f"{_VECTOR}, {_proximity_sql('of', 'the')} SELECT bookmark_id, round(rank, 6) AS rank FROM s JOIN prox USING (bookmark_id) WHERE contains({_TEXT}, ' of the ')"
+
+
+@query(_PHRASE_RANK)
+def fts_phrase_rank(spark, d):
+    return fts.search(_simple(spark, d), fts.web_query('"of the"', "simple")).select("bookmark_id", F.round("rank", 6).alias("rank"))
+
+
+# The same from a stored index, whose rows are all that these queries read.
+
+_STORED: dict[tuple[str, str], str] = {}
+
+
+def _index(spark, d) -> DataFrame:
+    """The `simple` index of a folder's bookmarks, stored once per session in the warehouse."""
+    key = (spark.sparkContext.applicationId, d)
+    if key not in _STORED:
+        name = f"fts_index_{uuid.uuid4().hex}"
+        index.write(index.build(adapt.bookmarks(spark, d), "simple", block_docs=64), name, 16)
+        _STORED[key] = name
+    return spark.table(_STORED[key])
+
+
+@query(f"{_VECTOR} SELECT bookmark_id FROM s WHERE contains({_TEXT}, ' of the ') AND NOT contains({_TEXT}, ' in the ')")
+def fts_phrase_indexed(spark, d):
+    return index.search(_index(spark, d), fts.web_query('"of the" -"in the"', "simple"), None).select("bookmark_id")
+
+
+@query(f"{_VECTOR} SELECT bookmark_id FROM s WHERE (list_contains(al, 'the') AND list_contains(al, 'from') AND NOT list_contains(al, 'only')) OR list_contains(al, 'auf')")
+def fts_and_or_not_indexed(spark, d):
+    return index.search(_index(spark, d), fts.web_query("the & from -only or auf", "simple"), None).select("bookmark_id")
+
+
+@query(f"{_VECTOR} SELECT bookmark_id FROM s WHERE user_id = '3' AND NOT list_contains(al, 'the')")
+def fts_without_indexed(spark, d):
+    return index.search(_index(spark, d), fts.web_query("-the", "simple"), "3").select("bookmark_id")
+
+
+@query(_RANKED_PAGE)
+def fts_ranked_page_indexed(spark, d):
+    found = index.search(_index(spark, d), fts.web_query("the src0", "simple"), None)
+    return paging.page(found.select("bookmark_id", F.round("rank", 6).alias("rank")), F.desc("rank"), "bookmark_id")
+
+
+_ANY_RANK = f"(({_occurrence('the')}) + ({_occurrence('from')}) + ({_occurrence('auf')})) / 3"
+
+
+@query(f"{_VECTOR} SELECT bookmark_id, round({_ANY_RANK}, 6) AS rank FROM s WHERE user_id = '3' AND len(list_filter(al, lambda x: x IN ('the', 'from', 'auf'))) > 0 ORDER BY round({_ANY_RANK}, 9) DESC, bookmark_id LIMIT 15")
+def fts_top_indexed(spark, d):
+    return index.top(_index(spark, d), fts.web_query("the or from or auf", "simple"), "3", 15).select("bookmark_id", F.round("rank", 6).alias("rank"))
+
+
+@query(f"{_VECTOR} SELECT bookmark_id, round(({_occurrence('the')}) / (1 + log2(len(al) + 1)), 6) AS rank FROM s WHERE list_contains(al, 'the')".replace("(1 + log2(len(al) + 1))", "log2(len(al) + 1) / len(al)"))
+def fts_rank_normalized_indexed(spark, d):
+    found = index.search(_index(spark, d), fts.web_query("the", "simple"), None, rank.BY_LOG_LENGTH | rank.BY_LENGTH)
+    return found.select("bookmark_id", F.round("rank", 6).alias("rank"))
+
+
+# For two words the covers are the neighbours among the hits that are different words.
+_HEADLINE = f"""{_VECTOR}, t AS (SELECT bookmark_id, regexp_extract_all(text_content, '[\\p{{L}}\\p{{N}}]+') AS ws, string_split_regex(text_content, '[\\p{{L}}\\p{{N}}]+') AS seps FROM s WHERE user_id = '3'),
+w AS (SELECT bookmark_id, i, word, sep, n, lower(word) IN ('the', 'of') AS hit, len(word) <= 3 AND lower(word) NOT IN ('the', 'of') AS short FROM (SELECT bookmark_id, len(ws) AS n, unnest(ws) AS word, unnest(seps[2:]) AS sep, generate_subscripts(ws, 1) AS i FROM t WHERE len(ws) > 0)),
+h AS (SELECT bookmark_id, n, i AS q, lower(word) AS x, lag(i) OVER p AS p, lag(lower(word)) OVER p AS y FROM w WHERE hit WINDOW p AS (PARTITION BY bookmark_id ORDER BY i)),
+c AS (SELECT bookmark_id, n, p, q FROM h WHERE x <> y),
+f AS (SELECT c.bookmark_id, c.p, c.q, CASE WHEN q - p + 1 >= 35 THEN coalesce(max(CASE WHEN w.i <= p + 34 AND (NOT w.short OR w.i = p + 14) THEN w.i END), p + 34)
+      ELSE coalesce(min(CASE WHEN w.i >= greatest(q, p + 14) AND NOT w.short THEN w.i END), least(c.n, p + 34)) END AS e
+    FROM c JOIN w ON w.bookmark_id = c.bookmark_id AND w.i BETWEEN p + 14 AND p + 34 OR (w.bookmark_id = c.bookmark_id AND w.i = p) GROUP BY c.bookmark_id, c.p, c.q, c.n),
+g AS (SELECT *, CASE WHEN q - p + 1 >= 35 THEN p ELSE greatest(1, least(p, e - 14)) END AS b FROM f),
+chosen AS (SELECT g.bookmark_id, g.p, g.b, g.e, row_number() OVER (PARTITION BY g.bookmark_id ORDER BY CAST(g.e >= g.q AS INTEGER) DESC, sum(CAST(w.hit AS INTEGER)) DESC, bool_or(w.i = g.e AND NOT w.short) DESC, g.p) AS nth
+    FROM g JOIN w ON w.bookmark_id = g.bookmark_id AND w.i BETWEEN g.b AND g.e GROUP BY g.bookmark_id, g.p, g.q, g.b, g.e),
+o AS (SELECT t.bookmark_id, coalesce(k.b, 1) AS b, coalesce(k.e, 15) AS e FROM t LEFT JOIN chosen k ON k.bookmark_id = t.bookmark_id AND nth = 1)
+SELECT o.bookmark_id, coalesce(string_agg(CASE WHEN hit THEN '<mark>' || word || '</mark>' ELSE word END || CASE WHEN i < least(e, n) THEN sep ELSE '' END, '' ORDER BY i), '') AS search_match
+FROM o LEFT JOIN w ON w.bookmark_id = o.bookmark_id AND w.i BETWEEN b AND e GROUP BY o.bookmark_id"""
 
 
-@query(f"""{_VECTOR}, h AS (SELECT bookmark_id, raw, {_MARK} AS hits FROM (SELECT bookmark_id, list_filter(string_split_regex(text_content, '[ \\t\\n\\x0B\\f\\r]+'), lambda w: w <> '') AS raw FROM s WHERE user_id = '3')),
-b AS (SELECT *, -list_max(list_transform(list_filter(range(1, len(raw) + 1), lambda i: len(hits[i]) > 0), lambda i: {{'terms': len(list_distinct(flatten(hits[i : i + 34]))), 'at': -i}})).at AS best FROM h),
-c AS (SELECT *, greatest(1, least(coalesce(best, 1), len(raw) - 14)) AS a, CASE WHEN best IS NULL THEN 15 ELSE 35 END AS n FROM b)
-SELECT bookmark_id, coalesce(list_aggregate(list_transform(range(a, least(len(raw), a + n - 1) + 1), lambda i: CASE WHEN len(hits[i]) > 0 THEN '<mark>' || raw[i] || '</mark>' ELSE raw[i] END), 'string_agg', ' '), '') AS search_match FROM c""")
+@query(_HEADLINE)
 def fts_headline_simple(spark, d):
     b = adapt.bookmarks(spark, d).where("user_id = '3'")
-    return b.select("bookmark_id", fts.headline("text_content", fts.web_query("the of", "simple")).alias("search_match"))
+    return b.select("bookmark_id", headline("text_content", fts.web_query("the of", "simple")).alias("search_match"))
 
 
 @query()
@@ -289,10 +374,9 @@ def embedding_dimensions(spark, d):
 _HYBRID = f"""{_VECTOR.replace("WITH ", f"WITH {adapt.SQL['chunks']},", 1)},
 m AS (SELECT c.bookmark_id, c.chunk_id, {_SIM} AS similarity FROM chunks c, {_QUERY} q WHERE {_SIM} >= 0.0 ORDER BY {_SIM} DESC, chunk_id LIMIT 12),
 vm AS (SELECT *, row_number() OVER (ORDER BY similarity DESC, chunk_id) AS vr FROM m),
-f AS (SELECT bookmark_id, {_RANK} AS sc FROM s WHERE list_contains(al, 'the')),
+f AS (SELECT bookmark_id, {_occurrence('the')} AS sc FROM s WHERE list_contains(al, 'the')),
 fr AS (SELECT *, row_number() OVER (ORDER BY sc DESC, bookmark_id) AS fr FROM f),
 h AS (SELECT chunk_id, similarity, vr, coalesce(sc, 0.0) AS sc, coalesce(fr, 13) AS fr FROM vm LEFT JOIN fr USING (bookmark_id))"""
-_HYBRID = _HYBRID.replace(_RANK, " + ".join(f"{w} * ln(1 + len(list_filter({part}, lambda x: x = 'the')))" for part, w in (("tl", 1.0), ("xl", 0.4), ("gl", 0.2))))
 
 
 def _hybrid(spark, d) -> DataFrame:
