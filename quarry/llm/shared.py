@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import ctypes
 import tempfile
+import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -42,23 +43,40 @@ def frugal(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]])
     return wrapped
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Cut the lineage by a reliable checkpoint in the folder that the cluster names.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that ``spark.checkpoint.dir`` names, which driver and executors share; a temporary one only in a local session (tests) where it is unset."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder is None:
+        if spark.sparkContext.master.partition("[")[0] != "local":
+            raise ValueError("spark.checkpoint.dir is not set; it must name a folder that driver and executors share")
+        folder = spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="checkpoint-")
+    return folder
+
 
-    ``spark.checkpoint.dir`` is read from the session.  Only in a local session
-    (tests) where it is unset a temporary folder is taken.
+def cut(df: DataFrame, rows_per_task: int | None = None) -> DataFrame:
+    """Cut the lineage by a reliable checkpoint in the shared folder.
+
+    With `rows_per_task`, what has few rows comes back in few partitions (but
+    not fewer than the cluster's cores), so that shuffles of it write few files.
     """
-    spark = df.sparkSession
-    context = spark.sparkContext
+    context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        if folder is None and context.master.partition("[")[0] != "local":
-            raise ValueError("spark.checkpoint.dir is not set; it must name a folder that driver and executors share")
-        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="checkpoint-"))
+        context.setCheckpointDir(shared_folder(df.sparkSession))
     out = df.checkpoint(eager=True)
-    # Spark removes the shuffle files behind a cut when the driver's JVM collects its garbage, which a large heap seldom asks for.
-    context._jvm.System.gc()
-    return out
+    return out if rows_per_task is None else out.coalesce(max(context.defaultParallelism, -(-out.count() // rows_per_task)))
+
+
+class Stored:
+    """A table written to the shared folder, compressed, for jobs that read it several times."""
+
+    def __init__(self, df: DataFrame) -> None:
+        self.path = f"{shared_folder(df.sparkSession).rstrip('/')}/table-{uuid.uuid4().hex}"
+        df.write.option("compression", "zstd").parquet(self.path)
+        self.table = df.sparkSession.read.schema(df.schema).parquet(self.path)
+
+    def clear(self) -> None:
+        """Gives the space back, when nothing will read the table any more."""
+        self.table.sparkSession.createDataFrame([], self.table.schema).coalesce(1).write.mode("overwrite").parquet(self.path)
 
 
 #: Bits of the map in `possible`, in words of 64: at most 262,144 rows of two numbers, whatever the corpus.

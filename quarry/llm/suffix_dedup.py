@@ -46,7 +46,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import cut, frugal, marked
+from .shared import Stored, cut, frugal, marked
 from .wordhash import _byte_values, _rolled, mix, text_buffers
 
 WIDTH = 400
@@ -454,30 +454,36 @@ def repeated_spans(texts: DataFrame, n_bytes: int, width: int = WIDTH, block_byt
     if bits > first_bits:
         found = found.repartition("bucket").mapInArrow(frugal(lambda it: _regroup(it, bits, short)), _SAMPLES)
     tied = found.groupBy("bucket").applyInArrow(lambda t: _tied(t, short), "block long, hashes binary")
-    strings = cut(placed.groupBy("block").cogroup(tied.groupBy("block")).applyInArrow(lambda a, b: _stretches(a, b, width, suffix_bits, short), _STRINGS))
-
+    found = placed.groupBy("block").cogroup(tied.groupBy("block")).applyInArrow(lambda a, b: _stretches(a, b, width, suffix_bits, short), _STRINGS)
+    stored = Stored(found.withColumn("id", F.unhex(F.md5("text"))))
+    strings = stored.table
     named = strings.where("sid >= 0")
-    different = named.groupBy("bucket", "text").agg(F.sum("n").alias("n"))
-    size = different.groupBy("bucket").agg(F.sum(F.octet_length("text")).alias("size"))
-    key = F.unhex(F.md5("text"))
-    sized = different.join(size, "bucket").withColumn("id", key)
+    # By the ids alone, which are shorter than the texts.
+    size = named.groupBy("bucket", "id").agg(F.max(F.octet_length("text")).alias("size")).groupBy("bucket").agg(F.sum("size").alias("size"))
+    large = cut(size.where(F.col("size") > hot).select("bucket"))
+    different = named.groupBy("bucket", "text").agg(F.sum("n").alias("n")).withColumn("id", F.unhex(F.md5("text")))
     spans = "id binary, begin array<long>, end array<long>"
-    judged = sized.where(F.col("size") <= hot).groupBy("bucket").applyInArrow(lambda t: _judge(t, width), spans)
-    rows = sized.where(F.col("size") > hot).select("id", "text", "n").mapInArrow(frugal(lambda it: _fingerprints(it, width)), "id binary, at long, f1 long, f2 long, n long")
-    twice = rows.groupBy("f1", "f2").agg(F.sum("n").alias("times")).where("times > 1").select("f1", "f2")
-    judged = judged.unionByName(rows.join(twice, ["f1", "f2"], "left_semi").groupBy("id").applyInArrow(lambda t: _spans_of_rows(t, width), spans))
-    named = named.withColumn("id", key)
+    if large.isEmpty():
+        judged = different.groupBy("bucket").applyInArrow(lambda t: _judge(t, width), spans)
+    else:
+        judged = different.join(large, "bucket", "left_anti").groupBy("bucket").applyInArrow(lambda t: _judge(t, width), spans)
+        rows = different.join(large, "bucket", "left_semi").select("id", "text", "n").mapInArrow(frugal(lambda it: _fingerprints(it, width)), "id binary, at long, f1 long, f2 long, n long")
+        twice = rows.groupBy("f1", "f2").agg(F.sum("n").alias("times")).where("times > 1").select("f1", "f2")
+        judged = judged.unionByName(rows.join(twice, ["f1", "f2"], "left_semi").groupBy("id").applyInArrow(lambda t: _spans_of_rows(t, width), spans))
     said = named.select("block", "sid", "id").join(judged, "id").select("block", "sid", "begin", "end")
     answers = said.unionByName(strings.where("sid < 0").select("block", "sid", "doc_ids", "keys", "ends", "starts", "sids"), allowMissingColumns=True)
-    return answers.groupBy("block").applyInArrow(_merge, "_doc long, _key long, removed_from array<long>, removed_to array<long>")
+    merged = answers.groupBy("block").applyInArrow(_merge, "_doc long, _key long, removed_from array<long>, removed_to array<long>")
+    # One row of all that are equal, which have the same spans.
+    out = cut(merged.dropDuplicates(["_doc", "_key"]))
+    stored.clear()
+    return out
 
 
 def suffix_dedup(docs: DataFrame, width: int = WIDTH, **sizes: int) -> DataFrame:
     """One row per document: doc_id, n_bytes, removed_from, removed_to (bytes, end excluded), kept (binary)."""
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("text_key", F.xxhash64("text"))
     n_bytes = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    # One row of all that are equal, which have the same spans.
-    spans = cut(repeated_spans(texts, n_bytes, width, **sizes).dropDuplicates(["_doc", "_key"]))
+    spans = repeated_spans(texts, n_bytes, width, **sizes)
     keyed = texts.withColumn("_doc", F.coalesce("doc_id", F.lit(_NO_ID))).withColumnRenamed("text_key", "_key").withColumn("_pair", F.xxhash64("_doc", "_key"))
     # Documents that have no spans for sure are not shuffled.
     told = marked(keyed, spans.select(F.xxhash64("_doc", "_key").alias("_pair")), "_pair", "_maybe")
