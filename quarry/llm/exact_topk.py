@@ -11,8 +11,9 @@ the query's kth score so far.  The best k of all blocks merge in a window.
 Defined results: ties go to the smaller vec_id; a query is never its own
 candidate (rows that repeat its vec_id are not candidates of it either); a
 candidate row that repeats another counts again, a query whose vec_id repeats
-once, with the smallest of its vectors; vectors that are null, of another length than
-most, or that hold null or non-finite components take no part; with fewer than
+once, with the smallest of its vectors; vectors are compared with those of their
+own length only; vectors that are null or empty, or that hold null or non-finite
+components take no part; with fewer than
 k candidates all are returned; other columns are ignored.
 """
 
@@ -23,6 +24,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .vectors import block_rows, by_length, finite
+
 K, QUERY_EVERY, SCALE = 10, 100, 1024
 #: Vectors whose components are sorted together; of the candidates and of the queries that meet in one task.
 BLOCK, TASK_BLOCK, QUERY_BLOCK = 4096, 16_384, 16_384
@@ -69,46 +72,44 @@ class SortedLists:
             depth, step = (end if len(used) else n), 2 * step
 
 
-def _search(key: tuple, candidates: pa.Table, queries: pa.Table, k: int) -> pa.Table:
-    rows: list[tuple[int, int, int]] = []
+def _search(candidates: pa.Table, queries: pa.Table, k: int) -> pa.Table:
+    out: list[list[np.ndarray]] = [[], [], []]
     if candidates.num_rows and queries.num_rows:
-        vectors = lambda t: np.array(t.column("v").to_pylist(), np.float64)
-        cand_ids, cand = candidates.column("vec_id").to_numpy(), vectors(candidates)
-        wanted = vectors(queries)
-        lists = [SortedLists(cand_ids[a : a + BLOCK], cand[a : a + BLOCK]) for a in range(0, len(cand_ids), BLOCK)]
-        for query_id, query in zip(queries.column("vec_id").to_pylist(), wanted, strict=True):
-            floor, found = -np.inf, []
-            for block in lists:
-                ids, scores = block.search(query, query_id, k, floor)
-                found += zip(scores.tolist(), ids.tolist(), strict=True)
-                if len(found) >= k:
-                    found = sorted(found, key=lambda x: (-x[0], x[1]))[:k]
-                    floor = found[-1][0]
-            rows += [(query_id, i, int(s)) for s, i in found]
-    return pa.table([pa.array([r[i] for r in rows], pa.int64()) for i in range(3)], names=["query_id", "vec_id", "score"])
+        cand_ids, query_ids = candidates.column("vec_id").to_numpy(), queries.column("vec_id").to_numpy()
+        asked = {wanted.shape[1]: (rows, wanted) for rows, wanted in by_length(queries.column("v"), np.float64)}
+        for at, cand in by_length(candidates.column("v"), np.float64):
+            if cand.shape[1] not in asked:
+                continue
+            lists = [SortedLists(cand_ids[at[a : a + BLOCK]], cand[a : a + BLOCK]) for a in range(0, len(at), BLOCK)]
+            for row, query in zip(*asked[cand.shape[1]], strict=True):
+                best, floor = (np.zeros(0, np.int64), np.zeros(0)), -np.inf
+                for block in lists:
+                    ids, scores = (np.concatenate(x) for x in zip(best, block.search(query, int(query_ids[row]), k, floor), strict=True))
+                    order = np.lexsort((ids, -scores))[:k]
+                    best = ids[order], scores[order]
+                    floor = best[1][-1] if len(order) == k else floor
+                for column, values in zip(out, (np.full(len(best[0]), query_ids[row]), *best), strict=True):
+                    column.append(values.astype(np.int64))
+    return pa.table([pa.array(np.concatenate(c) if c else np.zeros(0, np.int64)) for c in out], names=["query_id", "vec_id", "score"])
 
 
 def exact_topk(vectors: DataFrame, k: int = K, query_every: int = QUERY_EVERY, scale: int = SCALE) -> DataFrame:
     """query_id, rank (from 1), vec_id, score: the k best candidates of each vector whose id is divisible by query_every.
 
-    Block counts follow from a count of the table; a task never holds more than some 16,000 candidates and as many queries, at any size.
-    A candidate is sent once for every 16,000 queries.
+    Block counts follow from a count of the table; a task never holds more than some 16,000 candidates and as many queries, fewer where vectors are long, at any size.
+    A candidate is sent once for every block of queries.
     """
-    usable = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").alias("e")).where("vec_id is not null and e is not null and size(e) > 0")
-    usable = usable.where(F.forall("e", lambda x: x.isNotNull() & ~F.isnan(x.cast("double")) & (F.abs(x.cast("double")) < float("inf"))))
+    usable = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").alias("e")).where(F.col("vec_id").isNotNull() & finite("e") & (F.size("e") > 0))
     usable = usable.select("vec_id", F.transform("e", lambda x: F.floor(x.cast("double") * scale).cast("double")).alias("v"))
-    sizes = usable.groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), "d").first()
-    if sizes is None:
-        return usable.select(F.col("vec_id").alias("query_id"), F.lit(0).alias("rank"), "vec_id", F.lit(0).cast("long").alias("score")).limit(0)
-    usable = usable.where(F.size("v") == sizes["d"])
-    n_cand = max(1, -(-sizes["count"] // TASK_BLOCK))
-    n_query = max(1, -(-sizes["count"] // query_every // QUERY_BLOCK))
+    size = usable.agg(F.count("*").alias("n"), F.coalesce(F.max(F.size("v")), F.lit(0)).alias("dims")).first()
+    n_cand = max(1, -(-size["n"] // block_rows(TASK_BLOCK, size["dims"])))
+    n_query = max(1, -(-size["n"] // (query_every * block_rows(QUERY_BLOCK, size["dims"]))))
     hashed = F.xxhash64("vec_id", F.lit(7))
     cand = usable.withColumn("c", F.pmod(hashed, F.lit(n_cand)).cast("int"))
     cand = cand.withColumn("q", F.explode(F.sequence(F.lit(0), F.lit(n_query - 1))))
     query = usable.where(F.pmod("vec_id", F.lit(query_every)) == 0).groupBy("vec_id").agg(F.min("v").alias("v")).withColumn("q", F.pmod(hashed, F.lit(n_query)).cast("int"))
     query = query.withColumn("c", F.explode(F.sequence(F.lit(0), F.lit(n_cand - 1))))
-    pairs = cand.groupBy("c", "q").cogroup(query.groupBy("c", "q")).applyInArrow(lambda key, a, b: _search(key, a, b, k), "query_id long, vec_id long, score long")
+    pairs = cand.groupBy("c", "q").cogroup(query.groupBy("c", "q")).applyInArrow(lambda a, b: _search(a, b, k), "query_id long, vec_id long, score long")
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return pairs.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
@@ -116,10 +117,10 @@ def exact_topk(vectors: DataFrame, k: int = K, query_every: int = QUERY_EVERY, s
 ORACLE = r"""
 WITH u AS (
   SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * CAST(x AS DOUBLE))) AS v FROM embeddings
-  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+  WHERE vec_id IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
 s AS (
   SELECT q.vec_id AS query_id, c.vec_id, CAST(list_dot_product(q.v, c.v) AS BIGINT) AS score
-  FROM (SELECT vec_id, min(v) AS v FROM u WHERE vec_id % 100 = 0 GROUP BY vec_id) q JOIN u c ON c.vec_id <> q.vec_id),
+  FROM (SELECT vec_id, min(v) AS v FROM u WHERE vec_id % 100 = 0 GROUP BY vec_id) q JOIN u c ON c.vec_id <> q.vec_id AND len(c.v) = len(q.v)),
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
 SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank <= 10
 """
