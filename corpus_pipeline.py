@@ -4,7 +4,8 @@
 2. lines: repeated and nearly repeated lines go, one of each component stays.
 3. near_duplicates: of each group of similar documents the smallest id stays.
 4. mix: sources are mixed to their target weights; what a document is taken
-   for more than once repeats it, what is taken in part cuts it.
+   for more than once repeats it, what is taken in part cuts it.  Rows are in
+   the order of the schedule, so a stretch of them is mixed like the whole.
 5. tokens: every remaining text is encoded and decoded.
 
 Each stage reads all that its predecessor kept.  A model keeps to its own
@@ -45,26 +46,28 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it: whole copies, then the words of a last part."""
+    """Each document as often as the mix takes it: whole copies, then the words of a last part, in the order of the schedule's slots."""
     plan = source_mix.mix_sources(docs).where("taken > 0")
-    # Rows that share doc_id, source and size are the same to the schedule; their numbers of words are dealt in order.
+    # Rows that share doc_id, source and size are the same to the schedule; what it takes of them is dealt in order.
     keys = ["doc_id", "source", "size"]
-    plan = plan.groupBy(*keys).agg(F.array_sort(F.collect_list("taken")).alias("takes"))
-    keyed = docs.withColumn("_size", source_mix.word_count("text"))
-    plan = plan.select(*[F.col(k).alias(f"_p{k}") for k in keys], "takes")
-    same = F.col("doc_id").eqNullSafe(F.col("_pdoc_id")) & F.col("source").eqNullSafe(F.col("_psource")) & (F.col("_size") == F.col("_psize"))
-    joined = keyed.join(plan, same)
+    plan = plan.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("taken", "slots"))).alias("takes"))
+    # The documents travel as one column, so that no column of theirs meets another of its name.
+    keyed = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").cast("long").alias("d"), F.col("source").cast("string").alias("s"), source_mix.word_count("text").alias("n"))
+    same = F.col("d").eqNullSafe(F.col("doc_id")) & F.col("s").eqNullSafe(F.col("source")) & (F.col("n") == F.col("size"))
+    joined = keyed.join(plan, same).select("row", "d", "s", "n", "takes")
     # Only rows that repeat an id need a number among their equals.
-    alone = joined.where("size(takes) = 1").withColumn("_taken", F.element_at("takes", 1))
-    number = F.row_number().over(source_mix.Window.partitionBy("doc_id", "source", "_size").orderBy("text"))
-    repeated = joined.where("size(takes) > 1").withColumn("_taken", F.get("takes", number - 1)).where("_taken is not null")
+    alone = joined.where("size(takes) = 1").withColumn("take", F.element_at("takes", 1))
+    number = F.row_number().over(source_mix.Window.partitionBy("d", "s", "n").orderBy("row.text"))
+    repeated = joined.where("size(takes) > 1").withColumn("take", F.get("takes", number - 1)).where("take is not null")
     taken = alone.unionByName(repeated)
-    copies = F.expr("array_repeat(-1L, cast(_taken div _size as int))")
-    part = F.when(F.col("_taken") % F.col("_size") > 0, F.array(F.col("_taken") % F.col("_size"))).otherwise(F.array().cast("array<long>"))
-    rows = taken.withColumn("_words", F.explode(F.concat(copies, part)))
-    text = F.when(F.col("_words") < 0, F.col("text")).otherwise(F.array_join(F.slice(words_column("text"), F.lit(1), F.greatest(F.col("_words"), F.lit(0)).cast("int")), " "))
-    rows = rows.withColumn("text", text).withColumn("n_chars", F.length("text").cast("long"))
-    return rows.select(*docs.columns)
+    # A copy is a number of words, the last one what is left, and stands at the slot of its pass.
+    copies = F.expr("transform(sequence(0L, (take.taken - 1) div n), i -> struct(least(n, take.taken - i * n) as words, get(take.slots, cast(least(i, size(take.slots) - 1) as int)) as slot))")
+    rows = taken.select("row", "n", "d", F.explode(copies).alias("copy"))
+    part = F.array_join(F.slice(words_column("row.text"), F.lit(1), F.col("copy.words").cast("int")), " ")
+    text = F.when(F.col("copy.words") == F.col("n"), F.col("row.text")).otherwise(part)
+    rows = rows.withColumn("text", text).repartitionByRange("copy.slot", "d").sortWithinPartitions("copy.slot", "d")
+    changed = {"text": F.col("text"), "n_chars": F.length("text").cast("long")}
+    return rows.select(*[changed.get(c, F.col("row")[c]).alias(c) for c in docs.columns])
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
