@@ -12,6 +12,9 @@ from pyspark.sql import functions as F
 
 from .shared import cut
 
+#: Edges of a task.
+ROWS = 200_000
+
 
 def _settled(edges: DataFrame) -> bool:
     """Whether every id is either a root or hangs on one root only, so that the edges are the components."""
@@ -23,7 +26,7 @@ def _settled(edges: DataFrame) -> bool:
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """id, component (smallest id reached) for every id of an edge between two different ids; ids are longs."""
     edges = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u > v").distinct()
-    edges = cut(edges)
+    edges = cut(edges, ROWS)
     while not _settled(edges):
         # Large star: the larger neighbours of u go to the smallest of u's neighbours and u.
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -32,6 +35,6 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         # Small star: u and its smaller neighbours go to the smallest of those.
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        edges = cut(small.unionByName(low.select("u", F.col("m").alias("v"))).distinct())
+        edges = cut(small.unionByName(low.select("u", F.col("m").alias("v"))).distinct(), ROWS)
     roots = edges.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct()
     return edges.select(F.col("u").alias("id"), F.col("v").alias("component")).unionByName(roots)

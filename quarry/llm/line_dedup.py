@@ -8,8 +8,8 @@
    Bands find candidates.  First a bucket pairs each line with its first line
    or, where sketches of the MinHashes speak against that, with the one before
    it.
-3. A parity bitmap of every line that has a bucket mate bounds similarities
-   from above.  Pairs that it leaves open are verified by the exact Jaccard
+3. A parity bitmap of every line that has a bucket mate, as wide as the line
+   needs, bounds similarities from above.  Pairs that it leaves open are verified by the exact Jaccard
    similarity of their shingles.  Buckets that then hold lines of several
    components go on with the pairs of different components that the bitmaps
    leave open: first a sample of these, whose links spare most of the others,
@@ -24,7 +24,9 @@ Defined results: lines are split at ``\\n`` and compared without white space
 around them; blank lines stay; a document all of whose lines go keeps an empty
 text; a null text stays null; rows that repeat a doc_id keep each other's
 lines, as they are the same document; a row without doc_id comes last; a
-line shorter than a shingle is one shingle; other columns pass through.  Signing
+line shorter than a shingle is one shingle; other columns pass through, whatever
+their names.  A line is known by a 64-bit hash; where a second hash shows that
+two different lines share one, lines of that hash all stay.  Signing
 streams the shingles of a long line; only one that has a bucket mate is held
 with all of them, 8 bytes each.
 """
@@ -48,8 +50,10 @@ GROUPS, EACH, BATCH = 6, 2, 8
 BANDS = GROUPS * (GROUPS - 1) // 2
 #: Of a sketch: bits of a MinHash, and how many MinHashes may differ; similar lines hardly ever differ in more.  That only decides what is tried first.
 FIELD, SKETCH_MISSES = 5, 5
-#: Words of 64 bits of a line's parity bitmap; lines of a bucket in one block, whose pairs with another block one task compares.
-PARITY_WORDS, BLOCK = 16, 2048
+#: Words of 64 bits of a line's parity bitmap, up to which length that is enough (a bit per character), and lines of a bucket in one block, whose pairs with another block one task compares.
+PARITY_WORDS, NARROW, BLOCK = 16, 1024, 2048
+#: Rows of a task over what is cut, where it is narrow.
+ROWS = 100_000
 #: Of so many open pairs one is in the sample.
 SAMPLE = 16
 #: Lines whose sets of shingles one task makes; shingles of one row then.
@@ -84,13 +88,13 @@ def _shingle(utf16: Column, place: Column, shingle: int) -> Column:
 
 
 def signatures(lines: DataFrame, shingle: int = SHINGLE, groups: int = GROUPS, each: int = EACH, batch: int = BATCH) -> DataFrame:
-    """k, first_doc, n_lines, g0, g1, ... (a hash of each group of MinHashes), sketch: one row per different line."""
-    chars = lines.select("k", "doc", F.encode("line", "UTF-16BE").alias("utf16"))
+    """k, first_doc, n_lines, clash (several lines have this k), g0, g1, ... (a hash of each group of MinHashes), sketch: one row per different line."""
+    chars = lines.select("k", "doc", F.xxhash64(F.lit(7), "line").alias("other"), F.encode("line", "UTF-16BE").alias("utf16"))
     last = _last(F.col("utf16"), shingle)
-    rows = chars.select("k", "doc", "utf16", last.alias("last"), F.explode(F.sequence(F.lit(1), last, F.lit(2 * batch))).alias("i"))
+    rows = chars.select("k", "doc", "other", "utf16", last.alias("last"), F.explode(F.sequence(F.lit(1), last, F.lit(2 * batch))).alias("i"))
     # A line is counted at its first row.  The last row repeats the last shingle, which changes no minimum.  31 bits decide.
     hashes = [F.shiftrightunsigned(_shingle(F.col("utf16"), F.least(F.col("i") + 2 * t, F.col("last")), shingle), 33).alias(f"y{t}") for t in range(batch)]
-    rows = rows.select("k", "doc", F.when(F.col("i") == 1, 1).otherwise(0).alias("one"), *hashes)
+    rows = rows.select("k", "doc", F.when(F.col("i") == 1, F.col("other")).alias("other"), F.when(F.col("i") == 1, 1).otherwise(0).alias("one"), *hashes)
     rng = random.Random(20)
     orders = [(rng.getrandbits(31) | 1, rng.getrandbits(31)) for _ in range(groups * each)]
 
@@ -99,9 +103,9 @@ def signatures(lines: DataFrame, shingle: int = SHINGLE, groups: int = GROUPS, e
         return (F.col(f"y{t}") * F.lit(factor).cast("long") + F.lit(summand).cast("long")).bitwiseAND(F.lit(2**32 - 1))
 
     mins = [F.min(F.least(*[place(t, *order) for t in range(batch)])).alias(f"m{j}") for j, order in enumerate(orders)]
-    signed = rows.groupBy("k").agg(F.min("doc").alias("first_doc"), F.sum("one").alias("n_lines"), *mins)
+    signed = rows.groupBy("k").agg(F.min("doc").alias("first_doc"), F.sum("one").alias("n_lines"), (F.min("other") != F.max("other")).alias("clash"), *mins)
     fields = [F.shiftleft(F.xxhash64(f"m{j}").bitwiseAND(F.lit(2**FIELD - 1)), FIELD * j) for j in range(min(groups * each, 60 // FIELD))]
-    return signed.select("k", "first_doc", "n_lines", *[F.xxhash64(*[f"m{g * each + e}" for e in range(each)]).alias(f"g{g}") for g in range(groups)], reduce(Column.bitwiseOR, fields).alias("sketch"))
+    return signed.select("k", "first_doc", "n_lines", "clash", *[F.xxhash64(*[f"m{g * each + e}" for e in range(each)]).alias(f"g{g}") for g in range(groups)], reduce(Column.bitwiseOR, fields).alias("sketch"))
 
 
 def band_hashes(groups: int = GROUPS) -> Column:
@@ -148,33 +152,62 @@ def _batches(utf16: Column, shingle: int, batch: int) -> Column:
 
 
 def parities(texts: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """k, size (different shingles), p0, p1, ...: bits that say whether the number of shingles that fall on them is odd."""
+    """k, size (different shingles), p0, p1, ...: bits that say whether the number of shingles that fall on them is odd; wide: the same in more words, for long lines."""
     tasks = 1 + texts.count() // LINES_OF_TASK
-    # Dealt out by k once, which both aggregations can use.
+    # Dealt out by k once, which all aggregations can use.
     lines = texts.repartition(tasks, "k").select("k", F.encode("line", "UTF-16BE").alias("w"))
     rows = lines.select("k", "w", F.explode(F.sequence(F.lit(0), _batches(F.col("w"), shingle, SET_BATCH) - 1)).alias("i"))
-    sets = rows.select("k", _shingles("w", "i", shingle).alias("h")).groupBy("k").agg(F.array_distinct(F.flatten(F.collect_list("h"))).alias("set"))
-    each = sets.select("k", F.explode("set").alias("h"))
-    bit, word = F.expr("shiftleft(1L, cast(h & 63 as int))"), F.shiftrightunsigned("h", 6).bitwiseAND(F.lit(PARITY_WORDS - 1))
-    words = [F.bit_xor(F.when(word == i, bit).otherwise(F.lit(0).cast("long"))).alias(f"p{i}") for i in range(PARITY_WORDS)]
-    return each.groupBy("k").agg(F.count("*").alias("size"), *words)
+    chars = F.octet_length("w") / 2
+    n_words = F.when(chars <= NARROW, F.lit(PARITY_WORDS)).otherwise(F.lit(PARITY_WORDS) * F.pow(F.lit(2), F.ceil(F.log2(chars / NARROW)))).cast("int")
+    sets = rows.select("k", n_words.alias("n_words"), _shingles("w", "i", shingle).alias("h")).groupBy("k").agg(F.first("n_words").alias("n_words"), F.array_distinct(F.flatten(F.collect_list("h"))).alias("set"))
+    each = sets.select("k", "n_words", F.explode("set").alias("h"))
+    bit, word = F.expr("shiftleft(1L, cast(h & 63 as int))"), F.shiftrightunsigned("h", 6)
+    none = F.lit(0).cast("long")
+    words = [F.bit_xor(F.when(word.bitwiseAND(F.lit(PARITY_WORDS - 1)) == i, bit).otherwise(none)).alias(f"p{i}") for i in range(PARITY_WORDS)]
+    narrow = each.groupBy("k").agg(F.count("*").alias("size"), *words)
+    # Of long lines a row for each word, with the words on which no shingle falls.
+    long = each.where(F.col("n_words") > PARITY_WORDS).select("k", F.pmod(word, "n_words").cast("int").alias("at"), bit.alias("bit"))
+    blank = sets.where(F.col("n_words") > PARITY_WORDS).select("k", F.explode(F.sequence(F.lit(0), F.col("n_words") - 1)).alias("at"), none.alias("bit"))
+    wide = long.unionByName(blank).groupBy("k", "at").agg(F.bit_xor("bit").alias("bits"))
+    wide = wide.groupBy("k").agg(F.array_sort(F.collect_list(F.struct("at", "bits")))["bits"].alias("wide"))
+    return narrow.join(wide, "k", "left")
 
 
 _WORDS = [f"p{i}" for i in range(PARITY_WORDS)]
+_PARITY = ("size", *_WORDS, "wide")
+
+
+def _folded(wide: Column, words: Column) -> Column:
+    """A wide parity in half as many words, if it has more than `words`."""
+    half = F.zip_with(F.slice(wide, F.lit(1), words), F.slice(wide, words + 1, words), lambda x, y: x.bitwiseXOR(y))
+    return F.when(F.size(wide) > words, half).otherwise(wide)
 
 
 def _open(threshold: float) -> Column:
     """Whether the parities of lines a and b leave it open that they resemble each other.
 
-    Every bit that differs is a shingle that one of them lacks; alike lines lack (1 - t) / (1 + t) of both sizes at most.
+    Every bit that differs is a shingle that one of them lacks; alike lines
+    lack (1 - t) / (1 + t) of both sizes at most, and neither has more than 1 / t
+    times the other's.  So the parities of lines compared here differ by one
+    doubling of their width at most.
     """
-    apart = reduce(Column.__add__, [F.bit_count(F.col(f"{w}_a").bitwiseXOR(F.col(f"{w}_b"))) for w in _WORDS])
-    return F.lit(1 + threshold) * apart <= F.lit(1 - threshold) * (F.col("size_a") + F.col("size_b")) + 1e-6
+    size_a, size_b = F.col("size_a"), F.col("size_b")
+    alike = F.least(size_a, size_b) >= F.lit(threshold) * F.greatest(size_a, size_b) - 1e-6
+    narrow = reduce(Column.__add__, [F.bit_count(F.col(f"{w}_a").bitwiseXOR(F.col(f"{w}_b"))) for w in _WORDS])
+    words = F.least(F.size("wide_a"), F.size("wide_b"))
+    xor = F.zip_with(_folded(F.col("wide_a"), words), _folded(F.col("wide_b"), words), lambda x, y: F.bit_count(x.bitwiseXOR(y)))
+    wide = F.aggregate(xor, F.lit(0), lambda s, x: s + x)
+    both = F.col("wide_a").isNotNull() & F.col("wide_b").isNotNull()
+
+    def few(apart: Column) -> Column:
+        return F.lit(1 + threshold) * apart <= F.lit(1 - threshold) * (size_a + size_b) + 1e-6
+
+    return alike & few(narrow) & (~both | few(wide))
 
 
 def left_open(pairs: DataFrame, parity: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The pairs a, b that parities leave open."""
-    a, b = (parity.select(*[F.col(c).alias(x if c == "k" else f"{c}_{x}") for c in ("k", "size", *_WORDS)]) for x in "ab")
+    a, b = (parity.select(*[F.col(c).alias(x if c == "k" else f"{c}_{x}") for c in ("k", *_PARITY)]) for x in "ab")
     return pairs.join(a, "a").join(b, "b").where(_open(threshold)).select("a", "b")
 
 
@@ -185,7 +218,7 @@ def all_allowed(split: DataFrame, parity: DataFrame, threshold: float = THRESHOL
     """
     rows = split.withColumn("blocks", F.ceil(F.count("*").over(Window.partitionBy("band")) / block).cast("int")).join(parity, "k")
     rows = rows.withColumn("own", F.pmod(F.xxhash64("k", F.lit(5)), "blocks").cast("int"))
-    columns = ("k", "label", "size", *_WORDS)
+    columns = ("k", "label", *_PARITY)
     one = rows.select("band", F.col("own").alias("x"), F.explode(F.sequence("own", F.col("blocks") - 1)).alias("y"), *[F.col(c).alias(f"{c}_a") for c in columns])
     two = rows.select("band", F.explode(F.sequence(F.lit(0), "own")).alias("x"), F.col("own").alias("y"), *[F.col(c).alias(f"{c}_b") for c in columns])
     drawn = F.pmod(F.xxhash64(F.least("k_a", "k_b"), F.greatest("k_a", "k_b")), F.lit(SAMPLE)) == 0 if sample else F.lit(True)
@@ -213,23 +246,23 @@ def similar_lines(texts: DataFrame, pairs: DataFrame, shingle: int = SHINGLE, th
 
 def similar_components(lines: DataFrame, signed: DataFrame, shingle: int = SHINGLE, threshold: float = THRESHOLD) -> DataFrame:
     """id, component of the lines that resemble another."""
-    shared = cut(met(signed))
+    shared = cut(met(signed.where("not clash")), ROWS)
     # The lines that share a bucket with another: all that is compared below.
     keys = shared.select("k").distinct()
     texts = possible(lines.select("k", "line"), keys, "k").groupBy("k").agg(F.any_value("line").alias("line"))
     texts = cut(texts.join(keys, "k", "left_semi"))
-    parity = cut(parities(texts, shingle))
+    parity = cut(parities(texts, shingle), ROWS)
     tried = candidates(shared, signed)
-    tried = cut(left_open(tried, parity, threshold))
+    tried = cut(left_open(tried, parity, threshold), ROWS)
     roots = components(similar_lines(texts, tried, shingle, threshold))
     crowds = shared.where("n > 2").select("band", "k")
     for last in (False, True):
-        split = cut(_still_split(crowds, roots))
+        split = cut(_still_split(crowds, roots), ROWS)
         if split.isEmpty():
             break
         found = all_allowed(split, parity, threshold, sample=not last)
-        found = cut(found.join(tried, ["a", "b"], "left_anti"))
-        links = cut(similar_lines(texts, found, shingle, threshold))
+        found = cut(found.join(tried, ["a", "b"], "left_anti"), ROWS)
+        links = cut(similar_lines(texts, found, shingle, threshold), ROWS)
         tried = tried.unionByName(found)
         if not links.isEmpty():
             roots = components(roots.select(F.col("id").alias("a"), F.col("component").alias("b")).unionByName(links))
@@ -239,23 +272,24 @@ def similar_components(lines: DataFrame, signed: DataFrame, shingle: int = SHING
 def line_dedup(docs: DataFrame, shingle: int = SHINGLE, threshold: float = THRESHOLD) -> DataFrame:
     """The documents with their columns, text without the lines that go, and n_lines, n_removed."""
     lines = _lines(docs)
-    signed = cut(signatures(lines, shingle))
+    signed = cut(signatures(lines, shingle), ROWS)
     roots = similar_components(lines, signed, shingle, threshold)
-    known = signed.select("k", "first_doc", "n_lines").join(roots.withColumnRenamed("id", "k"), "k", "left").select("k", "first_doc", "n_lines", "component")
+    known = signed.where("not clash").select("k", "first_doc", "n_lines").join(roots.withColumnRenamed("id", "k"), "k", "left").select("k", "first_doc", "n_lines", "component")
     # Lines that occur once and resemble no other need no further look.
     shared = known.where("component is not null or n_lines > 1").withColumn("component", F.coalesce("component", "k"))
     keeper = shared.groupBy("component").agg(F.min("first_doc").alias("keeper"))
-    shared = cut(shared.select("k", "component").join(keeper, "component"))
+    shared = cut(shared.select("k", "component").join(keeper, "component"), ROWS)
 
     hits = possible(lines.select("doc", "text_key", "pos", "k"), shared, "k").join(shared, "k")
     per_line = hits.groupBy("doc", "text_key", "component", "keeper").agg(F.array_sort(F.collect_set("pos")).alias("at"))
     gone = F.when(F.col("doc") == F.col("keeper"), F.slice("at", 2, F.size("at"))).otherwise(F.col("at"))
     per_doc = per_line.select("doc", "text_key", gone.alias("gone")).groupBy("doc", "text_key").agg(F.flatten(F.collect_list("gone")).alias("gone")).where("size(gone) > 0")
 
-    keyed = docs.withColumns({"_doc": F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)), "_key": F.xxhash64("text")})
-    joined = keyed.join(per_doc.select(F.col("doc").alias("_doc"), F.col("text_key").alias("_key"), F.col("gone").alias("_gone")), ["_doc", "_key"], "left")
-    split = F.split("text", "\n")
-    kept = F.array_join(F.filter(split, lambda _, i: ~F.array_contains("_gone", i)), "\n")
-    out = joined.withColumns({"_n": F.coalesce(F.size(split), F.lit(0)), "_text": F.when(F.col("_gone").isNull(), F.col("text")).otherwise(kept)})
-    columns = [F.col("_text").alias("text") if c == "text" else F.col(c) for c in docs.columns if c not in ("n_lines", "n_removed")]
-    return out.select(*columns, F.greatest("_n", F.lit(0)).alias("n_lines"), F.coalesce(F.size("_gone"), F.lit(0)).alias("n_removed"))
+    # The documents travel as one column, so that no column of theirs meets another of its name.
+    keyed = docs.select(F.struct(*docs.columns).alias("row"), F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("doc"), F.xxhash64("text").alias("text_key"))
+    joined = keyed.join(per_doc, ["doc", "text_key"], "left").select("row", "gone")
+    split = F.split("row.text", "\n")
+    kept = F.array_join(F.filter(split, lambda _, i: ~F.array_contains("gone", i)), "\n")
+    text = F.when(F.col("gone").isNull(), F.col("row.text")).otherwise(kept)
+    columns = [(text if c == "text" else F.col("row")[c]).alias(c) for c in docs.columns if c not in ("n_lines", "n_removed")]
+    return joined.select(*columns, F.greatest(F.coalesce(F.size(split), F.lit(0)), F.lit(0)).alias("n_lines"), F.coalesce(F.size("gone"), F.lit(0)).alias("n_removed"))

@@ -5,6 +5,7 @@ import random
 from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
 from quarry.llm import line_dedup, ngram_jaccard, substring_dedup
 from quarry.llm.components import components
@@ -196,8 +197,6 @@ def test_templated_lines_meet_all_their_mates(docs):
 
 def test_last_round_tries_all_mates(spark, docs):
     """With one bucket for all lines, what is found is what brute force finds, also in blocks of a few lines."""
-    from pyspark.sql import functions as F
-
     lines = templated(random.Random(12), 40)
     frame = line_dedup._lines(docs(list(enumerate(lines))))
     key = {r.line: r.k for r in frame.collect()}
@@ -267,7 +266,40 @@ def test_components(spark):
 
 
 def test_digest_of_kept_words(docs):
-    from pyspark.sql import functions as F
-
     row = substring_dedup.substring_dedup(docs([(1, " a\tb ")])).select(F.sha2("kept", 256).alias("h")).first()
     assert row.h == hashlib.sha256(b"a b").hexdigest()
+
+
+def test_lines_of_documents_with_any_columns(spark):
+    rows = [(1, "one line that is here and there", 7, "a", "b", "c", 5, 6), (2, "one line that is here and there\nanother", 8, "a", "b", "c", 5, 6)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, _doc int, doc string, text_key string, gone string, n_lines int, k int")
+    found = {r.doc_id: r for r in line_dedup.line_dedup(df).collect()}
+    assert [found[i]["_doc"] for i in (1, 2)] == [7, 8] and found[2].text == "another" and (found[2].doc, found[2].gone, found[2].k) == ("a", "c", 6)
+    assert found[2].n_lines == 2 and found[2].n_removed == 1
+
+
+def test_wide_parities_rule_out_long_lines(docs):
+    rng = random.Random(5)
+    prose = lambda n: "".join(rng.choices("abcdefghij ", k=n))
+    base = prose(4200)
+    lines = [prose(rng.choice((900, 1000, 1100, 2000, 2100, 4000, 9000))) for _ in range(40)] + [base, base[:3000] + "x" + base[3000:], base[150:], base[:2040], base[:2100]]
+    frame = line_dedup._lines(docs(list(enumerate(lines))))
+    split = line_dedup.signatures(frame).select(F.lit(1).alias("band"), "k", F.col("k").alias("label"))
+    keys = {r.line: r.k for r in frame.select("line", "k").collect()}
+    found = {(r.a, r.b) for r in line_dedup.all_allowed(split, line_dedup.parities(frame), block=9).collect()}
+    sets = {keys[x.strip()]: {x.strip()[i : i + 6] for i in range(len(x.strip()) - 5)} for x in lines}
+    alike = {(a, b) for a in sets for b in sets if a < b and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])}
+    # All that are alike stay open, and of some 900 others hardly any.
+    assert len(alike) >= 3 and alike <= found and len(found) <= len(alike) + 2
+
+
+def test_lines_that_share_a_hash_stay(docs, monkeypatch):
+    rows = [(1, "first line of all\nsecond one\nthird"), (2, "second one\nfirst line of all\nthird")]
+    lines = line_dedup._lines
+
+    def clashing(df, *more):
+        return lines(df, *more).withColumn("k", F.when(F.col("line") == "second one", F.xxhash64(F.lit("first line of all"))).otherwise(F.col("k")))
+
+    monkeypatch.setattr(line_dedup, "_lines", clashing)
+    found = {r.doc_id: r.text for r in line_dedup.line_dedup(docs(rows)).collect()}
+    assert found == {1: "first line of all\nsecond one\nthird", 2: "second one\nfirst line of all"}
