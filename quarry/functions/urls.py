@@ -7,38 +7,41 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .url_parser import parse
 
-def _parts(url: Column | str) -> tuple[Column, Column, Column, Column]:
-    """scheme, host with port, path, query with its question mark; empty where the URL has none."""
-    url = F.trim(url)
-    scheme = F.lower(F.regexp_extract(url, r"(?s)^([A-Za-z][A-Za-z0-9+.\-]*)://", 1))
-    host = F.lower(F.regexp_extract(url, r"(?s)^[A-Za-z][A-Za-z0-9+.\-]*://(?:[^/?#@]*@)?([^/?#]*)", 1))
-    path = F.regexp_extract(url, r"(?s)^[A-Za-z][A-Za-z0-9+.\-]*://[^/?#]*([^?#]*)", 1)
-    query = F.regexp_extract(url, r"(?s)^[^?#]*(\?[^#]*)", 1)
-    return scheme, host, path, query
+
+#: Addresses that are canonical up to their fragment and an empty path: a plain name, no port, no dot segment, nothing to encode.
+_PLAIN = r"^https?://(?:[a-z0-9_-]+\.)*[a-z](?:[a-z0-9-]*[a-z0-9])?(?:/[A-Za-z0-9\-._~!$&'()*+,;=:@%/|]*)?(?:\?[A-Za-z0-9\-._~!$&()*+,;=:@%/?|]*)?(?:#.*)?$"
+_NOT_PLAIN = r"(?i)xn--|/(?:\.|%2e){1,2}(?:[/?#]|$)"
+_AUTHORITY = r"^[a-z][a-z0-9+.\-]*://(?:[^/?#@]*@)?"
+
+
+def _canonical_each(urls: pa.Array) -> pa.Array:
+    return pa.array([None if u is None or (found := parse(u)) is None else str(found) for u in urls.to_pylist()], pa.string())
 
 
 def canonical_url(url: Column | str) -> Column:
-    """Lower-case scheme and host, no default port, no fragment, `/` for an empty path; null without a host.
+    """The one form of an absolute address: scheme and host lower-case, names in ASCII, numbers of an address in four parts, dot segments resolved, no default port, no fragment, `/` for an empty path; null without a host.
 
-    The query and other ports stay.  User names and passwords go.
+    The query, other ports, user names and passwords stay.  An expression does
+    this for plain addresses, the parser for all others.
     """
-    scheme, host, path, query = _parts(url)
-    default = F.when(scheme == "http", ":80$").when(scheme == "https", ":443$").otherwise("(?!)")
-    host = F.regexp_replace(host, default, F.lit(""))
-    host = F.regexp_replace(host, ":$", "")
-    path = F.when(path == "", F.lit("/")).otherwise(path)
-    return F.when((scheme != "") & (host != ""), F.concat(scheme, F.lit("://"), host, path, query))
+    url = F.col(url) if isinstance(url, str) else url
+    plain = url.rlike(_PLAIN) & ~url.rlike(_NOT_PLAIN)
+    bare = F.regexp_replace(url, "(?s)#.*$", "")
+    settled = F.regexp_replace(bare, r"^(https?://[^/?]+)(?=\?|$)", "$1/")
+    parsed = F.arrow_udf(_canonical_each, "string")(F.when(~plain, url))
+    return F.when(plain, settled).otherwise(parsed)
 
 
 def domain(url: Column | str) -> Column:
-    """Lower-case host without port; null where there is none."""
-    _, host, _, _ = _parts(url)
-    name = F.regexp_replace(host, r":\d*$", "")
-    return F.when(name != "", name)
+    """Host of the canonical form, without port; null where there is none."""
+    found = F.regexp_extract(canonical_url(url), _AUTHORITY + r"(\[[^\]]*\]|[^/?#:]*)", 1)
+    return F.when(found != "", found)
 
 
 #: Fixed values of the public MurmurHash3 x64 128-bit function.

@@ -5,11 +5,14 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+#: Windows of one batch.
+WINDOW_ROWS = 1024
+
 
 @dataclass(frozen=True)
 class ChunkConfig:
@@ -49,22 +52,34 @@ def windows(df: DataFrame, config: ChunkConfig, text: str = "text_content", keep
 def token_windows(df: DataFrame, config: ChunkConfig, encode: Callable[[str], Sequence[int]], decode: Callable[[list[int]], str], text: str = "text_content") -> DataFrame:
     """Like windows, over the ids of a codec: a text is encoded, its ids are cut, every window is decoded.
 
-    The codec travels with the tasks; they hold the windows of one text at a time.
+    The codec travels with the tasks; windows leave them in batches of WINDOW_ROWS.
     """
     step, kept = config.size - config.overlap, [c for c in df.columns if c != text]
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at, value in enumerate(batch[text]):
-                ids = list(encode(value)) if value else []
-                starts = range(0, len(ids), step)
-                if len(starts):
-                    rows = batch[kept].iloc[[at] * len(starts)].reset_index(drop=True)
-                    yield rows.assign(chunk_index=range(len(starts)), chunk_text=[decode(ids[s : s + config.size]) for s in starts])
+            values = batch.column(len(kept))
+            row, index, texts = [], [], []
+
+            def flushed(batch: pa.RecordBatch = batch) -> pa.RecordBatch:
+                at = pa.array(row, pa.int64())
+                columns = [batch.column(i).take(at) for i in range(len(kept))]
+                return pa.RecordBatch.from_arrays([*columns, pa.array(index, pa.int32()), pa.array(texts, pa.string())], names=[*kept, "chunk_index", "chunk_text"])
+
+            for at in range(batch.num_rows):
+                ids = list(encode(value)) if (value := values[at].as_py()) else []
+                for n, begin in enumerate(range(0, len(ids), step)):
+                    row.append(at)
+                    index.append(n)
+                    texts.append(decode(ids[begin : begin + config.size]))
+                    if len(row) == WINDOW_ROWS:
+                        yield flushed()
+                        row, index, texts = [], [], []
+            yield flushed()
 
     fields = [df.schema[c] for c in kept]
     schema = T.StructType([*fields, T.StructField("chunk_index", T.IntegerType()), T.StructField("chunk_text", T.StringType())])
-    return df.select(*kept, text).mapInPandas(run, schema)
+    return df.select(*kept, text).mapInArrow(run, schema)
 
 
 def chunks_of(chunks: DataFrame, user_id: str, bookmark_id: str) -> DataFrame:

@@ -15,12 +15,13 @@ from pyspark.sql import functions as F
 
 from ..functions import html as H
 from ..functions import markup as M
-from ..functions.text import lexemes, words
+from ..functions.text import STOPWORDS, lexemes, words
 from ..functions.urls import bookmark_id, canonical_url, domain
 from ..operators import chunking, enrich, fts, fusion, history, index, limiter, mutations, paging, predicates, queues, rank, tags, vector, versions
 from ..operators.headline import headline
 from ..operators.predicates import TagFilter
 from ..operators.search import SearchRequest, hits, search
+from ..operators.wordpiece import WordPiece, with_counts
 from ..sources import adapt, readers
 from ..sources.adapt import with_views
 from ..streaming import queue_stream
@@ -429,6 +430,32 @@ def rag_token_budget(spark, d):
     return fusion.within_budget(t, order=(F.desc("doc_id"),), keys=("user_id",)).select("user_id", "bookmark_id", "running_tokens")
 
 
+# A vocabulary of stop words and single characters: a word is its longest stop word in front, then a token for each further character.
+_CHARACTERS = tuple("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789.,;:!?'\"-")
+_CODEC = WordPiece(("[UNK]", *dict.fromkeys([*_CHARACTERS, *STOPWORDS]), *(f"##{c}" for c in _CHARACTERS)))
+_PIECES = f"""{with_views("bookmarks")}, sw AS (SELECT unnest([{", ".join(f"'{w}'" for w in STOPWORDS)}]) AS p),
+w AS (SELECT user_id, bookmark_id, doc_id, unnest(regexp_extract_all(text_content, '[!-/:-@\\[-`{{-~\\p{{P}}]|[^\\s!-/:-@\\[-`{{-~\\p{{P}}]+')) AS word FROM bookmarks),
+v AS (SELECT word, CASE WHEN len(word) > 100 OR NOT regexp_full_match(word, '[A-Za-z0-9.,;:!?''"-]+') THEN 1 ELSE 1 + len(word) - greatest(1, coalesce(max(len(p)), 1)) END AS n FROM (SELECT DISTINCT word FROM w) LEFT JOIN sw ON starts_with(word, p) GROUP BY word),
+t AS (SELECT b.user_id, b.bookmark_id, b.doc_id, CAST(coalesce(sum(n), 0) AS BIGINT) AS tokens FROM bookmarks b LEFT JOIN w ON w.bookmark_id = b.bookmark_id LEFT JOIN v ON v.word = w.word GROUP BY b.user_id, b.bookmark_id, b.doc_id)"""
+
+
+@query(f"{_PIECES} SELECT bookmark_id, tokens FROM t")
+def wordpiece_counts(spark, d):
+    return adapt.bookmarks(spark, d).select("bookmark_id", _CODEC.count("text_content").cast("long").alias("tokens"))
+
+
+@query(f"{_PIECES}, r AS (SELECT *, sum(tokens) OVER (PARTITION BY user_id ORDER BY doc_id DESC ROWS UNBOUNDED PRECEDING) AS running FROM t) SELECT user_id, bookmark_id, CAST(running AS BIGINT) AS running_tokens FROM r WHERE running <= 7992")
+def rag_wordpiece_budget(spark, d):
+    t = with_counts(adapt.bookmarks(spark, d).select("user_id", "bookmark_id", "doc_id", "text_content"), _CODEC, "text_content")
+    return fusion.within_budget(t, 8192, order=(F.desc("doc_id"),), keys=("user_id",)).select("user_id", "bookmark_id", "running_tokens")
+
+
+@query(f"{_PIECES} SELECT bookmark_id, CAST(unnest(range(0, tokens, 250)) // 250 AS INTEGER) AS chunk_index FROM t WHERE tokens > 0")
+def wordpiece_windows(spark, d):
+    b = adapt.bookmarks(spark, d).select("bookmark_id", "text_content")
+    return chunking.token_windows(b, chunking.ChunkConfig(300, 50), _CODEC.encode, _CODEC.decode).select("bookmark_id", "chunk_index")
+
+
 @query(f"""{with_views("sessions", "chunks")}, p AS (SELECT * FROM sessions WHERE user_id = '1' ORDER BY created_at DESC, session_id LIMIT 20),
 c AS (SELECT session_id, unnest(relevant_chunks) AS chunk_id, generate_subscripts(relevant_chunks, 1) AS pos FROM p),
 f AS (SELECT session_id, string_agg(c.chunk_id, '|' ORDER BY pos) AS sources FROM c JOIN chunks USING (chunk_id) GROUP BY session_id)
