@@ -42,7 +42,7 @@ def op6_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = media_columns.media_columns(table(spark, sf_dir, "documents"))
-    return out.drop("media", "fingerprint_time", "fingerprint_code")
+    return out.drop("media")
 
 
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
