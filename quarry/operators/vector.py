@@ -4,15 +4,18 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass
-from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Queries that meet the chunks in one pass; a larger batch takes several.  They are sent to every task.
+#: Queries of a block, which every block of chunks meets in one task.
 MOST_QUERIES = 4096
+#: Chunks of a block.
+BLOCK_ROWS = 8192
 
 
 def dot(a: Column | str, b: Column | str) -> Column:
@@ -37,25 +40,55 @@ def nearest(chunks: DataFrame, query: Sequence[float], k: int, threshold: float
     return scored.orderBy(F.desc("similarity"), key).limit(k)
 
 
+def matrix(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
+    """Vectors of one length as an array, from the column's buffers."""
+    flat = pa.concat_arrays([c.flatten() for c in column.chunks]) if isinstance(column, pa.ChunkedArray) else column.flatten()
+    return flat.to_numpy(zero_copy_only=False).astype(np.float64, copy=False).reshape(len(column), -1)
+
+
+def _scored(chunks: pa.Table, queries: pa.Table, k: int, threshold: float | None, key: str) -> pa.Table:
+    """The best k of a block of chunks for each of a block of queries; both of one length."""
+    at_query, at_chunk, found = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0)]
+    if chunks.num_rows and queries.num_rows:
+        order = np.argsort(chunks.column("_order").to_numpy(), kind="stable")
+        vectors, wanted = matrix(chunks.column("v"))[order], matrix(queries.column("v"))
+        norms, lengths = np.sqrt((vectors**2).sum(1)), np.sqrt((wanted**2).sum(1))
+        for i, query in enumerate(wanted):
+            if lengths[i] == 0:
+                continue
+            with np.errstate(divide="ignore", invalid="ignore"):
+                score = vectors @ query / (norms * lengths[i])
+            good = np.flatnonzero(norms > 0) if threshold is None else np.flatnonzero((norms > 0) & (score >= threshold))
+            if len(good) > 4 * k:
+                # Ties of the last one go on to the exact order of keys.
+                good = good[score[good] >= np.partition(score[good], len(good) - k)[len(good) - k]]
+            at_query.append(np.full(len(good), i))
+            at_chunk.append(order[good])
+            found.append(score[good])
+    take = lambda t, c, at: t.column(c).take(pa.array(np.concatenate(at)))
+    return pa.table([take(queries, "query_id", at_query), take(chunks, key, at_chunk), pa.array(np.concatenate(found))], names=["query_id", key, "similarity"])
+
+
 def nearest_batch(chunks: DataFrame, queries: DataFrame, k: int, threshold: float | None = None, key: str = "chunk_id", most: int = MOST_QUERIES) -> DataFrame:
     """queries: query_id, query.  Up to k chunks of each, with similarity and rank.
 
-    Blocks of at most about `most` queries meet every chunk in one pass each.
-    Only keys, vectors and scores take part, and the rank filter lets only k
-    rows per query leave a task; the other columns join those at the end.
+    One scan of the chunks, dealt into blocks that each meet every block of
+    queries; vectors meet those of their own length.  Only keys, vectors and
+    scores take part, only the best of a block leave its task, and the other
+    columns join the k of each query at the end.
     """
-    n_blocks = -(-queries.count() // most)
-    blocks = queries.withColumn("_block", F.pmod(F.xxhash64("query_id"), F.lit(max(1, n_blocks))))
-    vectors = chunks.select(key, "embedding")
-    parts = []
-    for i in range(max(1, n_blocks)):
-        gathered = blocks.where(F.col("_block") == i).select(F.struct("query_id", "query").alias("q")).agg(F.collect_list("q").alias("queries"))
-        scored = vectors.crossJoin(F.broadcast(gathered)).withColumn("q", F.explode("queries"))  # one row of a block's vectors
-        scored = scored.select(key, "q.query_id", cosine("embedding", "q.query").alias("similarity")).where("similarity is not null")
-        parts.append(scored if threshold is None else scored.where(F.col("similarity") >= threshold))
+    usable = chunks.where("embedding is not null").select(key, F.transform("embedding", lambda x: x.cast("double")).alias("v"), F.xxhash64(key).alias("_order")).where("size(v) > 0")
+    asked = queries.select("query_id", F.transform("query", lambda x: x.cast("double")).alias("v")).where("size(v) > 0")
+    n_chunks, n_queries = max(1, -(-usable.count() // BLOCK_ROWS)), max(1, -(-asked.count() // most))
+    left = usable.withColumns({"_c": F.pmod("_order", F.lit(n_chunks)).cast("int"), "_d": F.size("v")}).withColumn("_q", F.explode(F.sequence(F.lit(0), F.lit(n_queries - 1))))
+    right = asked.withColumns({"_q": F.pmod(F.xxhash64("query_id"), F.lit(n_queries)).cast("int"), "_d": F.size("v")}).withColumn("_c", F.explode(F.sequence(F.lit(0), F.lit(n_chunks - 1))))
+    kinds = f"query_id {queries.schema['query_id'].dataType.simpleString()}, {key} {chunks.schema[key].dataType.simpleString()}, similarity double"
+    by = ("_c", "_q", "_d")
+    scored = left.groupBy(*by).cogroup(right.groupBy(*by)).applyInArrow(lambda a, b: _scored(a, b, k, threshold, key), kinds)
     best = Window.partitionBy("query_id").orderBy(F.desc("similarity"), key)
-    ranked = [part.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k) for part in parts]
-    return chunks.join(reduce(DataFrame.unionByName, ranked), key)
+    ranked = scored.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+    # New names for the columns, as both sides come from the chunks.
+    return chunks.select(*[F.col(c).alias(c) for c in chunks.columns]).join(ranked, key)
 
 
 @dataclass(frozen=True)
@@ -72,7 +105,7 @@ class InvertedLists:
     @classmethod
     def fit(cls, chunks: DataFrame, cells: int, sample: int = 50_000, seed: int = 1) -> InvertedLists:
         """k-means over unit vectors of at most `sample` rows, taken in the order of a hash of the vectors."""
-        usable = chunks.where("embedding is not null").select(_unit("embedding").alias("u")).where("u is not null")
+        usable = chunks.where("embedding is not null").select(unit("embedding").alias("u")).where("u is not null")
         drawn = usable.orderBy(F.xxhash64("u")).limit(sample).select(array_to_vector("u").alias("features"))
         model = KMeans(k=cells, seed=seed, maxIter=10).fit(drawn)
         return cls(tuple(tuple(float(x) for x in c) for c in model.clusterCenters()))
@@ -93,7 +126,7 @@ class InvertedLists:
         return nearest(index.where(F.col("cell").isin(ranked[:probes])), query, k, threshold, key)
 
 
-def _unit(vector: str) -> Column:
+def unit(vector: str) -> Column:
     return F.when(norm(vector) > 0, F.transform(vector, lambda x: x.cast("double") / norm(vector)))
 
 

@@ -10,14 +10,14 @@ import uuid
 from collections.abc import Callable
 from datetime import datetime
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import html as H
 from ..functions import markup as M
 from ..functions.text import STOPWORDS, lexemes, words
 from ..functions.urls import bookmark_id, canonical_url, domain
-from ..operators import chunking, enrich, fts, fusion, history, index, limiter, mutations, paging, predicates, queues, rank, tags, vector, versions
+from ..operators import chunking, enrich, fts, fusion, history, index, limiter, mutations, paging, predicates, queues, rank, tags, vector, vector_index, versions
 from ..operators.headline import headline
 from ..operators.predicates import TagFilter
 from ..operators.search import SearchRequest, hits, search
@@ -365,6 +365,20 @@ def knn_ivf_topk(spark, d):
     return index.nearest(index.assigned(c), _probe(spark, d), 12, probes=8).select("chunk_id", F.round("similarity", 6).alias("similarity"))
 
 
+@query()
+def knn_index_batch(spark, d):
+    """Batches of queries over the coded index, half of it appended later; `recall` is against the exact answer."""
+    c = adapt.chunks(spark, d)
+    built = vector_index.VectorIndex.fit(c, 16, 16)
+    index = built.assigned(c.where("vec_id % 2 = 0")).unionByName(built.assigned(c.where("vec_id % 2 = 1")))
+    queries = c.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
+    found = built.nearest_batch(index, c, queries, 5, probes=10)
+    exact = vector.nearest_batch(c, queries, 5).select("query_id", F.col("chunk_id").alias("exact_id"))
+    both = found.join(exact, (found["query_id"] == exact["query_id"]) & (found["chunk_id"] == exact["exact_id"]), "left").select(found["query_id"], "chunk_id", "similarity", "rank", "exact_id")
+    recall = F.count("exact_id").over(Window.partitionBy()) / F.count("*").over(Window.partitionBy())  # k rows a query
+    return both.select("query_id", "chunk_id", F.round("similarity", 6).alias("similarity"), "rank", F.round(recall, 6).alias("recall"))
+
+
 @query(f"{with_views('chunks')} SELECT count(*) AS n, min(len(embedding)) AS lo, max(len(embedding)) AS hi FROM chunks")
 def embedding_dimensions(spark, d):
     c = adapt.chunks(spark, d)

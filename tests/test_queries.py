@@ -33,6 +33,7 @@ SHAPES = {
     "fts_headline": lambda r: r["search_match"] is not None and len(r["search_match"].split()) <= 35,
     "fts_english_stem": lambda r: r["rank"] > 0,
     "knn_ivf_topk": lambda r: -1 <= r["similarity"] <= 1,
+    "knn_index_batch": lambda r: -1 <= r["similarity"] <= 1 and r["recall"] >= 0.9,
     "bookmark_id_murmur": lambda r: r["bookmark_id"] is None or len(r["bookmark_id"]) == 22,
     "html_article_text": lambda r: not re.search(r"(?i)<(?:script|style|iframe)|\son\w+=|javascript:", r["sanitized"] + r["article"]),
     "english_lexemes": lambda r: r["lexemes"] == r["lexemes"].lower() and "  " not in r["lexemes"],
