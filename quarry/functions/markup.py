@@ -38,31 +38,98 @@ class Node:
 
 
 class _Builder(HTMLParser):
-    """The tree of a page; what is nested deeper than DEPTH is laid flat."""
+    """The tree of a page; what is nested deeper than DEPTH is laid flat, but for what is unsafe, which goes."""
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
         self.open = [Node("", [])]
+        self.deep: list[str] = []  # elements below DEPTH that are open
 
     def handle_starttag(self, tag, attrs):
-        if self.open[-1].tag in CLOSED_BY_SIBLING.get(tag, ()) or (self.open[-1].tag == "p" and tag in BLOCKS):
+        if not self.deep and (self.open[-1].tag in CLOSED_BY_SIBLING.get(tag, ()) or (self.open[-1].tag == "p" and tag in BLOCKS)):
             self.open.pop()
+        if len(self.open) >= DEPTH:
+            if tag not in VOID:
+                self.deep.append(tag)
+            elif not self._unsafe():
+                self.open[-1].children.append(Node(tag, attrs))
+            return
         node = Node(tag, attrs)
         self.open[-1].children.append(node)
-        if tag not in VOID and len(self.open) < DEPTH:
+        if tag not in VOID:
             self.open.append(node)
 
     def handle_startendtag(self, tag, attrs):
-        self.open[-1].children.append(Node(tag, attrs))
+        if not self._unsafe():
+            self.open[-1].children.append(Node(tag, attrs))
 
     def handle_endtag(self, tag):
+        # Where one like it is open below DEPTH, it closes that, and nothing outside.
+        if tag in self.deep:
+            del self.deep[len(self.deep) - 1 - self.deep[::-1].index(tag) :]
+            return
         for at in range(len(self.open) - 1, 0, -1):
             if self.open[at].tag == tag:
                 del self.open[at:]
+                self.deep.clear()
                 return
 
     def handle_data(self, data):
-        self.open[-1].children.append(data)
+        if not self._unsafe():
+            self.open[-1].children.append(data)
+
+    def _unsafe(self) -> bool:
+        return any(tag in UNSAFE for tag in self.deep)
+
+
+class _Images(HTMLParser):
+    """Start tags of images: place in the page, text, source."""
+
+    def __init__(self, html: str) -> None:
+        super().__init__(convert_charrefs=True)
+        self.lines = [0, *(m.end() for m in re.finditer("\n", html))]
+        self.found: list[tuple[int, str, str]] = []
+        self.feed(html)
+        self.close()
+
+    def handle_starttag(self, tag, attrs):
+        src = dict(reversed(attrs)).get("src")  # of several the first counts
+        if tag == "img" and src is not None:
+            line, column = self.getpos()
+            self.found.append((self.lines[line - 1] + column, self.get_starttag_text(), src))
+
+
+def image_sources_of(html: str) -> list[str]:
+    """Sources of all images of a page, in order: quoted or not, but none in comments or scripts."""
+    return [src for _, _, src in _Images(html).found]
+
+
+_SOURCE = re.compile(r"""(?is)(\ssrc\s*=\s*)("[^"]*"|'[^']*'|[^\s>]+)""")
+
+
+def with_sources(html: str, targets: dict[str, str]) -> str:
+    """The page with the sources of some images replaced; all else stays as it is."""
+    out, at = [], 0
+    for place, tag, src in _Images(html).found:
+        if src in targets:
+            # A function, as the text of an address is no template.
+            changed = _SOURCE.sub(lambda m, to=targets[src]: f'{m[1]}"{escape(to)}"', tag, count=1)
+            out += [html[at:place], changed]
+            at = place + len(tag)
+    return "".join([*out, html[at:]])
+
+
+def title_of(html: str) -> str | None:
+    """Text of the first title that has some."""
+    stack = [parsed(html)]
+    while stack:
+        node = stack.pop()
+        if node.tag == "title":
+            text = re.sub(r"\s+", " ", "".join(c for c in node.children if isinstance(c, str))).strip()
+            if text:
+                return text
+        stack += [c for c in reversed(node.children) if not isinstance(c, str) and c.tag != "svg"]
+    return None
 
 
 def parsed(html: str) -> Node:
@@ -72,37 +139,11 @@ def parsed(html: str) -> Node:
     return builder.open[0]
 
 
-def _weigh(node: Node, inside_link: bool, best: list) -> tuple[int, int, int]:
-    """(characters, characters of links, elements) below a node; best gathers (weight, node) of what may be the article."""
-    chars = links = elements = 0
-    weight = 0.0
-    for child in node.children:
-        if isinstance(child, str):
-            n = len(child.strip())
-            chars += n
-            links += n if inside_link else 0
-        elif child.tag not in UNSAFE and child.tag not in CHROME:
-            c, k, e = _weigh(child, inside_link or child.tag == "a", best)
-            chars, links, elements = chars + c, links + k, elements + e + 1
-            if child.tag in BLOCKS and c:
-                # Text per element, less where it is mostly links: an article's own blocks are dense, lists of links are not.
-                weight += (c - k) / (e + 1) * (1 - k / c)
-    if node.tag in BLOCKS or node.tag in ("body", ""):
-        best.append((weight, chars - links, node))
-    return chars, links, elements
-
-
 def article(html: str) -> Node:
-    """The element that holds the article: a marked one with half of the text or more, else that with the densest blocks."""
-    root = parsed(html)
-    found: list[tuple[float, int, Node]] = []
-    _weigh(root, False, found)
-    whole = found[-1][1]
-    marked = [x for x in found if x[2].tag in ("article", "main") and 2 * x[1] >= whole > 0]
-    if marked:
-        return max(marked, key=lambda x: x[1])[2]
-    # Of equal ones the inner, which comes first.
-    return max(found, key=lambda x: x[0])[2] if any(x[0] > 0 for x in found) else root
+    """The element that holds the article."""
+    from . import readability  # which reads this module's tables
+
+    return readability.article(parsed(html))
 
 
 def _text(node: Node, out: list[str]) -> None:

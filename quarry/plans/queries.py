@@ -660,7 +660,7 @@ def html_image_rows(spark, d):
 
 @query("SELECT page_id, count(*) AS images, bool_and(true) AS rewritten FROM (SELECT page_id, unnest([1, 2]) FROM pages) GROUP BY page_id")
 def html_images_rewritten(spark, d):
-    p = _with_images(spark, d).withColumn("html", F.replace("html", F.lit("'pic.jpg?v=1'"), F.lit('"pic.jpg?v=1"')))
+    p = _with_images(spark, d)
     out = readers.rewritten_images(p, readers.images(p))
     links = F.regexp_count("html", F.lit('(?i)src="/static/[0-9]+/[A-Za-z0-9_-]{22}"'))
     return out.select("page_id", links.cast("long").alias("images"), (~F.col("html").contains('src="/img/')).alias("rewritten"))

@@ -88,7 +88,7 @@ def rewritten_images(pages: DataFrame, images: DataFrame, prefix: str = "/static
     """html with the sources of known images pointing to their stored copies; unknown ones stay."""
     lists = images.groupBy(key).agg(F.collect_list(F.struct("src", "image_id")).alias("found"))
     joined = pages.join(lists, key, "left")
-    target = lambda x: F.concat(F.lit(f'"{prefix}/'), F.col(key).cast("string"), F.lit("/"), x["image_id"], F.lit('"'))
     none = F.array().cast("array<struct<src:string,image_id:string>>")
-    html = F.aggregate(F.coalesce("found", none), F.col("html"), lambda text, x: F.replace(text, F.concat(F.lit('"'), x["src"], F.lit('"')), target(x)))
-    return joined.withColumn("html", html).drop("found")
+    found = F.coalesce("found", none)
+    targets = F.transform(found, lambda x: F.concat(F.lit(f"{prefix}/"), F.col(key).cast("string"), F.lit("/"), x["image_id"]))
+    return joined.withColumn("html", H.with_image_sources("html", found["src"], targets)).drop("found")
