@@ -24,8 +24,11 @@ DIMENSIONS = {
     ("ollama", "all-minilm"): 384,
     ("ollama", "nomic-embed-text"): 768,
 }
-#: Messages of errors that pass: too many requests, time-outs, broken connections, servers out of order.
-PASSING = re.compile(r"(?i)\b(?:429|50[0234])\b|too many requests|rate.?limit|time(?:d )?.?out|temporarily unavailable|server error|connection (?:reset|refused|closed|aborted|error)")
+#: What the messages of errors that pass contain, in lower case.
+PASSING = ("429", "too many requests", "timed out", "timeout", "connection reset", "temporarily unavailable", "server error")
+TOO_MANY_REQUESTS, SERVER_ERROR = 429, 500
+#: Further wordings of clients: limits, and the status of a server out of order.
+ALSO_PASSING = re.compile(r"(?i)rate.?limit|\b50[0234]\b")
 RETRIES, BASE_MS, MOST_MS = 2, 1000, 30_000
 KEYS = ["user_id", "bookmark_id"]
 
@@ -35,9 +38,21 @@ def dimensions(provider: str, model: str, embed: Callable[[str], Sequence[float]
     return configured or DIMENSIONS.get((provider, model)) or len(embed("a text of no matter"))
 
 
+def _causes(error: BaseException | None) -> Iterator[BaseException]:
+    """The error and what it came from."""
+    while error is not None:
+        yield error
+        error = error.__cause__ or error.__context__
+
+
 def retriable(error: Exception) -> bool:
-    """Whether the same call may succeed later: by its kind, or by what its message says."""
-    return isinstance(error, (TimeoutError, ConnectionError)) or PASSING.search(str(error)) is not None
+    """Whether the same call may succeed later: by the kind or the `status` of the error or of a cause, or by what its message says."""
+    for cause in _causes(error):
+        status = getattr(cause, "status", None)
+        if isinstance(cause, (TimeoutError, ConnectionError)) or isinstance(status, int) and (status == TOO_MANY_REQUESTS or status >= SERVER_ERROR):
+            return True
+    message = str(error).lower()
+    return any(part in message for part in PASSING) or ALSO_PASSING.search(message) is not None
 
 
 def wait_ms(attempt: int, rng: random.Random, base: int = BASE_MS, most: int = MOST_MS) -> float:

@@ -34,6 +34,12 @@ def test_retries():
     assert enrich.retriable(RuntimeError("HTTP 429")) and not enrich.retriable(RuntimeError("HTTP 400"))
     passing = ("Too Many Requests", "service temporarily unavailable", "internal server error", "connection reset by peer", "request timed out", "rate limit", "status 503")
     assert all(enrich.retriable(RuntimeError(m)) for m in passing)
+    for status, passes in ((429, True), (503, True), (404, False)):
+        answered = RuntimeError("refused")
+        answered.status = status
+        wrapped = ValueError("call failed")
+        wrapped.__cause__ = answered
+        assert enrich.retriable(wrapped) is passes
     assert not any(enrich.retriable(RuntimeError(m)) for m in ("invalid connection string", "model 5000 not found", "unauthorized"))
 
 
