@@ -831,10 +831,11 @@ def migration_reset(spark, d):
     return tables["bookmark"].select("bookmark_id", "embedding_status", "text_ai_status", (F.col("tags").isNull() & F.col("summary").isNull()).alias("cleared"))
 
 
-@query("SELECT 9 AS version")
+@query("SELECT max(CAST(substr(o_orderpriority, 1, 1) AS INTEGER)) AS version FROM orders")
 def schema_version(spark, d):
-    found = spark.createDataFrame([(v,) for v in (1, 9, 3)], "version int")
-    return spark.range(1).select(F.lit(versions.current(found)).alias("version"))
+    """Orders as applied changes, their priority as the version of each."""
+    applied = spark.read.parquet(f"{d}/orders.parquet").select(F.substring("o_orderpriority", 1, 1).cast("int").alias("version"))
+    return spark.range(1).select(F.lit(versions.current(applied)).cast("int").alias("version"))
 
 
 @query("SELECT c_custkey FROM customer WHERE lower(c_name) = (SELECT lower(min(c_name)) FROM customer)")

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -84,6 +86,27 @@ def fetched(images: DataFrame, fetch: Callable[[str], tuple[bytes, str | None]],
     return images.mapInPandas(run, schema).where("content is not null")
 
 
+_CHARSET = re.compile(r"""(?i)charset\s*=\s*["']?([^\s"';>]+)""")
+
+
+def _decoded(content: bytes, kind: str | None) -> str:
+    """The text of a page: by the charset its answer or its head names, else as UTF-8; what is broken is replaced."""
+    named = _CHARSET.search(kind or "") or _CHARSET.search(content[:1024].decode("latin-1"))
+    try:
+        return content.decode(named[1] if named else "utf-8", "replace")
+    except LookupError:
+        return content.decode("utf-8", "replace")
+
+
+def fetched_pages(urls: DataFrame, fetch: Callable[[str], tuple[bytes, str | None]], url: str = "url") -> DataFrame:
+    """The rows whose address `fetch` can read, with the html of their pages."""
+
+    def decoded(contents: pa.Array, kinds: pa.Array) -> pa.Array:
+        return pa.array([_decoded(c, k) for c, k in zip(contents.to_pylist(), kinds.to_pylist(), strict=True)], pa.string())
+
+    return fetched(urls, fetch, url).withColumn("html", F.arrow_udf(decoded, "string")("content", "content_type")).drop("content", "content_type")
+
+
 def rewritten_images(pages: DataFrame, images: DataFrame, prefix: str = "/static", key: str = "page_id") -> DataFrame:
     """html with the sources of known images pointing to their stored copies; unknown ones stay."""
     lists = images.groupBy(key).agg(F.collect_list(F.struct("src", "image_id")).alias("found"))

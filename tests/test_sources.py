@@ -66,6 +66,13 @@ def test_sinks(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "images")).count() == 2
 
 
+def test_pages_are_fetched_and_decoded(spark):
+    answers = {"a": ("<p>é".encode(), None), "b": ("<p>é".encode("latin-1"), "text/html; charset=ISO-8859-1"), "c": (b'<meta charset="cp1252"><p>\x80', "text/html"), "d": (b"\xff", "text/html; charset=unknown")}
+    urls = spark.createDataFrame([(u,) for u in "abcde"], "url string")
+    rows = {r.url: r.html for r in readers.fetched_pages(urls, lambda u: answers[u]).collect()}
+    assert rows == {"a": "<p>é", "b": "<p>é", "c": '<meta charset="cp1252"><p>€', "d": "\ufffd"}
+
+
 def test_postings_table(spark):
     b = spark.createDataFrame([("u", "1", "Red cats", "cats and dogs", ["pets"]), ("u", "2", "Dogs", "only", None)], "user_id string, bookmark_id string, title string, text_content string, tags array<string>")
     sinks.write_postings(fts.postings(b), "postings_test", 2)
