@@ -76,20 +76,21 @@ class WebQuery:
         # Bound as a variable, the text is made once per row, not once per clause.
         return F.exists(F.array("search_text"), any_group)
 
-    def operands(self) -> list[str]:
-        """Different lexemes of all clauses, excluded ones too: what a rank is made of."""
+    def lexemes(self) -> list[str]:
+        """Different lexemes of all clauses."""
         return sorted({x for g in self.groups for c in g for x in c.lexemes(self.language) if x})
 
+    def operands(self) -> list[str]:
+        """Different wanted lexemes: what a rank is made of."""
+        return sorted({x for g in self.groups for c in g if not c.negated for x in c.lexemes(self.language) if x})
+
     def by_proximity(self) -> bool:
-        """Whether this is one conjunction or one phrase, of several lexemes."""
-        if len(self.groups) != 1 or len(self.operands()) < 2:
-            return False
-        first = self.groups[0][0]
-        return len(self.groups[0]) > 1 or not first.negated
+        """Whether this is one conjunction or one phrase, of several wanted lexemes."""
+        return len(self.groups) == 1 and len(self.operands()) > 1
 
     def rank(self) -> Column:
         """Rank of a row with the search columns, from the places of the operands in title, body and tags."""
-        if not self.groups:
+        if not self.operands():
             return F.lit(0.0)
         parts = ((F.col("title_lexemes"), "A"), (F.col("text_lexemes"), "B"), (F.col("tag_lexemes"), "C"))
 

@@ -87,7 +87,7 @@ def _conjunction(group: tuple[Clause, ...], language: str) -> Column:
 
 def _rows(index: DataFrame, query: WebQuery, user_id: str | None, always: bool) -> DataFrame:
     """The rows that the query reads; those of the documents themselves only where it asks for what is not there, or for lengths."""
-    wanted = query.operands()
+    wanted = query.lexemes()
     if always or any(all(c.negated for c in g) for g in query.groups):
         wanted = ["", *wanted]
     found = index.where(F.col("lexeme").isin(wanted))
@@ -107,7 +107,7 @@ def _ranked(rows: DataFrame, query: WebQuery, flags: int) -> DataFrame:
         none = F.array().cast("array<int>"), F.array().cast("array<double>")
         score = R.proximity(F.array(*[F.struct(F.coalesce(x["places"], none[0]).alias("places"), F.coalesce(weights_of(x["parts"]), none[1]).alias("weights")) for x in of]))
     else:
-        score = sum((F.coalesce(x["rank"], F.lit(0.0)) for x in of), F.lit(0.0)) / len(terms)
+        score = sum((F.coalesce(x["rank"], F.lit(0.0)) for x in of), F.lit(0.0)) / max(1, len(terms))
     if flags:
         size = F.try_element_at("hits", F.lit(""))["places"]
         score = R.normalized(score, F.get(size, F.lit(0)), F.get(size, F.lit(1)), flags)
@@ -125,7 +125,7 @@ def _bounds(rows: DataFrame, query: WebQuery) -> DataFrame:
     """block and bound: what no document of the block can outrank; blocks that lack a word that every match needs are out."""
     terms = query.operands()
     if not query.by_proximity():
-        return rows.groupBy(*_BLOCK).agg((F.sum("best_rank") / len(terms)).alias("bound"))
+        return rows.groupBy(*_BLOCK).agg((F.sum(F.when(F.col("lexeme").isin(terms), F.col("best_rank")).otherwise(F.lit(0.0))) / max(1, len(terms))).alias("bound"))
     needed = sorted({x for c in query.groups[0] if not c.negated for _, x in _words(c, query.language)})
     per = rows.where(F.col("lexeme").isin(needed)).groupBy(*_BLOCK).agg(F.collect_list(F.struct("lexeme", "most_hits", "best_weight")).alias("t")).where(F.size("t") == len(needed))
     # Of every two terms as many pairs as the block's fullest documents could have, all of them side by side.

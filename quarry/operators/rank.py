@@ -5,8 +5,7 @@ terms at every two of their places add the root of both weights times a factor
 that falls with their distance, joined like independent chances.  Any other
 query ranks by occurrence: of each term the heaviest place counts in full and
 every further one less, by the square of its number, averaged over the terms.
-Excluded words are terms as well, so a conjunction with one term and an
-excluded word ranks lowest.
+Excluded words take no part.
 """
 
 from __future__ import annotations

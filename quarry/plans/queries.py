@@ -317,7 +317,7 @@ def fts_headline(spark, d):
 
 @query()
 def fts_english_stem(spark, d):
-    return hits(adapt.bookmarks(spark, d), "3", SearchRequest(query="thing -tested")).select("bookmark_id", F.round("rank", 6).alias("rank"))
+    return hits(adapt.bookmarks(spark, d), "3", SearchRequest(query="thing -tested")).select("bookmark_id", "rank")
 
 
 @query("SELECT bookmark_id, n FROM (SELECT bookmark_id, 0 AS n FROM (SELECT '' AS bookmark_id) WHERE false)")

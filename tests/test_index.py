@@ -95,7 +95,9 @@ def test_nearer_terms_and_heavier_parts_rank_higher(spark):
     assert math.isclose(title, 1 / rank.SQUARES) and math.isclose(body, 0.4 / rank.SQUARES)
     once, twice = ranks("rust", ("x", "rust"), ("x", "rust rust"))
     assert math.isclose(twice - once, 0.4 / 4 / rank.SQUARES)
-    assert ranks("rust -web", ("rust", "rust rust")) == [rank.LOWEST]
+    # Excluded words take no part; words that stand at one place only do not meet.
+    assert ranks("rust -web", ("rust", "x")) == ranks("rust", ("rust", "x")) and ranks("-web", ("rust", "x")) == [0.0]
+    assert rank.proximity_of([(np.array([3]), np.array([1.0])), (np.array([3]), np.array([1.0]))]) == rank.LOWEST
 
 
 @pytest.mark.parametrize(("flags", "divisor"), [(1, math.log2(9)), (2, 8), (8, 4), (16, math.log2(5)), (32, None)])
