@@ -9,7 +9,12 @@ repeated windows of a document merge into maximal removal intervals.
    block, is packed by hash bucket.  A window that millions of documents share
    therefore reaches its bucket once per block, not once per document.
 2. A bucket finds the smallest doc_id of each hash over all blocks and sends
-   back the places at which a larger document holds it.
+   back the places at which a larger document holds it.  Where there are more
+   than STEP_BUCKETS of them, they are reached in two steps: rows of a range of
+   buckets and a part of the blocks meet first, settle what that part alone
+   can, and go on as one row per bucket; places return the same way.  So rows
+   stay long at any size, and a window that all documents share reaches its
+   bucket once per part.
 3. The places of each block merge into intervals per document, which are
    joined to the texts.
 
@@ -17,7 +22,8 @@ Windows are told apart by 64 bits of one hash within the bucket that a second
 hash chose.  Buckets are as many as BUCKET_BYTES of text need, so whatever the
 size of the corpus a bucket holds a few million windows, fits a task, and takes
 a given window for another one with a chance below 1e-12.  Only a window that
-many documents share brings more: 9 bytes for each 4 MB of text that have it.
+many documents share brings more: 9 bytes for each 4 MB of text that have it,
+and in two steps some 20 bytes for each 32 GB.
 
 Defined results: a null or empty text has no words; with fewer words than
 `width` nothing goes; rows with an equal doc_id are never "smaller" than one
@@ -45,11 +51,26 @@ WIDTH = 13
 #: Text whose windows one bucket gets.
 BUCKET_BYTES = 8 << 20
 
+#: Buckets that a block reaches in one step.
+STEP_BUCKETS = 4096
+
 #: Kinds of rows: windows to be judged, places settled within their block, the documents of a block.
 JUDGE, SETTLED, TABLE = 0, 1, 2
-_COLUMNS = "bucket int, block long, kind int, ids binary, sizes binary, places binary, hashes binary"
-_NAMES = [x.split()[0] for x in _COLUMNS.split(", ")]
-_TYPES = [pa.int32(), pa.int64(), pa.int32(), *[pa.binary()] * 4]
+_COLUMNS = "bucket int, block long, kind int, ids binary, sizes binary, places binary, hashes binary, buckets binary"
+#: Rows of a bucket, each of a part of the blocks, and what they send back; `buckets` counts within a range.
+_OF_PART = "bucket long, part int, block long, kind int, blocks binary, counts binary, ids binary, sizes binary, places binary, hashes binary"
+_BACK = _OF_PART.removesuffix(", hashes binary")
+_PLACES = "block long, kind int, ids binary, sizes binary, places binary"
+_ARROW = {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary()}
+
+
+def _table(rows: list[tuple], columns: str) -> pa.Table:
+    fields = [x.split() for x in columns.split(", ")]
+    return pa.table([pa.array([r[i] for r in rows], _ARROW[kind]) for i, (_, kind) in enumerate(fields)], names=[name for name, _ in fields])
+
+
+def _cells(group: pa.Table, *names: str) -> Iterator[tuple]:
+    return zip(*(group.column(n).to_pylist() for n in names), strict=True)
 
 
 def _narrow(values: np.ndarray) -> bytes:
@@ -82,9 +103,25 @@ def _unpack_ids(cell: bytes) -> np.ndarray:
     return np.cumsum((z >> np.uint64(1)).view(np.int64) ^ -(z & np.uint64(1)).view(np.int64))
 
 
-def _groups(sorted_values: np.ndarray) -> np.ndarray:
-    """Where each run of equal values starts."""
-    return np.flatnonzero(np.concatenate(([True], sorted_values[1:] != sorted_values[:-1]))) if len(sorted_values) else np.zeros(0, np.int64)
+def _groups(*sorted_values: np.ndarray) -> np.ndarray:
+    """Where each run of equal values, or tuples of values, starts."""
+    if not len(sorted_values[0]):
+        return np.zeros(0, np.int64)
+    return np.flatnonzero(np.concatenate(([True], np.any([x[1:] != x[:-1] for x in sorted_values], axis=0))))
+
+
+def _lengths(starts: np.ndarray, n: int) -> np.ndarray:
+    return np.diff(np.append(starts, n))
+
+
+def _later(docs: np.ndarray, *windows: np.ndarray) -> np.ndarray:
+    """Whether a smaller document has the same window, by its hash or by several columns."""
+    order = np.lexsort(windows)
+    starts = _groups(*(x[order] for x in windows))
+    first = np.empty(len(docs), np.int64)
+    if len(docs):
+        first[order] = np.repeat(np.minimum.reduceat(docs[order], starts), _lengths(starts, len(docs)))
+    return docs > first
 
 
 def _runs(values: np.ndarray) -> Iterator[tuple[int, int]]:
@@ -93,67 +130,120 @@ def _runs(values: np.ndarray) -> Iterator[tuple[int, int]]:
     return zip(at.tolist(), [*at[1:].tolist(), len(values)][: len(at)], strict=True)
 
 
-def _by_bucket(words: Words, keys: np.ndarray, width: int, n_buckets: int, block: int) -> Iterator[tuple]:
+def _by_bucket(words: Words, keys: np.ndarray, width: int, n_buckets: int, ranges: int, block: int) -> Iterator[tuple]:
     window, at = words.windows(width, words.hashes())
     if not len(at):
         return
-    # A second, independent rolling hash picks the bucket.
-    bucket = (words.windows(width, words.hashes(salt=977), salt=977)[0] % np.uint64(n_buckets)).astype(np.int32)
+    # A second, independent rolling hash picks the bucket; buckets of one remainder are a range.
+    bucket = (words.windows(width, words.hashes(salt=977), salt=977)[0] % np.uint64(n_buckets)).astype(np.int64)
+    within, bucket = np.divmod(bucket, ranges)
     ids, owner = words.doc_ids, words.owner()[at]
-    order = np.argsort(window, kind="stable")
-    starts = _groups(window[order])
-    smallest = np.empty(len(at), np.int64)
-    smallest[order] = np.repeat(np.minimum.reduceat(ids[owner[order]], starts), np.diff(np.append(starts, len(at))))
-    mine = ids[owner] == smallest
-    packed, sizes = _pack_ids(ids), _narrow(words.counts())
-    home = block % n_buckets
-    yield (home, block, TABLE, packed, sizes, _pack_ids(keys), b"")
-    if not mine.all():
-        yield (home, block, SETTLED, b"", b"", _gaps(at[~mine]), b"")
-    kept = np.flatnonzero(mine)
+    gone = _later(ids[owner], window)
+    home = block % ranges
+    yield (home, block, TABLE, _pack_ids(ids), _narrow(words.counts()), _pack_ids(keys), b"", b"")
+    if gone.any():
+        yield (home, block, SETTLED, b"", b"", _gaps(at[gone]), b"", b"")
+    kept = np.flatnonzero(~gone)
     kept = kept[np.argsort(bucket[kept], kind="stable")]
     for a, b in _runs(bucket[kept]):
         part = kept[a:b]
         # Only the documents that the row names, and how many of its windows each has.
         named = _groups(owner[part])
-        yield (int(bucket[part[0]]), block, JUDGE, _pack_ids(ids[owner[part[named]]]), _narrow(np.diff(np.append(named, b - a))), _gaps(at[part]), window[part].astype("<u8").tobytes())
+        which = _narrow(within[part]) if n_buckets > ranges else b""
+        yield (int(bucket[part[0]]), block, JUDGE, _pack_ids(ids[owner[part[named]]]), _narrow(_lengths(named, b - a)), _gaps(at[part]), window[part].astype("<u8").tobytes(), which)
 
 
-def _scan(batches: Iterator[pa.RecordBatch], width: int, n_buckets: int) -> Iterator[pa.RecordBatch]:
+def _scan(batches: Iterator[pa.RecordBatch], width: int, n_buckets: int, ranges: int) -> Iterator[pa.RecordBatch]:
     block = TaskContext.get().partitionId() << 32
     for batch in batches:
         keys = batch.column(2).to_numpy(zero_copy_only=False)
         for a, b, words in blocks(batch):
-            rows = list(_by_bucket(words, keys[a:b], width, n_buckets, block))
+            rows = list(_by_bucket(words, keys[a:b], width, n_buckets, ranges, block))
             block += 1
             if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), _TYPES, strict=True)], names=_NAMES)
+                yield from _table(rows, _COLUMNS).to_batches()
 
 
 def _judge(group: pa.Table) -> pa.Table:
     """Of one bucket: the places that an earlier document makes go, a row per block; settled rows pass through."""
     rows, judged = [], []
-    for block, kind, ids, sizes, places, hashes in zip(*(group.column(n).to_pylist() for n in _NAMES[1:]), strict=True):
+    for block, kind, ids, sizes, places, hashes in _cells(group, "block", "kind", "ids", "sizes", "places", "hashes"):
         if kind == JUDGE:
             judged.append((block, _places(places), np.repeat(_unpack_ids(ids), _wide(sizes)), np.frombuffer(hashes, "<u8")))
         else:
             rows.append((block, kind, ids, sizes, places))
     if judged:
-        lengths = [len(x[1]) for x in judged]
-        hashes, doc = np.concatenate([x[3] for x in judged]), np.concatenate([x[2] for x in judged])
-        order = np.argsort(hashes, kind="stable")
-        starts = _groups(hashes[order])
-        first = np.empty(len(doc), np.int64)
-        first[order] = np.repeat(np.minimum.reduceat(doc[order], starts), np.diff(np.append(starts, len(doc))))
-        later = np.split(doc > first, np.cumsum(lengths)[:-1])
+        later = _later(np.concatenate([x[2] for x in judged]), np.concatenate([x[3] for x in judged]))
+        later = np.split(later, np.cumsum([len(x[1]) for x in judged])[:-1])
         rows += [(block, SETTLED, b"", b"", _gaps(places[gone])) for (block, places, _, _), gone in zip(judged, later, strict=True) if gone.any()]
-    return pa.table([pa.array([r[i] for r in rows], t) for i, t in enumerate(_TYPES[1:6])], names=_NAMES[1:6])
+    return _table(rows, _PLACES)
+
+
+def _settled(block: np.ndarray, place: np.ndarray) -> Iterator[tuple[int, bytes]]:
+    """The places of each block, ascending."""
+    order = np.lexsort((place, block))
+    block, place = block[order], place[order]
+    return ((int(block[a]), _gaps(place[a:b])) for a, b in _runs(block))
+
+
+def _regroup(group: pa.Table, within: int) -> pa.Table:
+    """Of a range of buckets and a part of the blocks: a row per bucket, without what the part settles alone."""
+    rows, found = [], []
+    wide, part = group.column("bucket")[0].as_py(), group.column("part")[0].as_py()
+    for block, kind, ids, sizes, places, hashes, buckets in _cells(group, "block", "kind", "ids", "sizes", "places", "hashes", "buckets"):
+        if kind == JUDGE:
+            place = _places(places)
+            found.append((_wide(buckets), np.full(len(place), block), place, np.repeat(_unpack_ids(ids), _wide(sizes)), np.frombuffer(hashes, "<u8")))
+        else:
+            rows.append((wide * within + block % within, part, block, kind, b"", b"", ids, sizes, places, b""))
+    if found:
+        bucket, block, place, doc, window = (np.concatenate(x) for x in zip(*found, strict=True))
+        gone = _later(doc, window, bucket)
+        rows += [(wide * within + b % within, part, b, SETTLED, b"", b"", b"", b"", cell, b"") for b, cell in _settled(block[gone], place[gone])]
+        order = np.flatnonzero(~gone)
+        order = order[np.lexsort((place[order], block[order], bucket[order]))]
+        bucket, block, place, doc, window = bucket[order], block[order], place[order], doc[order], window[order]
+        for a, b in _runs(bucket):
+            of, named = _groups(block[a:b]), _groups(block[a:b], doc[a:b])
+            cells = _pack_ids(block[a:b][of]), _narrow(_lengths(of, b - a)), _pack_ids(doc[a:b][named]), _narrow(_lengths(named, b - a)), _narrow(place[a:b]), window[a:b].astype("<u8").tobytes()
+            rows.append((wide * within + int(bucket[a]), part, None, JUDGE, *cells))
+    return _table(rows, _OF_PART)
+
+
+def _judge_parts(group: pa.Table, within: int) -> pa.Table:
+    """Of one bucket: as `_judge`, with rows of parts of the blocks, which go back to their range."""
+    rows, judged = [], []
+    for bucket, part, block, kind, of, counts, ids, sizes, places, hashes in _cells(group, *(x.split()[0] for x in _OF_PART.split(", "))):
+        if kind == JUDGE:
+            judged.append((bucket // within, part, np.repeat(_unpack_ids(of), _wide(counts)), _wide(places), np.repeat(_unpack_ids(ids), _wide(sizes)), np.frombuffer(hashes, "<u8")))
+        else:
+            rows.append((bucket // within, part, block, kind, of, counts, ids, sizes, places))
+    if judged:
+        later = _later(np.concatenate([x[4] for x in judged]), np.concatenate([x[5] for x in judged]))
+        for (wide, part, block, place, _, _), gone in zip(judged, np.split(later, np.cumsum([len(x[3]) for x in judged])[:-1]), strict=True):
+            if gone.any():
+                of = _groups(block[gone])
+                rows.append((wide, part, None, JUDGE, _pack_ids(block[gone][of]), _narrow(_lengths(of, gone.sum())), b"", b"", _narrow(place[gone])))
+    return _table(rows, _BACK)
+
+
+def _return(group: pa.Table) -> pa.Table:
+    """Of a range of buckets and a part of the blocks: the places that go, a row per block."""
+    rows, found = [], []
+    for block, kind, of, counts, ids, sizes, places in _cells(group, "block", "kind", "blocks", "counts", "ids", "sizes", "places"):
+        if kind == JUDGE:
+            found.append((np.repeat(_unpack_ids(of), _wide(counts)), _wide(places)))
+        else:
+            rows.append((block, kind, ids, sizes, places))
+    if found:
+        rows += [(block, SETTLED, b"", b"", cell) for block, cell in _settled(*(np.concatenate(x) for x in zip(*found, strict=True)))]
+    return _table(rows, _PLACES)
 
 
 def _merge(group: pa.Table, width: int) -> pa.Table:
     """Of one block: the places of each document, merged into maximal intervals of words."""
     found, table = [], None
-    for kind, ids, sizes, places in zip(*(group.column(n).to_pylist() for n in _NAMES[2:6]), strict=True):
+    for kind, ids, sizes, places in _cells(group, "kind", "ids", "sizes", "places"):
         if kind == TABLE:
             table = _unpack_ids(ids), _wide(sizes), _unpack_ids(places)
         else:
@@ -193,15 +283,22 @@ def _keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), part.column(2), part.column(3), pa.array(kept, pa.string())], names=["doc_id", "n_words", "n_removed", "removed_from", "removed_to", "kept"])
 
 
-def substring_dedup(docs: DataFrame, width: int = WIDTH, buckets: int | None = None) -> DataFrame:
+def substring_dedup(docs: DataFrame, width: int = WIDTH, buckets: int | None = None, step: int = STEP_BUCKETS) -> DataFrame:
     """One row per document: doc_id, n_words, n_removed, removed_from, removed_to (word positions, end excluded), kept (text).
 
-    `buckets` defaults to what the size of the texts needs.
+    `buckets` defaults to what the size of the texts needs; more than `step` are reached in two steps.
     """
     n = buckets or 1 + (docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // BUCKET_BYTES
     docs = small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("text_key", F.xxhash64("text"))
-    packed = docs.where("doc_id is not null").mapInArrow(frugal(lambda it: _scan(it, width, n)), _COLUMNS)
-    answers = packed.groupBy("bucket").applyInArrow(_judge, "block long, kind int, ids binary, sizes binary, places binary")
+    within = -(-n // step)  # buckets of a range, and parts of the blocks
+    ranges, n = (step, step * within) if within > 1 else (n, n)
+    packed = docs.where("doc_id is not null").mapInArrow(frugal(lambda it: _scan(it, width, n, ranges)), _COLUMNS)
+    if within == 1:
+        answers = packed.groupBy("bucket").applyInArrow(_judge, _PLACES)
+    else:
+        parts = packed.withColumn("part", F.pmod(F.xxhash64("block"), F.lit(within)).cast("int"))
+        judged = parts.groupBy("bucket", "part").applyInArrow(lambda t: _regroup(t, within), _OF_PART).groupBy("bucket").applyInArrow(lambda t: _judge_parts(t, within), _BACK)
+        answers = judged.groupBy("bucket", "part").applyInArrow(_return, _PLACES)
     spans = answers.groupBy("block").applyInArrow(lambda t: _merge(t, width), "doc_id long, text_key long, removed_from array<int>, removed_to array<int>")
     spans = spans.groupBy("doc_id", "text_key").agg(F.any_value("removed_from").alias("removed_from"), F.any_value("removed_to").alias("removed_to"))
     joined = docs.join(spans, ["doc_id", "text_key"], "left").select("doc_id", "text", "removed_from", "removed_to")

@@ -4,10 +4,12 @@ import hashlib
 import random
 from collections import Counter
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from quarry.llm import line_dedup, ngram_jaccard, substring_dedup
+from quarry.llm import line_dedup, ngram_jaccard, substring_dedup, wordhash
 from quarry.llm.components import components
 
 from .conftest import words
@@ -136,6 +138,46 @@ def test_substrings_across_partitions(docs):
     assert {r.doc_id: (r.n_words, r.n_removed, r.kept) for r in found} == cut_out(rows)
 
 
+@pytest.mark.parametrize("buckets", [5, 40])
+def test_substrings_with_buckets_in_two_steps(docs, buckets):
+    rows = corpus(6)
+    found = substring_dedup.substring_dedup(docs(rows).repartition(9), buckets=buckets, step=4).collect()
+    assert {r.doc_id: (r.n_words, r.n_removed, r.kept) for r in found} == cut_out(rows)
+    assert substring_dedup.substring_dedup(docs([]), buckets=buckets, step=4).count() == 0
+
+
+def test_substring_rows_stay_long_whatever_the_number_of_buckets():
+    rng = np.random.default_rng(3)
+    blocks, windows = 2000, 1_400_000  # as 8 MB of text have
+    for n_buckets in (10, 4096, 100_000, 1_000_000):
+        within = -(-n_buckets // substring_dedup.STEP_BUCKETS)
+        block, bucket = np.sort(rng.integers(0, blocks, windows)), rng.integers(0, within, windows)
+        block[0] = 0
+        rows = []
+        for a, b in substring_dedup._runs(block):
+            cells = substring_dedup._pack_ids(block[a:b]), substring_dedup._narrow(np.ones(b - a, int)), substring_dedup._gaps(np.arange(b - a))
+            rows.append((7, int(block[a]), substring_dedup.JUDGE, *cells, rng.integers(0, 1 << 62, b - a).astype("<u8").tobytes(), substring_dedup._narrow(bucket[a:b])))
+        group = substring_dedup._table(rows, substring_dedup._COLUMNS)
+        out = substring_dedup._regroup(group.append_column("part", pa.array([0] * len(rows))), within)
+        assert out.num_rows <= within and out.nbytes < 25 * windows
+        # One window that every block has goes on once.
+        cells = substring_dedup._pack_ids(np.array([5])), substring_dedup._narrow(np.array([1])), substring_dedup._gaps(np.array([3])), bytes(8), substring_dedup._narrow(np.array([0]))
+        hot = substring_dedup._table([(7, b, substring_dedup.JUDGE, substring_dedup._pack_ids(np.array([b])), *cells[1:]) for b in range(blocks)], substring_dedup._COLUMNS)
+        out = substring_dedup._regroup(hot.append_column("part", pa.array([0] * blocks)), within).to_pylist()
+        assert [r["kind"] for r in out].count(substring_dedup.JUDGE) == 1 and len(out) == blocks
+
+
+def test_substring_rows_of_a_block():
+    text = " ".join(f"w{i}" for i in range(60_000))
+    batch = pa.record_batch([pa.array([1]), pa.array([text]), pa.array([2])], names=["doc_id", "text", "text_key"])
+    ((a, b, found),) = wordhash.blocks(batch)
+    for n_buckets in (10, 4096, 1_000_000):
+        within = -(-n_buckets // substring_dedup.STEP_BUCKETS)
+        ranges = min(n_buckets, substring_dedup.STEP_BUCKETS)
+        rows = list(substring_dedup._by_bucket(found, np.array([2]), 13, ranges * within, ranges, 0))
+        assert len(rows) <= ranges + 1
+
+
 def test_substrings_odd_rows(docs):
     long = " ".join(f"w{i}" for i in range(20))
     rows = [*ODD, (20, long), (20, long), (21, long), (None, long), (-5, " ".join(f"w{i}" for i in range(13)))]
@@ -144,6 +186,8 @@ def test_substrings_odd_rows(docs):
     assert kept[(20, 20, 13)] == 2 and kept[(21, 20, 20)] == 1 and kept[(None, 20, 0)] == 1 and kept[(8, 3000, 0)] == 1
     assert len(found) == len(rows)
     assert substring_dedup.substring_dedup(docs([])).count() == 0
+    again = ((r.doc_id, r.n_words, r.n_removed) for r in substring_dedup.substring_dedup(docs(rows), buckets=9, step=2).collect())
+    assert sorted(again, key=repr) == found
 
 
 def similar(a, b, shingle=6):
