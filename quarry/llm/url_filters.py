@@ -7,6 +7,10 @@ rule's path, so an URL of whatever length has few.  An
 expression meets the rules in an equi-join on the first bytes of its SHA-256
 digest; the full digest then confirms the hit, and the longest rule wins.
 
+Rules are met once for each distinct URL.  The pages of one URL, however many,
+then meet its one verdict row in a left join, whose large partitions adaptive
+execution splits (spark.sql.adaptive.skewJoin.enabled, on by default).
+
 Defined results: a null URL or one without ``://`` has an empty host and path
 and meets no rule; a URL that no rule fits gets `default` as its verdict;
 repeated rows are all kept; other columns of the table are ignored; of two
