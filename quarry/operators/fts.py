@@ -11,6 +11,9 @@ from dataclasses import dataclass
 from functools import reduce
 from operator import and_, or_
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -130,17 +133,78 @@ def search(df: DataFrame, query: WebQuery) -> DataFrame:
     return df.where(query.matches()).withColumn("rank", query.rank())
 
 
+def blocked(df: DataFrame, language: str = "english", block_docs: int = 512) -> DataFrame:
+    """user_id, block, bookmark_id, words, n_title, n_text: each row's lexemes joined by blanks, title, body and tags after one another.
+
+    A tenant has as many blocks as its rows need, `block_docs` in each on
+    average; rows of one bookmark share a block.
+    """
+    # Only tenants of several blocks: a row for every `block_docs` rows at most.
+    blocks = df.groupBy("user_id").agg(F.ceil(F.count("*") / block_docs).cast("int").alias("blocks")).where("blocks > 1").withColumnRenamed("user_id", "_tenant")
+    parts = ["title_lexemes", "text_lexemes", "tag_lexemes"]
+    docs = search_columns(df, language).select("user_id", "bookmark_id", F.array_join(F.concat(*parts), " ").alias("words"), F.size(parts[0]).alias("n_title"), F.size(parts[1]).alias("n_text"))
+    docs = docs.join(F.broadcast(blocks), F.col("user_id").eqNullSafe(F.col("_tenant")), "left")
+    block = F.pmod(F.xxhash64("bookmark_id"), F.coalesce("blocks", F.lit(1))).cast("int")
+    return docs.select("user_id", block.alias("block"), "bookmark_id", "words", "n_title", "n_text")
+
+
+@dataclass(frozen=True)
+class Hits:
+    """The words of a block's rows: of each one its row, lexeme (a place in `lexemes`), part (0 to 2) and place in the row."""
+
+    lexemes: pa.Array
+    row: np.ndarray
+    lexeme: np.ndarray
+    part: np.ndarray
+    at: np.ndarray
+
+    @classmethod
+    def of(cls, block: pa.Table) -> Hits:
+        # A block may hold more than 2 GB of text.
+        found = pc.split_pattern(block["words"].cast(pa.large_string()).combine_chunks(), " ")
+        n = pc.list_value_length(found).to_numpy(zero_copy_only=False).astype(np.int64)
+        row = np.repeat(np.arange(len(n)), n)
+        at = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
+        in_title = block["n_title"].to_numpy().astype(np.int64)
+        before_tags = in_title + block["n_text"].to_numpy()
+        part = (at >= in_title[row]).astype(np.int8) + (at >= before_tags[row])
+        words = pc.list_flatten(found)
+        real = pc.not_equal(words, "").to_numpy(zero_copy_only=False)
+        encoded = words.filter(pa.array(real)).dictionary_encode()
+        return cls(encoded.dictionary, row[real], encoded.indices.to_numpy().astype(np.int64), part[real], at[real])
+
+
+def runs(*keys: np.ndarray) -> np.ndarray:
+    """Where in sorted rows the keys change, 0 first; none of no rows."""
+    if not len(keys[0]):
+        return np.zeros(0, np.int64)
+    changed = np.logical_or.reduce([k[1:] != k[:-1] for k in keys])
+    return np.concatenate([[0], np.flatnonzero(changed) + 1])
+
+
+def _postings(block: pa.Table) -> pa.Table:
+    hits, ids = Hits.of(block), block["bookmark_id"].combine_chunks().dictionary_encode("encode")
+    doc = ids.indices.to_numpy().astype(np.int64)[hits.row]
+    before = np.stack([np.zeros(block.num_rows, np.int64), block["n_title"].to_numpy(), block["n_title"].to_numpy() + block["n_text"].to_numpy()])
+    position = hits.at - before[hits.part, hits.row]
+    order = np.lexsort((position, doc, hits.part, hits.lexeme))
+    lexeme, part, doc = hits.lexeme[order], hits.part[order], doc[order]
+    first = runs(lexeme, part, doc)
+    positions = pa.ListArray.from_arrays(pa.array(np.append(first, len(order)), pa.int32()), pa.array(position[order], pa.int32()))
+    user = pa.repeat(block["user_id"][0], len(first))
+    columns = [hits.lexemes.take(pa.array(lexeme[first])).cast(pa.string()), pa.array(list("ABC")).take(pa.array(part[first])), user, ids.dictionary.take(pa.array(doc[first])), positions]
+    return pa.Table.from_arrays(columns, names=["lexeme", "weight", "user_id", "bookmark_id", "positions"])
+
+
 def postings(df: DataFrame, language: str = "english") -> DataFrame:
-    """lexeme, weight, bookmark_id, user_id, positions: what an index table holds.
+    """lexeme, weight, user_id, bookmark_id, positions: what an index table holds.
 
     Written partitioned or bucketed by lexeme, a query then reads only its own
-    terms.  The texts are exploded inside one stage and combined map-side.
+    terms.  Texts are shuffled once, as blocks; words are not.  Rows that share
+    a tenant and an id are one bookmark.
     """
-    parts = []
-    for part, weight in (("title", "A"), ("text_content", "B"), (F.array_join("tags", " "), "C")):
-        found = df.select("user_id", "bookmark_id", F.posexplode(lexemes(part, language)).alias("pos", "lexeme")).where("lexeme != ''")
-        parts.append(found.select("user_id", "bookmark_id", "lexeme", F.lit(weight).alias("weight"), "pos"))
-    return reduce(DataFrame.unionByName, parts).groupBy("lexeme", "weight", "user_id", "bookmark_id").agg(F.array_sort(F.collect_list("pos")).alias("positions"))
+    schema = "lexeme string, weight string, user_id string, bookmark_id string, positions array<int>"
+    return blocked(df, language).groupBy("user_id", "block").applyInArrow(_postings, schema)
 
 
 def search_postings(index: DataFrame, terms: list[str], user_id: str) -> DataFrame:

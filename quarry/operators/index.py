@@ -1,9 +1,10 @@
 """A stored full-text index and queries that read nothing else.
 
 A row of the index is a lexeme in one block of a tenant's documents: for each
-document the lexeme's places and their parts, and bounds over the block (most
-hits, heaviest part, best rank by occurrence).  The empty lexeme has the
-documents themselves with their lengths.  Written bucketed and sorted by
+document the lexeme's places and how many of them are in title and body, and
+bounds over the block (most hits, heaviest part, best rank by occurrence).
+Documents are numbered within their block, so rows of equal ids stay apart.
+The empty lexeme has the documents themselves with their lengths.  Written bucketed and sorted by
 lexeme, a query reads the rows of its own words.  All that it decides (and, or,
 not, phrases, rank) comes from those rows, a group of at most as many rows as
 the query has words for each document.
@@ -14,54 +15,87 @@ from __future__ import annotations
 from functools import reduce
 from operator import and_, or_
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import fts
 from . import rank as R
-from .fts import Clause, WebQuery, search_columns
+from .fts import Clause, WebQuery
 
 #: Documents of a block, on average.
 BLOCK_DOCS = 512
 _BLOCK = ("user_id", "block")
-_PARTS = (("title_lexemes", "A"), ("text_lexemes", "B"), ("tag_lexemes", "C"))
-
-
-def weights_of(parts: Column) -> Column:
-    """Weights of places from the letters of their parts."""
-    table = F.create_map(*[F.lit(x) for kv in R.PART_WEIGHTS.items() for x in kv])
-    return F.transform(parts, lambda p: F.element_at(table, p))
-
-
-def _labelled(part: str):
-    return lambda x: F.struct(x.alias("lexeme"), F.lit(part).alias("part"))
 
 
 def _back(steps: int):
     return lambda place: place - steps
 
 
+def weights_of(n_title: Column, n_text: Column, n: Column) -> Column:
+    """Weights of n places, the first ones in the title, the next ones in the body, the rest in tags."""
+    counts = zip("ABC", (n_title, n_text, n - n_title - n_text), strict=True)
+    return F.concat(*[F.array_repeat(F.lit(R.PART_WEIGHTS[part]), count.cast("int")) for part, count in counts])
+
+
+_SCHEMA = """lexeme string, user_id string, block int, most_hits int, best_weight double, best_rank double,
+docs array<int>, ids array<string>, ends array<int>, places array<int>, n_title array<int>, n_text array<int>"""
+
+
+def _lists(firsts: np.ndarray, values: pa.Array) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(firsts, pa.int32()), values)
+
+
+def _index_rows(block: pa.Table) -> pa.Table:
+    """The rows of the index for one block of a tenant's documents."""
+    hits, ids, n_docs = fts.Hits.of(block), block["bookmark_id"].combine_chunks(), block.num_rows
+    order = np.lexsort((hits.at, hits.row, hits.lexeme))
+    lexeme, row, at, part = (x[order] for x in (hits.lexeme, hits.row, hits.at, hits.part))
+    first = fts.runs(lexeme, row)
+    n = np.diff(np.append(first, len(order)))
+    n_title, n_text = (np.add.reduceat(part == p, first, dtype=np.int32) if len(first) else np.zeros(0, np.int32) for p in (0, 1))
+    doc, rows = row[first], fts.runs(lexeme[first])
+    squares = np.concatenate([[0.0], np.cumsum(1.0 / np.arange(1.0, n.max(initial=0) + 1) ** 2)])
+    a, b = n_title, n_title + n_text
+    weight = [R.PART_WEIGHTS[x] for x in "ABC"]
+    ranks = (weight[0] * squares[a] + weight[1] * (squares[b] - squares[a]) + weight[2] * (squares[n] - squares[b])) / R.SQUARES
+    heaviest = np.array(weight)[part[first]]
+    best = [np.maximum.reduceat(x, rows) if len(rows) else x for x in (n, heaviest, ranks)]
+    # Behind the words' rows stands that of the documents themselves.
+    sizes = np.stack([np.bincount(row, minlength=n_docs), np.bincount(doc, minlength=n_docs)], axis=1).ravel()
+    whole = np.zeros(n_docs, np.int32)
+    of_row = np.concatenate([rows, [len(first), len(first) + n_docs]])
+    doc_of = np.concatenate([doc, np.arange(n_docs)])
+    # The end of each document's places among those of its row.
+    base = first[rows] if len(rows) else np.zeros(0, np.int64)
+    ends = np.concatenate([first + n - np.repeat(base, np.diff(np.append(rows, len(first)))), 2 * np.arange(1, n_docs + 1)])
+    columns = [
+        pa.concat_arrays([hits.lexemes.take(pa.array(lexeme[first][rows])).cast(pa.string()), pa.array([""])]),
+        pa.repeat(block["user_id"][0], len(rows) + 1),
+        pa.repeat(block["block"][0], len(rows) + 1),
+        pa.array(np.append(best[0], 2), pa.int32()),
+        pa.concat_arrays([pa.array(best[1], pa.float64()), pa.nulls(1, pa.float64())]),
+        pa.array(np.append(best[2], 0.0), pa.float64()),
+        _lists(of_row, pa.array(doc_of, pa.int32())),
+        _lists(of_row, ids.take(pa.array(doc_of))),
+        _lists(of_row, pa.array(ends, pa.int32())),
+        _lists(np.concatenate([base, [len(order), len(order) + 2 * n_docs]]), pa.array(np.concatenate([at, sizes]), pa.int32())),
+        _lists(of_row, pa.array(np.concatenate([n_title, whole]), pa.int32())),
+        _lists(of_row, pa.array(np.concatenate([n_text, whole]), pa.int32())),
+    ]
+    return pa.Table.from_arrays(columns, names=["lexeme", *_BLOCK, "most_hits", "best_weight", "best_rank", "docs", "ids", "ends", "places", "n_title", "n_text"])
+
+
 def build(df: DataFrame, language: str = "english", block_docs: int = BLOCK_DOCS) -> DataFrame:
-    """The index of bookmarks: lexeme, user_id, block, most_hits, best_weight, best_rank, docs (bookmark_id, places, parts, rank).
+    """The index of bookmarks: lexeme, user_id, block, most_hits, best_weight, best_rank, and per document docs, ids, ends, n_title, n_text.
 
-    Places run through title, body and tags.  A tenant has as many blocks as
-    its documents need, so no row grows with the tenant.
+    Places run through title, body and tags; those of a document end in
+    `places` where `ends` says.  A tenant has as many blocks as its documents
+    need, so no row grows with the tenant.  Texts are shuffled once, to their
+    blocks; words are not.
     """
-    blocks = df.groupBy("user_id").agg(F.ceil(F.count("*") / block_docs).cast("int").alias("blocks"))
-    docs = search_columns(df, language).select("user_id", "bookmark_id", *[p for p, _ in _PARTS]).join(blocks, "user_id")
-    docs = docs.withColumn("block", F.pmod(F.xxhash64("bookmark_id"), "blocks").cast("int"))
-    keys = ("user_id", "bookmark_id", "block")
-    each = F.flatten(F.array(*[F.transform(part, _labelled(weight)) for part, weight in _PARTS]))
-    hits = docs.select(*keys, F.posexplode(each).alias("at", "hit")).where("hit.lexeme != ''")
-    found = hits.groupBy(*keys, "hit.lexeme").agg(F.array_sort(F.collect_list(F.struct("at", "hit.part"))).alias("hits"))
-    found = found.select(*keys, "lexeme", F.col("hits.at").alias("places"), F.col("hits.part").alias("parts"))
-    found = found.withColumn("rank", R.occurrence(weights_of(F.col("parts"))))
-    n_words = sum((F.size(F.filter(p, lambda x: x != "")) for p, _ in _PARTS), F.lit(0))
-    different = F.size(F.array_distinct(F.filter(F.concat(*[p for p, _ in _PARTS]), lambda x: x != "")))
-    whole = docs.select(*keys, F.lit("").alias("lexeme"), F.array(n_words, different).alias("places"), F.array().cast("array<string>").alias("parts"), F.lit(0.0).alias("rank"))
-    rows = found.unionByName(whole).withColumn("top", F.array_max(weights_of(F.col("parts"))))
-    return rows.groupBy("lexeme", "user_id", "block").agg(
-        F.max(F.size("places")).alias("most_hits"), F.max("top").alias("best_weight"), F.max("rank").alias("best_rank"), F.collect_list(F.struct("bookmark_id", "places", "parts", "rank")).alias("docs")
-    )
+    return fts.blocked(df, language, block_docs).groupBy(*_BLOCK).applyInArrow(_index_rows, _SCHEMA)
 
 
 def write(index: DataFrame, table: str, buckets: int) -> None:
@@ -94,20 +128,32 @@ def _rows(index: DataFrame, query: WebQuery, user_id: str | None, always: bool)
     return found if user_id is None else found.where(F.col("user_id") == user_id)
 
 
+def _entries() -> Column:
+    """What a row holds of each of its documents."""
+
+    def entry(doc: Column, i: Column) -> Column:
+        begin = F.when(i > 0, F.get("ends", i - 1)).otherwise(F.lit(0))
+        places = F.slice("places", begin + 1, F.get("ends", i) - begin)
+        return F.struct(doc.alias("doc"), F.get("ids", i).alias("bookmark_id"), places.alias("places"), F.get("n_title", i).alias("n_title"), F.get("n_text", i).alias("n_text"))
+
+    return F.transform("docs", entry)
+
+
 def _ranked(rows: DataFrame, query: WebQuery, flags: int) -> DataFrame:
     """bookmark_id and rank of the matching documents of some rows."""
-    docs = rows.select("lexeme", F.inline("docs"))
-    entry = F.struct("lexeme", F.struct("places", "parts", "rank"))
-    docs = docs.groupBy("bookmark_id").agg(F.map_from_entries(F.collect_list(entry)).alias("hits"))
+    docs = rows.select("lexeme", *_BLOCK, F.inline(_entries()))
+    entry = F.struct("lexeme", F.struct("places", "n_title", "n_text"))
+    docs = docs.groupBy(*_BLOCK, "doc").agg(F.any_value("bookmark_id").alias("bookmark_id"), F.map_from_entries(F.collect_list(entry)).alias("hits"))
     docs = docs.withColumn("places", F.transform_values("hits", lambda _, v: v["places"]))
     docs = docs.where(reduce(or_, [_conjunction(g, query.language) for g in query.groups]))
     terms = query.operands()
     of = [F.try_element_at("hits", F.lit(t)) for t in terms]
+    weights = [weights_of(x["n_title"], x["n_text"], F.size(x["places"])) for x in of]
     if query.by_proximity():
         none = F.array().cast("array<int>"), F.array().cast("array<double>")
-        score = R.proximity(F.array(*[F.struct(F.coalesce(x["places"], none[0]).alias("places"), F.coalesce(weights_of(x["parts"]), none[1]).alias("weights")) for x in of]))
+        score = R.proximity(F.array(*[F.struct(F.coalesce(x["places"], none[0]).alias("places"), F.coalesce(w, none[1]).alias("weights")) for x, w in zip(of, weights, strict=True)]))
     else:
-        score = sum((F.coalesce(x["rank"], F.lit(0.0)) for x in of), F.lit(0.0)) / max(1, len(terms))
+        score = sum((R.occurrence(w) for w in weights), F.lit(0.0)) / max(1, len(terms))
     if flags:
         size = F.try_element_at("hits", F.lit(""))["places"]
         score = R.normalized(score, F.get(size, F.lit(0)), F.get(size, F.lit(1)), flags)

@@ -153,3 +153,30 @@ def test_headline_column(spark):
     df = spark.createDataFrame([(1, "A Thing, of course"), (2, None), (3, "")], "id int, t string")
     got = [r["h"] for r in df.select("id", headline.headline("t", fts.web_query("things")).alias("h")).orderBy("id").collect()]
     assert got == ["A <mark>Thing</mark>, of course", None, ""]
+
+
+def test_documents_are_built_in_blocks_without_a_shuffle_of_words(spark, bookmarks):
+    plan = index.build(bookmarks, "simple")._jdf.queryExecution().executedPlan().toString()
+    assert "Generate" not in plan and "ObjectHashAggregate" not in plan and "SortMergeJoin" not in plan
+
+
+def test_index_keeps_rows_of_equal_ids_apart(spark):
+    rows = [("1", "u", "rust", "safe rust", ["web"]), ("1", "u", None, "rust in a web", None), ("1", "v", "", "rust", []), (None, None, "x", "no rust", None), ("2", "u", "web", None, ["the"])]
+    df = spark.createDataFrame(rows, "bookmark_id string, user_id string, title string, text_content string, tags array<string>")
+    for text in ("rust", "rust web", "-safe", "web or in", '"safe rust"'):
+        query = fts.web_query(text, "simple")
+        scan = [(r["bookmark_id"], round(r["rank"], 9)) for r in fts.search(fts.search_columns(df, "simple"), query).collect()]
+        for block_docs in (1, 100):
+            got = [(r["bookmark_id"], round(r["rank"], 9)) for r in index.search(index.build(df, "simple", block_docs), query, None).collect()]
+            assert sorted(got, key=str) == sorted(scan, key=str)
+    nothing = index.search(index.build(df.limit(0), "simple"), fts.web_query("rust", "simple"), None)
+    assert nothing.collect() == []
+
+
+def test_postings_join_rows_of_one_bookmark(spark):
+    rows = [("1", "u", "a b a", "b", ["c"]), ("1", "u", "b", None, None), ("2", "u", None, "", [])]
+    df = spark.createDataFrame(rows, "bookmark_id string, user_id string, title string, text_content string, tags array<string>")
+    found = fts.postings(df, "simple")
+    got = {(r["lexeme"], r["weight"], r["user_id"], r["bookmark_id"]): r["positions"] for r in found.collect()}
+    assert got == {("a", "A", "u", "1"): [0, 2], ("b", "A", "u", "1"): [0, 1], ("b", "B", "u", "1"): [0], ("c", "C", "u", "1"): [0]}
+    assert "Generate" not in found._jdf.queryExecution().executedPlan().toString()
