@@ -21,7 +21,7 @@ STOPWORDS = (
 
 def words(text: Column | str) -> Column:
     """Lower-case runs of letters and digits; compounds fall into their parts."""
-    return F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+"), lambda w: w != "")
+    return F.array_remove(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+"), "")
 
 
 _STOP = frozenset(STOPWORDS)

@@ -106,10 +106,14 @@ class WebQuery:
                 before = before + F.size(lexemes_of_part)
             return F.concat(*found)
 
-        found = [hits(t) for t in self.operands()]
         if self.by_proximity():
-            return R.proximity(F.array(*[F.struct(h["place"].alias("places"), h["weight"].alias("weights")) for h in found]))
-        return sum((R.occurrence(h["weight"]) for h in found), F.lit(0.0)) / len(found)
+            return R.proximity(F.array(*[F.struct(h["place"].alias("places"), h["weight"].alias("weights")) for h in map(hits, self.operands())]))
+
+        def weights(term: str) -> Column:
+            """Weights of the hits in order; their number is what a part loses without the term, so no word needs a step of its own."""
+            return F.concat(*[F.array_repeat(F.lit(R.PART_WEIGHTS[part]), F.size(found) - F.size(F.array_remove(found, term))) for found, part in parts])
+
+        return sum((R.occurrence(weights(t)) for t in self.operands()), F.lit(0.0)) / len(self.operands())
 
 
 def web_query(text: str, language: str = "english") -> WebQuery:

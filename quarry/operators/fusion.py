@@ -14,14 +14,14 @@ def ranked(df: DataFrame, name: str, *order: Column | str, keys: tuple[str, ...]
     return df.withColumn(name, F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
 
 
-#: Levels of a score for each doubling.
-LEVELS = 256
+#: Levels of a score for each doubling, and the one of all that is not above 0.
+LEVELS, LOWEST_LEVEL = 256, -(1 << 31)
 
 
 def score_level(score: Column | str) -> Column:
     """A whole number that never falls as a score rises; all that is not above 0 shares the lowest."""
     score = F.col(score) if isinstance(score, str) else score
-    return F.when(score > 0, F.floor(F.log2(score) * LEVELS)).otherwise(F.lit(-(1 << 31)))
+    return F.when(score > 0, F.floor(F.log2(score) * LEVELS)).otherwise(F.lit(LOWEST_LEVEL))
 
 
 def hybrid(vector_matches: DataFrame, text_hits: DataFrame, limit: int) -> DataFrame:
@@ -31,16 +31,20 @@ def hybrid(vector_matches: DataFrame, text_hits: DataFrame, limit: int) -> DataF
     0 and rank limit + 1, which is better than the rank of a late hit.
     """
     best = ranked(vector_matches.orderBy(F.desc("similarity"), "chunk_id").limit(limit), "vector_rank", F.desc("similarity"), "chunk_id")
-    # All uses below read one and the same exchange, so the search runs once.
-    hits = text_hits.select("bookmark_id", F.col("rank").alias("fts_score")).repartition("bookmark_id").withColumn("level", score_level("fts_score"))
-    matched = hits.join(F.broadcast(best.select("bookmark_id").distinct()), "bookmark_id", "left_semi")  # `limit` rows at most
+    # All uses below read one and the same exchange, so the search runs once.  Its columns are never null and met by
+    # inner joins only, as what the optimizer infers for nulls and semi joins would go below it and make it another.
+    key = F.coalesce(F.concat(F.lit("="), "bookmark_id"), F.lit(""))
+    hits = text_hits.select(key.alias("key"), F.coalesce("rank", F.lit(0.0)).alias("fts_score")).repartition("key")
+    hits = hits.withColumn("level", F.coalesce(score_level("fts_score"), F.lit(LOWEST_LEVEL)))
+    wanted = best.select(F.concat(F.lit("="), "bookmark_id").alias("b")).distinct()
+    matched = hits.join(F.broadcast(wanted), F.col("key") == F.col("b"))  # `limit` rows at most
     # The rank of a hit counts all hits before it: those of higher levels by a histogram, those of its own level one by one.
     levels = hits.groupBy("level").agg(F.count("*").alias("n"))
     above = levels.withColumn("above", F.coalesce(F.sum("n").over(Window.orderBy(F.desc("level")).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))  # LEVELS rows for each doubling of the score
-    probe = F.broadcast(matched.select(F.col("bookmark_id").alias("b"), F.col("fts_score").alias("s"), "level"))  # `limit` rows
-    before = (F.col("fts_score") > F.col("s")) | ((F.col("fts_score") == F.col("s")) & (F.col("bookmark_id") < F.col("b")))
-    beside = hits.join(probe, "level").groupBy(F.col("b").alias("bookmark_id"), F.col("s").alias("fts_score"), "level").agg(F.count_if(before).alias("beside"))
-    order = beside.join(above, "level").select("bookmark_id", "fts_score", (F.col("above") + F.col("beside") + 1).cast("int").alias("fts_rank"))
+    probe = F.broadcast(matched.select("b", F.col("fts_score").alias("s"), "level"))  # `limit` rows
+    before = (F.col("fts_score") > F.col("s")) | ((F.col("fts_score") == F.col("s")) & (F.col("key") != "") & (F.col("key") < F.col("b")))
+    beside = hits.join(probe, "level").groupBy("b", F.col("s").alias("fts_score"), "level").agg(F.count_if(before).alias("beside"))
+    order = beside.join(above, "level").select(F.substring("b", 2, 1 << 30).alias("bookmark_id"), "fts_score", (F.col("above") + F.col("beside") + 1).cast("int").alias("fts_rank"))
     joined = best.join(order, "bookmark_id", "left")
     return joined.withColumns({"fts_score": F.coalesce("fts_score", F.lit(0.0)), "fts_rank": F.coalesce("fts_rank", F.lit(limit + 1))})
 

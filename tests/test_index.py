@@ -180,3 +180,16 @@ def test_postings_join_rows_of_one_bookmark(spark):
     got = {(r["lexeme"], r["weight"], r["user_id"], r["bookmark_id"]): r["positions"] for r in found.collect()}
     assert got == {("a", "A", "u", "1"): [0, 2], ("b", "A", "u", "1"): [0, 1], ("b", "B", "u", "1"): [0], ("c", "C", "u", "1"): [0]}
     assert "Generate" not in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_a_scan_ranks_by_counts_of_words(spark, bookmarks):
+    """No step per word and place: lexemes are counted, and only the hits get weights."""
+    found = fts.search(fts.search_columns(bookmarks, "simple"), fts.web_query("rust or web", "simple")).select("bookmark_id", "rank")
+    assert "array_remove(text_lexemes" in found._jdf.queryExecution().executedPlan().toString()
+    got = {r["bookmark_id"]: r["rank"] for r in found.collect()}
+    for r in bookmarks.where("bookmark_id in ('1', '7', '20', '33')").collect():
+        want = 0.0
+        for term in ("rust", "web"):
+            weights = [w for text, w in ((r["title"], 1.0), (r["text_content"], 0.4), (" ".join(r["tags"] or []), 0.2)) for x in fts.re.split(r"[\W_]+", text or "") if x == term]
+            want += sum(w / (i + 1) ** 2 for i, w in enumerate(weights)) / rank.SQUARES / 2
+        assert math.isclose(got.get(r["bookmark_id"], 0.0), want, abs_tol=1e-12)
