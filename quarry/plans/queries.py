@@ -333,7 +333,7 @@ def fts_postings_stats(spark, d):
 
 @query(f"{_VECTOR} SELECT bookmark_id, CAST(len(list_filter(al, lambda x: x IN ('the', 'of'))) AS BIGINT) AS hits FROM s WHERE user_id = '3' AND list_has_all(al, ['the', 'of'])")
 def fts_search_postings(spark, d):
-    return fts.search_postings(fts.postings(adapt.bookmarks(spark, d), "simple"), ["the", "of"], "3")
+    return fts.search_postings(fts.postings(adapt.bookmarks(spark, d).where("user_id = '3'"), "simple"), ["the", "of"], "3")
 
 
 # Vectors
