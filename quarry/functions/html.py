@@ -1,39 +1,30 @@
-"""Titles and images of pages, read by the parser of `markup` on Arrow batches, and addresses as expressions."""
+"""Titles and images of pages, read by the parser of `markup`, and addresses as expressions."""
 
 from __future__ import annotations
 
-import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .markup import image_sources_of, title_of, with_sources
-
-def _titles(pages: pa.Array) -> pa.Array:
-    return pa.array([None if p is None else title_of(p) for p in pages.to_pylist()], pa.string())
+from .markup import each, image_sources_of, title_of, with_sources
 
 
 def title(html: Column | str) -> Column:
     """Text of the page's title; null without one."""
-    return F.arrow_udf(_titles, "string")(html)
-
-
-def _sources(pages: pa.Array) -> pa.Array:
-    return pa.array([None if p is None else image_sources_of(p) for p in pages.to_pylist()], pa.list_(pa.string()))
+    return each(title_of, "string", html)
 
 
 def image_sources(html: Column | str) -> Column:
     """Values of src of all images, in order; null for null."""
-    return F.arrow_udf(_sources, "array<string>")(html)
+    return each(image_sources_of, "array<string>", html)
 
 
-def _rewritten(pages: pa.Array, names: pa.Array, targets: pa.Array) -> pa.Array:
-    rows = zip(pages.to_pylist(), names.to_pylist(), targets.to_pylist(), strict=True)
-    return pa.array([None if p is None else with_sources(p, dict(zip(n, t, strict=True))) if n else p for p, n, t in rows], pa.string())
+def _rewritten(page: str, names: list[str], targets: list[str]) -> str:
+    return with_sources(page, dict(zip(names, targets, strict=True))) if names else page
 
 
 def with_image_sources(html: Column | str, names: Column, targets: Column) -> Column:
     """The pages with each image source in `names` replaced by the one of the same place in `targets`."""
-    return F.arrow_udf(_rewritten, "string")(html, names, targets)
+    return each(_rewritten, "string", html, names, targets)
 
 
 def absolute(src: Column, base: Column | str) -> Column:

@@ -66,3 +66,34 @@ def test_hints_are_dropped_where_they_leave_too_little():
     assert M.text_of(html).count(TEXT.strip()) == 6
     assert M.text_of("<p>Just a word</p>") == "Just a word"
     assert "<p>" in M.article_of(f"<div><p>{TEXT * 5}</p></div>") and M.text_of("") == ""
+
+
+def test_pages_reach_python_in_small_batches_and_one_worker(spark):
+    pages = spark.createDataFrame([("<title>T</title><p>" + "word, " * 40 + "<img src=a.png>",), (None,), ("",)], "html string")
+    found = pages.select(H.title("html").alias("title"), M.article_text("html").alias("text"), M.article_html("html").alias("article"), M.sanitized("html").alias("clean"), H.image_sources("html").alias("images"))
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "ArrowEvalPython" not in plan and plan.count("BatchEvalPython") == 1
+    rows = found.collect()
+    assert rows[0].title == "T" and rows[0].text.startswith("word, word") and rows[0].images == ["a.png"]
+    assert list(rows[1]) == [None] * 5 and rows[2].images == []
+
+
+def test_no_page_is_kept_by_a_cycle():
+    import gc
+    import weakref
+
+    class Page(dict):
+        pass
+
+    from quarry.functions import readability
+
+    gc.collect()
+    gc.disable()
+    try:
+        page = readability._Page(M.parsed.__wrapped__("<div>" + "<p>some words, and more of them here</p>" * 5 + "</div>"), True, True)
+        page.best()
+        gone = weakref.ref(page)
+        del page
+        assert gone() is None
+    finally:
+        gc.enable()
