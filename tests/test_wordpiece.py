@@ -72,3 +72,25 @@ def test_windows_and_budget(spark, codec):
     counted = with_counts(df, codec).withColumn("rank", F.row_number().over(fusion.Window.orderBy(F.desc("s"))))
     assert [r.tokens for r in counted.orderBy("rank").collect()] == [len(ids), 1, 0, 0]
     assert [r.id for r in fusion.within_budget(counted, 200 + len(ids)).orderBy("rank").collect()] == ["1"]
+
+
+def test_decoding_equals_a_loop_over_the_ids():
+    pieces = ("[UNK]", "[CLS]", "[PAD]", "a", "##a", ".", "##.", "n't", "##", "", "##'s", "'s", "bc", "##bc")
+    codec = WordPiece(pieces)
+
+    def plain(ids):
+        out = []
+        for i in ids:
+            piece = pieces[i]
+            if piece in codec.special:
+                continue
+            if out:
+                piece = piece[2:] if piece.startswith("##") else f" {piece}"
+            out.append({" .": ".", " n't": "n't", " 's": "'s"}.get(piece, piece))
+        return "".join(out)
+
+    rng = random.Random(5)
+    assert codec._shown is codec._shown
+    for _ in range(500):
+        ids = [rng.randrange(len(pieces)) for _ in range(rng.randrange(9))]
+        assert codec.decode(ids) == plain(ids)
