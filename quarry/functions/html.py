@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from html import unescape
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -27,6 +29,11 @@ def with_image_sources(html: Column | str, names: Column, targets: Column) -> Co
     return each(_rewritten, "string", html, names, targets)
 
 
+def unescaped(text: Column | str) -> Column:
+    """Text with its character references resolved."""
+    return each(unescape, "string", text)
+
+
 def absolute(src: Column, base: Column | str) -> Column:
     """src resolved against the page's URL; null where that gives no http address."""
     origin = F.regexp_extract(base, r"^([A-Za-z][A-Za-z0-9+.\-]*://[^/?#]*)", 1)
