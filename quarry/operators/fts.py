@@ -23,6 +23,8 @@ from . import rank as R
 
 #: Words of a highlight.
 MOST_WORDS, LEAST_WORDS = 35, 15
+#: Rows whose postings a task makes, on average.
+TASK_DOCS = 4096
 
 
 def search_columns(df: DataFrame, language: str = "english") -> DataFrame:
@@ -149,7 +151,9 @@ def blocked(df: DataFrame, language: str = "english", block_docs: int = 512) ->
     docs = search_columns(df, language).select("user_id", "bookmark_id", F.array_join(F.concat(*parts), " ").alias("words"), F.size(parts[0]).alias("n_title"), F.size(parts[1]).alias("n_text"))
     docs = docs.join(F.broadcast(blocks), F.col("user_id").eqNullSafe(F.col("_tenant")), "left")
     block = F.pmod(F.xxhash64("bookmark_id"), F.coalesce("blocks", F.lit(1))).cast("int")
-    return docs.select("user_id", block.alias("block"), "bookmark_id", "words", "n_title", "n_text")
+    # By the number of rows, so that what a task makes of its blocks, a multiple of their text, is sorted in memory.
+    tasks = max(1, -(-df.count() // TASK_DOCS))
+    return docs.select("user_id", block.alias("block"), "bookmark_id", "words", "n_title", "n_text").repartition(tasks, "user_id", "block")
 
 
 @dataclass(frozen=True)
