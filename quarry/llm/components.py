@@ -20,7 +20,7 @@ def _settled(edges: DataFrame) -> bool:
     """Whether every id is either a root or hangs on one root only, so that the edges are the components."""
     ends = edges.select(F.inline(F.array(F.struct(F.col("u").alias("id"), F.lit(1).alias("up")), F.struct(F.col("v").alias("id"), F.lit(0).alias("up")))))
     each = ends.groupBy("id").agg(F.sum("up").alias("ups"), F.min("up").alias("low"))
-    return each.agg(F.count_if((F.col("ups") > 1) | ((F.col("ups") == 1) & (F.col("low") == 0)))).first()[0] == 0
+    return each.where((F.col("ups") > 1) | ((F.col("ups") == 1) & (F.col("low") == 0))).isEmpty()
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:

@@ -3,7 +3,8 @@
 1. Every line becomes its character shingles, which come from its UTF-16 bytes
    at fixed offsets, and its MinHash signature is an aggregation over all of
    them, several to a row, with map-side combine; equal lines collapse in it.
-2. MinHashes form GROUPS groups of EACH, and every two groups are a band: from
+2. The first and the last shingle of an order, which goes by 32 bits of a hash,
+   are two MinHashes.  They form GROUPS groups of EACH, and every two groups are a band: from
    12 MinHashes come 15 bands of 4, which find as much as 7 bands of 28.
    Bands find candidates.  First a bucket pairs each line with its first line
    or, where sketches of the MinHashes speak against that, with the one before
@@ -33,7 +34,6 @@ with all of them, 8 bytes each.
 
 from __future__ import annotations
 
-import random
 from functools import reduce
 from itertools import combinations
 from operator import or_
@@ -92,17 +92,21 @@ def signatures(lines: DataFrame, shingle: int = SHINGLE, groups: int = GROUPS, e
     chars = lines.select("k", "doc", F.xxhash64(F.lit(7), "line").alias("other"), F.encode("line", "UTF-16BE").alias("utf16"))
     last = _last(F.col("utf16"), shingle)
     rows = chars.select("k", "doc", "other", "utf16", last.alias("last"), F.explode(F.sequence(F.lit(1), last, F.lit(2 * batch))).alias("i"))
-    # A line is counted at its first row.  The last row repeats the last shingle, which changes no minimum.  31 bits decide.
-    hashes = [F.shiftrightunsigned(_shingle(F.col("utf16"), F.least(F.col("i") + 2 * t, F.col("last")), shingle), 33).alias(f"y{t}") for t in range(batch)]
+    # A line is counted at its first row.  The last row repeats the last shingle, which changes no minimum or maximum.
+    hashes = [_shingle(F.col("utf16"), F.least(F.col("i") + 2 * t, F.col("last")), shingle).alias(f"h0_{t}") for t in range(batch)]
     rows = rows.select("k", "doc", F.when(F.col("i") == 1, F.col("other")).alias("other"), F.when(F.col("i") == 1, 1).otherwise(0).alias("one"), *hashes)
-    rng = random.Random(20)
-    orders = [(rng.getrandbits(31) | 1, rng.getrandbits(31)) for _ in range(groups * each)]
-
-    def place(t: int, factor: int, summand: int) -> Column:
-        # An odd factor and a summand permute 32 bits, below the range of a long.
-        return (F.col(f"y{t}") * F.lit(factor).cast("long") + F.lit(summand).cast("long")).bitwiseAND(F.lit(2**32 - 1))
-
-    mins = [F.min(F.least(*[place(t, *order) for t in range(batch)])).alias(f"m{j}") for j, order in enumerate(orders)]
+    # An order goes by 32 bits of a hash; a hash has three orders whose upper 16 bits are different ones.
+    for n in range(1, -(-groups * each // 6)):
+        rows = rows.select("*", *[F.xxhash64(F.lit(n), f"h0_{t}").alias(f"h{n}_{t}") for t in range(batch)])
+
+    def extreme(j: int) -> Column:
+        # The first and the last shingle of an order are two MinHashes.
+        order, last = divmod(j, 2)
+        n, at = divmod(order, 3)
+        values = [F.shiftright(F.shiftleft(f"h{n}_{t}", 16 * at), 32) for t in range(batch)]
+        return F.max(F.greatest(*values)) if last else F.min(F.least(*values))
+
+    mins = [extreme(j).alias(f"m{j}") for j in range(groups * each)]
     signed = rows.groupBy("k").agg(F.min("doc").alias("first_doc"), F.sum("one").alias("n_lines"), (F.min("other") != F.max("other")).alias("clash"), *mins)
     fields = [F.shiftleft(F.xxhash64(f"m{j}").bitwiseAND(F.lit(2**FIELD - 1)), FIELD * j) for j in range(min(groups * each, 60 // FIELD))]
     return signed.select("k", "first_doc", "n_lines", "clash", *[F.xxhash64(*[f"m{g * each + e}" for e in range(each)]).alias(f"g{g}") for g in range(groups)], reduce(Column.bitwiseOR, fields).alias("sketch"))
@@ -156,21 +160,19 @@ def parities(texts: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     tasks = 1 + texts.count() // LINES_OF_TASK
     # Dealt out by k once, which all aggregations can use.
     lines = texts.repartition(tasks, "k").select("k", F.encode("line", "UTF-16BE").alias("w"))
-    rows = lines.select("k", "w", F.explode(F.sequence(F.lit(0), _batches(F.col("w"), shingle, SET_BATCH) - 1)).alias("i"))
     chars = F.octet_length("w") / 2
     n_words = F.when(chars <= NARROW, F.lit(PARITY_WORDS)).otherwise(F.lit(PARITY_WORDS) * F.pow(F.lit(2), F.ceil(F.log2(chars / NARROW)))).cast("int")
+    rows = lines.select("k", "w", F.explode(F.sequence(F.lit(0), _batches(F.col("w"), shingle, SET_BATCH) - 1)).alias("i"))
     sets = rows.select("k", n_words.alias("n_words"), _shingles("w", "i", shingle).alias("h")).groupBy("k").agg(F.first("n_words").alias("n_words"), F.array_distinct(F.flatten(F.collect_list("h"))).alias("set"))
-    each = sets.select("k", "n_words", F.explode("set").alias("h"))
+    # A row for each word of a line, of long lines also those on which no shingle falls; then the words side by side.
     bit, word = F.expr("shiftleft(1L, cast(h & 63 as int))"), F.shiftrightunsigned("h", 6)
-    none = F.lit(0).cast("long")
-    words = [F.bit_xor(F.when(word.bitwiseAND(F.lit(PARITY_WORDS - 1)) == i, bit).otherwise(none)).alias(f"p{i}") for i in range(PARITY_WORDS)]
-    narrow = each.groupBy("k").agg(F.count("*").alias("size"), *words)
-    # Of long lines a row for each word, with the words on which no shingle falls.
-    long = each.where(F.col("n_words") > PARITY_WORDS).select("k", F.pmod(word, "n_words").cast("int").alias("at"), bit.alias("bit"))
-    blank = sets.where(F.col("n_words") > PARITY_WORDS).select("k", F.explode(F.sequence(F.lit(0), F.col("n_words") - 1)).alias("at"), none.alias("bit"))
-    wide = long.unionByName(blank).groupBy("k", "at").agg(F.bit_xor("bit").alias("bits"))
-    wide = wide.groupBy("k").agg(F.array_sort(F.collect_list(F.struct("at", "bits")))["bits"].alias("wide"))
-    return narrow.join(wide, "k", "left")
+    each = sets.select("k", "n_words", F.explode("set").alias("h")).select("k", "n_words", word.bitwiseAND(F.col("n_words") - 1).cast("int").alias("at"), bit.alias("bit"), F.lit(1).alias("one"))
+    blank = lines.where(chars > NARROW).select("k", n_words.alias("n_words")).select("k", "n_words", F.explode(F.sequence(F.lit(0), F.col("n_words") - 1)).alias("at"), F.lit(0).cast("long").alias("bit"), F.lit(0).alias("one"))
+    bits = each.unionByName(blank).groupBy("k", "n_words", "at").agg(F.bit_xor("bit").alias("bits"), F.sum("one").alias("n"))
+    words = [F.bit_xor(F.when(F.col("at").bitwiseAND(F.lit(PARITY_WORDS - 1)) == i, F.col("bits")).otherwise(F.lit(0).cast("long"))).alias(f"p{i}") for i in range(PARITY_WORDS)]
+    wide = F.collect_list(F.when(F.col("n_words") > PARITY_WORDS, F.struct("at", "bits")))
+    found = bits.groupBy("k").agg(F.sum("n").alias("size"), *words, wide.alias("wide"))
+    return found.withColumn("wide", F.when(F.size("wide") > 0, F.array_sort("wide")["bits"]))
 
 
 _WORDS = [f"p{i}" for i in range(PARITY_WORDS)]

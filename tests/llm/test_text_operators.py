@@ -9,7 +9,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from quarry.llm import line_dedup, ngram_jaccard, substring_dedup, wordhash
+from quarry.llm import line_dedup, ngram_jaccard, shared, substring_dedup, wordhash
 from quarry.llm.components import components
 
 from .conftest import words
@@ -347,3 +347,24 @@ def test_lines_that_share_a_hash_stay(docs, monkeypatch):
     monkeypatch.setattr(line_dedup, "_lines", clashing)
     found = {r.doc_id: r.text for r in line_dedup.line_dedup(docs(rows)).collect()}
     assert found == {1: "first line of all\nsecond one\nthird", 2: "second one\nfirst line of all"}
+
+
+def test_lines_make_their_shingles_once(docs):
+    """A line is signed without checked products, and its set of shingles is made once for all its bitmaps."""
+    frame = line_dedup._lines(docs([(1, "one line of some length\nanother line of some length")]))
+    signed = line_dedup.signatures(frame)._jdf.queryExecution().optimizedPlan().toString()
+    assert " * " not in signed.replace("(2 * ", "")
+    parity = line_dedup.parities(frame)._jdf.queryExecution().optimizedPlan().toString()
+    assert parity.count("collect_list(h#") == 1
+
+
+def test_cut_counts_rows_without_another_job(spark):
+    context = spark.sparkContext
+    context.setJobGroup("cut-once", "")
+    try:
+        out = shared.cut(spark.range(1000, numPartitions=40).select("id"), 100)
+        assert len(context.statusTracker().getJobIdsForGroup("cut-once")) == 1
+    finally:
+        context.setLocalProperty("spark.jobGroup.id", None)
+    assert out.count() == 1000 and out.rdd.getNumPartitions() == max(10, context.defaultParallelism)
+    assert shared.cut(spark.range(0), 100).count() == 0
