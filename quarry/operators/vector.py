@@ -7,6 +7,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame, Window
@@ -46,11 +47,25 @@ def matrix(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
     return flat.to_numpy(zero_copy_only=False).astype(np.float64, copy=False).reshape(len(column), -1)
 
 
+def by_key(column: pa.ChunkedArray) -> np.ndarray:
+    """Rows in Spark's ascending order of a key."""
+    return pc.sort_indices(column, null_placement="at_start").to_numpy().astype(np.int64)
+
+
+def best_of(score: np.ndarray, k: int) -> np.ndarray:
+    """Places of the k highest scores; of those that tie for the last places, the first."""
+    if len(score) <= k:
+        return np.arange(len(score))
+    least = np.partition(score, len(score) - k)[len(score) - k]
+    above = np.flatnonzero(score > least)
+    return np.concatenate([above, np.flatnonzero(score == least)[: k - len(above)]])
+
+
 def _scored(chunks: pa.Table, queries: pa.Table, k: int, threshold: float | None, key: str) -> pa.Table:
     """The best k of a block of chunks for each of a block of queries; both of one length."""
     at_query, at_chunk, found = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0)]
     if chunks.num_rows and queries.num_rows:
-        order = np.argsort(chunks.column("_order").to_numpy(), kind="stable")
+        order = by_key(chunks.column(key))
         vectors, wanted = matrix(chunks.column("v"))[order], matrix(queries.column("v"))
         norms, lengths = np.sqrt((vectors**2).sum(1)), np.sqrt((wanted**2).sum(1))
         for i, query in enumerate(wanted):
@@ -59,9 +74,7 @@ def _scored(chunks: pa.Table, queries: pa.Table, k: int, threshold: float | None
             with np.errstate(divide="ignore", invalid="ignore"):
                 score = vectors @ query / (norms * lengths[i])
             good = np.flatnonzero(norms > 0) if threshold is None else np.flatnonzero((norms > 0) & (score >= threshold))
-            if len(good) > 4 * k:
-                # Ties of the last one go on to the exact order of keys.
-                good = good[score[good] >= np.partition(score[good], len(good) - k)[len(good) - k]]
+            good = good[best_of(score[good], k)]
             at_query.append(np.full(len(good), i))
             at_chunk.append(order[good])
             found.append(score[good])
@@ -77,10 +90,10 @@ def nearest_batch(chunks: DataFrame, queries: DataFrame, k: int, threshold: floa
     scores take part, only the best of a block leave its task, and the other
     columns join the k of each query at the end.
     """
-    usable = chunks.where("embedding is not null").select(key, F.transform("embedding", lambda x: x.cast("double")).alias("v"), F.xxhash64(key).alias("_order")).where("size(v) > 0")
-    asked = queries.select("query_id", F.transform("query", lambda x: x.cast("double")).alias("v")).where("size(v) > 0")
+    usable = chunks.where("embedding is not null").select(key, F.col("embedding").cast("array<double>").alias("v")).where("size(v) > 0")
+    asked = queries.select("query_id", F.col("query").cast("array<double>").alias("v")).where("size(v) > 0")
     n_chunks, n_queries = max(1, -(-usable.count() // BLOCK_ROWS)), max(1, -(-asked.count() // most))
-    left = usable.withColumns({"_c": F.pmod("_order", F.lit(n_chunks)).cast("int"), "_d": F.size("v")}).withColumn("_q", F.explode(F.sequence(F.lit(0), F.lit(n_queries - 1))))
+    left = usable.withColumns({"_c": F.pmod(F.xxhash64(key), F.lit(n_chunks)).cast("int"), "_d": F.size("v")}).withColumn("_q", F.explode(F.sequence(F.lit(0), F.lit(n_queries - 1))))
     right = asked.withColumns({"_q": F.pmod(F.xxhash64("query_id"), F.lit(n_queries)).cast("int"), "_d": F.size("v")}).withColumn("_c", F.explode(F.sequence(F.lit(0), F.lit(n_chunks - 1))))
     kinds = f"query_id {queries.schema['query_id'].dataType.simpleString()}, {key} {chunks.schema[key].dataType.simpleString()}, similarity double"
     by = ("_c", "_q", "_d")
@@ -127,7 +140,8 @@ class InvertedLists:
 
 
 def unit(vector: str) -> Column:
-    return F.when(norm(vector) > 0, F.transform(vector, lambda x: x.cast("double") / norm(vector)))
+    """Null for a zero vector.  The norm is an argument of the function over the components, and so is not taken for each of them."""
+    return F.element_at(F.transform(F.array(norm(vector)), lambda n: F.when(n > 0, F.transform(vector, lambda x: x.cast("double") / n))), 1)
 
 
 def check_dimensions(chunks: DataFrame, n_texts: int | None = None) -> int:

@@ -12,7 +12,8 @@
 The model is a few megabytes at any number of vectors (cells and code words
 times dimensions) and is what is broadcast.  New vectors are assigned by the
 same model and appended.  A cell that holds more than `part_rows` vectors is
-dealt out in parts, so no task holds a whole hot cell.
+dealt out in parts, and its queries in blocks of at most `most`, so no task
+holds a whole hot cell, all queries or all their candidates.
 """
 
 from __future__ import annotations
@@ -25,12 +26,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .vector import cosine, matrix, unit
+from .vector import MOST_QUERIES, best_of, by_key, cosine, matrix, norm, unit
 
 #: Sampled vectors per cell, and at most; steps of a fit; code words of a part.
 PER_CELL, SAMPLE, STEPS, WORDS = 40, 200_000, 12, 256
 #: Vectors of a cell that one task scores.
 PART_ROWS = 100_000
+#: Candidates that a block of queries makes in one task; rows of a batch that leaves `probes`.
+MOST_FOUND, PROBE_ROWS = 500_000, 10_000
 
 
 def clusters(points: np.ndarray, k: int, seed: int = 1) -> np.ndarray:
@@ -69,9 +72,11 @@ class VectorIndex:
 
     @classmethod
     def fit(cls, chunks: DataFrame, cells: int, parts: int, seed: int = 1, sample: int = SAMPLE) -> VectorIndex:
-        """From at most PER_CELL vectors for each cell and `sample` in all, taken in the order of a hash of the vectors."""
-        usable = chunks.where("embedding is not null").select(unit("embedding").alias("u")).where("u is not null")
-        drawn = usable.orderBy(F.xxhash64("u")).limit(min(sample, PER_CELL * cells)).toArrow()
+        """From at most PER_CELL different vectors for each cell and `sample` in all, taken in the order of a hash of the vectors."""
+        usable = chunks.where(norm("embedding") > 0).select(unit("embedding").alias("u")).withColumn("h", F.xxhash64("u"))
+        # Copies of a vector count once, or a few with many copies would be all of the sample.
+        least = usable.select("h").distinct().orderBy("h").limit(min(sample, PER_CELL * cells))
+        drawn = usable.join(least, "h", "left_semi").dropDuplicates(["h"]).orderBy("h").select("u").toArrow()
         if not drawn.num_rows:
             raise ValueError("no vectors to fit")
         points = matrix(drawn.column("u"))
@@ -136,7 +141,7 @@ class VectorIndex:
                     codes = model.value.code(points, cell)
                     yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(cell, pa.int32()), pa.array([c.tobytes() for c in codes], pa.binary())], names=[key, "cell", "code"])
 
-        rows = chunks.where("embedding is not null").select(key, unit("embedding").alias("u")).where(F.size("u") == self.cells.shape[1])
+        rows = chunks.where((F.size("embedding") == self.cells.shape[1]) & (norm("embedding") > 0)).select(key, unit("embedding").alias("u"))
         return rows.mapInArrow(run, f"{key} {chunks.schema[key].dataType.simpleString()}, cell int, code binary")
 
     def probes(self, queries: DataFrame, n: int) -> DataFrame:
@@ -144,39 +149,46 @@ class VectorIndex:
         model = queries.sparkSession.sparkContext.broadcast(self)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
+            rows = max(1, PROBE_ROWS // n)
+            for batch in (b.slice(i, rows) for b in batches for i in range(0, b.num_rows, rows)):
                 if batch.num_rows:
                     points, m = matrix(batch.column(1)), model.value
                     near = np.argsort((m.cells**2).sum(1) - 2 * points @ m.cells.T, axis=1, kind="stable")[:, :n]
                     at = pa.array(np.repeat(np.arange(batch.num_rows), near.shape[1]))
                     yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(near.ravel(), pa.int32())], names=["query_id", "u", "cell"])
 
-        rows = queries.select("query_id", unit("query").alias("u")).where(F.size("u") == self.cells.shape[1])
+        rows = queries.where((F.size("query") == self.cells.shape[1]) & (norm("query") > 0)).select("query_id", unit("query").alias("u"))
         return rows.mapInArrow(run, f"query_id {queries.schema['query_id'].dataType.simpleString()}, u array<double>, cell int")
 
-    def nearest_batch(self, index: DataFrame, chunks: DataFrame, queries: DataFrame, k: int, probes: int, candidates: int | None = None, key: str = "chunk_id", part_rows: int = PART_ROWS) -> DataFrame:
+    def nearest_batch(self, index: DataFrame, chunks: DataFrame, queries: DataFrame, k: int, probes: int, candidates: int | None = None, key: str = "chunk_id", part_rows: int = PART_ROWS, most: int = MOST_QUERIES) -> DataFrame:
         """queries: query_id, query.  Up to k chunks of each with exact similarity and rank, from its `probes` cells.
 
         index is read once for the whole batch; the exact similarities of
         `candidates` (10 * k) chunks a query come from one join with chunks.
         """
         wanted = candidates or 10 * k
+        most = max(1, min(most, MOST_FOUND // wanted))
         model = index.sparkSession.sparkContext.broadcast(self)
-        sizes = index.groupBy("cell").agg(F.ceil(F.count("*") / part_rows).cast("int").alias("parts"))  # a row per cell
-        rows = index.join(F.broadcast(sizes), "cell").withColumn("part", F.pmod(F.xxhash64(key), "parts").cast("int")).select("cell", "part", key, "code")
-        asked = self.probes(queries, probes).join(F.broadcast(sizes), "cell").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select("cell", "part", "query_id", "u")
+        near = self.probes(queries, probes)
+        blocks = near.groupBy("cell").agg(F.ceil(F.count("*") / most).cast("int").alias("blocks"))
+        sizes = F.broadcast(index.groupBy("cell").agg(F.ceil(F.count("*") / part_rows).cast("int").alias("parts")).join(blocks, "cell"))  # a row per cell
+        each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+        own = lambda name, n: F.pmod(F.xxhash64(name), n).cast("int")
+        rows = index.join(sizes, "cell").select("cell", own(key, "parts").alias("part"), each("blocks").alias("block"), key, "code")
+        asked = near.join(sizes, "cell").select("cell", each("parts").alias("part"), own("query_id", "blocks").alias("block"), "query_id", "u")
 
         def run(cell_rows: pa.Table, cell_queries: pa.Table) -> pa.Table:
             at_query, at_row, scores = [], [], []
             if cell_rows.num_rows and cell_queries.num_rows:
                 m = model.value
                 cell = cell_rows.column("cell")[0].as_py()
-                codes = np.frombuffer(b"".join(cell_rows.column("code").to_pylist()), np.uint8).reshape(cell_rows.num_rows, -1)
+                cell_rows = cell_rows.take(pa.array(by_key(cell_rows.column(key))))  # ties go by key
+                codes = np.frombuffer(b"".join(cell_rows.column("code").to_pylist()), np.uint8).reshape(cell_rows.num_rows, -1).T.copy()
                 for i, query in enumerate(matrix(cell_queries.column("u"))):
-                    score = np.full(len(codes), query @ m.cells[cell])
+                    score = np.full(cell_rows.num_rows, query @ m.cells[cell])
                     for p, (words, part) in enumerate(zip(m.words, query.reshape(len(m.words), -1), strict=True)):
-                        score += (words @ part)[codes[:, p]]
-                    best = np.argsort(-score, kind="stable")[:wanted]
+                        score += (words @ part)[codes[p]]
+                    best = best_of(score, wanted)
                     at_query.append(np.full(len(best), i))
                     at_row.append(best)
                     scores.append(score[best])
@@ -184,7 +196,7 @@ class VectorIndex:
             return pa.table([cell_queries.column("query_id").take(pa.array(joined(at_query, np.int64))), cell_rows.column(key).take(pa.array(joined(at_row, np.int64))), pa.array(joined(scores, np.float64))], names=["query_id", key, "score"])
 
         kinds = f"query_id {queries.schema['query_id'].dataType.simpleString()}, {key} {chunks.schema[key].dataType.simpleString()}, score double"
-        found = rows.groupBy("cell", "part").cogroup(asked.groupBy("cell", "part")).applyInArrow(run, kinds)
+        found = rows.groupBy("cell", "part", "block").cogroup(asked.groupBy("cell", "part", "block")).applyInArrow(run, kinds)
         likely = found.withColumn("place", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), key))).where(F.col("place") <= wanted).select("query_id", key)
         exact = likely.join(queries.select("query_id", "query"), "query_id").join(chunks.select(key, "embedding"), key)
         exact = exact.select("query_id", key, cosine("embedding", "query").alias("similarity"))

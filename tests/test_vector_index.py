@@ -1,4 +1,5 @@
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -87,3 +88,35 @@ def test_batches_equal_single_queries(spark):
         assert [s for _, s in got.get(i, [])] == [s for _, s in want[:6]]
         assert set(got.get(i, [])) <= set(want)
     assert got[50] == [(901, 1.0)] and 51 not in got
+
+
+def test_blocks_of_queries_give_the_same_candidates(spark, vectors):
+    c, q = frame(spark, vectors[:800]), queries_of(spark, vectors)
+    built = VectorIndex.fit(c, 9, parts=4)
+    index = built.assigned(c)
+    rows = lambda **sizes: sorted((r.query_id, r["rank"], r.chunk_id) for r in built.nearest_batch(index, c, q, 5, probes=6, candidates=20, **sizes).collect())
+    want = rows()
+    assert len(want) == 150 and rows(most=2) == want and rows(most=4, part_rows=30) == want
+
+
+def test_probes_leave_in_small_batches(spark, vectors, monkeypatch):
+    monkeypatch.setattr("quarry.operators.vector_index.PROBE_ROWS", 20)
+    c, q = frame(spark, vectors[:500]), queries_of(spark, vectors)
+    built = VectorIndex.fit(c, 9, parts=4)
+    assert {r.n for r in built.probes(q, 6).groupBy("query_id").agg(F.countDistinct("cell").alias("n")).collect()} == {6}
+
+
+def test_copies_do_not_fill_the_sample(spark, vectors):
+    c = frame(spark, np.repeat(vectors[:300], 50, axis=0))
+    built = VectorIndex.fit(c, 4, parts=4)
+    assert len(built.cells) >= 4 and all(len(w) >= 150 for w in built.words)
+
+
+def test_ties_of_a_block_are_settled_in_its_task():
+    """Copies of one vector: k rows of each query leave, those of the smallest keys."""
+    same = pa.FixedSizeListArray.from_arrays(pa.array([1.0, 2.0] * 64), 2).cast(pa.list_(pa.float64()))
+    keys = [str(i) for i in range(64)]
+    chunks = pa.table({"chunk_id": keys[::-1], "v": same, "_order": list(range(64))})
+    queries = pa.table({"query_id": [7, 8], "v": same[:2]})
+    found = vector._scored(chunks, queries, 3, None, "chunk_id")
+    assert sorted(zip(found["query_id"].to_pylist(), found["chunk_id"].to_pylist(), strict=True)) == [(q, c) for q in (7, 8) for c in sorted(keys)[:3]]
